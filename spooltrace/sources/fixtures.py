@@ -50,7 +50,8 @@ class Tables:
     # -- literal dims --------------------------------------------------------
     def __getattr__(self, name: str) -> DataFrame:
         if name in DIM_NAMES:
-            df = dim(self.spark, name)
+            # literal rows: size is bounded by the seed list, so always broadcast
+            df = F.broadcast(dim(self.spark, name))
             self.__dict__[name] = df
             return df
         raise AttributeError(name)
