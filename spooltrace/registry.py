@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spooltrace.plans import materials as M
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
@@ -42,13 +43,45 @@ def queries() -> dict[str, Query]:
         "q_low_inventory_spools": _q(views.q_low_inventory_spools),
         "q_product_status_v1": _q(views.q_product_status_v1),
     }
+    q.update({
+        "filaments_in_storage": _q(M.filaments_in_storage),
+        "mountable_filaments": _q(M.mountable_filaments),
+        "acclimatized_ready": _q(M.acclimatized_ready, as_of=AS_OF),
+        "acclimatizing_restorable": _q(M.acclimatizing_restorable),
+        "available_printers": _q(M.available_printers),
+        "mounted_filaments": _q(M.mounted_filaments),
+        "mounts_with_weight": _q(M.mounts_with_weight, required_weight=986),
+        "request_mount_candidates": _q(M.request_mount_candidates),
+        "filament_current_weight": _q(M.filament_current_weight),
+        "filament_list": _q(M.filament_list),
+        "open_mounts": _q(M.open_mounts),
+        "unmounted_mounts": _q(M.unmounted_mounts),
+        "weight_health_report": _q(M.weight_health_report),
+        "filament_inventory": _q(M.filament_inventory),
+        "lid_inventory": _q(M.lid_inventory),
+        "seal_inventory": _q(M.seal_inventory),
+        "available_lids": _q(M.available_lids),
+        "available_seals": _q(M.available_seals),
+        "all_lids": _q(M.all_lids),
+        "all_seals": _q(M.all_seals),
+        "material_usage_summary": _q(M.material_usage_summary),
+        "filament_lot_units": _q(M.filament_lot_units),
+        "lid_remaining": _q(M.lid_remaining),
+        "seal_remaining": _q(M.seal_remaining),
+        "material_feasibility": lambda spark, sf: M.material_feasibility(
+            Tables(spark, sf), M.pending_demand(Tables(spark, sf))),
+        "storage_locations": _q(M.storage_locations_sorted),
+        "printers": _q(M.printers_sorted),
+        "users": _q(M.users_sorted),
+    })
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_views
+    from spooltrace.oracle import sql_materials, sql_views
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
     bodies.update(sql_views.SQL)
+    bodies.update(sql_materials.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
