@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.plans import materials as M
+from spooltrace.plans import operations as G
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
@@ -74,14 +75,55 @@ def queries() -> dict[str, Query]:
         "printers": _q(M.printers_sorted),
         "users": _q(M.users_sorted),
     })
+    q.update({
+        "requestable_skus": _q(G.requestable_skus),
+        "pending_requests": _q(G.pending_requests),
+        "harvested_products": _q(G.harvested_products),
+        "printed_pending_qc": _q(G.printed_pending_qc),
+        "completed_qc": _q(G.completed_qc),
+        "completed_post_treatment_qc": _q(G.completed_post_treatment_qc),
+        "qc_evaluation": _q(G.qc_evaluation),
+        "treatment_candidates": _q(G.treatment_candidates),
+        "needs_storage_harvest": _q(G.needs_storage_harvest),
+        "needs_storage_treatment": _q(G.needs_storage_treatment),
+        "needs_storage_adhoc": _q(G.needs_storage_adhoc),
+        "shipped_batches": _q(G.shipped_batches),
+        "batch_products": _q(G.batch_products),
+        "stored_products": _q(G.stored_products),
+        "shelf_options": lambda spark, sf: G.shelf_options(
+            Tables(spark, sf), G.needs_storage_harvest(Tables(spark, sf)), "Post-Harvest QC"),
+        "shelf_stage_mismatch": _q(G.shelf_stage_mismatch),
+        "mismatch_fixes": _q(G.mismatch_fixes),
+        "inspection_sample": _q(G.inspection_sample, seed=7),
+        "treatment_qc_evaluation": lambda spark, sf: G.treatment_qc_evaluation(
+            Tables(spark, sf), G.treatment_inputs(Tables(spark, sf))),
+        "expiring_soon": _q(G.expiring_soon, as_of=AS_OF),
+        "expired": _q(G.expired, as_of=AS_OF),
+        "qm_review": _q(G.qm_review),
+        "qm_post_treatment": _q(G.qm_post_treatment),
+        "quarantined": _q(G.quarantined),
+        "investigated": _q(G.investigated),
+        "quarantine_search": _q(G.quarantine_search),
+        "audit_entries": _q(G.audit_entries),
+        "previous_stage": _q(G.previous_stage),
+        "reasons": _q(G.reasons),
+        "contexts": _q(G.contexts),
+        "reasons_for_context": _q(G.reasons_for_context, outcome="B-Ware"),
+        "label_data": _q(G.label_data, stage_code="Printed"),
+        "label_id_series": lambda spark, sf: G.label_id_series(G.label_requests(Tables(spark, sf))),
+        "effective_access": lambda spark, sf: G.effective_access(
+            Tables(spark, sf), G.user_memberships(Tables(spark, sf))),
+        "qm_bulk_eligible": _q(G.qm_bulk_eligible),
+    })
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_materials, sql_views
+    from spooltrace.oracle import sql_materials, sql_operations, sql_views
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
     bodies.update(sql_views.SQL)
     bodies.update(sql_materials.SQL)
+    bodies.update(sql_operations.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
