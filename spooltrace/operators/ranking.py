@@ -87,3 +87,32 @@ def row_number_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence
     out = local.join(F.broadcast(shifts), [*groups, _PID], "left")  # <= num_partitions rows
     return out.withColumn(col, (F.coalesce(F.col("_rk_off"), F.lit(0)) + F.col(_LOC)).cast("long")).drop(
         _PID, _LOC, "_rk_off")
+
+
+def running_sum_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
+                       value: str | Column, col: str = "running", num_partitions: int | None = None) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY group_by ORDER BY order_by ROWS UNBOUNDED PRECEDING)``, skew-safe.
+
+    Same scheme as ``row_number_within``: running sums inside each
+    (group, range partition) piece plus the group's total of earlier pieces;
+    the shift table has at most one row per range partition.
+    """
+    groups = list(group_by)
+    order = _cols(order_by)
+    val = F.col(value) if isinstance(value, str) else value
+    n = _n_parts(df, num_partitions)
+    parted = (df.withColumn("_rk_val", val)
+              .repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = parted.withColumn(_LOC, F.sum("_rk_val").over(
+        Window.partitionBy(*groups, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = parted.groupBy(*groups, _PID).agg(F.sum("_rk_val").alias("_rk_tot"))
+    shifts = (totals
+              .withColumn("_rk_off", F.sum("_rk_tot").over(
+                  Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)))
+              .where(F.col("_rk_off").isNotNull())
+              .select(*groups, _PID, "_rk_off"))
+    # a group continues from an earlier partition only at the start of a partition: <= num_partitions rows
+    out = local.join(F.broadcast(shifts), [*groups, _PID], "left")
+    return out.withColumn(col, F.coalesce(F.col("_rk_off"), F.lit(0)) + F.col(_LOC)).drop(
+        _PID, _LOC, "_rk_off", "_rk_val")

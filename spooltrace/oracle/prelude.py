@@ -156,6 +156,10 @@ x_sku_bom AS (
   SELECT CAST(parent_sku_id AS BIGINT) AS parent_sku_id, CAST(component_sku_id AS BIGINT) AS component_sku_id,
          CAST(component_qty AS BIGINT) AS component_qty
   FROM (VALUES (4, 1, 2), (4, 6, 3), (5, 4, 2), (6, 7, 4)) v(parent_sku_id, component_sku_id, component_qty)),
+x_packages AS (
+  SELECT CAST(package_id AS BIGINT) AS package_id, item_kind, CAST(item_id AS BIGINT) AS item_id, CAST(quantity AS BIGINT) AS quantity
+  FROM (VALUES (1, 'product', 1, 2), (1, 'supplement', 1, 1), (2, 'product', 2, 3), (2, 'product', 3, 1),
+               (3, 'product', 4, 5), (3, 'supplement', 2, 2)) v(package_id, item_kind, item_id, quantity)),
 x_audit_log AS (
   SELECT CAST(event_id + 1 AS BIGINT) AS id, CASE event_id % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'filaments' ELSE 'product_tracking' END AS table_name,
          CAST(1 + user_id AS BIGINT) AS record_id, CASE event_id % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'weight_grams' ELSE 'location_id' END AS field_name,
@@ -214,4 +218,8 @@ def _dim_ctes() -> str:
 
 
 def with_prelude(body: str) -> str:
-    return "WITH " + FIXTURE_CTES + ",\n" + _dim_ctes() + "\n" + body.strip()
+    body = body.strip()
+    head = "WITH "
+    if body.startswith(", RECURSIVE"):
+        head, body = "WITH RECURSIVE ", ", " + body[len(", RECURSIVE"):].lstrip()
+    return head + FIXTURE_CTES + ",\n" + _dim_ctes() + "\n" + body

@@ -150,6 +150,11 @@ def v_product_status(db) -> DataFrame:
     )
 
 
+def product_status_tracker(db) -> DataFrame:
+    """The product status view, newest update first."""
+    return v_product_status(db).orderBy(c("last_updated_at").desc())
+
+
 def v_material_usage_summary(db) -> DataFrame:
     """Usage rows with harvest, unit, product type (via request sku) and user."""
     harvest = (db.product_harvest.alias("ph")

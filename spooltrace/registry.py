@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.plans import materials as M
 from spooltrace.plans import operations as G
+from spooltrace.plans import sales as H
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
@@ -43,6 +44,7 @@ def queries() -> dict[str, Query]:
         "q_treatment_failures": _q(views.q_treatment_failures),
         "q_low_inventory_spools": _q(views.q_low_inventory_spools),
         "q_product_status_v1": _q(views.q_product_status_v1),
+        "product_status_tracker": _q(views.product_status_tracker),
     }
     q.update({
         "filaments_in_storage": _q(M.filaments_in_storage),
@@ -115,15 +117,43 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), G.user_memberships(Tables(spark, sf))),
         "qm_bulk_eligible": _q(G.qm_bulk_eligible),
     })
+    q.update({
+        "active_skus": _q(H.active_skus),
+        "orderable_types": _q(H.orderable_types),
+        "customers": _q(H.customers_sorted),
+        "product_types": _q(H.product_types_sorted),
+        "sales_ready_qty": _q(H.sales_ready_qty, as_of=AS_OF),
+        "processing_orders": _q(H.processing_orders),
+        "sales_inventory": _q(H.sales_inventory, as_of=AS_OF),
+        "sales_summary": _q(H.sales_summary, as_of=AS_OF),
+        "canceled_orders": _q(H.canceled_orders),
+        "canceled_order_items": _q(H.canceled_order_items),
+        "unit_requirements": _q(H.unit_requirements),
+        "bom_expand": _q(H.bom_expand),
+        "order_components": _q(H.order_components),
+        "fifo_pick": _q(H.fifo_pick, as_of=AS_OF, sku_id=1, limit=5),
+        "fifo_allocate": lambda spark, sf: H.fifo_allocate(Tables(spark, sf), AS_OF)[1],
+        "fifo_allocation_units": lambda spark, sf: H.fifo_allocate(Tables(spark, sf), AS_OF)[0],
+        "shipment_sku_items": _q(H.shipment_sku_items, as_of=AS_OF),
+        "active_shipments": _q(H.active_shipments),
+        "shipment_products": _q(H.shipment_products),
+        "shipment_non_serialized": lambda spark, sf: H.shipment_non_serialized(
+            Tables(spark, sf), H.shipment_sku_items(Tables(spark, sf), AS_OF)),
+        "open_orders": _q(H.open_orders),
+        "skus_with_specs_flag": _q(H.skus_with_specs_flag),
+        "package_estimate": _q(H.package_estimate),
+        "package_totals": _q(H.package_totals),
+    })
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_materials, sql_operations, sql_views
+    from spooltrace.oracle import sql_materials, sql_operations, sql_sales, sql_views
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
     bodies.update(sql_views.SQL)
     bodies.update(sql_materials.SQL)
     bodies.update(sql_operations.SQL)
+    bodies.update(sql_sales.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}

@@ -340,6 +340,14 @@ class Tables:
             [(4, 1, 2), (4, 6, 3), (5, 4, 2), (6, 7, 4)],
             "parent_sku_id BIGINT, component_sku_id BIGINT, component_qty BIGINT")
 
+    @cached_property
+    def packages(self) -> DataFrame:
+        # Fixed sales catalogue lines: (package, kind, product type or supplement id, quantity per package).
+        return self.spark.createDataFrame(
+            [(1, "product", 1, 2), (1, "supplement", 1, 1), (2, "product", 2, 3), (2, "product", 3, 1),
+             (3, "product", 4, 5), (3, "supplement", 2, 2)],
+            "package_id BIGINT, item_kind STRING, item_id BIGINT, quantity BIGINT")
+
     @cached_property
     def audit_log(self) -> DataFrame:
         return self.src("events").selectExpr(
