@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.plans import materials as M
 from spooltrace.plans import operations as G
+from spooltrace.plans import legacy as I
 from spooltrace.plans import sales as H
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
@@ -144,11 +145,14 @@ def queries() -> dict[str, Query]:
         "package_estimate": _q(H.package_estimate),
         "package_totals": _q(H.package_totals),
     })
+    for name in ["active_filaments", "archived_filaments", "in_use_filaments", "filaments_with_mount", "low_filaments",
+                 "not_acclimatizing", "needs_storage_v1", "qc_passed_v1", "printed_without_qc", "product_record"]:
+        q[name] = _q(getattr(I, name))
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_materials, sql_operations, sql_sales, sql_views
+    from spooltrace.oracle import sql_legacy, sql_materials, sql_operations, sql_sales, sql_views
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -156,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_materials.SQL)
     bodies.update(sql_operations.SQL)
     bodies.update(sql_sales.SQL)
+    bodies.update(sql_legacy.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
