@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.plans import materials as M
 from spooltrace.plans import operations as G
+from spooltrace.plans import etl as E
 from spooltrace.plans import legacy as I
 from spooltrace.plans import sales as H
 from spooltrace.plans import views
@@ -148,11 +149,34 @@ def queries() -> dict[str, Query]:
     for name in ["active_filaments", "archived_filaments", "in_use_filaments", "filaments_with_mount", "low_filaments",
                  "not_acclimatizing", "needs_storage_v1", "qc_passed_v1", "printed_without_qc", "product_record"]:
         q[name] = _q(getattr(I, name))
+
+    def pipe(key):
+        return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF)[key]
+
+    def tracking_after_e8(db):
+        _, _, cand = E.etl_harvest(db, CUTOFF)
+        return E.etl_tracking(db, CUTOFF, E.etl_harvest_map(cand), AS_OF)[0]
+
+    q.update({
+        "etl_new_shelves": _q(E.etl_new_shelves),
+        "ensure_default_locations": _q(E.ensure_default_locations),
+        "fallback_user": lambda spark, sf: E.fallback_user(Tables(spark, sf).users),
+        "etl_harvest": lambda spark, sf: E.etl_harvest(Tables(spark, sf), CUTOFF)[1],
+        "etl_harvest_map": pipe("etl_harvest_map"),
+        "etl_tracking": lambda spark, sf: tracking_after_e8(Tables(spark, sf)),
+        "etl_quality_control": lambda spark, sf: E.etl_quality_control(
+            Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)[0],
+        "etl_post_treatment": lambda spark, sf: E.etl_post_treatment(
+            Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)[0],
+        "etl_consistency_rules": lambda spark, sf: E.etl_consistency_rules(
+            Tables(spark, sf), Tables(spark, sf).product_tracking, AS_OF),
+        "etl_pipeline": pipe("merge_outcome"),
+    })
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_legacy, sql_materials, sql_operations, sql_sales, sql_views
+    from spooltrace.oracle import sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_views
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -161,4 +185,5 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_operations.SQL)
     bodies.update(sql_sales.SQL)
     bodies.update(sql_legacy.SQL)
+    bodies.update(sql_etl.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
