@@ -14,6 +14,9 @@ from spooltrace.plans import materials as M
 from spooltrace.plans import operations as G
 from spooltrace.plans import etl as E
 from spooltrace.plans import legacy as I
+from spooltrace.plans import transitions as K
+from spooltrace.operators.constraints import constraint_report
+from spooltrace.sources import staging as A
 from spooltrace.plans import sales as H
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
@@ -172,11 +175,29 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), Tables(spark, sf).product_tracking, AS_OF),
         "etl_pipeline": pipe("merge_outcome"),
     })
+
+    def stage_change(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
+
+    q.update({
+        "apply_stage_change": lambda spark, sf: stage_change(spark, sf)["product_tracking"],
+        "apply_stage_change_history": lambda spark, sf: stage_change(spark, sf)["product_status_history"],
+        "apply_status_change": lambda spark, sf: K.apply_status_change(
+            Tables(spark, sf).product_tracking, Tables(spark, sf).product_statuses,
+            K.status_commands(Tables(spark, sf)), AS_OF),
+        "apply_expiry": lambda spark, sf: K.apply_expiry(Tables(spark, sf), AS_OF)["product_tracking"],
+        "apply_expiry_history": lambda spark, sf: K.apply_expiry(Tables(spark, sf), AS_OF)["product_status_history"],
+        "constraint_report": _q(constraint_report),
+        "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
+        "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
+    })
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_views
+    from spooltrace.oracle import (sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_transitions,
+                                   sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -186,4 +207,5 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_sales.SQL)
     bodies.update(sql_legacy.SQL)
     bodies.update(sql_etl.SQL)
+    bodies.update(sql_transitions.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
