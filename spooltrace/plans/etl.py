@@ -248,3 +248,168 @@ def etl_pipeline(db, cutoff: str, as_of: str) -> dict[str, DataFrame]:
                 .unionByName(qc_actions.select(F.concat(F.lit("product_quality_control:"), c("_action")).alias("_action")))
                 .unionByName(pti_actions.select(F.concat(F.lit("post_treatment_inspections:"), c("_action"))
                                                 .alias("_action"))))}
+
+
+# ---------------------------------------------------------------------------
+# Materials: spools (E1, E13), mounts (E3), acclimatization
+# ---------------------------------------------------------------------------
+
+LEGACY_IMPORT_UPN = "legacy-import@system"
+LEGACY_IMPORT_NAME = "Legacy Import (System)"
+
+
+def ensure_legacy_user(db) -> DataFrame:
+    """C9 (users): the inactive legacy-import user, in the first department, added when missing."""
+    dept = db.departments.agg(F.min("id").alias("department_id"))
+    row = dept.select(F.lit(None).cast("long").alias("id"), F.lit(LEGACY_IMPORT_NAME).alias("display_name"),
+                      c("department_id").cast("long"), F.lit(False).alias("is_active"),
+                      F.lit(None).cast("string").alias("azure_ad_object_id"),
+                      F.lit(LEGACY_IMPORT_UPN).alias("user_principal_name"))
+    new, _ = C.insert_missing(db.users, row, ["user_principal_name"], id_col="id", id_order=["display_name"])
+    return new
+
+
+def _locations_with_shelves(db) -> DataFrame:
+    """Storage locations after C9 (Unassigned) and E2 (staging shelves as new 'Shelf' locations)."""
+    base = ensure_default_locations(db)
+    shelves = etl_new_shelves(db).join(base.select("location_name"), "location_name", "left_anti").select(
+        F.lit(None).cast("long").alias("id"), "location_name", F.lit("Shelf").alias("location_type"),
+        F.lit("Imported from legacy filaments").alias("description"), F.lit(True).alias("is_active"))
+    new, _ = C.insert_missing(base, shelves, ["location_name"], id_col="id", id_order=["location_name"])
+    return new
+
+
+def _eligible_spools(db, cutoff: str) -> DataFrame:
+    sed = db.stg_excel_data
+    used = (sed.where(c("filament_id").isNotNull() & X.parse_bigint_strict(c("filament_id")).isNotNull()
+                      & (X.parse_date_generic(c("date_harvest")) >= F.to_date(F.lit(cutoff))))
+            .select(X.parse_bigint_strict(c("filament_id")).alias("filament_id")))
+    fe = db.stg_filament_excel_data
+    received = (fe.where(X.parse_date_multi(c("vsc_date")).cast("date") >= F.to_date(F.lit(cutoff)))
+                .select(X.parse_bigint(c("filament_id")).alias("filament_id")))
+    return used.union(received).distinct()
+
+
+def etl_filaments(db, cutoff: str, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Upsert spools by filament id from the spool sheet, for spools used or received since ``cutoff``.
+
+    Location by shelf name (new shelves are added first, blank -> Unassigned);
+    receiver by case/accent-insensitive display name, else the legacy-import
+    user; duplicate source rows per spool keep the latest receipt (then the
+    smallest serial).
+    """
+    users = ensure_legacy_user(db)
+    fallback = users.where(c("user_principal_name") == LEGACY_IMPORT_UPN).agg(F.min("id").alias("_fb")).withColumn(
+        "_k", F.lit(1))
+    locs = _locations_with_shelves(db)
+    unassigned = locs.where(c("location_name") == "Unassigned").agg(F.min("id").alias("_un")).withColumn(
+        "_k", F.lit(1))
+    fe = db.stg_filament_excel_data
+    base = fe.select(X.blank_to_null(c("filament_id")).alias("filament_id_raw"),
+                     X.blank_to_null(c("filament")).alias("filament_raw"),
+                     X.blank_to_null(c("shelf")).alias("shelf_name"),
+                     F.replace(c("weight_fl"), F.lit(","), F.lit(".")).try_cast("decimal(10,2)").alias("weight_grams"),
+                     X.parse_date_de(c("vsc_date")).alias("received_at"),
+                     X.blank_to_null(c("vsc_operator")).alias("operator_legacy"),
+                     F.coalesce(c("vs_check"), F.lit("")).alias("vs_check"))
+    u = users.select(c("id").alias("_uid"), F.collate(c("display_name"), "UNICODE_CI_AI").alias("_uname"))
+    norm = (base.where(c("filament_raw").isNotNull() & X.parse_bigint(c("filament_id_raw")).isNotNull())
+            .join(F.broadcast(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln"))),
+                  c("shelf_name") == c("_ln"), "left")
+            .join(u, F.collate(c("operator_legacy"), "UNICODE_CI_AI") == c("_uname"), "left")
+            .withColumn("_k", F.lit(1))
+            .join(F.broadcast(fallback), "_k").join(F.broadcast(unassigned), "_k")
+            .select(X.parse_bigint(c("filament_id_raw")).alias("filament_id"),
+                    X.clip_text(c("filament_raw"), 100).alias("serial_number"),
+                    X.lot_prefix(c("filament_raw")).alias("lot_number"),
+                    F.coalesce(c("_loc"), c("_un")).alias("location_id"),
+                    F.coalesce(c("weight_grams"), F.lit(0).cast("decimal(10,2)")).alias("weight_grams"),
+                    F.coalesce(c("received_at"), F.lit(as_of).cast("timestamp_ntz")).alias("received_at"),
+                    F.coalesce(c("_uid"), c("_fb")).alias("received_by"),
+                    X.pass_fail(c("vs_check")).alias("qc_result")))
+    src = norm.join(_eligible_spools(db, cutoff), "filament_id", "left_semi").distinct()
+    # one row per spool: latest receipt, then smallest serial (aggregate, so a hot key collapses map-side)
+    src = (src.groupBy("filament_id")
+           .agg(F.min_by(F.struct("serial_number", "lot_number", "location_id", "weight_grams", "received_at",
+                                  "received_by", "qc_result"),
+                         F.struct(F.lit(0) - F.unix_micros(c("received_at").cast("timestamp")), c("serial_number"),
+                                  c("location_id"), c("weight_grams"), c("received_by"), c("qc_result"))).alias("b"))
+           .select("filament_id", "b.*"))
+    return C.merge_upsert(db.filaments, src, ["filament_id"],
+                          set_cols=["serial_number", "lot_number", "location_id", "weight_grams", "received_at",
+                                    "received_by", "qc_result"], id_col="id", id_order=["filament_id"])
+
+
+def etl_acclimatization(db, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Spools whose staging shelf is AIR LOCK get an 'Acclimatizing' record when they have none."""
+    fe = db.stg_filament_excel_data
+    air = (fe.select(X.parse_bigint(c("filament_id")).alias("_fid"), F.upper(F.trim(c("shelf"))).alias("_shelf"))
+           .where(c("_fid").isNotNull() & (c("_shelf") == "AIR LOCK")).select("_fid").distinct())
+    mover = db.users.agg(F.coalesce(F.min(F.when(c("id") == 1, c("id"))), F.min("id")).alias("moved_by")).withColumn(
+        "_k", F.lit(1))
+    src = (air.join(db.filaments.select(c("id").alias("filament_tracking_id"), c("filament_id").alias("_f")),
+                    c("_fid") == c("_f"))
+           .withColumn("_k", F.lit(1)).join(F.broadcast(mover), "_k")
+           .select(F.lit(None).cast("long").alias("id"), "filament_tracking_id", "moved_by",
+                   F.lit(as_of).cast("timestamp_ntz").alias("moved_at"),
+                   X.ready_at(F.lit(as_of).cast("timestamp_ntz")).alias("ready_at"),
+                   F.lit("Acclimatizing").alias("status")))
+    return C.insert_missing(db.filament_acclimatization, src, ["filament_tracking_id"], id_col="id",
+                            id_order=["filament_tracking_id"])
+
+
+def etl_mounting(db, as_of: str) -> DataFrame:
+    """(spool, printer) pairs used in production or listed in the spool sheet -> mounts.
+
+    Pairs from inventory with a printer are 'In Use' with the sheet's weight
+    (text that is not a plain decimal gives 0); pairs seen only in production
+    are 'Unmounted'. Matched mounts take weight and status and get their
+    unmount time/user set once; new pairs are inserted.
+    """
+    sed, fe = db.stg_excel_data, db.stg_filament_excel_data
+    used = (sed.where(c("filament_id").isNotNull() & X.parse_bigint_strict(c("filament_id")).isNotNull()
+                      & c("printer").isNotNull() & (F.trim(c("printer")) != ""))
+            .select(X.parse_bigint_strict(c("filament_id")).alias("fid"), F.trim(c("printer")).alias("pname")).distinct())
+    inv = (fe.where(c("filament_id").isNotNull() & X.parse_bigint_strict(c("filament_id")).isNotNull()
+                    & (c("usage").isNull() | (F.upper(F.trim(c("usage"))) != "NO"))
+                    & c("printer_fi").isNotNull() & (F.trim(c("printer_fi")) != ""))
+           .select(X.parse_bigint_strict(c("filament_id")).alias("fid"), F.trim(c("printer_fi")).alias("pname"),
+                   "usage", "weight_fl", "printer_fi").distinct())
+    pairs = used.union(inv.select("fid", "pname")).distinct()
+    base = (pairs.join(db.filaments.select(c("id").alias("filament_tracking_id"), c("filament_id").alias("_f")),
+                       c("fid") == c("_f"))
+            .join(F.broadcast(db.printers.select(c("id").alias("printer_id"), c("name").alias("_pn"))),
+                  c("pname") == c("_pn"))
+            .join(inv.withColumnRenamed("fid", "_ifid").withColumnRenamed("pname", "_ipn"),
+                  (c("fid") == c("_ifid")) & (c("pname") == c("_ipn")), "left"))
+    src = base.select("filament_tracking_id", "printer_id",
+                      F.coalesce(c("weight_fl").try_cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)"))
+                      .alias("s_remaining"),
+                      F.when(c("printer_fi").isNotNull() & (F.trim(c("printer_fi")) != ""), "In Use")
+                      .otherwise("Unmounted").alias("s_status"))
+    C.check_unique(src, ["filament_tracking_id", "printer_id"])
+    who = db.users.agg(F.coalesce(F.min(F.when(c("display_name") == "Unassigned", c("id"))), F.min("id"))
+                       .alias("_by")).withColumn("_k", F.lit(1))
+    tgt = db.filament_mounting
+    j = (tgt.alias("t").join(src.alias("s"), (c("t.filament_tracking_id") == c("s.filament_tracking_id"))
+                             & (c("t.printer_id") == c("s.printer_id")), "full_outer")
+         .withColumn("_k", F.lit(1)).join(F.broadcast(who), "_k"))
+    now = F.lit(as_of).cast("timestamp_ntz")
+    matched = c("t.id").isNotNull() & c("s.filament_tracking_id").isNotNull()
+    new = c("t.id").isNull()
+    unm = c("s_status") == "Unmounted"
+    out = j.select(
+        c("t.id").alias("id"),
+        F.coalesce(c("t.filament_tracking_id"), c("s.filament_tracking_id")).alias("filament_tracking_id"),
+        F.coalesce(c("t.printer_id"), c("s.printer_id")).alias("printer_id"),
+        F.when(new, c("_by")).otherwise(c("t.mounted_by")).alias("mounted_by"),
+        F.when(new, now).otherwise(c("t.mounted_at")).alias("mounted_at"),
+        F.when(new, F.when(unm, now)).when(matched & unm & c("t.unmounted_at").isNull(), now)
+         .otherwise(c("t.unmounted_at")).alias("unmounted_at"),
+        F.when(new, F.when(unm, c("_by"))).when(matched & unm & c("t.unmounted_by").isNull(), c("_by"))
+         .otherwise(c("t.unmounted_by")).alias("unmounted_by"),
+        F.when(matched | new, c("s_remaining")).otherwise(c("t.remaining_weight")).alias("remaining_weight"),
+        F.when(matched | new, c("s_status")).otherwise(c("t.status")).alias("status"))
+    start = C.next_id(tgt)
+    ins = C.assign_ids(out.where(c("id").isNull()).drop("id"), ["filament_tracking_id", "printer_id"], start, "id")
+    return out.where(c("id").isNotNull()).unionByName(ins.select(*out.columns))

@@ -174,6 +174,9 @@ def queries() -> dict[str, Query]:
         "etl_consistency_rules": lambda spark, sf: E.etl_consistency_rules(
             Tables(spark, sf), Tables(spark, sf).product_tracking, AS_OF),
         "etl_pipeline": pipe("merge_outcome"),
+        "etl_filaments": lambda spark, sf: E.etl_filaments(Tables(spark, sf), CUTOFF, AS_OF)[0],
+        "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],
+        "etl_mounting": lambda spark, sf: E.etl_mounting(Tables(spark, sf), AS_OF),
     })
 
     def stage_change(spark, sf):
