@@ -69,12 +69,12 @@ def _legacy_request_per_type(db) -> DataFrame:
     return leg
 
 
-def etl_harvest(db, cutoff: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def etl_harvest(db, cutoff: str, unified: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """E5: one new harvest per unified print whose (mount, printer user, print date) has no harvest yet.
 
     Returns (new product_harvest, inserted harvest rows, product->harvest candidates).
     """
-    u = views.v_unified_legacy_prints(db, cutoff)
+    u = unified if unified is not None else views.v_unified_legacy_prints(db, cutoff)
     req = _legacy_request_per_type(db)
     first_req = db.product_requests.agg(F.min("id").alias("_first_req")).withColumn("_k", F.lit(1))
     legacy = (db.lids.where(c("serial_number") == "LEGACY_LID").agg(F.min("id").alias("_lid"))
@@ -115,9 +115,10 @@ def etl_harvest_map(candidates: DataFrame, existing_map: DataFrame | None = None
     return one_to_one.select("product_id_bigint", "harvest_id")
 
 
-def etl_tracking(db, cutoff: str, harvest_map: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def etl_tracking(db, cutoff: str, harvest_map: DataFrame, as_of: str,
+                 unified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Upsert units by product id from unified prints joined to the harvest map (location fallback)."""
-    u = views.v_unified_legacy_prints(db, cutoff)
+    u = unified if unified is not None else views.v_unified_legacy_prints(db, cutoff)
     locs = ensure_default_locations(db)
     unassigned = locs.where(c("location_name") == "Unassigned").select(c("id").alias("_unassigned")).withColumn(
         "_k", F.lit(1))
@@ -235,9 +236,10 @@ def etl_consistency_rules(db, tracking: DataFrame, as_of: str) -> DataFrame:
 
 def etl_pipeline(db, cutoff: str, as_of: str) -> dict[str, DataFrame]:
     """Run the chain in order and return every new table version (E5 -> E6 -> E8 -> E9 -> E14 -> E15)."""
-    harvest, inserted_h, cand = etl_harvest(db, cutoff)
+    unified = views.v_unified_legacy_prints(db, cutoff)
+    harvest, inserted_h, cand = etl_harvest(db, cutoff, unified)
     hmap = etl_harvest_map(cand)
-    tracking, t_actions = etl_tracking(db, cutoff, hmap, as_of)
+    tracking, t_actions = etl_tracking(db, cutoff, hmap, as_of, unified)
     qc, qc_actions = etl_quality_control(db, tracking, cutoff)
     pti, pti_actions = etl_post_treatment(db, tracking, cutoff)
     tracking = etl_consistency_rules(db, tracking, as_of)
@@ -413,3 +415,76 @@ def etl_mounting(db, as_of: str) -> DataFrame:
     start = C.next_id(tgt)
     ins = C.assign_ids(out.where(c("id").isNull()).drop("id"), ["filament_tracking_id", "printer_id"], start, "id")
     return out.where(c("id").isNotNull()).unionByName(ins.select(*out.columns))
+
+
+# ---------------------------------------------------------------------------
+# Treatment batches
+# ---------------------------------------------------------------------------
+
+TREATMENT_ACTIVE = ["AT GEB", "AT BBF", "YES"]
+
+
+def _empty_treatment_map(spark) -> DataFrame:
+    return spark.createDataFrame([], "treatment_key STRING, batch_id BIGINT")
+
+
+def etl_treatment_batches(db, tracking: DataFrame, cutoff: str,
+                          existing_map: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Legacy treatments -> batches, received dates, batch units.
+
+    E10: treatment keys (cleaned) that occur as a transfer id in the product
+    sheet since ``cutoff``, sent since ``cutoff``, with an active treatment
+    flag, become new batches unless already mapped. E11: Inspected batches
+    take the earliest incoming-goods date of their transfer key. E12: units of
+    the product sheet are linked to the batch of their transfer key when they
+    are in no batch yet (a unit under two keys goes to the earliest batch).
+    """
+    cut = F.to_date(F.lit(cutoff))
+    sed = db.stg_excel_data
+    in_scope = c("transfer_id").isNotNull() & (X.parse_date_generic(c("date_harvest")) >= cut)
+    xfer = sed.where(in_scope).select(X.clean_key(c("transfer_id")).alias("treatment_key")).distinct()
+    t = db.stg_treatment_excel_data.select(
+        X.clean_key(c("treatment_id")).alias("treatment_key"), X.clean_key(c("in_treatment")).alias("in_treat"),
+        F.trim(c("operator")).alias("operator_name"), X.parse_date_multi(c("run_date")).alias("sent_at"))
+    treat = (t.join(xfer, "treatment_key", "left_semi")
+             .where(c("treatment_key").isNotNull() & (c("treatment_key") != "") & c("sent_at").isNotNull()
+                    & (c("sent_at").cast("date") >= cut) & (c("in_treat") != "NO")
+                    & c("in_treat").isin(*TREATMENT_ACTIVE))
+             .select("treatment_key", "sent_at", X.treatment_status(c("in_treat")).alias("status"),
+                     X.treatment_notes(c("treatment_key"), c("operator_name")).alias("notes"))
+             .distinct())
+    C.check_unique(treat, ["treatment_key"])
+    old_map = existing_map if existing_map is not None else _empty_treatment_map(db.spark)
+    sender = db.users.agg(F.coalesce(F.min(F.when(c("user_principal_name") == LEGACY_IMPORT_UPN, c("id"))),
+                                     F.min("id")).alias("sent_by")).withColumn("_k", F.lit(1))
+    batches = db.treatment_batches
+    new = (treat.join(old_map, "treatment_key", "left_anti")
+           .withColumn("_k", F.lit(1)).join(F.broadcast(sender), "_k").drop("_k"))
+    new = C.assign_ids(new, ["treatment_key"], C.next_id(batches), "id")
+    new_map = old_map.unionByName(new.select("treatment_key", c("id").alias("batch_id")))
+    new_batches = new.select("id", "sent_by", "sent_at", F.lit(None).cast("timestamp_ntz").alias("received_at"),
+                             "notes", "status")
+    # Received date for Inspected batches
+    recv = (sed.where(in_scope & c("date_of_visual_check_incoming_goods").isNotNull())
+            .groupBy(X.clean_key(c("transfer_id")).alias("treatment_key"))
+            .agg(F.min(X.parse_date_multi(c("date_of_visual_check_incoming_goods"))).alias("_recv")))
+    upd = (treat.where(c("status") == "Inspected").select("treatment_key").join(new_map, "treatment_key")
+           .join(recv, "treatment_key").where(c("_recv").isNotNull()).select(c("batch_id").alias("_bid"), "_recv"))
+    all_batches = batches.unionByName(new_batches)
+    all_batches = (all_batches.join(upd, all_batches.id == upd._bid, "left")
+                   .withColumn("received_at", F.coalesce(c("_recv"), c("received_at"))).drop("_bid", "_recv"))
+    # Batch units
+    prod = (sed.where(in_scope & c("product_id").isNotNull())
+            .select(X.clean_key(c("transfer_id")).alias("treatment_key"),
+                    X.parse_bigint_strict(c("product_id")).alias("_pid"))
+            .join(tracking.select(c("id").alias("product_tracking_id"), c("product_id").alias("_tpid")),
+                  c("_pid") == c("_tpid"))
+            .select("treatment_key", "product_tracking_id").distinct()
+            .join(new_map, "treatment_key"))
+    links = (prod.join(db.treatment_batch_products.select("product_tracking_id"), "product_tracking_id", "left_anti")
+             .groupBy("product_tracking_id").agg(F.min("batch_id").alias("batch_id")))
+    links = C.assign_ids(links, ["product_tracking_id"], C.next_id(db.treatment_batch_products), "id").select(
+        "id", "batch_id", "product_tracking_id", F.lit(True).alias("surface_treat"), F.lit(True).alias("sterilize"))
+    return {"treatment_batches": all_batches, "etl_treatment_map": new_map,
+            "treatment_batch_products": db.treatment_batch_products.unionByName(links),
+            "new_batch_products": links}

@@ -157,8 +157,9 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF)[key]
 
     def tracking_after_e8(db):
-        _, _, cand = E.etl_harvest(db, CUTOFF)
-        return E.etl_tracking(db, CUTOFF, E.etl_harvest_map(cand), AS_OF)[0]
+        unified = views.v_unified_legacy_prints(db, CUTOFF)
+        _, _, cand = E.etl_harvest(db, CUTOFF, unified)
+        return E.etl_tracking(db, CUTOFF, E.etl_harvest_map(cand), AS_OF, unified)[0]
 
     q.update({
         "etl_new_shelves": _q(E.etl_new_shelves),
@@ -177,6 +178,13 @@ def queries() -> dict[str, Query]:
         "etl_filaments": lambda spark, sf: E.etl_filaments(Tables(spark, sf), CUTOFF, AS_OF)[0],
         "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],
         "etl_mounting": lambda spark, sf: E.etl_mounting(Tables(spark, sf), AS_OF),
+        "etl_treatment_batches": lambda spark, sf: E.etl_treatment_batches(
+            Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["treatment_batches"],
+        "etl_treatment_received": lambda spark, sf: E.etl_treatment_batches(
+            Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["treatment_batches"].where(
+                "received_at IS NOT NULL"),
+        "etl_treatment_products": lambda spark, sf: E.etl_treatment_batches(
+            Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["new_batch_products"],
     })
 
     def stage_change(spark, sf):
