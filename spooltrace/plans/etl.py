@@ -488,3 +488,59 @@ def etl_treatment_batches(db, tracking: DataFrame, cutoff: str,
     return {"treatment_batches": all_batches, "etl_treatment_map": new_map,
             "treatment_batch_products": db.treatment_batch_products.unionByName(links),
             "new_batch_products": links}
+
+
+# ---------------------------------------------------------------------------
+# Harvest map with clones
+# ---------------------------------------------------------------------------
+
+def etl_harvest_clone(db, harvest: DataFrame, cutoff: str,
+                      existing_map: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Earliest qualifying staging row per product, matched to harvests by (printer user, print date).
+
+    Each product takes its smallest matching harvest. Per harvest, the first
+    product (smallest id) reuses it when the harvest is not mapped yet; every
+    other product gets a clone of that harvest row with a new id. Products
+    with no matching harvest are reported as unmapped.
+    """
+    sed = db.stg_excel_data
+    valid = (sed.where(c("product").isin(*LEGACY_PRODUCTS) & c("status_quality_check").isNotNull()
+                       & c("printer").isNotNull() & c("date_harvest").isNotNull()
+                       & X.parse_bigint_strict(c("product_id")).isNotNull()
+                       & X.parse_bigint_strict(c("filament_id")).isNotNull()
+                       & (X.parse_date_generic(c("date_harvest")) >= F.to_date(F.lit(cutoff))))
+             .select(X.parse_bigint_strict(c("product_id")).alias("product_id_bigint"),
+                     X.parse_ts_generic(c("date_harvest")).alias("print_date_dt"),
+                     F.trim(c("operator_harvest")).alias("operator_trim")))
+    # earliest row per product (aggregate: a product with many rows collapses map-side)
+    pick = C.earliest_per_key(valid, ["product_id_bigint"], ["print_date_dt", "operator_trim"])
+    fb = db.users.agg(F.min("id").alias("_fb")).withColumn("_k", F.lit(1))
+    pick_u = (pick.join(db.users.select(c("id").alias("_uid"), c("display_name").alias("_un")),
+                        c("operator_trim") == c("_un"), "left")
+              .withColumn("_k", F.lit(1)).join(F.broadcast(fb), "_k")
+              .select("product_id_bigint", "operator_trim", "print_date_dt",
+                      F.coalesce(c("_uid"), c("_fb")).alias("printed_by_id")))
+    matches = (pick_u.join(harvest.select(c("id").alias("harvest_id"), c("printed_by").alias("_pb"),
+                                          c("print_date").alias("_pd")),
+                           (c("printed_by_id") == c("_pb")) & (c("print_date_dt") == c("_pd")))
+               .groupBy("product_id_bigint").agg(F.min("harvest_id").alias("base_harvest_id")))
+    old = existing_map if existing_map is not None else db.spark.createDataFrame(
+        [], "product_id_bigint BIGINT, harvest_id BIGINT")
+    todo = matches.join(old.select("product_id_bigint"), "product_id_bigint", "left_anti")
+    used = old.select(c("harvest_id").alias("_used")).distinct()
+    first = todo.groupBy("base_harvest_id").agg(F.min("product_id_bigint").alias("_first"))
+    ranked = (todo.join(first, "base_harvest_id")
+              .join(used, c("base_harvest_id") == c("_used"), "left")
+              .withColumn("reuse", (c("product_id_bigint") == c("_first")) & c("_used").isNull()))
+    reuse = ranked.where(c("reuse")).select("product_id_bigint", c("base_harvest_id").alias("harvest_id"))
+    clone_src = (ranked.where(~c("reuse")).join(harvest.alias("h"), c("base_harvest_id") == c("h.id"))
+                 .select("product_id_bigint", "h.request_id", "h.lid_id", "h.seal_id", "h.filament_mounting_id",
+                         "h.printed_by", "h.print_date"))
+    clones = C.assign_ids(clone_src, ["product_id_bigint"], C.next_id(harvest), "id")
+    new_map = old.unionByName(reuse).unionByName(clones.select("product_id_bigint", c("id").alias("harvest_id")))
+    mapped = (reuse.withColumn("how", F.lit("reuse"))
+              .unionByName(clones.select("product_id_bigint", c("id").alias("harvest_id"), F.lit("clone").alias("how"))))
+    unmapped = pick_u.join(new_map.select("product_id_bigint"), "product_id_bigint", "left_anti").select(
+        "product_id_bigint", "operator_trim", "print_date_dt")
+    return {"etl_harvest_map": new_map, "mapped": mapped,
+            "product_harvest": harvest.unionByName(clones.select(*harvest.columns)), "unmapped": unmapped}

@@ -161,6 +161,11 @@ def queries() -> dict[str, Query]:
         _, _, cand = E.etl_harvest(db, CUTOFF, unified)
         return E.etl_tracking(db, CUTOFF, E.etl_harvest_map(cand), AS_OF, unified)[0]
 
+    def harvest_clone(spark, sf):
+        db = Tables(spark, sf)
+        harvest_after_e5 = E.etl_harvest(db, CUTOFF)[0]
+        return E.etl_harvest_clone(db, harvest_after_e5, CUTOFF)
+
     q.update({
         "etl_new_shelves": _q(E.etl_new_shelves),
         "ensure_default_locations": _q(E.ensure_default_locations),
@@ -178,6 +183,8 @@ def queries() -> dict[str, Query]:
         "etl_filaments": lambda spark, sf: E.etl_filaments(Tables(spark, sf), CUTOFF, AS_OF)[0],
         "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],
         "etl_mounting": lambda spark, sf: E.etl_mounting(Tables(spark, sf), AS_OF),
+        "etl_harvest_clone": lambda spark, sf: harvest_clone(spark, sf)["mapped"],
+        "etl_harvest_clone_unmapped": lambda spark, sf: harvest_clone(spark, sf)["unmapped"],
         "etl_treatment_batches": lambda spark, sf: E.etl_treatment_batches(
             Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["treatment_batches"],
         "etl_treatment_received": lambda spark, sf: E.etl_treatment_batches(
