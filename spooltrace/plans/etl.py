@@ -544,3 +544,48 @@ def etl_harvest_clone(db, harvest: DataFrame, cutoff: str,
         "product_id_bigint", "operator_trim", "print_date_dt")
     return {"etl_harvest_map": new_map, "mapped": mapped,
             "product_harvest": harvest.unionByName(clones.select(*harvest.columns)), "unmapped": unmapped}
+
+
+def etl_filaments_by_serial(db, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """E13 (debug variant of E1): serial = the sheet's id text, lot = the full spool text; upsert by serial.
+
+    Shelves are added as locations before 'Unassigned'; the receiver is the
+    first user; weight and receipt keep the old value when the new one is
+    missing. Duplicate serials in the sheet (which the database would reject)
+    keep the latest receipt, then the smallest lot.
+    """
+    shelves = etl_new_shelves(db).select(F.lit(None).cast("long").alias("id"), "location_name",
+                                         F.lit("Shelf").alias("location_type"),
+                                         F.lit("Imported from legacy filaments").alias("description"),
+                                         F.lit(True).alias("is_active"))
+    locs, _ = C.insert_missing(db.storage_locations, shelves, ["location_name"], id_col="id", id_order=["location_name"])
+    un = db.spark.createDataFrame([(None, "Unassigned", "Virtual", "Fallback for missing shelf", True)],
+                                  "id BIGINT, location_name STRING, location_type STRING, description STRING, "
+                                  "is_active BOOLEAN")
+    locs, _ = C.insert_missing(locs, un, ["location_name"], id_col="id", id_order=["location_name"])
+    consts = (locs.where(c("location_name") == "Unassigned").agg(F.min("id").alias("_un")).withColumn("_k", F.lit(1))
+              .join(db.users.agg(F.min("id").alias("_fb")).withColumn("_k", F.lit(1)), "_k"))
+    fe = db.stg_filament_excel_data
+    base = fe.select(X.blank_to_null(c("filament_id")).alias("serial_number"),
+                     X.blank_to_null(c("filament")).alias("lot_number"),
+                     X.blank_to_null(c("shelf")).alias("shelf_name"),
+                     F.replace(c("weight_fl"), F.lit(","), F.lit(".")).try_cast("decimal(10,2)").alias("weight_grams"),
+                     X.parse_date_de(c("vsc_date")).alias("received_at"),
+                     F.coalesce(c("vs_check"), F.lit("")).alias("vs_check"))
+    norm = (base.where(c("serial_number").isNotNull())
+            .join(F.broadcast(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln"))),
+                  c("shelf_name") == c("_ln"), "left")
+            .withColumn("_k", F.lit(1)).join(F.broadcast(consts), "_k")
+            .select("serial_number", "lot_number", F.coalesce(c("_loc"), c("_un")).alias("location_id"),
+                    F.coalesce(c("weight_grams"), F.lit(0).cast("decimal(10,2)")).alias("weight_grams"),
+                    F.coalesce(c("received_at"), F.lit(as_of).cast("timestamp_ntz")).alias("received_at"),
+                    c("_fb").alias("received_by"), X.pass_fail(c("vs_check")).alias("qc_result"))
+            .distinct())
+    src = (norm.groupBy("serial_number")
+           .agg(F.min_by(F.struct("lot_number", "location_id", "weight_grams", "received_at", "received_by", "qc_result"),
+                         F.struct(F.lit(0) - F.unix_micros(c("received_at").cast("timestamp")), c("lot_number"),
+                                  c("location_id"), c("weight_grams"), c("qc_result"))).alias("b"))
+           .select("serial_number", "b.*"))
+    return C.merge_upsert(db.filaments, src, ["serial_number"],
+                          set_cols=["lot_number", "location_id", "weight_grams", "received_at", "received_by",
+                                    "qc_result"], id_col="id", id_order=["serial_number"])

@@ -181,6 +181,7 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), Tables(spark, sf).product_tracking, AS_OF),
         "etl_pipeline": pipe("merge_outcome"),
         "etl_filaments": lambda spark, sf: E.etl_filaments(Tables(spark, sf), CUTOFF, AS_OF)[0],
+        "etl_filaments_by_serial": lambda spark, sf: E.etl_filaments_by_serial(Tables(spark, sf), AS_OF)[0],
         "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],
         "etl_mounting": lambda spark, sf: E.etl_mounting(Tables(spark, sf), AS_OF),
         "etl_harvest_clone": lambda spark, sf: harvest_clone(spark, sf)["mapped"],
