@@ -102,3 +102,192 @@ SQL = {
     "constraint_report": CONSTRAINTS,
     "staging_profile": PROFILE,
 }
+
+
+def _tracking_select(stage_expr: str, status_expr: str, touched: str) -> str:
+    sel = []
+    for x in TRACK_COLS:
+        if x == "previous_stage_id":
+            sel.append(f"CASE WHEN {touched} THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id")
+        elif x == "current_stage_id":
+            sel.append(f"{stage_expr} AS current_stage_id")
+        elif x == "current_status_id":
+            sel.append(f"{status_expr} AS current_status_id")
+        elif x == "last_updated_at":
+            sel.append(f"CASE WHEN {touched} THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at")
+        else:
+            sel.append(f"t.{x}")
+    return ", ".join(sel)
+
+
+K3_CMD = """
+, cmd AS (SELECT id AS record_id, ['weight_grams', 'qc_result', 'location_id'][id % 3 + 1] AS field_name,
+   weight_grams, qc_result, location_id, 'inventory correction' AS reason, 1 + id % 10 AS changed_by FROM x_filaments WHERE id % 7 = 0),
+cmd2 AS (SELECT record_id, field_name, reason, changed_by,
+   CASE field_name WHEN 'weight_grams' THEN CAST(weight_grams AS VARCHAR) WHEN 'qc_result' THEN qc_result
+        ELSE CAST(location_id AS VARCHAR) END AS old_value,
+   CASE field_name WHEN 'weight_grams' THEN CASE WHEN record_id % 2 = 0 THEN CAST(weight_grams AS VARCHAR)
+        ELSE CAST(CAST(weight_grams + 5.5 AS DECIMAL(10,2)) AS VARCHAR) END
+        WHEN 'qc_result' THEN CASE WHEN qc_result = 'PASS' THEN 'FAIL' ELSE 'PASS' END
+        ELSE CAST(1 + (record_id + 3) % 25 AS VARCHAR) END AS new_value FROM cmd),
+eff AS (SELECT * FROM cmd2 WHERE NOT (CASE WHEN field_name = 'weight_grams'
+   THEN round(TRY_CAST(old_value AS DOUBLE), 5) IS NOT DISTINCT FROM round(TRY_CAST(new_value AS DOUBLE), 5)
+   ELSE COALESCE(old_value, 'None') = COALESCE(new_value, 'None') END))
+"""
+
+K3_TARGET = K3_CMD + """
+SELECT f.id, f.filament_id, f.serial_number, f.lot_number,
+  CASE WHEN el.record_id IS NOT NULL THEN CAST(el.new_value AS BIGINT) ELSE f.location_id END AS location_id,
+  CASE WHEN ew.record_id IS NOT NULL THEN CAST(ew.new_value AS DECIMAL(10,2)) ELSE f.weight_grams END AS weight_grams,
+  f.received_at, f.received_by,
+  CASE WHEN eq.record_id IS NOT NULL THEN eq.new_value ELSE f.qc_result END AS qc_result
+FROM x_filaments f
+LEFT JOIN eff ew ON ew.record_id = f.id AND ew.field_name = 'weight_grams'
+LEFT JOIN eff eq ON eq.record_id = f.id AND eq.field_name = 'qc_result'
+LEFT JOIN eff el ON el.record_id = f.id AND el.field_name = 'location_id'"""
+
+K3_AUDIT = K3_CMD + f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY record_id, field_name) AS BIGINT) AS id, 'filaments' AS table_name, record_id, field_name,
+  COALESCE(old_value, 'None') AS old_value, COALESCE(new_value, 'None') AS new_value, reason, changed_by, {AS_OF_SQL} AS changed_at
+FROM eff"""
+
+
+def _b36(n: str) -> str:
+    d = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+
+    def dig(x: str) -> str:
+        return f"substr({d}, CAST({x} AS INTEGER) + 1, 1)"
+    return (f"(CASE WHEN {n} < 36 THEN {dig(n)} WHEN {n} < 1296 THEN {dig(f'{n} // 36')} || {dig(f'{n} % 36')} "
+            f"ELSE {dig(f'{n} // 1296')} || {dig(f'({n} // 36) % 36')} || {dig(f'{n} % 36')} END)")
+
+
+K4 = f"""
+, cmd AS (SELECT CAST(o_orderkey AS BIGINT) AS command_id, CAST(1 + o_custkey % 10 AS BIGINT) AS requested_by,
+   CAST(1 + o_custkey % 7 AS BIGINT) AS sku_id, CAST(1 + o_orderkey % 4 AS INTEGER) AS quantity, o_orderkey % 19 = 0 AS is_tech_transfer,
+   ROW_NUMBER() OVER (ORDER BY o_orderkey) AS batch_number FROM orders WHERE o_orderkey % 50 = 0),
+cmd2 AS (SELECT *, lpad(CAST(year({AS_OF_SQL}) % 100 AS VARCHAR), 2, '0') ||
+   CASE WHEN length({_b36('batch_number')}) < 2 THEN lpad({_b36('batch_number')}, 2, '0') ELSE {_b36('batch_number')} END AS lot_number
+   FROM cmd),
+rows AS (SELECT c.*, n FROM cmd2 c, range(1, c.quantity + 1) r(n))
+SELECT CAST((SELECT max(id) FROM x_product_requests) + ROW_NUMBER() OVER (ORDER BY command_id, n) AS BIGINT) AS id,
+  requested_by, sku_id, lot_number, 'Pending' AS status, {AS_OF_SQL} AS requested_at, CAST(NULL AS VARCHAR) AS notes, is_tech_transfer
+FROM rows"""
+
+from spooltrace.oracle.sql_operations import SQL as _G  # noqa: E402
+
+K12_CMD = f"""
+, elig AS ({_G['qm_bulk_eligible'].strip()}),
+dec AS (SELECT pid, result, CASE WHEN pid % 13 = 0 THEN 'decline' WHEN approval_type = 'Post-Harvest Approval' THEN 'treatment'
+   ELSE 'sales' END AS decision, CASE WHEN pid % 2 = 0 THEN 'batch review' ELSE '' END AS reason FROM elig),
+cmd AS (SELECT pid AS product_tracking_id,
+   CASE decision WHEN 'treatment' THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'QMTreatmentApproval')
+     WHEN 'sales' THEN CASE WHEN result = 'Passed' THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'QMSalesApproval')
+       ELSE (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Internal Use') END
+     ELSE (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Disposed') END AS new_stage_id,
+   CASE decision WHEN 'treatment' THEN 'QM Approved for Treatment'
+     WHEN 'sales' THEN CASE WHEN result = 'Passed' THEN 'QM Approved for Sales' ELSE 'QM Approved for Internal Use' END
+     ELSE 'Declined by QM: failed review' END
+   || CASE WHEN decision <> 'decline' AND trim(reason) <> '' THEN ': ' || trim(reason) ELSE '' END AS reason,
+   CAST(1 AS BIGINT) AS user_id, decision FROM dec)
+"""
+
+K12_TRACK = K12_CMD + f"""
+SELECT {_tracking_select('CASE WHEN c.product_tracking_id IS NOT NULL THEN c.new_stage_id ELSE t.current_stage_id END',
+                         "CASE WHEN c.decision = 'decline' THEN (SELECT min(id) FROM x_product_statuses WHERE status_name = 'Waste') ELSE t.current_status_id END",
+                         'c.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K12_HIST = K12_CMD + f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY t.id) AS BIGINT) AS id, t.id AS product_tracking_id, t.current_stage_id AS from_stage_id,
+  c.new_stage_id AS to_stage_id, c.reason, c.user_id AS changed_by, {AS_OF_SQL} AS changed_at
+FROM x_product_tracking t JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K13 = f"""
+SELECT CAST((SELECT max(id) FROM x_product_investigations) + ROW_NUMBER() OVER (ORDER BY product_tracking_id, 'DEV-Q' || CAST(id AS VARCHAR)) AS BIGINT) AS id,
+  product_tracking_id, 'Under Investigation' AS status, 'DEV-Q' || CAST(id AS VARCHAR) AS deviation_number,
+  'escalated from quarantine' AS comment, quarantined_by AS created_by, {AS_OF_SQL} AS created_at,
+  CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by
+FROM x_quarantined_products WHERE quarantine_status = 'Active' AND product_tracking_id % 3 = 0"""
+
+K10_CMD = f"""
+, cmd AS (SELECT id AS product_tracking_id, current_stage_id AS from_stage_id, 'Ad-Hoc' AS source, 1 + id % 10 AS quarantined_by,
+   'suspect lot ' || CAST(id % 97 AS VARCHAR) AS reason, [1 + id % 19, 1 + id % 19, 1 + id % 5] AS reason_ids
+   FROM x_product_tracking WHERE id % 37 = 0
+     AND id NOT IN (SELECT product_tracking_id FROM x_quarantined_products WHERE quarantine_status = 'Active')),
+newq AS (SELECT CAST((SELECT max(id) FROM x_quarantined_products) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id, *
+   FROM cmd)
+"""
+
+K10_ROWS = K10_CMD + f"""
+SELECT id, product_tracking_id, from_stage_id, source, CAST(NULL AS BIGINT) AS location_id, {AS_OF_SQL} AS quarantine_date,
+  quarantined_by, nullif(reason, '') AS quarantine_reason, 'Active' AS quarantine_status, CAST(NULL AS VARCHAR) AS result,
+  CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by FROM newq"""
+
+K10_LINKS = K10_CMD + """
+, links AS (SELECT DISTINCT id AS quarantine_id, unnest(reason_ids) AS reason_id FROM newq)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY quarantine_id, reason_id) AS BIGINT) AS id, quarantine_id, reason_id FROM links"""
+
+K10_TRACK = K10_CMD + f"""
+SELECT {_tracking_select("CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Quarantine') ELSE t.current_stage_id END",
+                         "CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_product_statuses WHERE status_name = 'In Quarantine') ELSE t.current_status_id END",
+                         'c.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K11_CMD = f"""
+, cmd AS (SELECT product_tracking_id, ['Passed', 'B-Ware', 'Waste'][product_tracking_id % 3 + 1] AS resolution,
+   CASE WHEN product_tracking_id % 2 = 0 THEN 'checked' END AS comment, 1 + product_tracking_id % 10 AS resolved_by
+   FROM (SELECT DISTINCT product_tracking_id FROM x_product_investigations WHERE status = 'Under Investigation')),
+cmd2 AS (SELECT *, CASE resolution WHEN 'Passed' THEN 'Cleared A-Ware' WHEN 'B-Ware' THEN 'Cleared B-Ware' ELSE 'Disposed' END AS inv_status,
+   '[Resolution ' || strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M') || ']: ' || resolution ||
+   CASE WHEN comment IS NOT NULL AND comment <> '' THEN ' — ' || comment ELSE '' END AS note FROM cmd)
+"""
+
+K11_INV = K11_CMD + f"""
+SELECT i.id, i.product_tracking_id, CASE WHEN c.product_tracking_id IS NOT NULL THEN c.inv_status ELSE i.status END AS status,
+  i.deviation_number,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN CASE WHEN i.comment IS NULL OR i.comment = '' THEN c.note
+       ELSE i.comment || chr(13) || c.note END ELSE i.comment END AS comment,
+  i.created_by, i.created_at, CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE i.resolved_at END AS resolved_at,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN c.resolved_by ELSE i.resolved_by END AS resolved_by
+FROM x_product_investigations i LEFT JOIN cmd2 c ON c.product_tracking_id = i.product_tracking_id AND i.status = 'Under Investigation'"""
+
+K11_Q = K11_CMD + f"""
+SELECT q.id, q.product_tracking_id, q.from_stage_id, q.source, q.location_id, q.quarantine_date, q.quarantined_by, q.quarantine_reason,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN CASE WHEN c.inv_status = 'Disposed' THEN 'Disposed' ELSE 'Released' END
+       ELSE q.quarantine_status END AS quarantine_status,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN c.resolution ELSE q.result END AS result,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE q.resolved_at END AS resolved_at,
+  CASE WHEN c.product_tracking_id IS NOT NULL THEN c.resolved_by ELSE q.resolved_by END AS resolved_by
+FROM x_quarantined_products q LEFT JOIN cmd2 c ON c.product_tracking_id = q.product_tracking_id AND q.quarantine_status = 'Active'"""
+
+K11_TRACK = K11_CMD + f"""
+, moves AS (SELECT c.product_tracking_id, c.resolution, ns.id AS new_stage_id FROM cmd c
+   JOIN x_product_tracking t ON t.id = c.product_tracking_id LEFT JOIN x_lifecycle_stages cs ON cs.id = t.current_stage_id
+   JOIN (SELECT stage_name, min(id) AS id FROM x_lifecycle_stages GROUP BY stage_name) ns ON ns.stage_name =
+     CASE WHEN c.resolution = 'Waste' THEN 'Discarded Product'
+          WHEN cs.stage_name = 'Harvest QC Complete; Pending Storage' THEN 'QM Approved for Treatment; Pending Treatment'
+          WHEN c.resolution = 'B-Ware' AND cs.stage_name = 'Returned / Post-Treatment QC; Pending Storage' THEN 'Internal Use/Client'
+          WHEN cs.stage_name = 'Returned / Post-Treatment QC; Pending Storage' THEN 'QM Approved For Sales; Pending Sales'
+          ELSE cs.stage_name END),
+st AS (SELECT c.product_tracking_id, s.id AS sid FROM cmd c JOIN x_product_statuses s ON s.status_name =
+   CASE c.resolution WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
+        WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'Pending' END)
+SELECT {_tracking_select('CASE WHEN m.product_tracking_id IS NOT NULL THEN m.new_stage_id ELSE t.current_stage_id END',
+                         'CASE WHEN s.product_tracking_id IS NOT NULL THEN s.sid ELSE t.current_status_id END',
+                         'm.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN moves m ON m.product_tracking_id = t.id LEFT JOIN st s ON s.product_tracking_id = t.id"""
+
+SQL.update({
+    "apply_field_changes": K3_TARGET,
+    "apply_field_changes_audit": K3_AUDIT,
+    "apply_requests": K4,
+    "apply_qm_decision": K12_TRACK,
+    "apply_qm_decision_history": K12_HIST,
+    "apply_investigation": K13,
+    "apply_quarantine": K10_ROWS,
+    "apply_quarantine_reasons": K10_LINKS,
+    "apply_quarantine_tracking": K10_TRACK,
+    "apply_quarantine_resolution": K11_INV,
+    "apply_quarantine_resolution_quarantine": K11_Q,
+    "apply_quarantine_resolution_tracking": K11_TRACK,
+})

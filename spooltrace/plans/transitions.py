@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spooltrace.functions import exprs as X
 from spooltrace.operators import merge as C
 
 c = F.col
@@ -104,3 +105,306 @@ def status_commands(db) -> DataFrame:
     names = F.array(*[F.lit(s) for s in STATUS_CHOICES])
     return db.product_tracking.where(c("id") % 9 == 0).select(
         c("id").alias("product_tracking_id"), F.element_at(names, (c("id") % 5 + 1).cast("int")).alias("status_name"))
+
+
+# ---------------------------------------------------------------------------
+# K3 audited field changes
+# ---------------------------------------------------------------------------
+
+# Tables whose fields may be edited through the audited path.
+ALLOWED_AUDIT_TABLES = [
+    "filaments", "filament_mounting", "filament_acclimatization", "lids", "seals", "product_requests",
+    "product_harvest", "product_quality_control", "product_tracking", "product_print_specs", "product_skus",
+    "treatment_batches", "treatment_batch_products", "post_treatment_inspections", "users", "orders", "order_items",
+    "order_supplements", "supplements",
+]
+SAFE_FIELD = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+AUDIT_COLUMNS = ["id", "table_name", "record_id", "field_name", "old_value", "new_value", "reason", "changed_by",
+                 "changed_at"]
+
+
+class AuditError(ValueError):
+    pass
+
+
+def _py_str(col):
+    """Text form of a value as the audit log stores it (a missing value reads 'None')."""
+    return F.coalesce(col.cast("string"), F.lit("None"))
+
+
+def apply_field_changes(target: DataFrame, table_name: str, changes: DataFrame, as_of: str,
+                        audit_start: int = 1, update: bool = True) -> dict[str, DataFrame]:
+    """K3: change rows (record_id, field_name, old_value, new_value, reason, changed_by[, seq]) for one table.
+
+    A change is skipped when old equals new (numeric fields compared rounded
+    to 5 decimals, others as text). The table must be whitelisted and field
+    names must be plain identifiers (both checked before anything is
+    written). Remaining changes append audit rows and, with ``update``, set
+    the field on the target row (the last change per (record, field) by
+    ``seq`` wins).
+    """
+    if table_name not in ALLOWED_AUDIT_TABLES:
+        raise AuditError("Unauthorized table")
+    if changes.where(~c("field_name").rlike(SAFE_FIELD)).limit(1).collect():
+        raise AuditError("Unsafe field name")
+    numeric = {f.name for f in target.schema.fields
+               if f.dataType.typeName() in ("decimal", "double", "float")}
+    is_num = c("field_name").isin(*numeric) if numeric else F.lit(False)
+    o_num, n_num = c("old_value").try_cast("double"), c("new_value").try_cast("double")
+    num_equal = (o_num.isNotNull() | c("old_value").isNull()) & (n_num.isNotNull() | c("new_value").isNull()) & \
+        F.round(o_num, 5).eqNullSafe(F.round(n_num, 5))
+    same = F.when(is_num, num_equal).otherwise(_py_str(c("old_value")) == _py_str(c("new_value")))
+    seq = c("seq") if "seq" in changes.columns else F.lit(0)
+    eff = changes.withColumn("_seq", seq).where(~same)
+    audit = eff.select(F.lit(table_name).alias("table_name"), "record_id", "field_name",
+                       _py_str(c("old_value")).alias("old_value"), _py_str(c("new_value")).alias("new_value"),
+                       "reason", "changed_by", F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), "_seq")
+    audit = C.assign_ids(audit, ["record_id", "field_name", "_seq"], audit_start, "id").select(*AUDIT_COLUMNS)
+    if not update:
+        return {table_name: target, "audit_log": audit}
+    fields = [x for x in target.columns if x != "id"]
+    piv = (eff.where(c("field_name").isin(*fields))
+           .groupBy(c("record_id").alias("_rid"))
+           .pivot("field_name", fields)
+           .agg(F.max_by(F.struct(F.lit(True).alias("set"), c("new_value").alias("v")), c("_seq"))))
+    piv = piv.select("_rid", *[c(f"`{f}`").alias(f"_n_{f}") for f in fields])
+    j = target.join(piv, target.id == piv._rid, "left")
+    out = j.select(*[c(x) if x == "id" else
+                     F.when(c(f"_n_{x}.set"), c(f"_n_{x}.v").cast(target.schema[x].dataType)).otherwise(c(x)).alias(x)
+                     for x in target.columns])
+    return {table_name: out, "audit_log": audit}
+
+
+def filament_change_commands(db) -> DataFrame:
+    """Command table for K3: every seventh spool gets one edit (some are no-ops) derived from its key."""
+    f = db.filaments.where(c("id") % 7 == 0)
+    field = F.element_at(F.array(F.lit("weight_grams"), F.lit("qc_result"), F.lit("location_id")),
+                         (c("id") % 3 + 1).cast("int"))
+    old = (F.when(field == "weight_grams", c("weight_grams").cast("string"))
+           .when(field == "qc_result", c("qc_result")).otherwise(c("location_id").cast("string")))
+    new = (F.when(field == "weight_grams",
+                  F.when(c("id") % 2 == 0, c("weight_grams").cast("string"))
+                  .otherwise((c("weight_grams") + F.lit(5.5)).cast("decimal(10,2)").cast("string")))
+           .when(field == "qc_result", F.when(c("qc_result") == "PASS", "FAIL").otherwise("PASS"))
+           .otherwise((F.lit(1) + (c("id") + 3) % 25).cast("string")))
+    return f.select(c("id").alias("record_id"), field.alias("field_name"), old.alias("old_value"),
+                    new.alias("new_value"), F.lit("inventory correction").alias("reason"),
+                    (F.lit(1) + c("id") % 10).alias("changed_by"))
+
+
+# ---------------------------------------------------------------------------
+# K4 requests
+# ---------------------------------------------------------------------------
+
+REQUEST_COLUMNS = ["id", "requested_by", "sku_id", "lot_number", "status", "requested_at", "notes", "is_tech_transfer"]
+
+
+def apply_requests(requests: DataFrame, commands: DataFrame, as_of: str, batch_start: int) -> DataFrame:
+    """K4: command rows (command_id, requested_by, sku_id, quantity, notes, is_tech_transfer) -> ``quantity``
+    Pending request rows per command sharing one lot: YY of ``as_of`` + base-36 batch number, the batch
+    numbers continuing from ``batch_start`` in command order."""
+    cmd = C.assign_ids(commands, ["command_id"], batch_start, "batch_number")
+    cmd = cmd.withColumn("lot_number", X.lot_number(F.lit(as_of).cast("timestamp_ntz"), c("batch_number")))
+    rows = cmd.select("command_id", "requested_by", "sku_id", "lot_number", "notes", "is_tech_transfer",
+                      F.explode(F.sequence(F.lit(1), c("quantity"))).alias("_n"))
+    rows = C.assign_ids(rows, ["command_id", "_n"], C.next_id(requests), "id")
+    return rows.select("id", "requested_by", "sku_id", "lot_number", F.lit("Pending").alias("status"),
+                       F.lit(as_of).cast("timestamp_ntz").alias("requested_at"), "notes", "is_tech_transfer")
+
+
+def request_commands(db) -> DataFrame:
+    """Command table for K4: every 50th order asks for 1-4 units of a sku chosen from its customer."""
+    return db.src("orders").where("o_orderkey % 50 = 0").selectExpr(
+        "CAST(o_orderkey AS BIGINT) AS command_id", "CAST(1 + o_custkey % 10 AS BIGINT) AS requested_by",
+        "CAST(1 + o_custkey % 7 AS BIGINT) AS sku_id", "CAST(1 + o_orderkey % 4 AS INT) AS quantity",
+        "CAST(NULL AS STRING) AS notes", "o_orderkey % 19 = 0 AS is_tech_transfer")
+
+
+# ---------------------------------------------------------------------------
+# K10-K13 quarantine, resolution, QM decisions, investigations
+# ---------------------------------------------------------------------------
+
+def _stage_id(db, code: str) -> DataFrame:
+    return db.lifecycle_stages.where(c("stage_code") == code).agg(F.min("id").alias("_stage")).withColumn("_k", F.lit(1))
+
+
+def apply_qm_decision(db, decisions: DataFrame, as_of: str, user_id: int = 1,
+                      comment: str = "") -> dict[str, DataFrame]:
+    """Decisions (pid, result, decision in treatment|sales|decline, reason) ->
+    approve for treatment (QMTreatmentApproval), for sales (Passed -> QMSalesApproval, else Internal Use),
+    or decline (Disposed + status Waste); one history row per unit."""
+    ids = db.lifecycle_stages.groupBy().pivot("stage_code", ["QMTreatmentApproval", "QMSalesApproval",
+                                                              "Internal Use", "Disposed"]).agg(F.min("id"))
+    ids = ids.withColumn("_k", F.lit(1))
+    r = F.trim(F.coalesce(c("reason"), F.lit("")))
+    suffix = F.when(r != "", F.concat(F.lit(": "), r)).otherwise(F.lit(""))
+    d = decisions.withColumn("_k", F.lit(1)).join(F.broadcast(ids), "_k")
+    cmd = d.select(
+        c("pid").alias("product_tracking_id"),
+        F.when(c("decision") == "treatment", c("QMTreatmentApproval"))
+         .when(c("decision") == "sales", F.when(c("result") == "Passed", c("QMSalesApproval")).otherwise(c("Internal Use")))
+         .otherwise(c("Disposed")).alias("new_stage_id"),
+        F.when(c("decision") == "treatment", F.concat(F.lit("QM Approved for Treatment"), suffix))
+         .when(c("decision") == "sales", F.when(c("result") == "Passed", F.concat(F.lit("QM Approved for Sales"), suffix))
+               .otherwise(F.concat(F.lit("QM Approved for Internal Use"), suffix)))
+         .otherwise(F.lit(f"Declined by QM: {comment}")).alias("reason"),
+        F.lit(user_id).cast("long").alias("user_id"))
+    out = apply_stage_change(db.product_tracking, cmd, as_of)
+    declined = decisions.where(c("decision") == "decline").select(
+        c("pid").alias("product_tracking_id"), F.lit("Waste").alias("status_name"))
+    out["product_tracking"] = apply_status_change(out["product_tracking"], db.product_statuses, declined, as_of)
+    return out
+
+
+def qm_decisions(db) -> DataFrame:
+    """Command table for K12: every bulk-eligible unit is approved; every 13th is declined instead."""
+    from spooltrace.plans.operations import qm_bulk_eligible
+    e = qm_bulk_eligible(db)
+    return e.select("pid", "result",
+                    F.when(c("pid") % 13 == 0, "decline")
+                     .when(c("approval_type") == "Post-Harvest Approval", "treatment").otherwise("sales").alias("decision"),
+                    F.when(c("pid") % 2 == 0, F.lit("batch review")).otherwise(F.lit("")).alias("reason"))
+
+
+INVESTIGATION_COLUMNS = ["id", "product_tracking_id", "status", "deviation_number", "comment", "created_by",
+                         "created_at", "resolved_at", "resolved_by"]
+
+
+def apply_investigation(investigations: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
+    """Command rows (product_tracking_id, status, deviation_number, comment, created_by) -> new
+    investigation rows (created now)."""
+    rows = commands.select("product_tracking_id", "status", "deviation_number", "comment", "created_by",
+                           F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+                           F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+                           F.lit(None).cast("long").alias("resolved_by"))
+    rows = C.assign_ids(rows, ["product_tracking_id", "deviation_number"], C.next_id(investigations), "id")
+    return rows.select(*INVESTIGATION_COLUMNS)
+
+
+def investigation_commands(db) -> DataFrame:
+    """Command table for K13: active quarantines of every third unit are escalated."""
+    q = db.quarantined_products.where((c("quarantine_status") == "Active") & (c("product_tracking_id") % 3 == 0))
+    return q.select("product_tracking_id", F.lit("Under Investigation").alias("status"),
+                    F.concat(F.lit("DEV-Q"), c("id").cast("string")).alias("deviation_number"),
+                    F.lit("escalated from quarantine").alias("comment"), c("quarantined_by").alias("created_by"))
+
+
+QUARANTINE_COLUMNS = ["id", "product_tracking_id", "from_stage_id", "source", "location_id", "quarantine_date",
+                      "quarantined_by", "quarantine_reason", "quarantine_status", "result", "resolved_at",
+                      "resolved_by"]
+
+
+def apply_quarantine(db, commands: DataFrame, as_of: str, adhoc: bool = True) -> dict[str, DataFrame]:
+    """Command rows (product_tracking_id, source, quarantined_by, reason, reason_ids) -> Active
+    quarantine rows (from the unit's current stage) and distinct reason links; ad-hoc mode also moves
+    the unit to stage Quarantine ('Ad-Hoc Quarantine: <reason>') with status 'In Quarantine'."""
+    C.check_unique(commands, ["product_tracking_id"])
+    t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
+    rows = (commands.join(t, c("product_tracking_id") == c("_tid"))
+            .select("product_tracking_id", "from_stage_id", "source", F.lit(None).cast("long").alias("location_id"),
+                    F.lit(as_of).cast("timestamp_ntz").alias("quarantine_date"), "quarantined_by",
+                    F.nullif(c("reason"), F.lit("")).alias("quarantine_reason"),
+                    F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
+                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+                    F.lit(None).cast("long").alias("resolved_by"), "reason_ids"))
+    rows = C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.quarantined_products), "id")
+    links = rows.select(c("id").alias("quarantine_id"),
+                        F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
+    links = C.assign_ids(links, ["quarantine_id", "reason_id"], 1, "id").select("id", "quarantine_id", "reason_id")
+    out = {"quarantined_products": db.quarantined_products.unionByName(rows.select(*QUARANTINE_COLUMNS)),
+           "new_quarantines": rows.select(*QUARANTINE_COLUMNS), "quarantined_product_reasons": links}
+    if adhoc:
+        stage = _stage_id(db, "Quarantine")
+        cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+               .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                       F.concat(F.lit("Ad-Hoc Quarantine: "), F.coalesce(c("reason"), F.lit(""))).alias("reason"),
+                       c("quarantined_by").alias("user_id")))
+        moved = apply_stage_change(db.product_tracking, cmd, as_of)
+        out["product_status_history"] = moved["product_status_history"]
+        status = commands.select("product_tracking_id", F.lit("In Quarantine").alias("status_name"))
+        out["product_tracking"] = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
+    return out
+
+
+def quarantine_commands(db) -> DataFrame:
+    """Command table for K10: every 37th unit not already in an active quarantine, two reasons (one repeated)."""
+    active = db.quarantined_products.where(c("quarantine_status") == "Active").select(c("product_tracking_id").alias("_a"))
+    u = db.product_tracking.where(c("id") % 37 == 0).join(active, c("id") == c("_a"), "left_anti")
+    return u.select(c("id").alias("product_tracking_id"), F.lit("Ad-Hoc").alias("source"),
+                    (F.lit(1) + c("id") % 10).alias("quarantined_by"),
+                    F.concat(F.lit("suspect lot "), (c("id") % 97).cast("string")).alias("reason"),
+                    F.array((F.lit(1) + c("id") % 19), (F.lit(1) + c("id") % 19), (F.lit(1) + c("id") % 5)).cast(
+                        "array<bigint>").alias("reason_ids"))
+
+
+def apply_quarantine_resolution(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """Command rows (product_tracking_id, resolution, comment, resolved_by) ->
+    investigations 'Under Investigation' and Active quarantines of the unit are resolved
+    (status from the resolution, note appended), the unit's status follows the resolution
+    (unknown -> Pending) and its stage moves per the QM rule (current stage name, resolution)."""
+    C.check_unique(commands, ["product_tracking_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    st = X.resolution_status(c("resolution"))
+    note = X.resolution_note(now, c("resolution"), c("comment"))
+    cmd = commands.select(c("product_tracking_id").alias("_pid"), "resolution", "comment", "resolved_by",
+                          st["investigation_status"].alias("_inv_status"),
+                          st["quarantine_status"].alias("_q_status"), note.alias("_note"))
+    inv = db.product_investigations
+    ji = inv.join(cmd, (inv.product_tracking_id == cmd._pid) & (inv.status == "Under Investigation"), "left")
+    hit = c("_pid").isNotNull()
+    cols = []
+    for x in inv.columns:
+        if x == "status":
+            cols.append(F.when(hit, c("_inv_status")).otherwise(inv[x]).alias(x))
+        elif x == "resolved_at":
+            cols.append(F.when(hit, now).otherwise(inv[x]).alias(x))
+        elif x == "resolved_by":
+            cols.append(F.when(hit, cmd["resolved_by"]).otherwise(inv[x]).alias(x))
+        elif x == "comment":
+            cols.append(F.when(hit, X.append_note(inv["comment"], c("_note"))).otherwise(inv["comment"]).alias(x))
+        else:
+            cols.append(inv[x])
+    new_inv = ji.select(*cols)
+    q = db.quarantined_products
+    jq = q.join(cmd, (q.product_tracking_id == cmd._pid) & (q.quarantine_status == "Active"), "left")
+    hq = c("_pid").isNotNull()
+    qcols = []
+    for x in q.columns:
+        if x == "quarantine_status":
+            qcols.append(F.when(hq, c("_q_status")).otherwise(q[x]).alias(x))
+        elif x == "result":
+            qcols.append(F.when(hq, c("resolution")).otherwise(q[x]).alias(x))
+        elif x == "resolved_at":
+            qcols.append(F.when(hq, now).otherwise(q[x]).alias(x))
+        elif x == "resolved_by":
+            qcols.append(F.when(hq, cmd["resolved_by"]).otherwise(q[x]).alias(x))
+        else:
+            qcols.append(q[x])
+    new_q = jq.select(*qcols)
+    status = commands.select("product_tracking_id",
+                             X.business_status(c("resolution"), "Pending").alias("status_name"))
+    stages = db.lifecycle_stages
+    cur = (db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("_cur"))
+           .join(F.broadcast(stages.select(c("id").alias("_sid"), c("stage_name").alias("_sname"))),
+                 c("_cur") == c("_sid"), "left"))
+    by_name = stages.groupBy(c("stage_name").alias("_tname")).agg(F.min("id").alias("new_stage_id"))
+    moves = (commands.join(cur, c("product_tracking_id") == c("_tid"))
+             .withColumn("_target", X.qm_target_stage(c("resolution"), c("_sname")))
+             .join(F.broadcast(by_name), c("_target") == c("_tname"))
+             .select("product_tracking_id", "new_stage_id",
+                     F.concat(F.lit("QM resolution: "), c("resolution")).alias("reason"),
+                     c("resolved_by").alias("user_id")))
+    moved = apply_stage_change(db.product_tracking, moves, as_of)
+    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
+    return {"product_investigations": new_inv, "quarantined_products": new_q, "product_tracking": tracking,
+            "product_status_history": moved["product_status_history"]}
+
+
+def resolution_commands(db) -> DataFrame:
+    """Command table for K11: every unit under investigation is resolved; the outcome cycles with its id."""
+    inv = db.product_investigations.where(c("status") == "Under Investigation").select("product_tracking_id").distinct()
+    res = F.element_at(F.array(F.lit("Passed"), F.lit("B-Ware"), F.lit("Waste")), (c("product_tracking_id") % 3 + 1)
+                       .cast("int"))
+    return inv.select("product_tracking_id", res.alias("resolution"),
+                      F.when(c("product_tracking_id") % 2 == 0, F.lit("checked")).alias("comment"),
+                      (F.lit(1) + c("product_tracking_id") % 10).alias("resolved_by"))

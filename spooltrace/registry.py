@@ -207,6 +207,31 @@ def queries() -> dict[str, Query]:
             K.status_commands(Tables(spark, sf)), AS_OF),
         "apply_expiry": lambda spark, sf: K.apply_expiry(Tables(spark, sf), AS_OF)["product_tracking"],
         "apply_expiry_history": lambda spark, sf: K.apply_expiry(Tables(spark, sf), AS_OF)["product_status_history"],
+        "apply_field_changes": lambda spark, sf: K.apply_field_changes(
+            Tables(spark, sf).filaments, "filaments", K.filament_change_commands(Tables(spark, sf)), AS_OF)["filaments"],
+        "apply_field_changes_audit": lambda spark, sf: K.apply_field_changes(
+            Tables(spark, sf).filaments, "filaments", K.filament_change_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_requests": lambda spark, sf: K.apply_requests(
+            Tables(spark, sf).product_requests, K.request_commands(Tables(spark, sf)), AS_OF, batch_start=1),
+        "apply_qm_decision": lambda spark, sf: K.apply_qm_decision(
+            Tables(spark, sf), K.qm_decisions(Tables(spark, sf)), AS_OF, comment="failed review")["product_tracking"],
+        "apply_qm_decision_history": lambda spark, sf: K.apply_qm_decision(
+            Tables(spark, sf), K.qm_decisions(Tables(spark, sf)), AS_OF,
+            comment="failed review")["product_status_history"],
+        "apply_investigation": lambda spark, sf: K.apply_investigation(
+            Tables(spark, sf).product_investigations, K.investigation_commands(Tables(spark, sf)), AS_OF),
+        "apply_quarantine": lambda spark, sf: K.apply_quarantine(
+            Tables(spark, sf), K.quarantine_commands(Tables(spark, sf)), AS_OF)["new_quarantines"],
+        "apply_quarantine_reasons": lambda spark, sf: K.apply_quarantine(
+            Tables(spark, sf), K.quarantine_commands(Tables(spark, sf)), AS_OF)["quarantined_product_reasons"],
+        "apply_quarantine_tracking": lambda spark, sf: K.apply_quarantine(
+            Tables(spark, sf), K.quarantine_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
+        "apply_quarantine_resolution": lambda spark, sf: K.apply_quarantine_resolution(
+            Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["product_investigations"],
+        "apply_quarantine_resolution_quarantine": lambda spark, sf: K.apply_quarantine_resolution(
+            Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["quarantined_products"],
+        "apply_quarantine_resolution_tracking": lambda spark, sf: K.apply_quarantine_resolution(
+            Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
