@@ -136,3 +136,19 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str],
         for f in fields])).alias("d"))
     return longs.select("record_id", "d.field", "d.old_value", "d.new_value").where(
         ~c("old_value").eqNullSafe(c("new_value")))
+
+
+def next_seq_for_lot(codes: DataFrame, lots: DataFrame, code_col: str = "product_code",
+                     lot_col: str = "lot_number") -> DataFrame:
+    """Per lot, 1 + the largest 4-digit sequence among codes equal to lot + 4 characters (0 when none).
+
+    Done for all lots at once: codes are grouped by their lot prefix (code
+    minus its last 4 characters), so no per-lot query and no lock is needed.
+    """
+    cand = (codes.where(c(code_col).isNotNull() & (F.length(c(code_col)) > 4))
+            .select(F.expr(f"left({code_col}, length({code_col}) - 4)").alias("_lot"),
+                    F.right(c(code_col), F.lit(4)).try_cast("int").alias("_seq"))
+            .groupBy("_lot").agg(F.max("_seq").alias("_max")))
+    ls = lots.select(c(lot_col).alias("lot_number")).distinct()
+    return (ls.join(cand, c("lot_number") == c("_lot"), "left")
+            .select("lot_number", (F.coalesce(c("_max"), F.lit(0)) + 1).cast("long").alias("next_seq")))

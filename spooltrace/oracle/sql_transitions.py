@@ -291,3 +291,115 @@ SQL.update({
     "apply_quarantine_resolution_quarantine": K11_Q,
     "apply_quarantine_resolution_tracking": K11_TRACK,
 })
+
+from spooltrace.oracle.sql_materials import SQL as _M  # noqa: E402
+
+# request_mount_candidates is itself a CTE chain (", req AS (...), cand AS (...) SELECT ..."); wrap its final select
+_rmc = _M["request_mount_candidates"].strip()
+_rmc_ctes, _rmc_select = _rmc.rsplit("SELECT r.id AS request_id", 1)
+K5_BASE = _rmc_ctes.replace("cand AS (", "cand0 AS (").replace("FROM cand WHERE cand.request_id", "FROM cand0 WHERE cand0.request_id").replace(
+    "LEFT JOIN cand b ON", "LEFT JOIN cand0 b ON") + ", rmc AS (SELECT r.id AS request_id" + _rmc_select.replace(
+    "FROM cand WHERE cand.request_id", "FROM cand0 WHERE cand0.request_id").replace("LEFT JOIN cand b ON", "LEFT JOIN cand0 b ON") + f"""),
+cmd AS (SELECT m.request_id, m.best_mount_id AS filament_mount_id, pr.requested_by AS printed_by,
+   (SELECT min(id) FROM x_lids WHERE qc_result = 'PASS' AND serial_number <> 'LEGACY_LID') AS lid_id,
+   (SELECT min(id) FROM x_seals WHERE qc_result = 'PASS' AND serial_number <> 'LEGACY_SEAL') AS seal_id,
+   pr.sku_id, pr.lot_number, pr.is_tech_transfer
+   FROM rmc m JOIN x_product_requests pr ON pr.id = m.request_id WHERE m.best_mount_id IS NOT NULL AND m.request_id % 3 = 0),
+seq0 AS (SELECT left(product_code, length(product_code) - 4) AS lot, max(TRY_CAST(right(product_code, 4) AS INTEGER)) AS mx
+   FROM x_product_tracking WHERE product_code IS NOT NULL AND length(product_code) > 4 GROUP BY 1),
+units AS (SELECT c.*,
+   CAST((SELECT max(id) FROM x_product_harvest) + ROW_NUMBER() OVER (ORDER BY c.request_id) AS BIGINT) AS harvest_id,
+   CAST((SELECT max(id) FROM x_product_tracking) + ROW_NUMBER() OVER (ORDER BY c.request_id) AS BIGINT) AS id,
+   CAST(COALESCE((SELECT max(product_id) FROM x_product_tracking) + 1, 1000000) + ROW_NUMBER() OVER (ORDER BY c.request_id) - 1 AS BIGINT) AS product_id,
+   c.lot_number || lpad(CAST(COALESCE(s.mx, 0) + ROW_NUMBER() OVER (PARTITION BY c.lot_number ORDER BY c.request_id) AS VARCHAR), 4, '0') AS product_code
+   FROM cmd c LEFT JOIN seq0 s ON s.lot = c.lot_number)
+"""
+
+K5_TRACK = K5_BASE + f"""
+SELECT u.id, u.harvest_id, u.product_id, sk.product_type_id, u.sku_id,
+  (SELECT min(id) FROM x_product_statuses WHERE status_name = 'Pending') AS current_status_id, CAST(NULL AS BIGINT) AS previous_stage_id,
+  CAST(1 AS BIGINT) AS current_stage_id, CAST(NULL AS BIGINT) AS location_id, {AS_OF_SQL} AS last_updated_at, u.product_code,
+  u.is_tech_transfer AS was_tech_transfer
+FROM units u LEFT JOIN x_product_skus sk ON sk.id = u.sku_id"""
+
+K5_USAGE = K5_BASE + f"""
+, m AS (SELECT u.id AS product_tracking_id, u.harvest_id, 'Lid' AS material_type, l.serial_number AS lot_number, u.printed_by
+   FROM units u JOIN x_lids l ON l.id = u.lid_id JOIN x_seals s ON s.id = u.seal_id
+   UNION ALL SELECT u.id, u.harvest_id, 'Seal', s.serial_number, u.printed_by
+   FROM units u JOIN x_lids l ON l.id = u.lid_id JOIN x_seals s ON s.id = u.seal_id)
+SELECT CAST((SELECT max(id) FROM x_material_usage) + ROW_NUMBER() OVER (ORDER BY product_tracking_id, material_type) AS BIGINT) AS id,
+  product_tracking_id, harvest_id, material_type, lot_number, CAST(1 AS DECIMAL(10,2)) AS used_quantity, {AS_OF_SQL} AS used_at,
+  printed_by AS used_by, CAST(NULL AS VARCHAR) AS reason FROM m"""
+
+K5_REQ = K5_BASE + """
+SELECT r.id, r.requested_by, r.sku_id, r.lot_number, CASE WHEN c.request_id IS NOT NULL THEN 'Fulfilled' ELSE r.status END AS status,
+  r.requested_at, r.notes, r.is_tech_transfer FROM x_product_requests r LEFT JOIN cmd c ON c.request_id = r.id"""
+
+C7 = K5_BASE + """
+, codes AS (SELECT product_code FROM x_product_tracking UNION ALL SELECT product_code FROM units),
+mx AS (SELECT left(product_code, length(product_code) - 4) AS lot, max(TRY_CAST(right(product_code, 4) AS INTEGER)) AS mx
+   FROM codes WHERE product_code IS NOT NULL AND length(product_code) > 4 GROUP BY 1)
+SELECT l.lot_number, CAST(COALESCE(mx.mx, 0) + 1 AS BIGINT) AS next_seq
+FROM (SELECT DISTINCT lot_number FROM x_product_requests WHERE status = 'Pending') l LEFT JOIN mx ON mx.lot = l.lot_number"""
+
+_G4 = _G["printed_pending_qc"]
+K6_BASE = f"""
+, g4 AS ({_G4}),
+cmd AS (SELECT DISTINCT id AS product_tracking_id, 1 + id % 10 AS inspected_by, CAST(500 + (id * 31) % 600 AS DECIMAL(6,2)) AS weight_grams,
+   CAST((id * 13) % 9 AS DECIMAL(6,3)) AS pressure_drop, id % 8 <> 0 AS visual_pass,
+   CASE WHEN id % 11 = 0 THEN 'Quarantine'
+        WHEN CAST((id * 13) % 9 AS DOUBLE) >= 6 THEN 'Waste'
+        WHEN CAST(500 + (id * 31) % 600 AS DOUBLE) > 0 AND (CAST(500 + (id * 31) % 600 AS DOUBLE) < COALESCE(CAST(average_weight_g AS DOUBLE), 0) - COALESCE(CAST(weight_buffer_g AS DOUBLE), 0)
+          OR CAST(500 + (id * 31) % 600 AS DOUBLE) > COALESCE(CAST(average_weight_g AS DOUBLE), 0) + COALESCE(CAST(weight_buffer_g AS DOUBLE), 0)) THEN 'B-Ware'
+        ELSE 'Passed' END AS inspection_result,
+   CASE WHEN id % 11 = 0 THEN 'held for review' END AS notes, [1 + id % 19, 1 + id % 19] AS reason_ids FROM g4),
+qc AS (SELECT CAST((SELECT max(id) FROM x_product_quality_control) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id, *
+   FROM cmd),
+unit AS (SELECT t.id AS tid, t.harvest_id, h.filament_mounting_id AS mount_id, f.lot_number
+   FROM x_product_tracking t JOIN x_product_harvest h ON h.id = t.harvest_id JOIN x_filament_mounting fm ON fm.id = h.filament_mounting_id
+   JOIN x_filaments f ON f.id = fm.filament_tracking_id),
+used AS (SELECT q.*, u.harvest_id, u.mount_id, u.lot_number FROM qc q JOIN unit u ON u.tid = q.product_tracking_id)
+"""
+
+K6_QC = K6_BASE + f"""
+SELECT id, product_tracking_id, inspected_by, {AS_OF_SQL} AS inspected_at, weight_grams, pressure_drop, visual_pass, inspection_result, notes
+FROM qc"""
+
+K6_REASONS = K6_BASE + """
+, l AS (SELECT DISTINCT id AS qc_id, unnest(reason_ids) AS reason_id FROM qc)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY qc_id, reason_id) AS BIGINT) AS id, qc_id, reason_id FROM l"""
+
+K6_USAGE = K6_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_material_usage) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id,
+  product_tracking_id, harvest_id, 'Filament' AS material_type, lot_number, CAST(weight_grams AS DECIMAL(10,2)) AS used_quantity,
+  {AS_OF_SQL} AS used_at, inspected_by AS used_by, CAST(NULL AS VARCHAR) AS reason FROM used"""
+
+K6_TRACK = K6_BASE + f"""
+, st AS (SELECT c.product_tracking_id, s.id AS sid FROM cmd c JOIN x_product_statuses s ON s.status_name =
+   CASE c.inspection_result WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
+        WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'Pending' END)
+SELECT {_tracking_select("CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'HarvestQCComplete') ELSE t.current_stage_id END",
+                         'CASE WHEN s.product_tracking_id IS NOT NULL THEN s.sid ELSE t.current_status_id END',
+                         'c.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id LEFT JOIN st s ON s.product_tracking_id = t.id"""
+
+K6_QUAR = K6_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_quarantined_products) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id,
+  product_tracking_id, (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'HarvestQCComplete') AS from_stage_id,
+  'Harvest QC' AS source, CAST(NULL AS BIGINT) AS location_id, {AS_OF_SQL} AS quarantine_date, inspected_by AS quarantined_by,
+  nullif(notes, '') AS quarantine_reason, 'Active' AS quarantine_status, CAST(NULL AS VARCHAR) AS result,
+  CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by
+FROM cmd WHERE inspection_result = 'Quarantine'"""
+
+K6_MOUNTS = K6_BASE + """
+, pm AS (SELECT mount_id, sum(weight_grams) AS w FROM used GROUP BY mount_id)
+SELECT fm.id, fm.filament_tracking_id, fm.printer_id, fm.mounted_by, fm.mounted_at, fm.unmounted_at, fm.unmounted_by,
+  CASE WHEN pm.w IS NOT NULL THEN CAST(fm.remaining_weight - pm.w AS DECIMAL(10,2)) ELSE fm.remaining_weight END AS remaining_weight,
+  fm.status
+FROM x_filament_mounting fm LEFT JOIN pm ON pm.mount_id = fm.id"""
+
+SQL.update({
+    "apply_harvest": K5_TRACK, "apply_harvest_usage": K5_USAGE, "apply_harvest_requests": K5_REQ, "next_seq_for_lot": C7,
+    "apply_qc": K6_QC, "apply_qc_reasons": K6_REASONS, "apply_qc_usage": K6_USAGE, "apply_qc_tracking": K6_TRACK,
+    "apply_qc_quarantine": K6_QUAR, "apply_qc_mounts": K6_MOUNTS,
+})

@@ -408,3 +408,164 @@ def resolution_commands(db) -> DataFrame:
     return inv.select("product_tracking_id", res.alias("resolution"),
                       F.when(c("product_tracking_id") % 2 == 0, F.lit("checked")).alias("comment"),
                       (F.lit(1) + c("product_tracking_id") % 10).alias("resolved_by"))
+
+
+# ---------------------------------------------------------------------------
+# K5 harvest, K6 harvest QC
+# ---------------------------------------------------------------------------
+
+USAGE_COLUMNS = ["id", "product_tracking_id", "harvest_id", "material_type", "lot_number", "used_quantity", "used_at",
+                 "used_by", "reason"]
+
+
+def next_product_id(tracking: DataFrame) -> int:
+    """Next unit business id: max + 1, 1000000 for an empty table."""
+    return C.next_id(tracking, "product_id", empty_start=1000000)
+
+
+def apply_harvest(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K5: command rows (request_id, filament_mount_id, printed_by, lid_id, seal_id) ->
+    one harvest and one unit per request (stage 1, status Pending, sku and type from the request,
+    tech-transfer flag copied, product code = lot + next 4-digit sequence of that lot), lid and seal
+    usage rows of one piece each, and the request marked Fulfilled."""
+    C.check_unique(commands, ["request_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    req = db.product_requests.select(c("id").alias("_rid"), c("sku_id").alias("_sku"), "lot_number",
+                                     c("is_tech_transfer").alias("_tt"))
+    cmd = commands.join(req, c("request_id") == c("_rid"))
+    harvest = C.assign_ids(cmd, ["request_id"], C.next_id(db.product_harvest), "harvest_id")
+    new_h = harvest.select(c("harvest_id").alias("id"), "request_id", "lid_id", "seal_id",
+                           c("filament_mount_id").alias("filament_mounting_id"), "printed_by",
+                           now.alias("print_date"))
+    # product codes: lot + (max existing sequence of the lot + rank of the request within the lot)
+    seq0 = C.next_seq_for_lot(db.product_tracking, harvest.select("lot_number"))
+    ranked = row_number_within_lot(harvest)
+    coded = (ranked.join(seq0, "lot_number")
+             .withColumn("product_code", X.product_code(c("lot_number"), c("next_seq") + c("_lot_rank") - 1)))
+    pending = db.product_statuses.where(c("status_name") == "Pending").agg(F.min("id").alias("_pending")).withColumn(
+        "_k", F.lit(1))
+    types = db.product_skus.select(c("id").alias("_sid"), c("product_type_id").alias("product_type_id"))
+    units = (coded.join(F.broadcast(types), c("_sku") == c("_sid"), "left")
+             .withColumn("_k", F.lit(1)).join(F.broadcast(pending), "_k"))
+    units = C.assign_ids(units, ["request_id"], C.next_id(db.product_tracking), "id")
+    units = units.withColumn("product_id", c("id") - F.lit(C.next_id(db.product_tracking)) +
+                             F.lit(next_product_id(db.product_tracking)))
+    new_t = units.select("id", "harvest_id", "product_id", "product_type_id", c("_sku").alias("sku_id"),
+                         c("_pending").alias("current_status_id"), F.lit(None).cast("long").alias("previous_stage_id"),
+                         F.lit(1).cast("long").alias("current_stage_id"), F.lit(None).cast("long").alias("location_id"),
+                         now.alias("last_updated_at"), "product_code", c("_tt").alias("was_tech_transfer"))
+    lids = db.lids.select(c("id").alias("_lid"), c("serial_number").alias("_lid_lot"))
+    seals = db.seals.select(c("id").alias("_seal"), c("serial_number").alias("_seal_lot"))
+    mats = (units.join(lids, c("lid_id") == c("_lid")).join(seals, c("seal_id") == c("_seal"))
+            .select(c("id").alias("product_tracking_id"), "harvest_id", "printed_by",
+                    F.explode(F.array(F.struct(F.lit("Lid").alias("material_type"), c("_lid_lot").alias("lot_number")),
+                                      F.struct(F.lit("Seal").alias("material_type"), c("_seal_lot").alias("lot_number"))))
+                    .alias("m")))
+    usage = mats.select("product_tracking_id", "harvest_id", "m.material_type", "m.lot_number",
+                        F.lit(1).cast("decimal(10,2)").alias("used_quantity"), now.alias("used_at"),
+                        c("printed_by").alias("used_by"), F.lit(None).cast("string").alias("reason"))
+    usage = C.assign_ids(usage, ["product_tracking_id", "material_type"], C.next_id(db.material_usage), "id").select(
+        *USAGE_COLUMNS)
+    done = commands.select(c("request_id").alias("_done"))
+    requests = (db.product_requests.join(done, c("id") == c("_done"), "left")
+                .withColumn("status", F.when(c("_done").isNotNull(), "Fulfilled").otherwise(c("status"))).drop("_done"))
+    return {"product_harvest": new_h, "product_tracking": new_t, "material_usage": usage,
+            "product_requests": requests}
+
+
+def row_number_within_lot(df: DataFrame) -> DataFrame:
+    from spooltrace.operators.ranking import row_number_within
+    return row_number_within(df, ["lot_number"], ["request_id"], col="_lot_rank")
+
+
+def harvest_commands(db) -> DataFrame:
+    """Command table for K5: every third pending request is printed on the best mount for its sku,
+    with the first PASS lid and seal batches."""
+    from spooltrace.plans.materials import request_mount_candidates
+    cand = request_mount_candidates(db).where(c("best_mount_id").isNotNull() & (c("request_id") % 3 == 0))
+    lid = (db.lids.where((c("qc_result") == "PASS") & (c("serial_number") != "LEGACY_LID"))
+           .agg(F.min("id").alias("lid_id")).withColumn("_k", F.lit(1)))
+    seal = (db.seals.where((c("qc_result") == "PASS") & (c("serial_number") != "LEGACY_SEAL"))
+            .agg(F.min("id").alias("seal_id")).withColumn("_k", F.lit(1)))
+    req = db.product_requests.select(c("id").alias("_r"), "requested_by")
+    return (cand.join(req, c("request_id") == c("_r"))
+            .withColumn("_k", F.lit(1)).join(F.broadcast(lid), "_k").join(F.broadcast(seal), "_k")
+            .select("request_id", c("best_mount_id").alias("filament_mount_id"), c("requested_by").alias("printed_by"),
+                    "lid_id", "seal_id"))
+
+
+QC_COLUMNS = ["id", "product_tracking_id", "inspected_by", "inspected_at", "weight_grams", "pressure_drop",
+              "visual_pass", "inspection_result", "notes"]
+
+
+def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K6: command rows (product_tracking_id, inspected_by, weight_grams, pressure_drop, visual_pass,
+    inspection_result, notes, reason_ids) -> QC rows, distinct reason links, one filament usage row
+    (the spool lot of the unit's mount, quantity = measured weight), stage HarvestQCComplete with
+    history, a 'Harvest QC' quarantine row for 'Quarantine' results, the business status, and every
+    mount's remaining weight reduced by the weight of its units inspected here."""
+    C.check_unique(commands, ["product_tracking_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    qc = commands.select("product_tracking_id", "inspected_by", now.alias("inspected_at"),
+                         c("weight_grams").cast("decimal(6,2)").alias("weight_grams"),
+                         c("pressure_drop").cast("decimal(6,3)").alias("pressure_drop"), "visual_pass",
+                         "inspection_result", "notes", "reason_ids")
+    qc = C.assign_ids(qc, ["product_tracking_id"], C.next_id(db.product_quality_control), "id")
+    links = qc.select(c("id").alias("qc_id"), F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
+    links = C.assign_ids(links, ["qc_id", "reason_id"], 1, "id").select("id", "qc_id", "reason_id")
+    unit = (db.product_tracking.select(c("id").alias("_t"), c("harvest_id").alias("_h"))
+            .join(db.product_harvest.select(c("id").alias("_hid"), c("filament_mounting_id").alias("_m")),
+                  c("_h") == c("_hid"))
+            .join(db.filament_mounting.select(c("id").alias("_mid"), c("filament_tracking_id").alias("_f")),
+                  c("_m") == c("_mid"))
+            .join(db.filaments.select(c("id").alias("_fid"), c("lot_number").alias("_lot")), c("_f") == c("_fid")))
+    used = qc.join(unit, c("product_tracking_id") == c("_t"))
+    usage = used.select("product_tracking_id", c("_h").alias("harvest_id"), F.lit("Filament").alias("material_type"),
+                        c("_lot").alias("lot_number"), c("weight_grams").cast("decimal(10,2)").alias("used_quantity"),
+                        now.alias("used_at"), c("inspected_by").alias("used_by"), F.lit(None).cast("string").alias("reason"))
+    usage = C.assign_ids(usage, ["product_tracking_id"], C.next_id(db.material_usage), "id").select(*USAGE_COLUMNS)
+    stage = _stage_id(db, "HarvestQCComplete")
+    cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Harvest QC Complete").alias("reason"),
+                   c("inspected_by").alias("user_id")))
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
+    quar = (commands.where(c("inspection_result") == "Quarantine").withColumn("_k", F.lit(1))
+            .join(F.broadcast(stage), "_k")
+            .select("product_tracking_id", c("_stage").alias("from_stage_id"), F.lit("Harvest QC").alias("source"),
+                    F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
+                    c("inspected_by").alias("quarantined_by"), F.nullif(c("notes"), F.lit("")).alias("quarantine_reason"),
+                    F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
+                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
+    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
+        *QUARANTINE_COLUMNS)
+    status = commands.select("product_tracking_id",
+                             X.business_status(c("inspection_result"), "Pending").alias("status_name"))
+    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
+    per_mount = used.groupBy(c("_m").alias("_mount")).agg(F.sum("weight_grams").alias("_w"))
+    fm = db.filament_mounting
+    mounts = (fm.join(per_mount, fm.id == per_mount._mount, "left")
+              .withColumn("remaining_weight", F.when(c("_w").isNotNull(),
+                                                     (c("remaining_weight") - c("_w")).cast("decimal(10,2)"))
+                          .otherwise(c("remaining_weight")))
+              .drop("_mount", "_w"))
+    return {"product_quality_control": qc.select(*QC_COLUMNS), "product_quality_control_reasons": links,
+            "material_usage": usage, "product_tracking": tracking,
+            "product_status_history": moved["product_status_history"], "quarantined_products": quar,
+            "filament_mounting": mounts}
+
+
+def qc_commands(db) -> DataFrame:
+    """Command table for K6: every printed unit awaiting QC is measured (weight and pressure from its id);
+    the result follows the harvest QC rule, every 11th unit is quarantined instead."""
+    from spooltrace.plans.operations import printed_pending_qc
+    u = printed_pending_qc(db)
+    w = (F.lit(500) + (c("id") * 31) % 600).cast("decimal(6,2)")
+    p = ((c("id") * 13) % 9).cast("decimal(6,3)")
+    res = F.when(c("id") % 11 == 0, F.lit("Quarantine")).otherwise(
+        X.harvest_qc_rule(w, p, c("average_weight_g"), c("weight_buffer_g")))
+    return u.select("id").distinct().join(u.select(c("id").alias("_i"), "average_weight_g", "weight_buffer_g").distinct(),
+                                          c("id") == c("_i")).select(
+        c("id").alias("product_tracking_id"), (F.lit(1) + c("id") % 10).alias("inspected_by"), w.alias("weight_grams"),
+        p.alias("pressure_drop"), (c("id") % 8 != 0).alias("visual_pass"), res.alias("inspection_result"),
+        F.when(c("id") % 11 == 0, F.lit("held for review")).alias("notes"),
+        F.array((F.lit(1) + c("id") % 19), (F.lit(1) + c("id") % 19)).cast("array<bigint>").alias("reason_ids"))

@@ -195,6 +195,20 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["new_batch_products"],
     })
 
+    def harvest(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_harvest(db, K.harvest_commands(db), AS_OF)
+
+    def next_seq_after_harvest(spark, sf):
+        from spooltrace.operators.merge import next_seq_for_lot
+        db = Tables(spark, sf)
+        units = harvest(spark, sf)["product_tracking"]
+        return next_seq_for_lot(units, db.product_requests.where("status = 'Pending'"))
+
+    def qc(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_qc(db, K.qc_commands(db), AS_OF)
+
     def stage_change(spark, sf):
         db = Tables(spark, sf)
         return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
@@ -232,6 +246,16 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["quarantined_products"],
         "apply_quarantine_resolution_tracking": lambda spark, sf: K.apply_quarantine_resolution(
             Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
+        "apply_harvest": lambda spark, sf: harvest(spark, sf)["product_tracking"],
+        "apply_harvest_usage": lambda spark, sf: harvest(spark, sf)["material_usage"],
+        "apply_harvest_requests": lambda spark, sf: harvest(spark, sf)["product_requests"],
+        "next_seq_for_lot": lambda spark, sf: next_seq_after_harvest(spark, sf),
+        "apply_qc": lambda spark, sf: qc(spark, sf)["product_quality_control"],
+        "apply_qc_reasons": lambda spark, sf: qc(spark, sf)["product_quality_control_reasons"],
+        "apply_qc_usage": lambda spark, sf: qc(spark, sf)["material_usage"],
+        "apply_qc_tracking": lambda spark, sf: qc(spark, sf)["product_tracking"],
+        "apply_qc_quarantine": lambda spark, sf: qc(spark, sf)["quarantined_products"],
+        "apply_qc_mounts": lambda spark, sf: qc(spark, sf)["filament_mounting"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
