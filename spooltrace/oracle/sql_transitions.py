@@ -403,3 +403,127 @@ SQL.update({
     "apply_qc": K6_QC, "apply_qc_reasons": K6_REASONS, "apply_qc_usage": K6_USAGE, "apply_qc_tracking": K6_TRACK,
     "apply_qc_quarantine": K6_QUAR, "apply_qc_mounts": K6_MOUNTS,
 })
+
+K8_BASE = f"""
+, cand AS (SELECT DISTINCT id, sku FROM ({_G['treatment_candidates']}) g
+   WHERE id NOT IN (SELECT product_tracking_id FROM x_treatment_batch_products)),
+heads AS (SELECT sku AS batch_key, CAST((SELECT max(id) FROM x_treatment_batches) + ROW_NUMBER() OVER (ORDER BY sku) AS BIGINT) AS batch_id
+   FROM (SELECT DISTINCT sku FROM cand)),
+cmd AS (SELECT c.id AS product_tracking_id, h.batch_id, c.id % 4 <> 0 AS surface_treat, TRUE AS sterilize, c.sku
+   FROM cand c JOIN heads h ON h.batch_key = c.sku)
+"""
+
+K8_BATCHES = K8_BASE + f"""
+SELECT batch_id AS id, CAST(1 AS BIGINT) AS sent_by, {AS_OF_SQL} AS sent_at, CAST(NULL AS TIMESTAMP) AS received_at,
+  'batch ' || batch_key AS notes, 'Shipped' AS status FROM heads"""
+
+K8_LINKS = K8_BASE + """
+SELECT CAST((SELECT max(id) FROM x_treatment_batch_products) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id,
+  batch_id, product_tracking_id, surface_treat, sterilize FROM cmd"""
+
+K8_TRACK = K8_BASE + f"""
+SELECT {', '.join(
+    "CASE WHEN c.product_tracking_id IS NOT NULL THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id" if x == 'previous_stage_id' else
+    "CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'InTreatment') ELSE t.current_stage_id END AS current_stage_id" if x == 'current_stage_id' else
+    "CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_storage_locations WHERE location_name = 'Offsite') ELSE t.location_id END AS location_id" if x == 'location_id' else
+    f"CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at" if x == 'last_updated_at' else
+    't.' + x for x in TRACK_COLS)}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K9_BASE = f"""
+, units AS (SELECT pt.id, tbp.batch_id, tbp.surface_treat, tbp.sterilize, st.status_name, pt.current_stage_id,
+   pt.id % 6 <> 3 AS vis, pt.id % 17 = 0 AS quar
+   FROM x_treatment_batch_products tbp JOIN x_treatment_batches tb ON tbp.batch_id = tb.id AND tb.status = 'Shipped'
+   JOIN x_product_tracking pt ON tbp.product_tracking_id = pt.id LEFT JOIN x_product_statuses st ON pt.current_status_id = st.id),
+cmd AS (SELECT id AS product_tracking_id, batch_id, surface_treat, sterilize, current_stage_id,
+   CASE WHEN quar THEN TRUE ELSE vis END AS visual_pass,
+   CASE WHEN NOT COALESCE(sterilize, FALSE) OR NOT COALESCE(vis, FALSE) THEN 'Waste'
+        WHEN COALESCE(surface_treat, FALSE) AND NOT COALESCE(surface_treat, FALSE) THEN 'Waste'
+        WHEN COALESCE(quar, FALSE) THEN 'Quarantine'
+        WHEN status_name = 'A-Ware' AND COALESCE(surface_treat, FALSE) AND COALESCE(sterilize, FALSE) AND COALESCE(vis, FALSE) THEN 'Passed'
+        ELSE 'B-Ware' END AS qc_result FROM units)
+"""
+
+K9_INS = K9_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_post_treatment_inspections) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id,
+  product_tracking_id, CAST(1 AS BIGINT) AS inspected_by, {AS_OF_SQL} AS inspected_at, visual_pass, surface_treat AS surface_treated,
+  sterilize AS sterilized, qc_result, CAST(NULL AS VARCHAR) AS notes FROM cmd"""
+
+K9_QUAR = K9_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_quarantined_products) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id,
+  product_tracking_id, current_stage_id AS from_stage_id, 'Post-Treatment QC' AS source, CAST(NULL AS BIGINT) AS location_id,
+  {AS_OF_SQL} AS quarantine_date, CAST(1 AS BIGINT) AS quarantined_by, 'held after treatment' AS quarantine_reason,
+  'Active' AS quarantine_status, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS TIMESTAMP) AS resolved_at,
+  CAST(NULL AS BIGINT) AS resolved_by FROM cmd WHERE qc_result = 'Quarantine'"""
+
+K9_TRACK = K9_BASE + f"""
+, st AS (SELECT c.product_tracking_id, s.id AS sid FROM cmd c JOIN x_product_statuses s ON s.status_name =
+   CASE c.qc_result WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
+        WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'Pending' END)
+SELECT {_tracking_select("CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'PostTreatmentQC') ELSE t.current_stage_id END",
+                         'CASE WHEN s.product_tracking_id IS NOT NULL THEN s.sid ELSE t.current_status_id END',
+                         'c.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id LEFT JOIN st s ON s.product_tracking_id = t.id"""
+
+K9_BATCHES = K9_BASE + f"""
+SELECT b.id, b.sent_by, b.sent_at,
+  CASE WHEN b.id IN (SELECT batch_id FROM cmd) THEN {AS_OF_SQL} ELSE b.received_at END AS received_at, b.notes,
+  CASE WHEN b.id IN (SELECT batch_id FROM cmd) THEN 'Inspected' ELSE b.status END AS status
+FROM x_treatment_batches b"""
+
+K14_BASE = f"""
+, opts AS ({_G['shelf_options']}),
+asg AS (SELECT id AS product_tracking_id, min(location_id) AS location_id FROM opts GROUP BY id),
+asg2 AS (SELECT a.product_tracking_id, a.location_id, min(o.next_stage_code) AS stage_code FROM asg a
+   JOIN opts o ON o.id = a.product_tracking_id AND o.location_id = a.location_id GROUP BY a.product_tracking_id, a.location_id),
+cmd AS (SELECT a.*, s.id AS new_stage_id, CASE a.stage_code WHEN 'Quarantine' THEN 'Moved to Quarantine' WHEN 'Disposed' THEN 'Disposed'
+   ELSE 'Storage assignment' END AS reason FROM asg2 a JOIN x_lifecycle_stages s ON s.stage_code = a.stage_code)
+"""
+
+K14_TRACK = K14_BASE + f"""
+SELECT {', '.join(
+    "CASE WHEN c.product_tracking_id IS NOT NULL THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id" if x == 'previous_stage_id' else
+    "CASE WHEN c.product_tracking_id IS NOT NULL THEN c.new_stage_id ELSE t.current_stage_id END AS current_stage_id" if x == 'current_stage_id' else
+    "CASE WHEN c.product_tracking_id IS NOT NULL AND c.location_id IS NOT NULL THEN c.location_id ELSE t.location_id END AS location_id" if x == 'location_id' else
+    f"CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at" if x == 'last_updated_at' else
+    't.' + x for x in TRACK_COLS)}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K14_HIST = K14_BASE + f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY t.id) AS BIGINT) AS id, t.id AS product_tracking_id, t.current_stage_id AS from_stage_id,
+  c.new_stage_id AS to_stage_id, c.reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at
+FROM x_product_tracking t JOIN cmd c ON c.product_tracking_id = t.id"""
+
+K18_BASE = """
+, cmd AS (SELECT id AS shipment_id, 'shipped' AS action, CASE WHEN id % 2 = 0 THEN 'UPS' ELSE 'DHL' END AS carrier,
+   'TRK' || CAST(id AS VARCHAR) AS tracking_number FROM x_shipments WHERE status = 'Pending'
+   UNION ALL SELECT id, 'delivered', NULL, NULL FROM x_shipments WHERE status = 'Shipped' AND id % 2 = 0),
+units AS (SELECT si.product_tracking_id FROM x_shipment_unit_items si JOIN cmd c ON c.shipment_id = si.shipment_id AND c.action = 'shipped')
+"""
+
+K18_SHIP = K18_BASE + f"""
+SELECT s.id, s.customer_id, s.order_id, s.creator_id, s.created_date,
+  CASE WHEN c.action = 'shipped' THEN {AS_OF_SQL} ELSE s.ship_date END AS ship_date,
+  CASE WHEN c.action = 'delivered' THEN {AS_OF_SQL} ELSE s.delivery_date END AS delivery_date,
+  CASE c.action WHEN 'shipped' THEN 'Shipped' WHEN 'delivered' THEN 'Delivered' ELSE s.status END AS status,
+  CASE WHEN c.action IS NOT NULL THEN {AS_OF_SQL} ELSE s.updated_at END AS updated_at, s.updated_by,
+  CASE WHEN c.action = 'shipped' THEN c.tracking_number ELSE s.tracking_number END AS tracking_number,
+  CASE WHEN c.action = 'shipped' THEN c.carrier ELSE s.carrier END AS carrier, s.notes
+FROM x_shipments s LEFT JOIN cmd c ON c.shipment_id = s.id"""
+
+K18_TRACK = K18_BASE + f"""
+SELECT {', '.join(
+    "CASE WHEN u.product_tracking_id IS NOT NULL THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id" if x == 'previous_stage_id' else
+    "CASE WHEN u.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Shipped') ELSE t.current_stage_id END AS current_stage_id" if x == 'current_stage_id' else
+    "CASE WHEN u.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_storage_locations WHERE location_name = 'Offsite') ELSE t.location_id END AS location_id" if x == 'location_id' else
+    f"CASE WHEN u.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at" if x == 'last_updated_at' else
+    't.' + x for x in TRACK_COLS)}
+FROM x_product_tracking t LEFT JOIN units u ON u.product_tracking_id = t.id"""
+
+SQL.update({
+    "apply_treatment_batch": K8_BATCHES, "apply_treatment_batch_links": K8_LINKS, "apply_treatment_batch_tracking": K8_TRACK,
+    "apply_post_treatment_qc": K9_INS, "apply_post_treatment_qc_tracking": K9_TRACK,
+    "apply_post_treatment_qc_quarantine": K9_QUAR, "apply_post_treatment_qc_batches": K9_BATCHES,
+    "apply_storage": K14_TRACK, "apply_storage_history": K14_HIST,
+    "apply_shipment_status": K18_SHIP, "apply_shipment_status_tracking": K18_TRACK,
+})

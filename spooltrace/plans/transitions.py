@@ -569,3 +569,193 @@ def qc_commands(db) -> DataFrame:
         p.alias("pressure_drop"), (c("id") % 8 != 0).alias("visual_pass"), res.alias("inspection_result"),
         F.when(c("id") % 11 == 0, F.lit("held for review")).alias("notes"),
         F.array((F.lit(1) + c("id") % 19), (F.lit(1) + c("id") % 19)).cast("array<bigint>").alias("reason_ids"))
+
+
+# ---------------------------------------------------------------------------
+# K8 treatment batch, K9 post-treatment QC, K14 storage, K18 shipment status
+# ---------------------------------------------------------------------------
+
+def _location_id(db, name: str) -> DataFrame:
+    return db.storage_locations.where(c("location_name") == name).agg(F.min("id").alias("_loc")).withColumn(
+        "_k", F.lit(1))
+
+
+def apply_treatment_batch(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K8: command rows (batch_key, sent_by, notes, product_tracking_id, surface_treat, sterilize) ->
+    one 'Shipped' batch per batch key, its unit links, and every unit moved to InTreatment at Offsite."""
+    C.check_unique(commands, ["product_tracking_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    heads = commands.groupBy("batch_key").agg(F.min("sent_by").alias("sent_by"), F.min("notes").alias("notes"))
+    heads = C.assign_ids(heads, ["batch_key"], C.next_id(db.treatment_batches), "batch_id")
+    batches = heads.select(c("batch_id").alias("id"), "sent_by", now.alias("sent_at"),
+                           F.lit(None).cast("timestamp_ntz").alias("received_at"), "notes", F.lit("Shipped").alias("status"))
+    links = commands.join(heads.select("batch_key", "batch_id"), "batch_key")
+    links = C.assign_ids(links, ["product_tracking_id"], C.next_id(db.treatment_batch_products), "id").select(
+        "id", "batch_id", "product_tracking_id", c("surface_treat").cast("boolean"), c("sterilize").cast("boolean"))
+    stage = _stage_id(db, "InTreatment")
+    off = _location_id(db, "Offsite")
+    cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k").join(F.broadcast(off), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                   F.lit("Sent for Treatment (batch creation)").alias("reason"), c("sent_by").alias("user_id"),
+                   c("_loc").alias("location_id")))
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
+    return {"treatment_batches": batches, "treatment_batch_products": links, **moved}
+
+
+def treatment_batch_commands(db) -> DataFrame:
+    """Command table for K8: units approved for treatment and in no batch, batched per sku."""
+    from spooltrace.plans.operations import treatment_candidates
+    cand = treatment_candidates(db).select("id", "sku").distinct()
+    free = cand.join(db.treatment_batch_products.select(c("product_tracking_id").alias("_t")), c("id") == c("_t"),
+                     "left_anti")
+    return free.select(c("sku").alias("batch_key"), F.lit(1).cast("long").alias("sent_by"),
+                       F.concat(F.lit("batch "), c("sku")).alias("notes"), c("id").alias("product_tracking_id"),
+                       (c("id") % 4 != 0).alias("surface_treat"), F.lit(True).alias("sterilize"))
+
+
+PTI_COLUMNS = ["id", "product_tracking_id", "inspected_by", "inspected_at", "visual_pass", "surface_treated",
+               "sterilized", "qc_result", "notes"]
+
+
+def apply_post_treatment_qc(db, commands: DataFrame, inspected_by: int, as_of: str,
+                            batch_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """K9: command rows (product_tracking_id, surface_treat, sterilize, visual_pass, qc_result, notes,
+    quarantine_reason, reason_ids) -> inspections, distinct reason links, 'Post-Treatment QC' quarantine
+    rows for 'Quarantine' results, stage PostTreatmentQC with history, business status; batches in
+    ``batch_ids`` become Inspected (received now)."""
+    C.check_unique(commands, ["product_tracking_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    ins = commands.select("product_tracking_id", F.lit(inspected_by).cast("long").alias("inspected_by"),
+                          now.alias("inspected_at"), "visual_pass", c("surface_treat").alias("surface_treated"),
+                          c("sterilize").alias("sterilized"), "qc_result", "notes", "reason_ids")
+    ins = C.assign_ids(ins, ["product_tracking_id"], C.next_id(db.post_treatment_inspections), "id")
+    links = ins.select(c("id").alias("inspection_id"), F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
+    links = C.assign_ids(links, ["inspection_id", "reason_id"], 1, "id").select("id", "inspection_id", "reason_id")
+    t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
+    quar = (commands.where(c("qc_result") == "Quarantine").join(t, c("product_tracking_id") == c("_tid"))
+            .select("product_tracking_id", "from_stage_id", F.lit("Post-Treatment QC").alias("source"),
+                    F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
+                    F.lit(inspected_by).cast("long").alias("quarantined_by"),
+                    F.nullif(c("quarantine_reason"), F.lit("")).alias("quarantine_reason"),
+                    F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
+                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
+    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
+        *QUARANTINE_COLUMNS)
+    stage = _stage_id(db, "PostTreatmentQC")
+    cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                   F.lit("Post-Treatment QC Complete").alias("reason"), F.lit(inspected_by).cast("long").alias("user_id")))
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
+    status = commands.select("product_tracking_id", X.business_status(c("qc_result"), "Pending").alias("status_name"))
+    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
+    out = {"post_treatment_inspections": ins.select(*PTI_COLUMNS), "post_treatment_inspection_reasons": links,
+           "quarantined_products": quar, "product_tracking": tracking,
+           "product_status_history": moved["product_status_history"]}
+    if batch_ids is not None:
+        done = batch_ids.select(c("batch_id").alias("_b")).distinct()
+        b = db.treatment_batches.join(done, c("id") == c("_b"), "left")
+        out["treatment_batches"] = (b.withColumn("status", F.when(c("_b").isNotNull(), "Inspected").otherwise(c("status")))
+                                    .withColumn("received_at", F.when(c("_b").isNotNull(), now).otherwise(c("received_at")))
+                                    .drop("_b"))
+    return out
+
+
+def post_treatment_commands(db) -> DataFrame:
+    """Command table for K9: units of batches out for treatment, judged by the treatment QC rule."""
+    units = (db.treatment_batch_products.alias("tbp")
+             .join(db.treatment_batches.where(c("status") == "Shipped").alias("tb"), c("tbp.batch_id") == c("tb.id"))
+             .join(db.product_tracking.alias("pt"), c("tbp.product_tracking_id") == c("pt.id"))
+             .join(db.product_statuses.alias("st"), c("pt.current_status_id") == c("st.id"), "left"))
+    vis = c("pt.id") % 6 != 3
+    quar = c("pt.id") % 17 == 0
+    res = X.treatment_qc_rule(c("st.status_name"), c("tbp.surface_treat"), c("tbp.surface_treat"), c("tbp.sterilize"),
+                              quar, vis)
+    return units.select(c("pt.id").alias("product_tracking_id"), c("tbp.batch_id").alias("batch_id"),
+                        c("tbp.surface_treat").alias("surface_treat"), c("tbp.sterilize").alias("sterilize"),
+                        F.when(quar, F.lit(True)).otherwise(vis).alias("visual_pass"), res.alias("qc_result"),
+                        F.lit(None).cast("string").alias("notes"),
+                        F.when(res == "Quarantine", F.lit("held after treatment")).alias("quarantine_reason"),
+                        F.array(F.lit(1) + c("pt.id") % 19).cast("array<bigint>").alias("reason_ids"))
+
+
+def apply_storage(db, assignments: DataFrame, user_id: int, as_of: str, update_stage: bool = True) -> dict[str, DataFrame]:
+    """Assignments (product_tracking_id, location_id, stage_code) -> active quarantine rows of units
+    sent to Quarantine take the location; with ``update_stage`` units move to the stage at the location
+    ('Moved to Quarantine' / 'Disposed' / 'Storage assignment')."""
+    C.check_unique(assignments, ["product_tracking_id"])
+    q = db.quarantined_products
+    qa = assignments.where(c("stage_code") == "Quarantine").select(c("product_tracking_id").alias("_p"),
+                                                                   c("location_id").alias("_l"))
+    jq = q.join(qa, (q.product_tracking_id == qa._p) & (q.quarantine_status == "Active"), "left")
+    new_q = jq.select(*[F.coalesce(c("_l"), q[x]).alias(x) if x == "location_id" else q[x] for x in q.columns])
+    out = {"quarantined_products": new_q}
+    if update_stage:
+        ids = db.lifecycle_stages.select(c("stage_code").alias("_code"), c("id").alias("new_stage_id"))
+        cmd = (assignments.join(F.broadcast(ids), c("stage_code") == c("_code"))
+               .select("product_tracking_id", "new_stage_id", "location_id",
+                       F.when(c("stage_code") == "Quarantine", "Moved to Quarantine")
+                        .when(c("stage_code") == "Disposed", "Disposed").otherwise("Storage assignment").alias("reason"),
+                       F.lit(user_id).cast("long").alias("user_id")))
+        out.update(apply_stage_change(db.product_tracking, cmd, as_of))
+    return out
+
+
+def storage_assignments(db) -> DataFrame:
+    """Command table for K14: every unit needing storage after harvest QC goes to its first allowed shelf."""
+    from spooltrace.plans.operations import needs_storage_harvest, shelf_options
+    opts = shelf_options(db, needs_storage_harvest(db), "Post-Harvest QC")
+    return opts.groupBy(c("id").alias("product_tracking_id")).agg(
+        F.min_by(F.struct("location_id", "next_stage_code"), F.struct("location_id", "next_stage_code")).alias("b")
+    ).select("product_tracking_id", c("b.location_id").alias("location_id"), c("b.next_stage_code").alias("stage_code"))
+
+
+def apply_shipment_status(db, commands: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+    """Command rows (shipment_id, action shipped|delivered, carrier, tracking_number) ->
+    shipped: status, ship date, carrier, tracking number, and its units to stage Shipped at Offsite;
+    delivered: status and delivery date."""
+    C.check_unique(commands, ["shipment_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    s = db.shipments
+    cm = commands.select(c("shipment_id").alias("_sid"), c("action").alias("_act"), c("carrier").alias("_car"),
+                         c("tracking_number").alias("_trk"))
+    j = s.join(cm, s.id == cm._sid, "left")
+    shp, dlv = c("_act") == "shipped", c("_act") == "delivered"
+    cols = []
+    for x in s.columns:
+        if x == "status":
+            cols.append(F.when(shp, "Shipped").when(dlv, "Delivered").otherwise(c(x)).alias(x))
+        elif x == "ship_date":
+            cols.append(F.when(shp, now).otherwise(c(x)).alias(x))
+        elif x == "delivery_date":
+            cols.append(F.when(dlv, now).otherwise(c(x)).alias(x))
+        elif x == "updated_at":
+            cols.append(F.when(shp | dlv, now).otherwise(c(x)).alias(x))
+        elif x == "carrier":
+            cols.append(F.when(shp, c("_car")).otherwise(c(x)).alias(x))
+        elif x == "tracking_number":
+            cols.append(F.when(shp, c("_trk")).otherwise(c(x)).alias(x))
+        else:
+            cols.append(c(x))
+    shipments = j.select(*cols)
+    units = (db.shipment_unit_items.join(commands.where(c("action") == "shipped").select(c("shipment_id").alias("_s")),
+                                         c("shipment_id") == c("_s"))
+             .select("product_tracking_id"))
+    stage = _stage_id(db, "Shipped")
+    off = _location_id(db, "Offsite")
+    cmd = (units.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k").join(F.broadcast(off), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Shipment sent").alias("reason"),
+                   F.lit(user_id).cast("long").alias("user_id"), c("_loc").alias("location_id")))
+    return {"shipments": shipments, **apply_stage_change(db.product_tracking, cmd, as_of)}
+
+
+def shipment_status_commands(db) -> DataFrame:
+    """Command table for K18: pending shipments are sent (carrier by id), every other shipped one is delivered."""
+    s = db.shipments
+    sent = s.where(c("status") == "Pending").select(
+        c("id").alias("shipment_id"), F.lit("shipped").alias("action"),
+        F.when(c("id") % 2 == 0, F.lit("UPS")).otherwise(F.lit("DHL")).alias("carrier"),
+        F.concat(F.lit("TRK"), c("id").cast("string")).alias("tracking_number"))
+    done = s.where((c("status") == "Shipped") & (c("id") % 2 == 0)).select(
+        c("id").alias("shipment_id"), F.lit("delivered").alias("action"), F.lit(None).cast("string").alias("carrier"),
+        F.lit(None).cast("string").alias("tracking_number"))
+    return sent.unionByName(done)

@@ -209,6 +209,23 @@ def queries() -> dict[str, Query]:
         db = Tables(spark, sf)
         return K.apply_qc(db, K.qc_commands(db), AS_OF)
 
+    def tbatch(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_treatment_batch(db, K.treatment_batch_commands(db), AS_OF)
+
+    def ptqc(spark, sf):
+        db = Tables(spark, sf)
+        cmd = K.post_treatment_commands(db)
+        return K.apply_post_treatment_qc(db, cmd.drop("batch_id"), 1, AS_OF, batch_ids=cmd.select("batch_id"))
+
+    def storage(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_storage(db, K.storage_assignments(db), 1, AS_OF)
+
+    def ship_status(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_shipment_status(db, K.shipment_status_commands(db), 1, AS_OF)
+
     def stage_change(spark, sf):
         db = Tables(spark, sf)
         return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
@@ -256,6 +273,17 @@ def queries() -> dict[str, Query]:
         "apply_qc_tracking": lambda spark, sf: qc(spark, sf)["product_tracking"],
         "apply_qc_quarantine": lambda spark, sf: qc(spark, sf)["quarantined_products"],
         "apply_qc_mounts": lambda spark, sf: qc(spark, sf)["filament_mounting"],
+        "apply_treatment_batch": lambda spark, sf: tbatch(spark, sf)["treatment_batches"],
+        "apply_treatment_batch_links": lambda spark, sf: tbatch(spark, sf)["treatment_batch_products"],
+        "apply_treatment_batch_tracking": lambda spark, sf: tbatch(spark, sf)["product_tracking"],
+        "apply_post_treatment_qc": lambda spark, sf: ptqc(spark, sf)["post_treatment_inspections"],
+        "apply_post_treatment_qc_tracking": lambda spark, sf: ptqc(spark, sf)["product_tracking"],
+        "apply_post_treatment_qc_quarantine": lambda spark, sf: ptqc(spark, sf)["quarantined_products"],
+        "apply_post_treatment_qc_batches": lambda spark, sf: ptqc(spark, sf)["treatment_batches"],
+        "apply_storage": lambda spark, sf: storage(spark, sf)["product_tracking"],
+        "apply_storage_history": lambda spark, sf: storage(spark, sf)["product_status_history"],
+        "apply_shipment_status": lambda spark, sf: ship_status(spark, sf)["shipments"],
+        "apply_shipment_status_tracking": lambda spark, sf: ship_status(spark, sf)["product_tracking"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
