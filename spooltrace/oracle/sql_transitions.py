@@ -527,3 +527,124 @@ SQL.update({
     "apply_storage": K14_TRACK, "apply_storage_history": K14_HIST,
     "apply_shipment_status": K18_SHIP, "apply_shipment_status_tracking": K18_TRACK,
 })
+
+from spooltrace.oracle import sql_sales as _H  # noqa: E402
+
+_AUDIT_START = "(SELECT max(id) FROM x_audit_log)"
+
+
+def _header_audit_sql(cmd: str, new_status: str, reason: str) -> str:
+    """Three audit rows per order (status, updated_by, updated_at), skipping unchanged text values."""
+    return f"""
+, hch AS (SELECT o.id AS record_id, 'status' AS field_name, o.status AS old_value, '{new_status}' AS new_value, 0 AS seq, c.user_id
+   FROM x_orders o JOIN ({cmd}) c ON c.order_id = o.id
+   UNION ALL SELECT o.id, 'updated_by', CAST(o.updated_by AS VARCHAR), CAST(c.user_id AS VARCHAR), 1, c.user_id
+   FROM x_orders o JOIN ({cmd}) c ON c.order_id = o.id
+   UNION ALL SELECT o.id, 'updated_at', strftime(o.updated_at, '%Y-%m-%d %H:%M:%S'), strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M:%S'), 2, c.user_id
+   FROM x_orders o JOIN ({cmd}) c ON c.order_id = o.id),
+haudit AS (SELECT CAST({_AUDIT_START} + ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id, 'orders' AS table_name,
+   record_id, field_name, COALESCE(old_value, 'None') AS old_value, COALESCE(new_value, 'None') AS new_value,
+   '{reason}' AS reason, CAST(user_id AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at
+   FROM hch WHERE COALESCE(old_value, 'None') <> COALESCE(new_value, 'None'))
+"""
+
+
+CANCEL_CMD = ("SELECT id AS order_id, 1 + customer_id % 10 AS user_id, 'customer request' AS notes FROM x_orders "
+              "WHERE status = 'Processing' AND id % 10 = 2")
+
+K16_CANCEL = f"""
+, cmd AS ({CANCEL_CMD})
+SELECT o.id, o.parent_order_id, o.customer_id, o.order_date, o.order_creator_id,
+  CASE WHEN c.order_id IS NOT NULL THEN 'Canceled' ELSE o.status END AS status,
+  CASE WHEN c.order_id IS NOT NULL THEN {AS_OF_SQL} ELSE o.updated_at END AS updated_at,
+  CASE WHEN c.order_id IS NOT NULL THEN CAST(c.user_id AS BIGINT) ELSE o.updated_by END AS updated_by,
+  CASE WHEN c.order_id IS NOT NULL THEN c.notes ELSE o.notes END AS notes
+FROM x_orders o LEFT JOIN cmd c ON c.order_id = o.id"""
+
+K16_CANCEL_AUDIT = _header_audit_sql(CANCEL_CMD, "Canceled", "Order request canceled") + " SELECT * FROM haudit"
+
+K16_DIFF_BASE = """
+, o AS (SELECT id FROM x_orders WHERE status = 'Processing' AND id % 10 = 1),
+d AS (SELECT i.order_id, i.product_sku_id, CAST(i.quantity + CASE WHEN i.product_sku_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS quantity
+   FROM x_order_items i JOIN o ON o.id = i.order_id WHERE i.product_sku_id NOT IN (3, 7)
+   UNION ALL SELECT id, CAST(7 AS BIGINT), CAST(2 AS BIGINT) FROM o),
+mine AS (SELECT i.* FROM x_order_items i WHERE i.order_id IN (SELECT id FROM o)),
+changed AS (SELECT m.id, m.order_id, m.product_sku_id, m.quantity AS old_q, d.quantity AS new_q FROM mine m JOIN d ON d.order_id = m.order_id
+   AND d.product_sku_id = m.product_sku_id WHERE m.quantity <> d.quantity),
+added AS (SELECT d.* FROM d WHERE d.quantity > 0 AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.order_id = d.order_id
+   AND m.product_sku_id = d.product_sku_id)),
+removed AS (SELECT m.* FROM mine m WHERE m.quantity <> 0 AND NOT EXISTS (SELECT 1 FROM d WHERE d.order_id = m.order_id
+   AND d.product_sku_id = m.product_sku_id)),
+new_items AS (SELECT CAST((SELECT max(id) FROM x_order_items) + ROW_NUMBER() OVER (ORDER BY order_id, product_sku_id) AS BIGINT) AS id,
+   order_id, product_sku_id, quantity FROM added)
+"""
+
+K16_DIFF = K16_DIFF_BASE + """
+SELECT i.id, i.order_id, i.product_sku_id, COALESCE(CAST(ch.new_q AS BIGINT), i.quantity) AS quantity
+FROM x_order_items i LEFT JOIN changed ch ON ch.order_id = i.order_id AND ch.product_sku_id = i.product_sku_id
+WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.order_id = i.order_id AND r.product_sku_id = i.product_sku_id)
+UNION ALL SELECT * FROM new_items"""
+
+K16_DIFF_AUDIT = K16_DIFF_BASE + f"""
+, a AS (SELECT id AS record_id, 'quantity' AS field_name, CAST(old_q AS VARCHAR) AS old_value, CAST(new_q AS VARCHAR) AS new_value,
+   'Sales order updated' AS reason FROM changed
+   UNION ALL SELECT id, 'quantity', 'None', CAST(quantity AS VARCHAR), 'Product item added to order' FROM new_items
+   UNION ALL SELECT id, 'Deleted', CAST(quantity AS VARCHAR), 'Yes', 'Removed from order' FROM removed)
+SELECT CAST({_AUDIT_START} + ROW_NUMBER() OVER (ORDER BY record_id, field_name, old_value, new_value) AS BIGINT) AS id,
+  'order_items' AS table_name,
+  record_id, field_name, old_value, new_value, reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM a"""
+
+K16_RECREATE_BASE = f"""
+, src AS (SELECT order_id FROM ({_H.CANCELED}) h WHERE order_id % 4 = 0),
+heads AS (SELECT CAST((SELECT max(id) FROM x_orders) + ROW_NUMBER() OVER (ORDER BY o.id) AS BIGINT) AS id, o.id AS parent_order_id,
+   o.customer_id, o.notes AS old_notes FROM x_orders o JOIN src ON src.order_id = o.id)
+"""
+
+K16_RECREATE = K16_RECREATE_BASE + f"""
+SELECT id, parent_order_id, customer_id, {AS_OF_SQL} AS order_date, CAST(1 AS BIGINT) AS order_creator_id, 'Processing' AS status,
+  CAST(NULL AS TIMESTAMP) AS updated_at, CAST(1 AS BIGINT) AS updated_by,
+  'Re-created from #' || CAST(parent_order_id AS VARCHAR) || CASE WHEN old_notes IS NOT NULL THEN ': ' || old_notes ELSE '' END AS notes
+FROM heads"""
+
+K16_RECREATE_ITEMS = K16_RECREATE_BASE + """
+SELECT CAST((SELECT max(id) FROM x_order_items) + ROW_NUMBER() OVER (ORDER BY h.id, i.product_sku_id) AS BIGINT) AS id, h.id AS order_id,
+  i.product_sku_id, i.quantity FROM x_order_items i JOIN heads h ON h.parent_order_id = i.order_id WHERE i.quantity > 0"""
+
+_FIFO = _H.FIFO
+K17_BASE = _FIFO + """
+, alloc AS (SELECT l.order_id, u.product_id FROM units u JOIN lines2 l ON l.sku_id = u.sku_id AND u.fifo_rank > l.run_start
+   AND u.fifo_rank <= l.run_end),
+short AS (SELECT DISTINCT order_id FROM lines2 WHERE greatest(least(run_end, n) - run_start, 0) < required_units),
+heads AS (SELECT CAST((SELECT max(id) FROM x_shipments) + ROW_NUMBER() OVER (ORDER BY o.id) AS BIGINT) AS shipment_id, o.id AS order_id,
+   o.customer_id FROM x_orders o WHERE o.status = 'Processing' AND o.id NOT IN (SELECT order_id FROM short))
+"""
+
+K17_SHIP = K17_BASE + f"""
+SELECT shipment_id AS id, customer_id, order_id, CAST(1 AS BIGINT) AS creator_id, {AS_OF_SQL} AS created_date,
+  CAST(NULL AS TIMESTAMP) AS ship_date, CAST(NULL AS TIMESTAMP) AS delivery_date, 'Pending' AS status, CAST(NULL AS TIMESTAMP) AS updated_at,
+  CAST(1 AS BIGINT) AS updated_by, CAST(NULL AS VARCHAR) AS tracking_number, CAST(NULL AS VARCHAR) AS carrier, '' AS notes FROM heads"""
+
+K17_UNITS = K17_BASE + """
+SELECT CAST((SELECT max(id) FROM x_shipment_unit_items) + ROW_NUMBER() OVER (ORDER BY a.product_id) AS BIGINT) AS id, h.shipment_id,
+  a.product_id AS product_tracking_id FROM alloc a JOIN heads h ON h.order_id = a.order_id"""
+
+_sku_body = _H.SQL["shipment_sku_items"].split("SELECT * FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) WHERE quantity > 0")[0]
+K17_SKU = _sku_body + """
+, heads AS (SELECT CAST((SELECT max(id) FROM x_shipments) + ROW_NUMBER() OVER (ORDER BY o.id) AS BIGINT) AS shipment_id, o.id AS order_id
+   FROM x_orders o WHERE o.status = 'Processing' AND o.id NOT IN (SELECT DISTINCT order_id FROM lines2
+     WHERE greatest(least(run_end, n) - run_start, 0) < required_units)),
+si AS (SELECT h.shipment_id, x.product_sku_id, x.quantity FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) x
+   JOIN heads h ON h.order_id = x.order_id WHERE x.quantity > 0)
+SELECT CAST(COALESCE((SELECT max(id) FROM x_shipment_sku_items), 0) + ROW_NUMBER() OVER (ORDER BY shipment_id, product_sku_id) AS BIGINT) AS id,
+  shipment_id, product_sku_id, quantity FROM si"""
+
+K17_AUDIT = K17_BASE + _header_audit_sql("SELECT order_id, 1 AS user_id FROM heads", "Completed", "Shipment created") + \
+    " SELECT * FROM haudit"
+
+SQL.update({
+    "apply_order_cancel": K16_CANCEL, "apply_order_cancel_audit": K16_CANCEL_AUDIT,
+    "apply_order_line_diff": K16_DIFF, "apply_order_line_diff_audit": K16_DIFF_AUDIT,
+    "apply_recreate_orders": K16_RECREATE, "apply_recreate_order_items": K16_RECREATE_ITEMS,
+    "apply_shipment": K17_SHIP, "apply_shipment_units": K17_UNITS, "apply_shipment_sku_items": K17_SKU,
+    "apply_shipment_orders_audit": K17_AUDIT,
+})

@@ -759,3 +759,182 @@ def shipment_status_commands(db) -> DataFrame:
         c("id").alias("shipment_id"), F.lit("delivered").alias("action"), F.lit(None).cast("string").alias("carrier"),
         F.lit(None).cast("string").alias("tracking_number"))
     return sent.unionByName(done)
+
+
+# ---------------------------------------------------------------------------
+# K16 orders, K17 shipments
+# ---------------------------------------------------------------------------
+
+ORDER_COLUMNS = ["id", "parent_order_id", "customer_id", "order_date", "order_creator_id", "status", "updated_at",
+                 "updated_by", "notes"]
+ITEM_COLUMNS = ["id", "order_id", "product_sku_id", "quantity"]
+
+
+def _ts_text(col):
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+
+
+def _header_audit(orders: DataFrame, cmds: DataFrame, new_status: str, reason: str, as_of: str,
+                  audit_start: int) -> DataFrame:
+    """Audit rows for (status, updated_by, updated_at) of order headers; unchanged values are skipped (K3)."""
+    j = orders.join(cmds.select(c("order_id").alias("_oid"), c("user_id").alias("_uid")), c("id") == c("_oid"))
+    changes = j.select(c("id").alias("record_id"), "_uid", F.explode(F.array(
+        F.struct(F.lit("status").alias("field_name"), c("status").alias("old_value"), F.lit(new_status).alias("new_value"),
+                 F.lit(0).alias("seq")),
+        F.struct(F.lit("updated_by").alias("field_name"), c("updated_by").cast("string").alias("old_value"),
+                 c("_uid").cast("string").alias("new_value"), F.lit(1).alias("seq")),
+        F.struct(F.lit("updated_at").alias("field_name"), _ts_text(c("updated_at")).alias("old_value"),
+                 _ts_text(F.lit(as_of).cast("timestamp_ntz")).alias("new_value"), F.lit(2).alias("seq")))).alias("ch"))
+    changes = changes.select("record_id", "ch.*", F.lit(reason).alias("reason"), c("_uid").alias("changed_by"))
+    return apply_field_changes(orders, "orders", changes, as_of, audit_start=audit_start, update=False)["audit_log"]
+
+
+def apply_order_cancel(db, cancels: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K16 (cancel): cancel rows (order_id, user_id, notes) -> three audit rows per order (status,
+    updated_by, updated_at) and the order set to Canceled with the new notes."""
+    C.check_unique(cancels, ["order_id"])
+    now = F.lit(as_of).cast("timestamp_ntz")
+    audit = _header_audit(db.orders, cancels, "Canceled", "Order request canceled", as_of, C.next_id(db.audit_log))
+    cm = cancels.select(c("order_id").alias("_oid"), c("user_id").alias("_uid"), c("notes").alias("_notes"))
+    o = db.orders.join(cm, c("id") == c("_oid"), "left")
+    hit = c("_oid").isNotNull()
+    orders = o.select(*[
+        F.when(hit, "Canceled").otherwise(c(x)).alias(x) if x == "status" else
+        F.when(hit, now).otherwise(c(x)).alias(x) if x == "updated_at" else
+        F.when(hit, c("_uid")).otherwise(c(x)).alias(x) if x == "updated_by" else
+        F.when(hit, c("_notes")).otherwise(c(x)).alias(x) if x == "notes" else c(x) for x in ORDER_COLUMNS])
+    return {"orders": orders, "audit_log": audit}
+
+
+def cancel_commands(db) -> DataFrame:
+    """Command table for K16 cancel: every tenth processing order (id ending in 2) is canceled."""
+    return db.orders.where((c("status") == "Processing") & (c("id") % 10 == 2)).select(
+        c("id").alias("order_id"), (F.lit(1) + c("customer_id") % 10).alias("user_id"),
+        F.lit("customer request").alias("notes"))
+
+
+def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+    """K16 (update): desired (order_id, product_sku_id, quantity) for the orders it names ->
+    changed lines updated, new positive lines added, lines of those orders missing from ``desired``
+    deleted; each with an audit row ('quantity' / 'quantity' from None / 'Deleted')."""
+    C.check_unique(desired, ["order_id", "product_sku_id"])
+    d = desired.where(c("quantity") >= 0)
+    orders_touched = desired.select(c("order_id").alias("_o")).distinct()
+    items = db.order_items
+    mine = items.join(orders_touched, c("order_id") == c("_o"), "left_semi")
+    j = mine.alias("i").join(d.alias("d"), (c("i.order_id") == c("d.order_id"))
+                             & (c("i.product_sku_id") == c("d.product_sku_id")), "full_outer")
+    changed = j.where(c("i.id").isNotNull() & c("d.order_id").isNotNull() & (c("i.quantity") != c("d.quantity")))
+    added = j.where(c("i.id").isNull() & (c("d.quantity") > 0))
+    removed = j.where(c("i.id").isNotNull() & c("d.order_id").isNull() & (c("i.quantity") != 0))
+    new_items = C.assign_ids(added.select(c("d.order_id").alias("order_id"), c("d.product_sku_id").alias("product_sku_id"),
+                                          c("d.quantity").cast("long").alias("quantity")),
+                             ["order_id", "product_sku_id"], C.next_id(items), "id").select(*ITEM_COLUMNS)
+    # lines are keyed by (order, sku): unique per order, unlike a possibly repeated line id
+    ch = changed.select(c("i.order_id").alias("_co"), c("i.product_sku_id").alias("_cs"), c("d.quantity").alias("_q"))
+    rm = removed.select(c("i.order_id").alias("_ro"), c("i.product_sku_id").alias("_rs"))
+    kept = (items.join(rm, (c("order_id") == c("_ro")) & (c("product_sku_id") == c("_rs")), "left_anti")
+            .join(ch, (c("order_id") == c("_co")) & (c("product_sku_id") == c("_cs")), "left")
+            .withColumn("quantity", F.coalesce(c("_q").cast("long"), c("quantity"))).drop("_co", "_cs", "_q"))
+    uid = F.lit(user_id).cast("long")
+    audit = (changed.select(c("i.id").alias("record_id"), F.lit("quantity").alias("field_name"),
+                            c("i.quantity").cast("string").alias("old_value"), c("d.quantity").cast("string").alias("new_value"),
+                            F.lit("Sales order updated").alias("reason"))
+             .unionByName(new_items.select(c("id").alias("record_id"), F.lit("quantity").alias("field_name"),
+                                           F.lit("None").alias("old_value"), c("quantity").cast("string").alias("new_value"),
+                                           F.lit("Product item added to order").alias("reason")))
+             .unionByName(removed.select(c("i.id").alias("record_id"), F.lit("Deleted").alias("field_name"),
+                                         c("i.quantity").cast("string").alias("old_value"), F.lit("Yes").alias("new_value"),
+                                         F.lit("Removed from order").alias("reason"))))
+    audit = audit.select(F.lit("order_items").alias("table_name"), "record_id", "field_name", "old_value", "new_value",
+                         "reason", uid.alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
+    audit = C.assign_ids(audit, ["record_id", "field_name", "old_value", "new_value"], C.next_id(db.audit_log),
+                         "id").select(*AUDIT_COLUMNS)
+    return {"order_items": kept.select(*ITEM_COLUMNS).unionByName(new_items), "audit_log": audit}
+
+
+def line_diff_commands(db) -> DataFrame:
+    """Command table for K16 update: orders with id ending in 1 change even-sku lines by +1, drop sku 3,
+    and ask for two units of sku 7."""
+    o = db.orders.where((c("status") == "Processing") & (c("id") % 10 == 1)).select(c("id").alias("_o"))
+    lines = (db.order_items.join(o, c("order_id") == c("_o"))
+             .where(~c("product_sku_id").isin(3, 7))
+             .select("order_id", "product_sku_id",
+                     (c("quantity") + F.when(c("product_sku_id") % 2 == 0, 1).otherwise(0)).cast("long").alias("quantity")))
+    extra = o.select(c("_o").alias("order_id"), F.lit(7).cast("long").alias("product_sku_id"),
+                     F.lit(2).cast("long").alias("quantity"))
+    return lines.unionByName(extra)
+
+
+def apply_recreate_orders(db, source_orders: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+    """K16 (re-create): canceled orders (order_id) -> new Processing orders for the same customer with the
+    old order as parent and a note prefix, carrying over the positive lines."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    old = db.orders.join(source_orders.select(c("order_id").alias("_src")), c("id") == c("_src"))
+    heads = C.assign_ids(old.select(c("id").alias("parent_order_id"), "customer_id", c("notes").alias("_old_notes")),
+                         ["parent_order_id"], C.next_id(db.orders), "id")
+    orders = heads.select("id", "parent_order_id", "customer_id", now.alias("order_date"),
+                          F.lit(user_id).cast("long").alias("order_creator_id"), F.lit("Processing").alias("status"),
+                          F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+                          F.lit(user_id).cast("long").alias("updated_by"),
+                          F.concat(F.lit("Re-created from #"), c("parent_order_id").cast("string"),
+                                   F.when(c("_old_notes").isNotNull(), F.concat(F.lit(": "), c("_old_notes")))
+                                   .otherwise(F.lit(""))).alias("notes"))
+    lines = (db.order_items.where(c("quantity") > 0)
+             .join(heads.select(c("id").alias("_new"), c("parent_order_id").alias("_p")), c("order_id") == c("_p"))
+             .select(c("_new").alias("order_id"), "product_sku_id", "quantity"))
+    lines = C.assign_ids(lines, ["order_id", "product_sku_id"], C.next_id(db.order_items), "id").select(*ITEM_COLUMNS)
+    return {"orders": orders, "order_items": lines}
+
+
+def recreate_commands(db) -> DataFrame:
+    """Command table for K16 re-create: every fourth re-creatable canceled order."""
+    from spooltrace.plans.sales import canceled_orders
+    return canceled_orders(db).where(c("order_id") % 4 == 0).select("order_id")
+
+
+SHIPMENT_COLUMNS = ["id", "customer_id", "order_id", "creator_id", "created_date", "ship_date", "delivery_date", "status",
+                    "updated_at", "updated_by", "tracking_number", "carrier", "notes"]
+
+
+def apply_shipment(db, as_of: str, user_id: int = 1) -> dict[str, DataFrame]:
+    """Every open order whose picking lines are all fully allocated by FIFO gets a Pending shipment with
+    its allocated units and per-sku quantities (H13); the units move to PendingShipment and the order is
+    Completed with three audit rows."""
+    from spooltrace.plans import sales as H
+    alloc, lines = H.fifo_allocate(db, as_of)
+    open_orders = db.orders.where(c("status") == "Processing").select(c("id").alias("order_id"), "customer_id")
+    short = lines.where(c("is_short")).select(c("order_id").alias("_s")).distinct()
+    ship_orders = open_orders.join(short, c("order_id") == c("_s"), "left_anti")
+    heads = C.assign_ids(ship_orders, ["order_id"], C.next_id(db.shipments), "shipment_id")
+    uid = F.lit(user_id).cast("long")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    shipments = heads.select(c("shipment_id").alias("id"), "customer_id", "order_id", uid.alias("creator_id"),
+                             now.alias("created_date"), F.lit(None).cast("timestamp_ntz").alias("ship_date"),
+                             F.lit(None).cast("timestamp_ntz").alias("delivery_date"), F.lit("Pending").alias("status"),
+                             F.lit(None).cast("timestamp_ntz").alias("updated_at"), uid.alias("updated_by"),
+                             F.lit(None).cast("string").alias("tracking_number"), F.lit(None).cast("string").alias("carrier"),
+                             F.lit("").alias("notes"))
+    units = alloc.join(heads.select("order_id", "shipment_id"), "order_id").select("shipment_id", c("product_id").alias(
+        "product_tracking_id"))
+    units = C.assign_ids(units, ["product_tracking_id"], C.next_id(db.shipment_unit_items), "id").select(
+        "id", "shipment_id", "product_tracking_id")
+    sku_items = (H.shipment_sku_items(db, as_of).join(heads.select("order_id", "shipment_id"), "order_id")
+                 .select("shipment_id", "product_sku_id", "quantity"))
+    sku_items = C.assign_ids(sku_items, ["shipment_id", "product_sku_id"], C.next_id(db.shipment_sku_items), "id").select(
+        "id", "shipment_id", "product_sku_id", "quantity")
+    stage = _stage_id(db, "PendingShipment")
+    cmd = (units.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Marked for Shipment").alias("reason"),
+                   uid.alias("user_id")))
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
+    done = heads.select("order_id", uid.alias("user_id"))
+    audit = _header_audit(db.orders, done, "Completed", "Shipment created", as_of, C.next_id(db.audit_log))
+    o = db.orders.join(done.select(c("order_id").alias("_oid")), c("id") == c("_oid"), "left")
+    hit = c("_oid").isNotNull()
+    orders = o.select(*[F.when(hit, "Completed").otherwise(c(x)).alias(x) if x == "status" else
+                        F.when(hit, now).otherwise(c(x)).alias(x) if x == "updated_at" else
+                        F.when(hit, uid).otherwise(c(x)).alias(x) if x == "updated_by" else c(x) for x in ORDER_COLUMNS])
+    return {"shipments": shipments, "shipment_unit_items": units, "shipment_sku_items": sku_items,
+            "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
+            "orders": orders, "audit_log": audit}

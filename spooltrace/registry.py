@@ -284,6 +284,22 @@ def queries() -> dict[str, Query]:
         "apply_storage_history": lambda spark, sf: storage(spark, sf)["product_status_history"],
         "apply_shipment_status": lambda spark, sf: ship_status(spark, sf)["shipments"],
         "apply_shipment_status_tracking": lambda spark, sf: ship_status(spark, sf)["product_tracking"],
+        "apply_order_cancel": lambda spark, sf: K.apply_order_cancel(
+            Tables(spark, sf), K.cancel_commands(Tables(spark, sf)), AS_OF)["orders"],
+        "apply_order_cancel_audit": lambda spark, sf: K.apply_order_cancel(
+            Tables(spark, sf), K.cancel_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_order_line_diff": lambda spark, sf: K.apply_order_line_diff(
+            Tables(spark, sf), K.line_diff_commands(Tables(spark, sf)), 1, AS_OF)["order_items"],
+        "apply_order_line_diff_audit": lambda spark, sf: K.apply_order_line_diff(
+            Tables(spark, sf), K.line_diff_commands(Tables(spark, sf)), 1, AS_OF)["audit_log"],
+        "apply_recreate_orders": lambda spark, sf: K.apply_recreate_orders(
+            Tables(spark, sf), K.recreate_commands(Tables(spark, sf)), 1, AS_OF)["orders"],
+        "apply_recreate_order_items": lambda spark, sf: K.apply_recreate_orders(
+            Tables(spark, sf), K.recreate_commands(Tables(spark, sf)), 1, AS_OF)["order_items"],
+        "apply_shipment": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["shipments"],
+        "apply_shipment_units": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["shipment_unit_items"],
+        "apply_shipment_sku_items": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["shipment_sku_items"],
+        "apply_shipment_orders_audit": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["audit_log"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
