@@ -648,3 +648,141 @@ SQL.update({
     "apply_shipment": K17_SHIP, "apply_shipment_units": K17_UNITS, "apply_shipment_sku_items": K17_SKU,
     "apply_shipment_orders_audit": K17_AUDIT,
 })
+
+_M2 = _M["mountable_filaments"]
+K19_MOUNT = f"""
+, m AS (SELECT id, max(weight_grams) AS weight_grams FROM ({_M2}) x WHERE id % 5 = 0 GROUP BY id)
+SELECT CAST((SELECT max(id) FROM x_filament_mounting) + ROW_NUMBER() OVER (ORDER BY id, 1 + id % 7) AS BIGINT) AS id,
+  id AS filament_tracking_id, 1 + id % 7 AS printer_id, 1 + id % 10 AS mounted_by, {AS_OF_SQL} AS mounted_at,
+  CAST(NULL AS TIMESTAMP) AS unmounted_at, CAST(NULL AS BIGINT) AS unmounted_by, CAST(weight_grams AS DECIMAL(10,2)) AS remaining_weight,
+  'In Use' AS status FROM m"""
+
+K19_UNMOUNT = f"""
+SELECT id, filament_tracking_id, printer_id, mounted_by, mounted_at,
+  CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN {AS_OF_SQL} ELSE unmounted_at END AS unmounted_at,
+  CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN 1 + id % 10 ELSE unmounted_by END AS unmounted_by,
+  remaining_weight, CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN 'Unmounted' ELSE status END AS status
+FROM x_filament_mounting"""
+
+K19_W_BASE = """
+, cmd AS (SELECT id AS filament_pk, CAST((id * 7) % 1000 + 0.5 AS DECIMAL(10,2)) AS new_weight FROM x_filaments WHERE id % 9 = 0),
+r AS (SELECT c.*, fm.id AS mid, fm.remaining_weight AS rw, f.weight_grams AS w FROM cmd c
+   LEFT JOIN x_filament_mounting fm ON fm.filament_tracking_id = c.filament_pk AND fm.status = 'In Use'
+   LEFT JOIN x_filaments f ON f.id = c.filament_pk),
+em AS (SELECT mid AS record_id, CAST(rw AS VARCHAR) AS old_value, CAST(new_weight AS VARCHAR) AS new_value FROM r
+   WHERE mid IS NOT NULL AND round(CAST(rw AS DOUBLE), 5) IS DISTINCT FROM round(CAST(new_weight AS DOUBLE), 5)),
+es AS (SELECT filament_pk AS record_id, CAST(w AS VARCHAR) AS old_value, CAST(new_weight AS VARCHAR) AS new_value FROM r
+   WHERE mid IS NULL AND w IS NOT NULL AND round(CAST(w AS DOUBLE), 5) IS DISTINCT FROM round(CAST(new_weight AS DOUBLE), 5))
+"""
+
+K19_W_AUDIT = K19_W_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id) AS BIGINT) AS id, 'filament_mounting' AS table_name,
+  record_id, 'remaining_weight' AS field_name, old_value, new_value, 'reweigh' AS reason, CAST(1 AS BIGINT) AS changed_by,
+  {AS_OF_SQL} AS changed_at FROM em
+UNION ALL
+SELECT CAST((SELECT max(id) FROM x_audit_log) + (SELECT count(*) FROM em) + ROW_NUMBER() OVER (ORDER BY record_id) AS BIGINT),
+  'filaments', record_id, 'weight_grams', old_value, new_value, 'reweigh', CAST(1 AS BIGINT), {AS_OF_SQL} FROM es"""
+
+K19_W_MOUNTS = K19_W_BASE + """
+SELECT fm.id, fm.filament_tracking_id, fm.printer_id, fm.mounted_by, fm.mounted_at, fm.unmounted_at, fm.unmounted_by,
+  COALESCE(CAST(em.new_value AS DECIMAL(10,2)), fm.remaining_weight) AS remaining_weight, fm.status
+FROM x_filament_mounting fm LEFT JOIN em ON em.record_id = fm.id"""
+
+K19_W_SPOOLS = K19_W_BASE + """
+SELECT f.id, f.filament_id, f.serial_number, f.lot_number, f.location_id,
+  COALESCE(CAST(es.new_value AS DECIMAL(10,2)), f.weight_grams) AS weight_grams, f.received_at, f.received_by, f.qc_result
+FROM x_filaments f LEFT JOIN es ON es.record_id = f.id"""
+
+K21_BASE = """
+, vis AS (SELECT id AS reason_id, reason_code, reason_label || ' (rev)' AS reason_label, category, default_outcome, severity,
+   id % 2 = 0 AS is_active FROM x_issue_reasons WHERE category = 'Visual'),
+ev AS (SELECT DISTINCT upper(event_type) AS t FROM events WHERE event_type IS NOT NULL),
+newr AS (SELECT CAST((SELECT max(id) FROM x_issue_reasons) + ROW_NUMBER() OVER (ORDER BY 'EVT_' || t) AS BIGINT) AS id,
+   'EVT_' || t AS reason_code, 'Event ' || lower(t) AS reason_label, 'General' AS category, CAST(NULL AS VARCHAR) AS default_outcome,
+   CAST(NULL AS BIGINT) AS severity, TRUE AS is_active FROM ev),
+reasons AS (SELECT r.id, COALESCE(v.reason_code, r.reason_code) AS reason_code,
+   CASE WHEN v.reason_id IS NOT NULL THEN v.reason_label ELSE r.reason_label END AS reason_label,
+   CASE WHEN v.reason_id IS NOT NULL THEN v.category ELSE r.category END AS category,
+   CASE WHEN v.reason_id IS NOT NULL THEN v.default_outcome ELSE r.default_outcome END AS default_outcome,
+   CASE WHEN v.reason_id IS NOT NULL THEN v.severity ELSE r.severity END AS severity,
+   CASE WHEN v.reason_id IS NOT NULL THEN v.is_active ELSE r.is_active END AS is_active
+   FROM x_issue_reasons r LEFT JOIN vis v ON v.reason_id = r.id
+   UNION ALL SELECT * FROM newr),
+wanted AS (SELECT DISTINCT v.reason_id, CAST(x.cid AS BIGINT) AS context_id FROM vis v, (VALUES (3), (4)) x(cid)
+   UNION SELECT id, CAST(4 AS BIGINT) FROM newr)
+"""
+
+K21_REASONS = K21_BASE + " SELECT * FROM reasons"
+K21_CTX = K21_BASE + """
+SELECT * FROM x_issue_reason_contexts WHERE reason_id NOT IN (SELECT reason_id FROM wanted)
+UNION ALL SELECT CAST((SELECT max(id) FROM x_issue_reason_contexts) + ROW_NUMBER() OVER (ORDER BY reason_id, context_id) AS BIGINT),
+  reason_id, context_id FROM wanted"""
+
+
+def _initials_sql(x: str) -> str:
+    """F18 in DuckDB: first two letters of the first and last word, 'Xx' form."""
+    def part(w: str) -> str:
+        letters = f"regexp_replace({w}, '[^\\p{{L}}]', '', 'g')"
+        raw = f"CASE WHEN length({letters}) = 1 THEN {letters} || {letters} ELSE left({letters}, 2) END"
+        return (f"CASE WHEN length({letters}) = 0 THEN 'Xx' ELSE upper(substr({raw}, 1, 1)) || lower(substr({raw}, 2, 1)) END")
+    parts = f"regexp_split_to_array(trim({x}), '\\s+')"
+    return (f"CASE WHEN {x} IS NULL OR trim({x}) = '' THEN 'XxXx' ELSE {part(f'{parts}[1]')} || {part(f'{parts}[-1]')} END")
+
+
+def _login(round_no: int) -> str:
+    cond = "WHERE s_suppkey % 2 = 0" if round_no == 2 else ""
+    name = "'Anna Maria ' || s_name" if round_no == 2 else "s_name"
+    return (f"SELECT 'oid-' || CAST(s_suppkey AS VARCHAR) AS oid, 'user' || CAST(s_suppkey AS VARCHAR) || '@plant.example' AS upn, "
+            f"CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE {name} END AS display_name FROM supplier {cond}")
+
+
+def _users_round(prev: str, login: str, name: str) -> str:
+    nm = _initials_sql("COALESCE(nullif(display_name, ''), nullif(upn, ''), 'User')")
+    src = f"(SELECT oid, nullif(upn, '') AS upn, {nm} AS nm FROM ({login}) l)"
+    return f"""
+{name} AS (SELECT u.id, CASE WHEN s.oid IS NOT NULL THEN s.nm ELSE u.display_name END AS display_name, u.department_id,
+   CASE WHEN s.oid IS NOT NULL THEN TRUE ELSE u.is_active END AS is_active, u.azure_ad_object_id,
+   CASE WHEN s.oid IS NOT NULL THEN s.upn ELSE u.user_principal_name END AS user_principal_name
+   FROM {prev} u LEFT JOIN {src} s ON s.oid = u.azure_ad_object_id
+   UNION ALL SELECT CAST((SELECT max(id) FROM {prev}) + ROW_NUMBER() OVER (ORDER BY s.oid) AS BIGINT), s.nm,
+     CAST(COALESCE((SELECT min(id) FROM x_departments WHERE department_code = 'GEN'), (SELECT min(id) FROM x_departments WHERE is_active)) AS BIGINT),
+     TRUE, s.oid, s.upn FROM {src} s WHERE s.oid NOT IN (SELECT azure_ad_object_id FROM {prev} WHERE azure_ad_object_id IS NOT NULL))"""
+
+
+K22 = ", " + _users_round("x_users", _login(1), "u1") + ", " + _users_round("u1", _login(2), "u2") + " SELECT * FROM u2"
+
+K23_LIDS_BASE = """
+, cmd AS (SELECT trim(' LID' || CAST(min(p_partkey) % 150 AS VARCHAR) || ' ') AS serial_number, 100 + count(*) AS quantity,
+   1 + min(p_partkey) % 25 AS location_id FROM part GROUP BY p_brand),
+dup AS (SELECT serial_number FROM cmd GROUP BY serial_number HAVING count(*) > 1)
+"""
+K23_LIDS = K23_LIDS_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_lids) + ROW_NUMBER() OVER (ORDER BY serial_number) AS BIGINT) AS id, serial_number,
+  CAST(quantity AS BIGINT) AS quantity, CAST(location_id AS BIGINT) AS location_id, {AS_OF_SQL} AS received_at,
+  CAST(1 AS BIGINT) AS received_by, 'PASS' AS qc_result
+FROM cmd WHERE serial_number NOT IN (SELECT serial_number FROM x_lids) AND serial_number NOT IN (SELECT serial_number FROM dup)"""
+K23_LIDS_REJ = K23_LIDS_BASE + """
+SELECT serial_number, 'exists' AS why FROM cmd WHERE serial_number IN (SELECT serial_number FROM x_lids)
+UNION ALL SELECT serial_number, 'repeated' FROM dup"""
+
+K23_CUST_BASE = """
+, n AS (SELECT trim(' Account ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR)) AS customer_name
+   FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+   UNION ALL SELECT trim(c_name) FROM customer WHERE c_custkey % 97 = 0),
+n2 AS (SELECT * FROM n WHERE customer_name <> ''),
+dup AS (SELECT customer_name FROM n2 GROUP BY customer_name HAVING count(*) > 1)
+"""
+K23_CUST = K23_CUST_BASE + """
+SELECT CAST((SELECT max(id) FROM x_customers) + ROW_NUMBER() OVER (ORDER BY customer_name) AS BIGINT) AS id, customer_name FROM n2
+WHERE customer_name NOT IN (SELECT customer_name FROM x_customers) AND customer_name NOT IN (SELECT customer_name FROM dup)"""
+K23_CUST_REJ = K23_CUST_BASE + """
+SELECT customer_name, 'exists' AS why FROM n2 WHERE customer_name IN (SELECT customer_name FROM x_customers)
+UNION ALL SELECT customer_name, 'repeated' FROM dup"""
+
+SQL.update({
+    "apply_mount": K19_MOUNT, "apply_unmount": K19_UNMOUNT, "apply_weight_update": K19_W_AUDIT,
+    "apply_weight_update_mounts": K19_W_MOUNTS, "apply_weight_update_spools": K19_W_SPOOLS,
+    "apply_reasons": K21_REASONS, "apply_reason_contexts": K21_CTX, "apply_users": K22,
+    "apply_new_lids": K23_LIDS, "apply_new_lids_rejected": K23_LIDS_REJ,
+    "apply_new_customers": K23_CUST, "apply_new_customers_rejected": K23_CUST_REJ,
+})

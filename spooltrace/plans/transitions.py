@@ -938,3 +938,202 @@ def apply_shipment(db, as_of: str, user_id: int = 1) -> dict[str, DataFrame]:
     return {"shipments": shipments, "shipment_unit_items": units, "shipment_sku_items": sku_items,
             "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
             "orders": orders, "audit_log": audit}
+
+
+# ---------------------------------------------------------------------------
+# K19 mounts, K21 reasons, K22 users, K23 materials
+# ---------------------------------------------------------------------------
+
+MOUNT_COLUMNS = ["id", "filament_tracking_id", "printer_id", "mounted_by", "mounted_at", "unmounted_at", "unmounted_by",
+                 "remaining_weight", "status"]
+
+
+def apply_mount(db, commands: DataFrame, as_of: str) -> DataFrame:
+    """K19 (mount): rows (filament_tracking_id, printer_id, mounted_by, weight_grams) -> new 'In Use' mounts."""
+    rows = commands.select("filament_tracking_id", "printer_id", "mounted_by",
+                           F.lit(as_of).cast("timestamp_ntz").alias("mounted_at"),
+                           F.lit(None).cast("timestamp_ntz").alias("unmounted_at"),
+                           F.lit(None).cast("long").alias("unmounted_by"),
+                           c("weight_grams").cast("decimal(10,2)").alias("remaining_weight"), F.lit("In Use").alias("status"))
+    return C.assign_ids(rows, ["filament_tracking_id", "printer_id"], C.next_id(db.filament_mounting), "id").select(
+        *MOUNT_COLUMNS)
+
+
+def mount_commands(db) -> DataFrame:
+    """Command table for K19 mount: every fifth mountable spool goes on a printer chosen from its id."""
+    from spooltrace.plans.materials import mountable_filaments
+    m = mountable_filaments(db).where(c("id") % 5 == 0).groupBy("id").agg(F.max("weight_grams").alias("weight_grams"))
+    return m.select(c("id").alias("filament_tracking_id"), (F.lit(1) + c("id") % 7).alias("printer_id"),
+                    (F.lit(1) + c("id") % 10).alias("mounted_by"), "weight_grams")
+
+
+def apply_unmount(mounting: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
+    """K19 (unmount): rows (mount_id, user_id) -> mounts set Unmounted with time and user."""
+    cm = commands.select(c("mount_id").alias("_m"), c("user_id").alias("_u"))
+    j = mounting.join(cm, c("id") == c("_m"), "left")
+    hit = c("_m").isNotNull()
+    return j.select(*[F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(c(x)).alias(x) if x == "unmounted_at" else
+                      F.when(hit, c("_u")).otherwise(c(x)).alias(x) if x == "unmounted_by" else
+                      F.when(hit, "Unmounted").otherwise(c(x)).alias(x) if x == "status" else c(x)
+                      for x in MOUNT_COLUMNS])
+
+
+def unmount_commands(db) -> DataFrame:
+    """Command table for K19 unmount: open mounts with id = 1 mod 4."""
+    return db.filament_mounting.where(c("unmounted_at").isNull() & (c("id") % 4 == 1)).select(
+        c("id").alias("mount_id"), (F.lit(1) + c("id") % 10).alias("user_id"))
+
+
+def apply_weight_update(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K19 (weight): rows (filament_pk, new_weight, reason, user_id) -> the 'In Use' mount's remaining weight
+    when the spool has one, else the spool's weight; audited (numeric compare, unchanged skipped)."""
+    C.check_unique(commands, ["filament_pk"])
+    fm = db.filament_mounting.where(c("status") == "In Use").select(c("id").alias("_mid"), c("filament_tracking_id").alias("_f"),
+                                                                     c("remaining_weight").alias("_rw"))
+    routed = commands.join(fm, c("filament_pk") == c("_f"), "left")
+    to_mount = routed.where(c("_mid").isNotNull()).select(
+        c("_mid").alias("record_id"), F.lit("remaining_weight").alias("field_name"), c("_rw").cast("string").alias("old_value"),
+        c("new_weight").cast("string").alias("new_value"), "reason", c("user_id").alias("changed_by"))
+    f = db.filaments.select(c("id").alias("_fid"), c("weight_grams").alias("_w"))
+    to_spool = (routed.where(c("_mid").isNull()).join(f, c("filament_pk") == c("_fid"))
+                .select(c("_fid").alias("record_id"), F.lit("weight_grams").alias("field_name"),
+                        c("_w").cast("string").alias("old_value"), c("new_weight").cast("string").alias("new_value"),
+                        "reason", c("user_id").alias("changed_by")))
+    start = C.next_id(db.audit_log)
+    m = apply_field_changes(db.filament_mounting, "filament_mounting", to_mount, as_of, audit_start=start)
+    n_m = m["audit_log"].count()
+    s = apply_field_changes(db.filaments, "filaments", to_spool, as_of, audit_start=start + n_m)
+    return {"filament_mounting": m["filament_mounting"], "filaments": s["filaments"],
+            "audit_log": m["audit_log"].unionByName(s["audit_log"])}
+
+
+def weight_commands(db) -> DataFrame:
+    """Command table for K19 weight: every ninth spool is re-weighed (value from its id)."""
+    return db.filaments.where(c("id") % 9 == 0).select(
+        c("id").alias("filament_pk"), ((c("id") * 7) % 1000 + F.lit(0.5)).cast("decimal(10,2)").alias("new_weight"),
+        F.lit("reweigh").alias("reason"), F.lit(1).cast("long").alias("user_id"))
+
+
+REASON_COLUMNS = ["id", "reason_code", "reason_label", "category", "default_outcome", "severity", "is_active"]
+
+
+def apply_reasons(db, upserts: DataFrame, contexts: DataFrame) -> dict[str, DataFrame]:
+    """Upserts (reason_id or NULL, reason_code, reason_label, category, default_outcome, severity,
+    is_active) update by id or insert; contexts (reason_code, context_id) replace the context set of every
+    reason they name (duplicates dropped)."""
+    r = db.issue_reasons
+    upd = upserts.where(c("reason_id").isNotNull())
+    C.check_unique(upd, ["reason_id"])
+    u = upd.select(c("reason_id").alias("_id"), *[c(x).alias(f"_n_{x}") for x in REASON_COLUMNS if x != "id"])
+    j = r.join(u, c("id") == c("_id"), "left")
+    hit = c("_id").isNotNull()
+    updated = j.select(*[c(x) if x == "id" else F.when(hit, c(f"_n_{x}")).otherwise(c(x)).alias(x) for x in REASON_COLUMNS])
+    new = upserts.where(c("reason_id").isNull()).drop("reason_id")
+    new = C.assign_ids(new, ["reason_code"], C.next_id(r), "id").select(*REASON_COLUMNS)
+    reasons = updated.unionByName(new)
+    ids = reasons.select(c("id").alias("reason_id"), c("reason_code").alias("_code"))
+    wanted = contexts.join(ids, c("reason_code") == c("_code")).select("reason_id", "context_id").distinct()
+    touched = wanted.select(c("reason_id").alias("_r")).distinct()
+    kept = db.issue_reason_contexts.join(touched, c("reason_id") == c("_r"), "left_anti")
+    added = C.assign_ids(wanted, ["reason_id", "context_id"], C.next_id(db.issue_reason_contexts), "id").select(
+        "id", "reason_id", "context_id")
+    return {"issue_reasons": reasons, "issue_reason_contexts": kept.unionByName(added)}
+
+
+def reason_commands(db) -> tuple[DataFrame, DataFrame]:
+    """Command tables for K21: relabel and deactivate the visual reasons, add one reason per event type seen
+    in the events table, and set their contexts (AdHoc only for new reasons, Quarantine+AdHoc for relabelled)."""
+    vis = db.issue_reasons.where(c("category") == "Visual").select(
+        c("id").alias("reason_id"), "reason_code", F.concat(c("reason_label"), F.lit(" (rev)")).alias("reason_label"),
+        "category", "default_outcome", "severity", (c("id") % 2 == 0).alias("is_active"))
+    ev = db.src("events").select(F.upper(c("event_type")).alias("t")).where(c("t").isNotNull()).distinct()
+    new = ev.select(F.lit(None).cast("long").alias("reason_id"), F.concat(F.lit("EVT_"), c("t")).alias("reason_code"),
+                    F.concat(F.lit("Event "), F.lower(c("t"))).alias("reason_label"), F.lit("General").alias("category"),
+                    F.lit(None).cast("string").alias("default_outcome"), F.lit(None).cast("long").alias("severity"),
+                    F.lit(True).alias("is_active"))
+    ups = vis.unionByName(new)
+    ctx = (vis.select("reason_code", F.explode(F.array(F.lit(3).cast("long"), F.lit(4).cast("long"),
+                                                       F.lit(4).cast("long"))).alias("context_id"))
+           .unionByName(new.select("reason_code", F.lit(4).cast("long").alias("context_id"))))
+    return ups, ctx
+
+
+USER_COLUMNS = ["id", "display_name", "department_id", "is_active", "azure_ad_object_id", "user_principal_name"]
+
+
+def apply_users(db, users: DataFrame, logins: DataFrame) -> DataFrame:
+    """Sign-ins (oid, upn, display_name) -> users upserted by directory id; the display name becomes the
+    initials form (F18) of the display name, else the principal name, else 'User'; new users go to department
+    GEN, else the first active department."""
+    C.check_unique(logins, ["oid"])
+    src = logins.select(c("oid").alias("_oid"), F.nullif(c("upn"), F.lit("")).alias("_upn"),
+                        X.name_initials(F.coalesce(F.nullif(c("display_name"), F.lit("")), F.nullif(c("upn"), F.lit("")),
+                                                   F.lit("User"))).alias("_name"))
+    j = users.join(src, c("azure_ad_object_id") == c("_oid"), "left")
+    hit = c("_oid").isNotNull()
+    updated = j.select(*[F.when(hit, c("_name")).otherwise(c(x)).alias(x) if x == "display_name" else
+                         F.when(hit, c("_upn")).otherwise(c(x)).alias(x) if x == "user_principal_name" else
+                         F.when(hit, F.lit(True)).otherwise(c(x)).alias(x) if x == "is_active" else c(x)
+                         for x in USER_COLUMNS])
+    dept = db.departments.agg(F.coalesce(F.min(F.when(c("department_code") == "GEN", c("id"))),
+                                         F.min(F.when(c("is_active"), c("id")))).alias("_dept")).withColumn("_k", F.lit(1))
+    new = (src.join(users.select(c("azure_ad_object_id").alias("_e")), c("_oid") == c("_e"), "left_anti")
+           .withColumn("_k", F.lit(1)).join(F.broadcast(dept), "_k"))
+    new = C.assign_ids(new, ["_oid"], C.next_id(users), "id").select(
+        "id", c("_name").alias("display_name"), c("_dept").cast("long").alias("department_id"), F.lit(True).alias("is_active"),
+        c("_oid").alias("azure_ad_object_id"), c("_upn").alias("user_principal_name"))
+    return updated.unionByName(new)
+
+
+def login_commands(db, round_no: int) -> DataFrame:
+    """Sign-in table for K22: one sign-in per supplier in round 1; in round 2 every other one signs in again
+    with a changed name."""
+    s = db.src("supplier").where("s_suppkey % 2 = 0" if round_no == 2 else "TRUE")
+    name = F.concat(F.lit("Anna Maria "), c("s_name")) if round_no == 2 else c("s_name")
+    return s.select(F.concat(F.lit("oid-"), c("s_suppkey").cast("string")).alias("oid"),
+                    F.concat(F.lit("user"), c("s_suppkey").cast("string"), F.lit("@plant.example")).alias("upn"),
+                    F.when(c("s_suppkey") % 5 == 0, F.lit(None)).otherwise(name).alias("display_name"))
+
+
+def apply_new_lids(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K23 (lids): rows (serial_number, quantity, location_id, received_by, qc_result) -> new lid batches with a
+    trimmed serial; serials already present (or repeated in the input) are rejected into a report."""
+    cm = commands.withColumn("serial_number", F.trim(c("serial_number")))
+    dup_in = cm.groupBy("serial_number").count().where(c("count") > 1).select("serial_number")
+    existing = db.lids.select("serial_number")
+    rejected = (cm.join(existing, "serial_number", "left_semi").select("serial_number", F.lit("exists").alias("why"))
+                .unionByName(dup_in.select("serial_number", F.lit("repeated").alias("why"))))
+    ok = cm.join(existing, "serial_number", "left_anti").join(dup_in, "serial_number", "left_anti")
+    new = C.assign_ids(ok.select("serial_number", c("quantity").cast("long"), c("location_id").cast("long"),
+                                 F.lit(as_of).cast("timestamp_ntz").alias("received_at"), c("received_by").cast("long"),
+                                 "qc_result"), ["serial_number"], C.next_id(db.lids), "id")
+    return {"lids": new.select(*db.lids.columns), "rejected": rejected}
+
+
+def lid_commands(db) -> DataFrame:
+    """Command table for K23: a delivery per part brand; some serials clash with existing lids."""
+    p = db.src("part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"), F.count(F.lit(1)).alias("n"))
+    return p.select(F.concat(F.lit(" LID"), (c("k") % 150).cast("string"), F.lit(" ")).alias("serial_number"),
+                    (F.lit(100) + c("n")).alias("quantity"), (F.lit(1) + c("k") % 25).alias("location_id"),
+                    F.lit(1).alias("received_by"), F.lit("PASS").alias("qc_result"))
+
+
+def apply_new_customers(db, names: DataFrame) -> dict[str, DataFrame]:
+    """K23 (customers): names -> new customers (trimmed, non-blank); existing or repeated names rejected."""
+    n = names.select(F.trim(c("customer_name")).alias("customer_name")).where(c("customer_name") != "")
+    dup_in = n.groupBy("customer_name").count().where(c("count") > 1).select("customer_name")
+    existing = db.customers.select("customer_name")
+    ok = n.join(existing, "customer_name", "left_anti").join(dup_in, "customer_name", "left_anti")
+    new = C.assign_ids(ok, ["customer_name"], C.next_id(db.customers), "id").select("id", "customer_name")
+    rejected = (n.join(existing, "customer_name", "left_semi").select("customer_name", F.lit("exists").alias("why"))
+                .unionByName(dup_in.select("customer_name", F.lit("repeated").alias("why"))))
+    return {"customers": new, "rejected": rejected}
+
+
+def customer_commands(db) -> DataFrame:
+    """Command table for K23 customers: one new account per nation and market segment, plus re-sent names."""
+    c1 = (db.src("customer").select("c_nationkey", "c_mktsegment").distinct()
+          .select(F.concat(F.lit(" Account "), c("c_mktsegment"), F.lit(" "), c("c_nationkey").cast("string")).alias(
+              "customer_name")))
+    c2 = db.src("customer").where("c_custkey % 97 = 0").select(c("c_name").alias("customer_name"))
+    return c1.unionByName(c2)

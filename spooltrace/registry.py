@@ -226,6 +226,11 @@ def queries() -> dict[str, Query]:
         db = Tables(spark, sf)
         return K.apply_shipment_status(db, K.shipment_status_commands(db), 1, AS_OF)
 
+    def users_two_rounds(spark, sf):
+        db = Tables(spark, sf)
+        first = K.apply_users(db, db.users, K.login_commands(db, 1)).checkpoint(eager=True)
+        return K.apply_users(db, first, K.login_commands(db, 2))
+
     def stage_change(spark, sf):
         db = Tables(spark, sf)
         return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
@@ -300,6 +305,28 @@ def queries() -> dict[str, Query]:
         "apply_shipment_units": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["shipment_unit_items"],
         "apply_shipment_sku_items": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["shipment_sku_items"],
         "apply_shipment_orders_audit": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["audit_log"],
+        "apply_mount": lambda spark, sf: K.apply_mount(Tables(spark, sf), K.mount_commands(Tables(spark, sf)), AS_OF),
+        "apply_unmount": lambda spark, sf: K.apply_unmount(
+            Tables(spark, sf).filament_mounting, K.unmount_commands(Tables(spark, sf)), AS_OF),
+        "apply_weight_update": lambda spark, sf: K.apply_weight_update(
+            Tables(spark, sf), K.weight_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_weight_update_mounts": lambda spark, sf: K.apply_weight_update(
+            Tables(spark, sf), K.weight_commands(Tables(spark, sf)), AS_OF)["filament_mounting"],
+        "apply_weight_update_spools": lambda spark, sf: K.apply_weight_update(
+            Tables(spark, sf), K.weight_commands(Tables(spark, sf)), AS_OF)["filaments"],
+        "apply_reasons": lambda spark, sf: K.apply_reasons(Tables(spark, sf), *K.reason_commands(Tables(spark, sf)))[
+            "issue_reasons"],
+        "apply_reason_contexts": lambda spark, sf: K.apply_reasons(
+            Tables(spark, sf), *K.reason_commands(Tables(spark, sf)))["issue_reason_contexts"],
+        "apply_users": lambda spark, sf: users_two_rounds(spark, sf),
+        "apply_new_lids": lambda spark, sf: K.apply_new_lids(Tables(spark, sf), K.lid_commands(Tables(spark, sf)),
+                                                              AS_OF)["lids"],
+        "apply_new_lids_rejected": lambda spark, sf: K.apply_new_lids(
+            Tables(spark, sf), K.lid_commands(Tables(spark, sf)), AS_OF)["rejected"],
+        "apply_new_customers": lambda spark, sf: K.apply_new_customers(
+            Tables(spark, sf), K.customer_commands(Tables(spark, sf)))["customers"],
+        "apply_new_customers_rejected": lambda spark, sf: K.apply_new_customers(
+            Tables(spark, sf), K.customer_commands(Tables(spark, sf)))["rejected"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
