@@ -786,3 +786,81 @@ SQL.update({
     "apply_new_lids": K23_LIDS, "apply_new_lids_rejected": K23_LIDS_REJ,
     "apply_new_customers": K23_CUST, "apply_new_customers_rejected": K23_CUST_REJ,
 })
+
+K7_BASE = f"""
+, ed AS (SELECT id AS qc_id, product_tracking_id, 'inspection_result' AS field_name, inspection_result AS old_value,
+   CASE inspection_result WHEN 'Passed' THEN 'B-Ware' WHEN 'B-Ware' THEN 'Quarantine' WHEN 'Quarantine' THEN 'Waste'
+     WHEN 'Waste' THEN 'Passed' END AS new_value FROM x_product_quality_control WHERE id % 13 = 0
+   UNION ALL SELECT id, product_tracking_id, 'notes', notes, 'rechecked' FROM x_product_quality_control WHERE id % 13 = 1),
+ed2 AS (SELECT *, 'QC correction' AS reason, 1 + qc_id % 10 AS user_id FROM ed),
+eff AS (SELECT * FROM ed2 WHERE COALESCE(old_value, 'None') <> COALESCE(new_value, 'None')),
+hits AS (SELECT product_tracking_id, new_value AS result, reason, user_id FROM eff WHERE field_name = 'inspection_result'),
+st AS (SELECT h.product_tracking_id, s.id AS sid FROM hits h JOIN x_product_statuses s ON s.status_name =
+   CASE h.result WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
+     WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'A-Ware' END),
+q AS (SELECT * FROM hits WHERE result = 'Quarantine')
+"""
+
+K7_QC = K7_BASE + """
+SELECT qc.id, qc.product_tracking_id, qc.inspected_by, qc.inspected_at, qc.weight_grams, qc.pressure_drop, qc.visual_pass,
+  COALESCE(er.new_value, qc.inspection_result) AS inspection_result,
+  CASE WHEN en.qc_id IS NOT NULL THEN en.new_value ELSE qc.notes END AS notes
+FROM x_product_quality_control qc
+LEFT JOIN eff er ON er.qc_id = qc.id AND er.field_name = 'inspection_result'
+LEFT JOIN eff en ON en.qc_id = qc.id AND en.field_name = 'notes'"""
+
+K7_AUDIT = K7_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY qc_id, field_name) AS BIGINT) AS id,
+  'product_quality_control' AS table_name, qc_id AS record_id, field_name, COALESCE(old_value, 'None') AS old_value,
+  COALESCE(new_value, 'None') AS new_value, reason, CAST(user_id AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM eff"""
+
+K7_TRACK = K7_BASE + f"""
+SELECT {', '.join(
+    "CASE WHEN q.product_tracking_id IS NOT NULL THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id" if x == 'previous_stage_id' else
+    "CASE WHEN q.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Quarantine') ELSE t.current_stage_id END AS current_stage_id" if x == 'current_stage_id' else
+    "CASE WHEN s.product_tracking_id IS NOT NULL THEN s.sid ELSE t.current_status_id END AS current_status_id" if x == 'current_status_id' else
+    f"CASE WHEN s.product_tracking_id IS NOT NULL OR q.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at" if x == 'last_updated_at' else
+    't.' + x for x in TRACK_COLS)}
+FROM x_product_tracking t LEFT JOIN st s ON s.product_tracking_id = t.id LEFT JOIN q ON q.product_tracking_id = t.id"""
+
+K7_QUAR = K7_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_quarantined_products) + ROW_NUMBER() OVER (ORDER BY q.product_tracking_id) AS BIGINT) AS id,
+  q.product_tracking_id, t.current_stage_id AS from_stage_id, 'Harvest QC' AS source, CAST(NULL AS BIGINT) AS location_id,
+  {AS_OF_SQL} AS quarantine_date, CAST(q.user_id AS BIGINT) AS quarantined_by, nullif(q.reason, '') AS quarantine_reason,
+  'Active' AS quarantine_status, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS TIMESTAMP) AS resolved_at,
+  CAST(NULL AS BIGINT) AS resolved_by
+FROM q JOIN x_product_tracking t ON t.id = q.product_tracking_id"""
+
+K20_BASE = """
+, meas AS (SELECT t.sku_id, round(avg(CAST(q.weight_grams AS DOUBLE)), 2) AS avg_w FROM x_product_quality_control q
+   JOIN x_product_tracking t ON q.product_tracking_id = t.id GROUP BY t.sku_id),
+cmd AS (SELECT m.sku_id, COALESCE(sp.height_mm, CAST(100 AS DECIMAL(7,2))) AS height_mm,
+   COALESCE(sp.diameter_mm, CAST(50 AS DECIMAL(7,2))) AS diameter_mm, CAST(m.avg_w AS DECIMAL(7,2)) AS average_weight_g,
+   COALESCE(sp.weight_buffer_g, CAST(5 AS DECIMAL(4,2))) AS weight_buffer_g FROM meas m LEFT JOIN x_product_print_specs sp ON sp.sku_id = m.sku_id)
+"""
+
+K20_SPECS = K20_BASE + """
+SELECT sp.sku_id, COALESCE(c.height_mm, sp.height_mm) AS height_mm, COALESCE(c.diameter_mm, sp.diameter_mm) AS diameter_mm,
+  COALESCE(c.average_weight_g, sp.average_weight_g) AS average_weight_g, COALESCE(c.weight_buffer_g, sp.weight_buffer_g) AS weight_buffer_g
+FROM x_product_print_specs sp LEFT JOIN cmd c ON c.sku_id = sp.sku_id
+UNION ALL SELECT c.sku_id, c.height_mm, c.diameter_mm, c.average_weight_g, c.weight_buffer_g FROM cmd c
+WHERE c.sku_id NOT IN (SELECT sku_id FROM x_product_print_specs)"""
+
+K20_AUDIT = K20_BASE + f"""
+, ch AS (SELECT c.sku_id AS record_id, f.field_name, f.seq,
+   CASE f.field_name WHEN 'height_mm' THEN CAST(sp.height_mm AS VARCHAR) WHEN 'diameter_mm' THEN CAST(sp.diameter_mm AS VARCHAR)
+     WHEN 'average_weight_g' THEN CAST(sp.average_weight_g AS VARCHAR) ELSE CAST(sp.weight_buffer_g AS VARCHAR) END AS old_value,
+   CASE f.field_name WHEN 'height_mm' THEN CAST(c.height_mm AS VARCHAR) WHEN 'diameter_mm' THEN CAST(c.diameter_mm AS VARCHAR)
+     WHEN 'average_weight_g' THEN CAST(c.average_weight_g AS VARCHAR) ELSE CAST(c.weight_buffer_g AS VARCHAR) END AS new_value
+   FROM cmd c LEFT JOIN x_product_print_specs sp ON sp.sku_id = c.sku_id,
+   (VALUES ('height_mm', 0), ('diameter_mm', 1), ('average_weight_g', 2), ('weight_buffer_g', 3)) f(field_name, seq)),
+eff AS (SELECT * FROM ch WHERE round(TRY_CAST(old_value AS DOUBLE), 5) IS DISTINCT FROM round(TRY_CAST(new_value AS DOUBLE), 5))
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id,
+  'product_print_specs' AS table_name, record_id, field_name, COALESCE(old_value, 'None') AS old_value,
+  COALESCE(new_value, 'None') AS new_value, 'recalibrated from QC weights' AS reason, CAST(1 AS BIGINT) AS changed_by,
+  {AS_OF_SQL} AS changed_at FROM eff"""
+
+SQL.update({
+    "apply_qc_edit": K7_QC, "apply_qc_edit_audit": K7_AUDIT, "apply_qc_edit_tracking": K7_TRACK,
+    "apply_qc_edit_quarantine": K7_QUAR, "apply_print_specs": K20_SPECS, "apply_print_specs_audit": K20_AUDIT,
+})

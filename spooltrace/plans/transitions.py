@@ -1137,3 +1137,110 @@ def customer_commands(db) -> DataFrame:
               "customer_name")))
     c2 = db.src("customer").where("c_custkey % 97 = 0").select(c("c_name").alias("customer_name"))
     return c1.unionByName(c2)
+
+
+# ---------------------------------------------------------------------------
+# K7 QC edits, K20 print specs
+# ---------------------------------------------------------------------------
+
+def apply_qc_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K7: edit rows (qc_id, product_tracking_id, field_name, old_value, new_value, reason, user_id) ->
+    audited QC field changes; a changed inspection result re-maps the unit's status (default A-Ware) and a
+    new 'Quarantine' result adds a 'Harvest QC' quarantine row (from the current stage) and moves the unit
+    to stage Quarantine."""
+    changes = edits.select(c("qc_id").alias("record_id"), "field_name", "old_value", "new_value", "reason",
+                           c("user_id").alias("changed_by"))
+    res = apply_field_changes(db.product_quality_control, "product_quality_control", changes, as_of,
+                              audit_start=C.next_id(db.audit_log))
+    changed = res["audit_log"].where(c("field_name") == "inspection_result").select(c("record_id").alias("_qc"),
+                                                                                  c("new_value").alias("_res"))
+    hits = (edits.where(c("field_name") == "inspection_result")
+            .join(changed, (c("qc_id") == c("_qc")) & (c("new_value") == c("_res")))
+            .select("product_tracking_id", c("new_value").alias("result"), "reason", "user_id"))
+    C.check_unique(hits, ["product_tracking_id"])
+    status = hits.select("product_tracking_id", X.business_status(c("result"), "A-Ware").alias("status_name"))
+    tracking = apply_status_change(db.product_tracking, db.product_statuses, status, as_of)
+    q = hits.where(c("result") == "Quarantine")
+    t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
+    now = F.lit(as_of).cast("timestamp_ntz")
+    quar = (q.join(t, c("product_tracking_id") == c("_tid"))
+            .select("product_tracking_id", "from_stage_id", F.lit("Harvest QC").alias("source"),
+                    F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
+                    c("user_id").alias("quarantined_by"), F.nullif(c("reason"), F.lit("")).alias("quarantine_reason"),
+                    F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
+                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
+    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
+        *QUARANTINE_COLUMNS)
+    stage = _stage_id(db, "Quarantine")
+    cmd = (q.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                   F.lit("QC edit: moved to Quarantine").alias("reason"), "user_id"))
+    moved = apply_stage_change(tracking, cmd, as_of)
+    return {"product_quality_control": res["product_quality_control"], "audit_log": res["audit_log"],
+            "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
+            "quarantined_products": quar}
+
+
+RESULT_CYCLE = [("Passed", "B-Ware"), ("B-Ware", "Quarantine"), ("Quarantine", "Waste"), ("Waste", "Passed")]
+
+
+def qc_edit_commands(db) -> DataFrame:
+    """Command table for K7: QC rows with id = 0 mod 13 get the next result in a fixed cycle; id = 1 mod 13 get a note."""
+    nxt = None
+    for a, b in RESULT_CYCLE:
+        nxt = F.when(c("inspection_result") == a, b) if nxt is None else nxt.when(c("inspection_result") == a, b)
+    qc = db.product_quality_control
+    res = qc.where(c("id") % 13 == 0).select(c("id").alias("qc_id"), "product_tracking_id",
+                                             F.lit("inspection_result").alias("field_name"),
+                                             c("inspection_result").alias("old_value"), nxt.alias("new_value"))
+    notes = qc.where(c("id") % 13 == 1).select(c("id").alias("qc_id"), "product_tracking_id",
+                                               F.lit("notes").alias("field_name"), c("notes").alias("old_value"),
+                                               F.lit("rechecked").alias("new_value"))
+    return res.unionByName(notes).select("*", F.lit("QC correction").alias("reason"),
+                                         (F.lit(1) + c("qc_id") % 10).alias("user_id"))
+
+
+SPEC_FIELDS = ["height_mm", "diameter_mm", "average_weight_g", "weight_buffer_g"]
+
+
+class SpecError(ValueError):
+    pass
+
+
+def apply_print_specs(db, specs: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K20 (specs): rows (sku_id, height_mm, diameter_mm, average_weight_g, weight_buffer_g, reason, changed_by)
+    -> specs upserted by sku; every field audited (old 'None' on create, unchanged fields skipped).
+    Sizes must be > 0, the buffer >= 0 and a reason given (checked before anything is written)."""
+    bad = specs.where((c("height_mm") <= 0) | (c("diameter_mm") <= 0) | (c("average_weight_g") <= 0)
+                      | (c("weight_buffer_g") < 0) | c("reason").isNull() | (F.trim(c("reason")) == "")
+                      | c("changed_by").isNull()).limit(1).collect()
+    if bad:
+        raise SpecError(f"invalid print spec row: {bad[0].asDict()}")
+    target = db.product_print_specs
+    src = specs.select("sku_id", *[c(f).cast(target.schema[f].dataType).alias(f) for f in SPEC_FIELDS])
+    new_specs, _ = C.merge_upsert(target, src, ["sku_id"], set_cols=SPEC_FIELDS, id_col=None)
+    old = target.select(c("sku_id").alias("_s"), *[c(f).alias(f"_o_{f}") for f in SPEC_FIELDS])
+    j = specs.join(old, c("sku_id") == c("_s"), "left")
+    changes = j.select(c("sku_id").alias("record_id"), "reason", "changed_by", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field_name"), c(f"_o_{f}").cast("string").alias("old_value"),
+                 c(f).cast(target.schema[f].dataType).cast("string").alias("new_value"), F.lit(i).alias("seq"))
+        for i, f in enumerate(SPEC_FIELDS)])).alias("ch")).select("record_id", "reason", "changed_by", "ch.*")
+    audit = apply_field_changes(target, "product_print_specs", changes, as_of, audit_start=C.next_id(db.audit_log),
+                                update=False)["audit_log"]
+    return {"product_print_specs": new_specs, "audit_log": audit}
+
+
+def spec_commands(db) -> DataFrame:
+    """Command table for K20: each sku's average weight is re-calibrated to the mean measured QC weight of
+    its units (sizes kept; skus without a spec get 100 x 50 mm and a 5 g buffer)."""
+    meas = (db.product_quality_control.alias("q")
+            .join(db.product_tracking.alias("t"), c("q.product_tracking_id") == c("t.id"))
+            .groupBy(c("t.sku_id").alias("sku_id"))
+            .agg(F.round(F.avg(c("q.weight_grams").cast("double")), 2).alias("avg_w")))
+    sp = db.product_print_specs
+    return (meas.join(sp, "sku_id", "left")
+            .select("sku_id", F.coalesce(c("height_mm"), F.lit(100).cast("decimal(7,2)")).alias("height_mm"),
+                    F.coalesce(c("diameter_mm"), F.lit(50).cast("decimal(7,2)")).alias("diameter_mm"),
+                    c("avg_w").cast("decimal(7,2)").alias("average_weight_g"),
+                    F.coalesce(c("weight_buffer_g"), F.lit(5).cast("decimal(4,2)")).alias("weight_buffer_g"),
+                    F.lit("recalibrated from QC weights").alias("reason"), F.lit(1).cast("long").alias("changed_by")))

@@ -231,6 +231,10 @@ def queries() -> dict[str, Query]:
         first = K.apply_users(db, db.users, K.login_commands(db, 1)).checkpoint(eager=True)
         return K.apply_users(db, first, K.login_commands(db, 2))
 
+    def qc_edit(spark, sf):
+        db = Tables(spark, sf)
+        return K.apply_qc_edit(db, K.qc_edit_commands(db), AS_OF)
+
     def stage_change(spark, sf):
         db = Tables(spark, sf)
         return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
@@ -327,6 +331,14 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.customer_commands(Tables(spark, sf)))["customers"],
         "apply_new_customers_rejected": lambda spark, sf: K.apply_new_customers(
             Tables(spark, sf), K.customer_commands(Tables(spark, sf)))["rejected"],
+        "apply_qc_edit": lambda spark, sf: qc_edit(spark, sf)["product_quality_control"],
+        "apply_qc_edit_audit": lambda spark, sf: qc_edit(spark, sf)["audit_log"],
+        "apply_qc_edit_tracking": lambda spark, sf: qc_edit(spark, sf)["product_tracking"],
+        "apply_qc_edit_quarantine": lambda spark, sf: qc_edit(spark, sf)["quarantined_products"],
+        "apply_print_specs": lambda spark, sf: K.apply_print_specs(
+            Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["product_print_specs"],
+        "apply_print_specs_audit": lambda spark, sf: K.apply_print_specs(
+            Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["audit_log"],
         "constraint_report": _q(constraint_report),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
