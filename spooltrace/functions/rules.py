@@ -65,3 +65,33 @@ def stage_valid_locations(spark: SparkSession, locations: DataFrame) -> DataFram
     rules = spark.createDataFrame(stage_rule_rows(), "stage_code STRING, keyword STRING")
     return (F.broadcast(rules).join(F.broadcast(locations), F.col("description").contains(F.col("keyword")))
             .select("stage_code", F.col("id").alias("location_id"), "location_name", "description").distinct())
+
+
+# Label templates per sku family (label names, allowed skus, QR required, print size mm).
+LABEL_FAMILIES = [
+    (["CS10K-6K_v1", "CS10K-6K_v2", "CS10K-6K_v3"], ["GEB-CS10KTCS-4", "GEB-CS6KTCS-2", "GEB-CS6KTCS-4"], True, 76),
+    (["CSmini_v1", "CSmini_v2"], ["GEB-CSmTCS", "GEB-CSmTC2S", "GEB-CSmTCS-2"], True, 50),
+    (["CSmini_v3"], ["GEB-CSmTCS", "GEB-CSmTC2S", "GEB-CSmTCS-2"], False, 76),
+    (["Tridock"], ["GEB-CSmTD"], False, 76),
+]
+
+# Surface area printed on the label, per sku.
+SKU_SURFACE_AREA = [
+    ("GEB-CS10KTCS-4", "10197"),
+    ("GEB-CS6KTCS-2", "6001"),
+    ("GEB-CS6KTCS-4", "6124"),
+    ("GEB-CSmTCS", "856"),
+    ("GEB-CSmTC2S", "851"),
+    ("GEB-CSmTCS-2", "851"),
+]
+
+
+def label_rows() -> list[tuple[str, str, bool, int]]:
+    """(sku, label, qr_required, print_size) for every label allowed for a sku."""
+    return [(sku, label, qr, size) for labels, skus, qr, size in LABEL_FAMILIES for sku in skus for label in labels]
+
+
+def label_table(spark: SparkSession) -> DataFrame:
+    areas = dict(SKU_SURFACE_AREA)
+    rows = [(sku, label, qr, size, areas.get(sku)) for sku, label, qr, size in label_rows()]
+    return spark.createDataFrame(rows, "sku STRING, label STRING, qr_required BOOLEAN, print_size INT, surface_area STRING")

@@ -211,3 +211,11 @@ FROM ({G22}) a WHERE current_stage_name = 'Stored; Pending QM Approval for Treat
 UNION ALL SELECT 'Post-Treatment Approval', product_tracking_id, inspection_result
 FROM ({G23}) b WHERE current_stage_name = 'Stored; Pending QM Approval'""",
 }
+
+
+_areas = dict(R.SKU_SURFACE_AREA)
+LABELS = _values([(sku, label, "TRUE" if qr else "FALSE", str(size), _areas.get(sku, ""))
+                  for sku, label, qr, size in R.label_rows()], ["sku", "label", "qr", "size", "area"])
+SQL["label_templates"] = f"""SELECT g.id, g.product_id, g.reference_number, v.label, CAST(v.qr AS BOOLEAN) AS qr_required,
+  CAST(v.size AS INTEGER) AS print_size, nullif(v.area, '') AS surface_area, g.expiration_label
+FROM ({SQL['label_data']}) g JOIN {LABELS} ON v.sku = g.reference_number"""

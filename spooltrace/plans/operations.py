@@ -555,3 +555,13 @@ def qm_bulk_eligible(db) -> DataFrame:
         F.lit("Post-Treatment Approval").alias("approval_type"), c("product_tracking_id").alias("pid"),
         c("inspection_result").alias("result"))
     return a.unionByName(b)
+
+
+def label_templates(db, stage_code: str | None = "Printed") -> DataFrame:
+    """Every unit of the label run with each label template allowed for its sku (QR flag, print size,
+    surface area); the template list is literal and broadcast, so the join is bounded per unit."""
+    units = label_data(db, stage_code)
+    labels = F.broadcast(R.label_table(db.spark))
+    return units.join(labels, units.reference_number == labels.sku).select(
+        "id", "product_id", "reference_number", "label", "qr_required", "print_size", "surface_area",
+        "expiration_label")

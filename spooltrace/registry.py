@@ -117,6 +117,7 @@ def queries() -> dict[str, Query]:
         "contexts": _q(G.contexts),
         "reasons_for_context": _q(G.reasons_for_context, outcome="B-Ware"),
         "label_data": _q(G.label_data, stage_code="Printed"),
+        "label_templates": _q(G.label_templates, stage_code="Printed"),
         "label_id_series": lambda spark, sf: G.label_id_series(G.label_requests(Tables(spark, sf))),
         "effective_access": lambda spark, sf: G.effective_access(
             Tables(spark, sf), G.user_memberships(Tables(spark, sf))),
