@@ -864,3 +864,5 @@ SQL.update({
     "apply_qc_edit": K7_QC, "apply_qc_edit_audit": K7_AUDIT, "apply_qc_edit_tracking": K7_TRACK,
     "apply_qc_edit_quarantine": K7_QUAR, "apply_print_specs": K20_SPECS, "apply_print_specs_audit": K20_AUDIT,
 })
+
+SQL["stage_region"] = "SELECT * FROM x_stg_excel_data"

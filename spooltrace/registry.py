@@ -341,6 +341,8 @@ def queries() -> dict[str, Query]:
         "apply_print_specs_audit": lambda spark, sf: K.apply_print_specs(
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["audit_log"],
         "constraint_report": _q(constraint_report),
+        "stage_region": lambda spark, sf: A.stage_region(
+            Tables(spark, sf).raw_production_sheet, Tables.RAW_START_ROW, Tables.RAW_START_COL),
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
     })

@@ -379,8 +379,12 @@ class Tables:
 
     @cached_property
     def stg_excel_data(self) -> DataFrame:
-        nb, tab = " ", "\t"
+        return self._stg_excel_with_id().drop("_event_id")
+
+    def _stg_excel_with_id(self) -> DataFrame:
+        nb, tab = "\u00a0", "\t"
         return self.src("events").selectExpr(
+            "event_id AS _event_id",
             "CASE event_id % 20 WHEN 7 THEN 'n/a' WHEN 11 THEN CAST(event_id AS STRING) || '.0' "
             "ELSE CAST(900000 + event_id AS STRING) END AS product_id",
             "CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(5000 + user_id AS STRING) END AS filament_id",
@@ -412,6 +416,34 @@ class Tables:
             "CASE event_id % 3 WHEN 0 THEN 'yes' END AS sterilization",
         )
 
+    # Messy sheet headers of the production log, in column order from column D (c4).
+    RAW_HEADERS = ["Product ID", "Filament-ID", "Printer", "Operator\nHarvest", "Date Harvest", "Product", "Storage",
+                   "Status Quality Check", "Second rate goods", "Prozess step", "Operater quality check",
+                   "Date of quality check", "Weight check [g]", "Pressure drop check [mbar]", "Visual check", "Comment",
+                   "Transfer-ID", "Operator visual check incoming goods", "Date of visual check incoming goods",
+                   "Visual Check ", "Surface treatment", "Sterilization", None]
+    RAW_START_ROW, RAW_START_COL, RAW_WIDTH = 12, 4, 28
+
+    @cached_property
+    def raw_production_sheet(self) -> DataFrame:
+        """The production log as a raw cell drop (row_no, c1..c28): a title row, the header row at D12
+        and one row per staging record below it; this only lays the staging rows out as cells."""
+        w, sr, sc = self.RAW_WIDTH, self.RAW_START_ROW, self.RAW_START_COL
+        stg = self._stg_excel_with_id()
+        data_cols = [x for x in stg.columns if x != "_event_id"]
+        cells = {sc + i: F.col(name) for i, name in enumerate(data_cols)}
+        body = stg.select(
+            (F.lit(sr + 1) + F.col("_event_id")).cast("long").alias("row_no"),
+            *[(cells[k] if k in cells else F.lit(None).cast("string")).alias(f"c{k}") for k in range(1, w + 1)])
+        head = [None] * w
+        for i, h in enumerate(self.RAW_HEADERS):
+            head[sc - 1 + i] = h
+        title = [None] * w
+        title[0] = "Production log"
+        schema = "row_no BIGINT, " + ", ".join(f"c{k} STRING" for k in range(1, w + 1))
+        top = self.spark.createDataFrame([(1, *title), (sr, *head)], schema)
+        return top.unionByName(body)
+
     @cached_property
     def stg_filament_excel_data(self) -> DataFrame:
         return self.src("part").selectExpr(

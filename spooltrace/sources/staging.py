@@ -16,10 +16,9 @@ c = F.col
 
 
 def normalize_header(name: str) -> str:
-    """A1: newline->space, trim, lower, double space->one, space/'-'->'_', drop '[' and ']'."""
+    """A1: newline->space, trim, lower, double space->one (one pass), space/'-'->'_', drop '[' and ']'."""
     s = str(name).replace("\n", " ").strip().lower()
-    while "  " in s:
-        s = s.replace("  ", " ")
+    s = s.replace("  ", " ")
     s = s.replace(" ", "_").replace("-", "_")
     return s.replace("[", "").replace("]", "")
 
@@ -95,3 +94,39 @@ def staging_profile(df: DataFrame, top: int = 20) -> DataFrame:
     return (stacked.select("s.column_name", F.coalesce(c("s.null_count"), F.lit(0)).alias("null_count"), "row_count",
                            F.lit(len(df.columns)).cast("long").alias("column_count"))
             .orderBy(c("null_count").desc(), c("column_name")).limit(top))
+
+
+def stage_region(raw: DataFrame, start_row: int, start_col: int) -> DataFrame:
+    """A4: the table whose header sits at (start_row, start_col) of a raw cell drop (row_no, c1..cn).
+
+    Like the sheet reader it replaces: the region ends after as many rows as
+    there are non-empty rows from the header down, and at the last column
+    holding a value; the header row is read once (one row to the driver),
+    blank headers become 'Unnamed' and are dropped with all-empty rows (A3),
+    and names are normalized (A1) and de-duplicated (A2).
+    """
+    cols = sorted([x for x in raw.columns if x.startswith("c") and x[1:].isdigit()], key=lambda x: int(x[1:]))
+    cols = [x for x in cols if int(x[1:]) >= start_col]
+    below = raw.where(c("row_no") >= start_row)
+    nonempty = F.greatest(*[(F.coalesce(c(x), F.lit("")) != "") for x in cols])
+    stats = below.agg(F.sum(nonempty.cast("long")).alias("n"),
+                      F.max(F.greatest(*[F.when(F.coalesce(c(x), F.lit("")) != "", F.lit(int(x[1:]))) for x in cols]))
+                      .alias("last")).first()
+    n_rows = int(stats["n"] or 0)
+    last_col = int(stats["last"] or start_col)
+    end_row = max(start_row + n_rows - 1, start_row)
+    if end_row - (start_row - 1) < 1:
+        raise ValueError("empty region")
+    use = [x for x in cols if int(x[1:]) <= last_col]
+    header = raw.where(c("row_no") == start_row).select(*use).first()
+    names = []
+    for i, x in enumerate(use):
+        v = header[x] if header is not None else None
+        names.append(str(v).strip() if v not in (None, "") else f"Unnamed: {i}")
+    # positional temporary names: sheet headers may differ only in case, which Spark does not tell apart
+    tmp = [f"_p{i}" for i in range(len(use))]
+    body = (raw.where((c("row_no") > start_row) & (c("row_no") <= end_row + 1)).select(*use).toDF(*tmp)
+            .na.drop(how="all"))
+    keep = [i for i, n in enumerate(names) if not re.match(r"^Unnamed", n)]
+    final = dedupe_headers([normalize_header(names[i]) for i in keep])
+    return body.select(*[c(tmp[i]).alias(final[j]) for j, i in enumerate(keep)])
