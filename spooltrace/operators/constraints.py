@@ -61,3 +61,54 @@ def constraint_report(db) -> DataFrame:
     for ch in checks[1:]:
         out = out.unionByName(ch)
     return out
+
+
+def _problems(df: DataFrame, kind: str, key, checks: list[tuple]) -> DataFrame:
+    """One row per (command, problem): each check is (condition, message); messages are gathered in an
+    array with ``when`` (NULL when the check passes), compacted and exploded."""
+    msgs = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in checks]))
+    return df.select(F.lit(kind).alias("command"), key.cast("string").alias("command_key"),
+                     F.explode(msgs).alias("problem"))
+
+
+def _blank(col) -> F.Column:
+    return col.isNull() | (F.trim(col) == "")
+
+
+def command_report(qc: DataFrame, post_qc: DataFrame, quarantine: DataFrame, reasons: DataFrame,
+                   investigations: DataFrame, customers: DataFrame) -> DataFrame:
+    """Invalid command rows and why, for harvest QC, post-treatment QC, ad-hoc quarantine,
+    investigation and customer commands."""
+    q = _problems(qc, "harvest_qc", c("product_tracking_id"), [
+        ((F.coalesce(c("weight_grams"), F.lit(0)) == 0) | (F.coalesce(c("pressure_drop"), F.lit(0)) == 0),
+         "weight and pressure are required"),
+        (~c("visual_pass") & (c("inspection_result") == "B-Ware") & _blank(c("notes")),
+         "notes are required for B-Ware on a visual fail"),
+    ])
+    p = _problems(post_qc, "post_treatment_qc", c("product_tracking_id"), [
+        ((c("visual_pass") == F.lit(False)) & (c("qc_result") == "B-Ware") & _blank(c("notes")),
+         "notes are required for B-Ware on a visual fail"),
+        ((c("qc_result") == "Quarantine") & (F.coalesce(F.size(c("reason_ids")), F.lit(0)) <= 0),
+         "a standard reason is suggested for Quarantine"),
+    ])
+    other = reasons.where(c("reason_code").startswith("OTHER_")).select(c("id").alias("_oid"))
+    qx = (quarantine.select("product_tracking_id", "reason", "reason_ids",
+                            F.explode_outer(F.array_distinct(c("reason_ids"))).alias("_rid"))
+          .join(F.broadcast(other), c("_rid") == c("_oid"), "left")
+          .groupBy("product_tracking_id", "reason", "reason_ids")
+          .agg(F.max(c("_oid").isNotNull()).alias("_other")))
+    qq = _problems(qx, "adhoc_quarantine", c("product_tracking_id"), [
+        (F.coalesce(F.size(c("reason_ids")), F.lit(0)) <= 0, "at least one reason is required"),
+        (c("_other") & _blank(c("reason")), "details are required for 'Other'"),
+    ])
+    i = _problems(investigations, "investigation", c("product_tracking_id"), [
+        (F.length(c("comment")) > 255, "comment longer than 255"),
+        (F.length(c("deviation_number")) > 100, "deviation number longer than 100"),
+    ])
+    names = customers.select(F.trim(c("customer_name")).alias("name"))
+    dup = names.groupBy("name").count()
+    cu = _problems(names.join(dup, "name"), "customer", c("name"), [
+        (_blank(c("name")), "customer name cannot be empty"),
+        (c("count") > 1, "customer name repeated"),
+    ])
+    return q.unionByName(p).unionByName(qq).unionByName(i).unionByName(cu)

@@ -866,3 +866,43 @@ SQL.update({
 })
 
 SQL["stage_region"] = "SELECT * FROM x_stg_excel_data"
+
+_K6_CMD = K6_BASE  # defines g4, cmd (harvest QC commands)
+CMD_REPORT = _K6_CMD.replace("cmd AS (", "qcmd AS (").replace("FROM cmd", "FROM qcmd").replace("qc AS (SELECT CAST(", "qcx AS (SELECT CAST(") + """
+, pcmd AS (SELECT pt.id AS product_tracking_id,
+   CASE WHEN pt.id % 17 = 0 THEN TRUE ELSE pt.id % 6 <> 3 END AS visual_pass,
+   CASE WHEN NOT COALESCE(tbp.sterilize, FALSE) OR NOT COALESCE(pt.id % 6 <> 3, FALSE) THEN 'Waste'
+        WHEN COALESCE(tbp.surface_treat, FALSE) AND NOT COALESCE(tbp.surface_treat, FALSE) THEN 'Waste'
+        WHEN pt.id % 17 = 0 THEN 'Quarantine'
+        WHEN st.status_name = 'A-Ware' AND COALESCE(tbp.surface_treat, FALSE) AND COALESCE(tbp.sterilize, FALSE)
+             AND COALESCE(pt.id % 6 <> 3, FALSE) THEN 'Passed'
+        ELSE 'B-Ware' END AS qc_result
+   FROM x_treatment_batch_products tbp JOIN x_treatment_batches tb ON tbp.batch_id = tb.id AND tb.status = 'Shipped'
+   JOIN x_product_tracking pt ON tbp.product_tracking_id = pt.id LEFT JOIN x_product_statuses st ON pt.current_status_id = st.id),
+names AS (SELECT trim(' Account ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR)) AS name
+   FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+   UNION ALL SELECT trim(c_name) FROM customer WHERE c_custkey % 97 = 0),
+ncount AS (SELECT name, count(*) AS n FROM names GROUP BY name)
+SELECT 'harvest_qc' AS command, CAST(product_tracking_id AS VARCHAR) AS command_key, 'weight and pressure are required' AS problem
+FROM qcmd WHERE COALESCE(weight_grams, 0) = 0 OR COALESCE(pressure_drop, 0) = 0
+UNION ALL SELECT 'harvest_qc', CAST(product_tracking_id AS VARCHAR), 'notes are required for B-Ware on a visual fail'
+FROM qcmd WHERE NOT visual_pass AND inspection_result = 'B-Ware' AND (notes IS NULL OR trim(notes) = '')
+UNION ALL SELECT 'post_treatment_qc', CAST(product_tracking_id AS VARCHAR), 'notes are required for B-Ware on a visual fail'
+FROM pcmd WHERE visual_pass = FALSE AND qc_result = 'B-Ware'
+UNION ALL SELECT 'customer', n.name, 'customer name repeated' FROM names n JOIN ncount c ON c.name = n.name WHERE c.n > 1
+UNION ALL SELECT 'customer', name, 'customer name cannot be empty' FROM names WHERE name IS NULL OR trim(name) = ''
+"""
+
+from spooltrace.oracle.sql_etl import SQL as _E  # noqa: E402
+
+_e1_ctes, _e1_select = _E["etl_filaments"].split("\nSELECT f.id, f.filament_id,", 1)
+_fields = [("serial_number", "{}.serial_number"), ("lot_number", "{}.lot_number"),
+           ("location_id", "CAST({}.location_id AS VARCHAR)"), ("weight_grams", "CAST({}.weight_grams AS VARCHAR)"),
+           ("received_at", "strftime({}.received_at, '%Y-%m-%d')"), ("received_by", "CAST({}.received_by AS VARCHAR)"),
+           ("qc_result", "{}.qc_result")]
+FIELD_DIFF = _e1_ctes + ", newf AS (SELECT f.id, f.filament_id," + _e1_select + ")\n" + " UNION ALL ".join(
+    f"SELECT o.id AS record_id, '{name}' AS field, {expr.format('o')} AS old_value, {expr.format('n')} AS new_value "
+    f"FROM x_filaments o JOIN newf n ON n.id = o.id WHERE {expr.format('o')} IS DISTINCT FROM {expr.format('n')}"
+    for name, expr in _fields)
+
+SQL.update({"command_report": CMD_REPORT, "field_diff": FIELD_DIFF})

@@ -15,7 +15,7 @@ from spooltrace.plans import operations as G
 from spooltrace.plans import etl as E
 from spooltrace.plans import legacy as I
 from spooltrace.plans import transitions as K
-from spooltrace.operators.constraints import constraint_report
+from spooltrace.operators.constraints import command_report, constraint_report
 from spooltrace.sources import staging as A
 from spooltrace.plans import sales as H
 from spooltrace.plans import views
@@ -236,6 +236,19 @@ def queries() -> dict[str, Query]:
         db = Tables(spark, sf)
         return K.apply_qc_edit(db, K.qc_edit_commands(db), AS_OF)
 
+    def commands_check(spark, sf):
+        db = Tables(spark, sf)
+        return command_report(K.qc_commands(db), K.post_treatment_commands(db), K.quarantine_commands(db),
+                              db.issue_reasons, K.investigation_commands(db), K.customer_commands(db))
+
+    def spool_diff(spark, sf):
+        from spooltrace.operators.merge import field_diff
+        db = Tables(spark, sf)
+        new = E.etl_filaments(db, CUTOFF, AS_OF)[0]
+        return field_diff(db.filaments, new, "id", ["serial_number", "lot_number", "location_id", "weight_grams",
+                                                    "received_at", "received_by", "qc_result"],
+                          date_fields=["received_at"])
+
     def stage_change(spark, sf):
         db = Tables(spark, sf)
         return K.apply_stage_change(db.product_tracking, K.stage_commands(db), AS_OF)
@@ -340,6 +353,8 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["product_print_specs"],
         "apply_print_specs_audit": lambda spark, sf: K.apply_print_specs(
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "command_report": lambda spark, sf: commands_check(spark, sf),
+        "field_diff": lambda spark, sf: spool_diff(spark, sf),
         "constraint_report": _q(constraint_report),
         "stage_region": lambda spark, sf: A.stage_region(
             Tables(spark, sf).raw_production_sheet, Tables.RAW_START_ROW, Tables.RAW_START_COL),
