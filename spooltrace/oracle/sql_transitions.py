@@ -906,3 +906,14 @@ FIELD_DIFF = _e1_ctes + ", newf AS (SELECT f.id, f.filament_id," + _e1_select +
     for name, expr in _fields)
 
 SQL.update({"command_report": CMD_REPORT, "field_diff": FIELD_DIFF})
+
+SQL["seed_group_rights"] = """
+, src AS (SELECT 'REGION_' || r.r_name AS group_oid, a.id AS area_id, v.lvl AS access_level FROM region r,
+   (VALUES ('Production', 'Read'), ('Logistics', 'Write')) v(area_name, lvl) JOIN x_application_areas a ON a.area_name = v.area_name
+   UNION ALL SELECT 'NATION_0', id, 'Admin' FROM x_application_areas)
+SELECT g.id, g.group_oid, g.area_id,
+  CASE WHEN s.group_oid IS NOT NULL AND s.access_level <> g.access_level THEN s.access_level ELSE g.access_level END AS access_level
+FROM x_group_area_rights g LEFT JOIN src s ON s.group_oid = g.group_oid AND s.area_id = g.area_id
+UNION ALL SELECT CAST((SELECT max(id) FROM x_group_area_rights) + ROW_NUMBER() OVER (ORDER BY s.group_oid, s.area_id) AS BIGINT),
+  s.group_oid, s.area_id, s.access_level FROM src s
+WHERE NOT EXISTS (SELECT 1 FROM x_group_area_rights g WHERE g.group_oid = s.group_oid AND g.area_id = s.area_id)"""

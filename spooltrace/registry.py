@@ -16,6 +16,7 @@ from spooltrace.plans import etl as E
 from spooltrace.plans import legacy as I
 from spooltrace.plans import transitions as K
 from spooltrace.operators.constraints import command_report, constraint_report
+from spooltrace.sources import seeds as S
 from spooltrace.sources import staging as A
 from spooltrace.plans import sales as H
 from spooltrace.plans import views
@@ -353,6 +354,9 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["product_print_specs"],
         "apply_print_specs_audit": lambda spark, sf: K.apply_print_specs(
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "seed_group_rights": lambda spark, sf: S.seed_group_rights(
+            Tables(spark, sf).group_area_rights, Tables(spark, sf).application_areas,
+            S.region_group_rows(Tables(spark, sf).src("region")), admin_group="NATION_0"),
         "command_report": lambda spark, sf: commands_check(spark, sf),
         "field_diff": lambda spark, sf: spool_diff(spark, sf),
         "constraint_report": _q(constraint_report),
