@@ -50,50 +50,61 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
     ``update_when`` may reference target columns as ``t_<name>`` and source
     columns as ``s_<name>``. Inserted rows get ids after the target's max id
     in ``id_order`` (default: the keys) order.
+
+    Plan: target LEFT JOIN source gives the updated target (AQE broadcasts a
+    small source after measuring it, so a daily increment does not shuffle a
+    large target); source LEFT ANTI (target keys semi-joined to the source
+    keys) gives the inserts. A full outer join would always shuffle both
+    sides, since neither side of a full outer join can be broadcast.
     """
     keys = list(keys)
     if validate:
         check_unique(source, keys)
     tcols = target.columns
     insert_cols = list(insert_cols) if insert_cols is not None else [x for x in source.columns]
-    t = target.select(*[c(x).alias(f"t_{x}") for x in tcols], F.lit(True).alias("_t"))
+    t = target.select(*[c(x).alias(f"t_{x}") for x in tcols])
     s = source.select(*[c(x).alias(f"s_{x}") for x in source.columns], F.lit(True).alias("_s"))
     cond = None
     for k in keys:
         e = c(f"t_{k}") == c(f"s_{k}")
         cond = e if cond is None else cond & e
-    j = t.join(s, cond, "full_outer")
-    matched = c("_t").isNotNull() & c("_s").isNotNull()
-    do_update = matched & (update_when if update_when is not None else F.lit(True))
-    inserted = c("_t").isNull()
-    action = F.when(do_update, "UPDATE").when(inserted, "INSERT")
-
-    def out_col(x: str) -> Column:
-        tc = c(f"t_{x}")
-        if x in keys:
-            return F.coalesce(tc, c(f"s_{x}")).alias(x) if x in source.columns else tc.alias(x)
-        if x in set_cols and x in source.columns:
-            return F.when(do_update, c(f"s_{x}")).when(inserted, c(f"s_{x}") if x in insert_cols else F.lit(None))\
-                .otherwise(tc).cast(target.schema[x].dataType).alias(x)
-        if x in insert_cols and x in source.columns:
-            return F.when(inserted, c(f"s_{x}")).otherwise(tc).cast(target.schema[x].dataType).alias(x)
-        return tc.alias(x)
-
-    merged = j.select(*[out_col(x) for x in tcols], action.alias("_action"))
+    j = t.join(s, cond, "left")
+    do_update = c("_s").isNotNull() & (update_when if update_when is not None else F.lit(True))
+
+    def kept_col(x: str) -> Column:
+        if x in set_cols and x in source.columns and x not in keys:
+            return F.when(do_update, c(f"s_{x}")).otherwise(c(f"t_{x}")).cast(target.schema[x].dataType).alias(x)
+        return c(f"t_{x}").alias(x)
+
+    updated = j.select(*[kept_col(x) for x in tcols], F.when(do_update, F.lit("UPDATE")).alias("_action"))
+    matched_keys = target.select(*keys).join(source.select(*keys), keys, "left_semi")
+    new_src = source.join(matched_keys, keys, "left_anti")
+
+    def new_col(x: str) -> Column:
+        if x in source.columns and (x in keys or x in insert_cols):
+            return c(x).cast(target.schema[x].dataType).alias(x)
+        return F.lit(None).cast(target.schema[x].dataType).alias(x)
+
+    inserted = new_src.select(*[new_col(x) for x in tcols], F.lit("INSERT").alias("_action"))
     if id_col is not None and id_col in tcols:
         start = next_id(target, id_col)
-        new_rows = merged.where(c("_action") == "INSERT").drop(id_col)
-        new_rows = assign_ids(new_rows, list(id_order or keys), start, id_col).select(*tcols, "_action")
-        merged = merged.where(c("_action").isNull() | (c("_action") != "INSERT")).unionByName(new_rows)
+        inserted = assign_ids(inserted.drop(id_col), list(id_order or keys), start, id_col).select(*tcols, "_action")
+    merged = updated.unionByName(inserted)
     actions = merged.where(c("_action").isNotNull()).select(*keys, "_action")
     return merged.drop("_action"), actions
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], id_col: str | None = "id",
                    id_order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Insert-only merge: (new_target, inserted rows)."""
+    """Insert-only merge: (new_target, inserted rows).
+
+    The target's keys are first semi-joined to the (usually small) source keys,
+    so only matching keys leave the target scan; the source is then
+    anti-joined to that small set.
+    """
     keys = list(keys)
-    new = source.join(target.select(*keys), keys, "left_anti")
+    present = target.select(*keys).join(source.select(*keys), keys, "left_semi")
+    new = source.join(present, keys, "left_anti")
     if id_col is not None and id_col in target.columns:
         start = next_id(target, id_col)
         new = assign_ids(new.drop(id_col) if id_col in new.columns else new, list(id_order or keys), start, id_col)
