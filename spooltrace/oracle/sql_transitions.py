@@ -917,3 +917,74 @@ FROM x_group_area_rights g LEFT JOIN src s ON s.group_oid = g.group_oid AND s.ar
 UNION ALL SELECT CAST((SELECT max(id) FROM x_group_area_rights) + ROW_NUMBER() OVER (ORDER BY s.group_oid, s.area_id) AS BIGINT),
   s.group_oid, s.area_id, s.access_level FROM src s
 WHERE NOT EXISTS (SELECT 1 FROM x_group_area_rights g WHERE g.group_oid = s.group_oid AND g.area_id = s.area_id)"""
+
+UNDO_BASE = """
+, cmd AS (SELECT id AS harvest_id, request_id FROM x_product_harvest WHERE id % 97 = 0),
+ch AS (SELECT r.id AS record_id, r.status AS old_value FROM x_product_requests r JOIN cmd c ON c.request_id = r.id
+   WHERE COALESCE(r.status, 'None') <> 'Pending')
+"""
+UNDO_REQ = UNDO_BASE + """
+SELECT r.id, r.requested_by, r.sku_id, r.lot_number, CASE WHEN ch.record_id IS NOT NULL THEN 'Pending' ELSE r.status END AS status,
+  r.requested_at, r.notes, r.is_tech_transfer FROM x_product_requests r LEFT JOIN ch ON ch.record_id = r.id"""
+UNDO_AUDIT = UNDO_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id) AS BIGINT) AS id, 'product_requests' AS table_name,
+  record_id, 'status' AS field_name, COALESCE(old_value, 'None') AS old_value, 'Pending' AS new_value, 'printed in error' AS reason,
+  CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM ch"""
+UNDO_TRACK = UNDO_BASE + " SELECT * FROM x_product_tracking WHERE harvest_id NOT IN (SELECT harvest_id FROM cmd)"
+
+RM_BASE = """
+, cmd AS (SELECT tbp.id AS batch_product_id, tbp.product_tracking_id FROM x_treatment_batch_products tbp
+   JOIN x_treatment_batches tb ON tb.id = tbp.batch_id AND tb.status = 'Shipped' WHERE tbp.id % 11 = 0)
+"""
+RM_LINKS = RM_BASE + " SELECT * FROM x_treatment_batch_products WHERE id NOT IN (SELECT batch_product_id FROM cmd)"
+RM_AUDIT = RM_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY batch_product_id) AS BIGINT) AS id,
+  'treatment_batch_products' AS table_name, batch_product_id AS record_id, 'DELETED' AS field_name, 'No' AS old_value,
+  'Yes' AS new_value, 'wrong batch' AS reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM cmd"""
+RM_TRACK = RM_BASE + f"""
+SELECT {_tracking_select("CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'QMTreatmentApproval') ELSE t.current_stage_id END",
+                         't.current_status_id', 'c.product_tracking_id IS NOT NULL')}
+FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+
+_M1 = _M["filaments_in_storage"]
+ACCL = f"""
+, cmd AS (SELECT DISTINCT id AS filament_tracking_id FROM ({_M1}) x WHERE id % 3 = 0)
+SELECT CAST((SELECT max(id) FROM x_filament_acclimatization) + ROW_NUMBER() OVER (ORDER BY filament_tracking_id) AS BIGINT) AS id,
+  filament_tracking_id, CAST(1 AS BIGINT) AS moved_by, {AS_OF_SQL} AS moved_at, {AS_OF_SQL} + INTERVAL 2 DAY AS ready_at,
+  'Acclimatizing' AS status FROM cmd"""
+
+DEL_ACCL = f"""
+, ch AS (SELECT id AS record_id, 'status' AS field_name, COALESCE(status, 'None') AS old_value, 0 AS seq
+   FROM x_filament_acclimatization WHERE id % 7 = 0
+   UNION ALL SELECT id, 'moved_at', COALESCE(strftime(moved_at, '%Y-%m-%d %H:%M:%S'), 'None'), 1 FROM x_filament_acclimatization WHERE id % 7 = 0
+   UNION ALL SELECT id, 'moved_by', COALESCE(CAST(moved_by AS VARCHAR), 'None'), 2 FROM x_filament_acclimatization WHERE id % 7 = 0)
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id,
+  'filament_acclimatization' AS table_name, record_id, field_name, old_value, 'DELETED' AS new_value, 'entered twice' AS reason,
+  CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM ch WHERE old_value <> 'DELETED'"""
+
+RESTORE_BASE = """
+, ch AS (SELECT id AS record_id, 'unmounted_at' AS field_name, strftime(unmounted_at, '%Y-%m-%d %H:%M:%S') AS old_value,
+   CAST(NULL AS VARCHAR) AS new_value, 0 AS seq FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1
+   UNION ALL SELECT id, 'unmounted_by', CAST(unmounted_by AS VARCHAR), NULL, 1 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1
+   UNION ALL SELECT id, 'status', status, 'In Use', 2 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1),
+eff AS (SELECT * FROM ch WHERE COALESCE(old_value, 'None') <> COALESCE(new_value, 'None'))
+"""
+RESTORE = RESTORE_BASE + """
+SELECT m.id, m.filament_tracking_id, m.printer_id, m.mounted_by, m.mounted_at,
+  CASE WHEN a.record_id IS NOT NULL THEN NULL ELSE m.unmounted_at END AS unmounted_at,
+  CASE WHEN b.record_id IS NOT NULL THEN NULL ELSE m.unmounted_by END AS unmounted_by, m.remaining_weight,
+  CASE WHEN s.record_id IS NOT NULL THEN s.new_value ELSE m.status END AS status
+FROM x_filament_mounting m LEFT JOIN eff a ON a.record_id = m.id AND a.field_name = 'unmounted_at'
+LEFT JOIN eff b ON b.record_id = m.id AND b.field_name = 'unmounted_by' LEFT JOIN eff s ON s.record_id = m.id AND s.field_name = 'status'"""
+RESTORE_AUDIT = RESTORE_BASE + f"""
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id,
+  'filament_mounting' AS table_name, record_id, field_name, COALESCE(old_value, 'None') AS old_value,
+  COALESCE(new_value, 'None') AS new_value, 'unmounted by mistake' AS reason, CAST(1 AS BIGINT) AS changed_by,
+  {AS_OF_SQL} AS changed_at FROM eff"""
+
+SQL.update({
+    "apply_harvest_undo": UNDO_REQ, "apply_harvest_undo_audit": UNDO_AUDIT, "apply_harvest_undo_tracking": UNDO_TRACK,
+    "apply_remove_from_batch": RM_LINKS, "apply_remove_from_batch_tracking": RM_TRACK,
+    "apply_remove_from_batch_audit": RM_AUDIT, "apply_acclimatize": ACCL, "apply_delete_acclimatization": DEL_ACCL,
+    "apply_restore_mount": RESTORE, "apply_restore_mount_audit": RESTORE_AUDIT,
+})

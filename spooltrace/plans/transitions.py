@@ -1244,3 +1244,122 @@ def spec_commands(db) -> DataFrame:
                     c("avg_w").cast("decimal(7,2)").alias("average_weight_g"),
                     F.coalesce(c("weight_buffer_g"), F.lit(5).cast("decimal(4,2)")).alias("weight_buffer_g"),
                     F.lit("recalibrated from QC weights").alias("reason"), F.lit(1).cast("long").alias("changed_by")))
+
+
+# ---------------------------------------------------------------------------
+# Undo paths: K5 harvest undo, K8 remove from batch, K19 acclimatization and restore
+# ---------------------------------------------------------------------------
+
+def apply_harvest_undo(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K5 (undo): rows (harvest_id, user_id, reason) -> the harvest and its unit removed, the request back to
+    Pending (audited, unchanged statuses skipped)."""
+    C.check_unique(commands, ["harvest_id"])
+    h = db.product_harvest.join(commands.select(c("harvest_id").alias("_h")), c("id") == c("_h"), "left_anti")
+    t = db.product_tracking.join(commands.select(c("harvest_id").alias("_h")), c("harvest_id") == c("_h"), "left_anti")
+    req = (commands.join(db.product_harvest.select(c("id").alias("_hid"), "request_id"), c("harvest_id") == c("_hid"))
+           .join(db.product_requests.select(c("id").alias("_rid"), c("status").alias("_st")), c("request_id") == c("_rid")))
+    changes = req.select(c("request_id").alias("record_id"), F.lit("status").alias("field_name"),
+                         c("_st").alias("old_value"), F.lit("Pending").alias("new_value"), "reason",
+                         c("user_id").alias("changed_by"))
+    res = apply_field_changes(db.product_requests, "product_requests", changes, as_of,
+                              audit_start=C.next_id(db.audit_log))
+    return {"product_harvest": h, "product_tracking": t, "product_requests": res["product_requests"],
+            "audit_log": res["audit_log"]}
+
+
+def harvest_undo_commands(db) -> DataFrame:
+    """Command table for K5 undo: every 97th harvest is undone."""
+    return db.product_harvest.where(c("id") % 97 == 0).select(
+        c("id").alias("harvest_id"), F.lit(1).cast("long").alias("user_id"), F.lit("printed in error").alias("reason"))
+
+
+def apply_remove_from_batch(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K8 (remove): rows (batch_product_id, product_tracking_id, user_id, reason) -> the batch link deleted with
+    an audit row (DELETED No -> Yes) and the unit back to QMTreatmentApproval."""
+    C.check_unique(commands, ["batch_product_id"])
+    links = db.treatment_batch_products.join(commands.select(c("batch_product_id").alias("_b")), c("id") == c("_b"),
+                                             "left_anti")
+    audit = commands.select(F.lit("treatment_batch_products").alias("table_name"),
+                            c("batch_product_id").alias("record_id"), F.lit("DELETED").alias("field_name"),
+                            F.lit("No").alias("old_value"), F.lit("Yes").alias("new_value"), "reason",
+                            c("user_id").alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
+    audit = C.assign_ids(audit, ["record_id"], C.next_id(db.audit_log), "id").select(*AUDIT_COLUMNS)
+    stage = _stage_id(db, "QMTreatmentApproval")
+    cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
+           .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                   F.lit("Removed from treatment batch").alias("reason"), "user_id"))
+    return {"treatment_batch_products": links, "audit_log": audit,
+            **apply_stage_change(db.product_tracking, cmd, as_of)}
+
+
+def remove_from_batch_commands(db) -> DataFrame:
+    """Command table for K8 remove: every 11th link of a batch still out for treatment."""
+    tb = db.treatment_batches.where(c("status") == "Shipped").select(c("id").alias("_b"))
+    return (db.treatment_batch_products.join(tb, c("batch_id") == c("_b"))
+            .where(c("id") % 11 == 0)
+            .select(c("id").alias("batch_product_id"), "product_tracking_id", F.lit(1).cast("long").alias("user_id"),
+                    F.lit("wrong batch").alias("reason")))
+
+
+ACCL_COLUMNS = ["id", "filament_tracking_id", "moved_by", "moved_at", "ready_at", "status"]
+
+
+def apply_acclimatize(db, commands: DataFrame, as_of: str) -> DataFrame:
+    """K19 (acclimatize): rows (filament_tracking_id, user_id) -> new 'Acclimatizing' records (ready 2 days later)."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    rows = commands.select("filament_tracking_id", c("user_id").alias("moved_by"), now.alias("moved_at"),
+                           X.ready_at(now).alias("ready_at"), F.lit("Acclimatizing").alias("status"))
+    return C.assign_ids(rows, ["filament_tracking_id"], C.next_id(db.filament_acclimatization), "id").select(
+        *ACCL_COLUMNS)
+
+
+def acclimatize_commands(db) -> DataFrame:
+    """Command table for K19 acclimatize: every third PASS spool in storage."""
+    from spooltrace.plans.materials import filaments_in_storage
+    return filaments_in_storage(db).where(c("id") % 3 == 0).select(
+        c("id").alias("filament_tracking_id"), F.lit(1).cast("long").alias("user_id")).distinct()
+
+
+def apply_delete_acclimatization(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K19 (delete): rows (acclimatization_id, user_id, reason) -> the record deleted with three audit rows
+    (status, moved_at, moved_by -> DELETED)."""
+    a = db.filament_acclimatization
+    j = a.join(commands, c("id") == c("acclimatization_id"))
+    audit = j.select(c("id").alias("record_id"), "reason", c("user_id").alias("changed_by"), F.explode(F.array(
+        F.struct(F.lit("status").alias("field_name"), _py_str(c("status")).alias("old_value"), F.lit(0).alias("seq")),
+        F.struct(F.lit("moved_at").alias("field_name"), F.coalesce(_ts_text(c("moved_at")), F.lit("None")).alias("old_value"),
+                 F.lit(1).alias("seq")),
+        F.struct(F.lit("moved_by").alias("field_name"), _py_str(c("moved_by")).alias("old_value"), F.lit(2).alias("seq"))))
+        .alias("ch")).select("record_id", "ch.field_name", "ch.old_value", F.lit("DELETED").alias("new_value"), "reason",
+                             "changed_by", "ch.seq")
+    audit = apply_field_changes(a, "filament_acclimatization", audit, as_of, audit_start=C.next_id(db.audit_log),
+                                update=False)["audit_log"]
+    kept = a.join(commands.select(c("acclimatization_id").alias("_d")), c("id") == c("_d"), "left_anti")
+    return {"filament_acclimatization": kept, "audit_log": audit}
+
+
+def delete_acclimatization_commands(db) -> DataFrame:
+    """Command table for K19 delete: every seventh acclimatization record."""
+    return db.filament_acclimatization.where(c("id") % 7 == 0).select(
+        c("id").alias("acclimatization_id"), F.lit(1).cast("long").alias("user_id"), F.lit("entered twice").alias("reason"))
+
+
+def apply_restore_mount(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K19 (restore): rows (mount_id, user_id, reason) -> the mount is 'In Use' again with its unmount fields
+    cleared; each field that changes is audited."""
+    m = db.filament_mounting.join(commands, c("id") == c("mount_id"))
+    ch = m.select(c("id").alias("record_id"), "reason", c("user_id").alias("changed_by"), F.explode(F.array(
+        F.struct(F.lit("unmounted_at").alias("field_name"), _ts_text(c("unmounted_at")).alias("old_value"),
+                 F.lit(None).cast("string").alias("new_value"), F.lit(0).alias("seq")),
+        F.struct(F.lit("unmounted_by").alias("field_name"), c("unmounted_by").cast("string").alias("old_value"),
+                 F.lit(None).cast("string").alias("new_value"), F.lit(1).alias("seq")),
+        F.struct(F.lit("status").alias("field_name"), c("status").alias("old_value"), F.lit("In Use").alias("new_value"),
+                 F.lit(2).alias("seq")))).alias("x")).select("record_id", "reason", "changed_by", "x.*")
+    res = apply_field_changes(db.filament_mounting, "filament_mounting", ch, as_of, audit_start=C.next_id(db.audit_log))
+    return res
+
+
+def restore_mount_commands(db) -> DataFrame:
+    """Command table for K19 restore: unmounted mounts with id = 1 mod 5."""
+    return db.filament_mounting.where(c("unmounted_at").isNotNull() & (c("id") % 5 == 1)).select(
+        c("id").alias("mount_id"), F.lit(1).cast("long").alias("user_id"), F.lit("unmounted by mistake").alias("reason"))

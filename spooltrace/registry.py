@@ -354,6 +354,26 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["product_print_specs"],
         "apply_print_specs_audit": lambda spark, sf: K.apply_print_specs(
             Tables(spark, sf), K.spec_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_harvest_undo": lambda spark, sf: K.apply_harvest_undo(
+            Tables(spark, sf), K.harvest_undo_commands(Tables(spark, sf)), AS_OF)["product_requests"],
+        "apply_harvest_undo_audit": lambda spark, sf: K.apply_harvest_undo(
+            Tables(spark, sf), K.harvest_undo_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_harvest_undo_tracking": lambda spark, sf: K.apply_harvest_undo(
+            Tables(spark, sf), K.harvest_undo_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
+        "apply_remove_from_batch": lambda spark, sf: K.apply_remove_from_batch(
+            Tables(spark, sf), K.remove_from_batch_commands(Tables(spark, sf)), AS_OF)["treatment_batch_products"],
+        "apply_remove_from_batch_tracking": lambda spark, sf: K.apply_remove_from_batch(
+            Tables(spark, sf), K.remove_from_batch_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
+        "apply_remove_from_batch_audit": lambda spark, sf: K.apply_remove_from_batch(
+            Tables(spark, sf), K.remove_from_batch_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_acclimatize": lambda spark, sf: K.apply_acclimatize(
+            Tables(spark, sf), K.acclimatize_commands(Tables(spark, sf)), AS_OF),
+        "apply_delete_acclimatization": lambda spark, sf: K.apply_delete_acclimatization(
+            Tables(spark, sf), K.delete_acclimatization_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_restore_mount": lambda spark, sf: K.apply_restore_mount(
+            Tables(spark, sf), K.restore_mount_commands(Tables(spark, sf)), AS_OF)["filament_mounting"],
+        "apply_restore_mount_audit": lambda spark, sf: K.apply_restore_mount(
+            Tables(spark, sf), K.restore_mount_commands(Tables(spark, sf)), AS_OF)["audit_log"],
         "seed_group_rights": lambda spark, sf: S.seed_group_rights(
             Tables(spark, sf).group_area_rights, Tables(spark, sf).application_areas,
             S.region_group_rows(Tables(spark, sf).src("region")), admin_group="NATION_0"),
