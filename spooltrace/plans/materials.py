@@ -219,7 +219,7 @@ def filament_lot_grams(db) -> DataFrame:
     return (db.filament_mounting.alias("fm").where(c("fm.status") == "In Use")
             .join(db.filaments.alias("f").where(c("f.qc_result") == "PASS"), c("fm.filament_tracking_id") == c("f.id"))
             .groupBy(c("f.lot_number").alias("lot_number"))
-            .agg(F.sum("fm.remaining_weight").alias("available_grams")))
+            .agg(F.sum("fm.remaining_weight").cast("decimal(18,2)").alias("available_grams")))
 
 
 def filament_lot_units(db) -> DataFrame:
