@@ -988,3 +988,37 @@ SQL.update({
     "apply_remove_from_batch_audit": RM_AUDIT, "apply_acclimatize": ACCL, "apply_delete_acclimatization": DEL_ACCL,
     "apply_restore_mount": RESTORE, "apply_restore_mount_audit": RESTORE_AUDIT,
 })
+
+SKU_BASE = """
+, rows AS (SELECT trim(' GEB-' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || ' ') AS sku, trim('Line ' || p_brand) AS name,
+   CAST(1 + min(p_partkey) % 4 AS BIGINT) AS product_type_id, TRUE AS is_serialized, min(p_partkey) % 3 = 0 AS is_bundle,
+   CAST(1 + min(p_partkey) % 5 AS BIGINT) AS pack_qty FROM part GROUP BY p_brand
+   UNION ALL SELECT 'GEB-CSmTD', 'TriDock again', 4, FALSE, FALSE, 1
+   UNION ALL SELECT 'GEB-NONAME', '', 1, TRUE, FALSE, 1),
+chk AS (SELECT *, CASE WHEN sku IS NULL OR sku = '' OR name IS NULL OR name = '' THEN 'SKU and name are required.'
+   WHEN pack_qty <= 0 THEN 'pack_qty must be > 0.' END AS why0 FROM rows),
+dup AS (SELECT sku FROM chk WHERE why0 IS NULL GROUP BY sku HAVING count(*) > 1),
+chk2 AS (SELECT *, COALESCE(why0, CASE WHEN sku IN (SELECT sku FROM x_product_skus) THEN 'SKU ' || chr(39) || sku || chr(39) || ' already exists.'
+   WHEN sku IN (SELECT sku FROM dup) THEN 'SKU repeated in the request.' END) AS why FROM chk)
+"""
+SQL["apply_sku_create"] = SKU_BASE + """
+SELECT CAST((SELECT max(id) FROM x_product_skus) + ROW_NUMBER() OVER (ORDER BY sku) AS BIGINT) AS id, product_type_id, sku, name,
+  is_serialized, is_bundle, CAST(CASE WHEN is_bundle THEN pack_qty ELSE 1 END AS BIGINT) AS pack_qty, TRUE AS is_active
+FROM chk2 WHERE why IS NULL"""
+SQL["apply_sku_create_rejected"] = SKU_BASE + " SELECT sku, why FROM chk2 WHERE why IS NOT NULL"
+
+SKU_UPD_BASE = """
+, pend AS (SELECT sku_id, count(*) > 0 AS act FROM x_product_requests WHERE status = 'Pending' GROUP BY sku_id),
+ch AS (SELECT s.id AS record_id, CASE WHEN s.is_active THEN 'true' ELSE 'false' END AS old_value,
+   CASE WHEN COALESCE(p.act, FALSE) THEN 'true' ELSE 'false' END AS new_value
+   FROM x_product_skus s LEFT JOIN pend p ON p.sku_id = s.id),
+eff AS (SELECT * FROM ch WHERE old_value <> new_value)
+"""
+SQL["apply_sku_update"] = SKU_UPD_BASE + """
+SELECT s.id, s.product_type_id, s.sku, s.name, s.is_serialized, s.is_bundle, s.pack_qty,
+  CASE WHEN e.record_id IS NOT NULL THEN e.new_value = 'true' ELSE s.is_active END AS is_active
+FROM x_product_skus s LEFT JOIN eff e ON e.record_id = s.id"""
+SQL["apply_sku_update_audit"] = SKU_UPD_BASE + """
+SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id) AS BIGINT) AS id, 'product_skus' AS table_name,
+  record_id, 'is_active' AS field_name, old_value, new_value, 'activity review' AS reason, CAST(1 AS BIGINT) AS changed_by,
+  TIMESTAMP '2000-06-30 00:00:00' AS changed_at FROM eff"""

@@ -1363,3 +1363,64 @@ def restore_mount_commands(db) -> DataFrame:
     """Command table for K19 restore: unmounted mounts with id = 1 mod 5."""
     return db.filament_mounting.where(c("unmounted_at").isNotNull() & (c("id") % 5 == 1)).select(
         c("id").alias("mount_id"), F.lit(1).cast("long").alias("user_id"), F.lit("unmounted by mistake").alias("reason"))
+
+
+SKU_COLUMNS = ["id", "product_type_id", "sku", "name", "is_serialized", "is_bundle", "pack_qty", "is_active"]
+
+
+def apply_sku_create(db, rows: DataFrame) -> dict[str, DataFrame]:
+    """K20 (create): rows (sku, name, product_type_id, is_serialized, is_bundle, pack_qty) -> new active skus with
+    trimmed code and name, pack quantity 1 unless a bundle; blank code/name, non-positive pack quantity,
+    existing or repeated codes are rejected into a report."""
+    r = rows.withColumn("sku", F.trim(c("sku"))).withColumn("name", F.trim(c("name")))
+    why = (F.when(_blank_col(c("sku")) | _blank_col(c("name")), F.lit("SKU and name are required."))
+           .when(c("pack_qty") <= 0, F.lit("pack_qty must be > 0.")))
+    checked = r.withColumn("why", why)
+    dup = checked.where(c("why").isNull()).groupBy("sku").count().where(c("count") > 1).select("sku")
+    existing = db.product_skus.select("sku")
+    checked = (checked.join(existing.withColumn("_exists", F.lit(True)), "sku", "left")
+               .join(dup.withColumn("_dup", F.lit(True)), "sku", "left")
+               .withColumn("why", F.coalesce(c("why"), F.when(c("_exists"), F.concat(F.lit("SKU '"), c("sku"),
+                                                                                       F.lit("' already exists.")))
+                                             .when(c("_dup"), F.lit("SKU repeated in the request.")))))
+    ok = checked.where(c("why").isNull()).select(
+        "product_type_id", "sku", "name", "is_serialized", "is_bundle",
+        F.when(c("is_bundle"), c("pack_qty")).otherwise(F.lit(1)).cast("long").alias("pack_qty"),
+        F.lit(True).alias("is_active"))
+    new = C.assign_ids(ok, ["sku"], C.next_id(db.product_skus), "id").select(*SKU_COLUMNS)
+    return {"product_skus": db.product_skus.unionByName(new), "new_skus": new,
+            "rejected": checked.where(c("why").isNotNull()).select("sku", "why")}
+
+
+def _blank_col(col):
+    return col.isNull() | (col == "")
+
+
+def sku_create_commands(db) -> DataFrame:
+    """Command table for K20 create: one sku per part brand (bundles for every third brand), plus a re-sent
+    existing code and a row without a name."""
+    b = db.src("part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
+    brands = b.select(F.concat(F.lit(" GEB-"), F.regexp_replace(c("p_brand"), "[^A-Za-z0-9]", ""), F.lit(" ")).alias("sku"),
+                      F.concat(F.lit("Line "), c("p_brand")).alias("name"),
+                      (F.lit(1) + c("k") % 4).cast("long").alias("product_type_id"), F.lit(True).alias("is_serialized"),
+                      (c("k") % 3 == 0).alias("is_bundle"), (F.lit(1) + c("k") % 5).cast("long").alias("pack_qty"))
+    extra = db.spark.createDataFrame(
+        [(" GEB-CSmTD ", "TriDock again", 4, False, False, 1), ("GEB-NONAME", "  ", 1, True, False, 1)],
+        "sku STRING, name STRING, product_type_id BIGINT, is_serialized BOOLEAN, is_bundle BOOLEAN, pack_qty BIGINT")
+    return brands.unionByName(extra)
+
+
+def apply_sku_update(db, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K20 (update): audited field changes on skus (K3 rules)."""
+    return apply_field_changes(db.product_skus, "product_skus", changes, as_of, audit_start=C.next_id(db.audit_log))
+
+
+def sku_activity_changes(db) -> DataFrame:
+    """Command table for K20 update: a sku is active exactly when it has pending requests."""
+    pending = (db.product_requests.where(c("status") == "Pending").groupBy("sku_id").count()
+               .select(c("sku_id").alias("_s"), (c("count") > 0).alias("_act")))
+    s = db.product_skus.join(pending, c("id") == c("_s"), "left")
+    return s.select(c("id").alias("record_id"), F.lit("is_active").alias("field_name"),
+                    c("is_active").cast("string").alias("old_value"),
+                    F.coalesce(c("_act"), F.lit(False)).cast("string").alias("new_value"),
+                    F.lit("activity review").alias("reason"), F.lit(1).cast("long").alias("changed_by"))

@@ -374,6 +374,14 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.restore_mount_commands(Tables(spark, sf)), AS_OF)["filament_mounting"],
         "apply_restore_mount_audit": lambda spark, sf: K.apply_restore_mount(
             Tables(spark, sf), K.restore_mount_commands(Tables(spark, sf)), AS_OF)["audit_log"],
+        "apply_sku_create": lambda spark, sf: K.apply_sku_create(
+            Tables(spark, sf), K.sku_create_commands(Tables(spark, sf)))["new_skus"],
+        "apply_sku_create_rejected": lambda spark, sf: K.apply_sku_create(
+            Tables(spark, sf), K.sku_create_commands(Tables(spark, sf)))["rejected"],
+        "apply_sku_update": lambda spark, sf: K.apply_sku_update(
+            Tables(spark, sf), K.sku_activity_changes(Tables(spark, sf)), AS_OF)["product_skus"],
+        "apply_sku_update_audit": lambda spark, sf: K.apply_sku_update(
+            Tables(spark, sf), K.sku_activity_changes(Tables(spark, sf)), AS_OF)["audit_log"],
         "seed_group_rights": lambda spark, sf: S.seed_group_rights(
             Tables(spark, sf).group_area_rights, Tables(spark, sf).application_areas,
             S.region_group_rows(Tables(spark, sf).src("region")), admin_group="NATION_0"),
