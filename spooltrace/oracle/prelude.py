@@ -213,6 +213,12 @@ x_stg_treatment_excel_data AS (
 """.strip()
 
 
+_stg_start = FIXTURE_CTES.index("x_stg_excel_data AS (")
+_stg_end = FIXTURE_CTES.index("x_stg_filament_excel_data AS (")
+STG_ID_CTE = FIXTURE_CTES[_stg_start:_stg_end].rstrip().rstrip(",").replace(
+    "x_stg_excel_data AS (\n  SELECT ", "x_stg_excel_data_id AS (\n  SELECT event_id AS _event_id, ", 1)
+
+
 def _dim_ctes() -> str:
     return ",\n".join(f"x_{n} AS ({dim_sql(n)})" for n in DIM_NAMES)
 
@@ -222,4 +228,4 @@ def with_prelude(body: str) -> str:
     head = "WITH "
     if body.startswith(", RECURSIVE"):
         head, body = "WITH RECURSIVE ", ", " + body[len(", RECURSIVE"):].lstrip()
-    return head + FIXTURE_CTES + ",\n" + _dim_ctes() + "\n" + body
+    return head + FIXTURE_CTES + ",\n" + STG_ID_CTE + ",\n" + _dim_ctes() + "\n" + body

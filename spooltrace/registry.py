@@ -19,6 +19,7 @@ from spooltrace.operators.constraints import command_report, constraint_report
 from spooltrace.sources import seeds as S
 from spooltrace.sources import staging as A
 from spooltrace.plans import sales as H
+from spooltrace.plans import scalars as FX
 from spooltrace.plans import views
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
@@ -155,6 +156,9 @@ def queries() -> dict[str, Query]:
                  "not_acclimatizing", "needs_storage_v1", "qc_passed_v1", "printed_without_qc", "product_record"]:
         q[name] = _q(getattr(I, name))
 
+    for name in FX.NAMES:
+        q[name] = _q(getattr(FX, name))
+
     def pipe(key):
         return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF)[key]
 
@@ -397,8 +401,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import (sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_transitions,
-                                   sql_views)
+    from spooltrace.oracle import (sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_scalars,
+                                   sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -409,4 +413,5 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_legacy.SQL)
     bodies.update(sql_etl.SQL)
     bodies.update(sql_transitions.SQL)
+    bodies.update(sql_scalars.SQL)
     return {k: with_prelude(v) for k, v in bodies.items()}
