@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spooltrace.plans import materials as M
 from spooltrace.plans import operations as G
 from spooltrace.plans import etl as E
+from spooltrace.plans import generic as CG
 from spooltrace.plans import legacy as I
 from spooltrace.plans import transitions as K
 from spooltrace.operators.constraints import command_report, constraint_report
@@ -158,6 +159,20 @@ def queries() -> dict[str, Query]:
 
     for name in FX.NAMES:
         q[name] = _q(getattr(FX, name))
+    q.update({
+        "assign_ids": _q(CG.assign_ids),
+        "global_row_number": _q(CG.global_row_number),
+        "merge_upsert": lambda spark, sf: CG.merge_upsert(Tables(spark, sf))[0],
+        "merge_outcome": _q(CG.merge_outcome),
+        "insert_missing": _q(CG.insert_missing),
+        "earliest_per_key": _q(CG.earliest_per_key),
+        "next_tracking_id": _q(CG.next_tracking_id),
+        "ensure_default_rows": _q(CG.ensure_default_rows),
+        "load_staging": _q(CG.load_staging),
+        "export_csv": _q(CG.export_csv),
+        "stage_headers": _q(CG.stage_headers),
+        "user_lookup": _q(CG.user_lookup),
+    })
 
     def pipe(key):
         return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF)[key]
@@ -397,12 +412,21 @@ def queries() -> dict[str, Query]:
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
     })
+    # umbrella names of the inventory, each the main output of its first sub-operation
+    q["apply_orders"] = q["apply_order_line_diff"]
+    q["apply_mounts"] = q["apply_mount"]
+    q["apply_sku_specs"] = q["apply_print_specs"]
+    q["apply_materials"] = q["apply_new_lids"]
     return q
 
 
+ALIASES = {"apply_orders": "apply_order_line_diff", "apply_mounts": "apply_mount", "apply_sku_specs": "apply_print_specs",
+           "apply_materials": "apply_new_lids"}
+
+
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import (sql_etl, sql_legacy, sql_materials, sql_operations, sql_sales, sql_scalars,
-                                   sql_transitions, sql_views)
+    from spooltrace.oracle import (sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
+                                   sql_scalars, sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -414,4 +438,7 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_etl.SQL)
     bodies.update(sql_transitions.SQL)
     bodies.update(sql_scalars.SQL)
+    bodies.update(sql_generic.SQL)
+    for alias, target in ALIASES.items():
+        bodies[alias] = bodies[target]
     return {k: with_prelude(v) for k, v in bodies.items()}
