@@ -67,3 +67,12 @@ FROM h""",
 , em AS (SELECT ' USER' || CAST(s_suppkey AS VARCHAR) || '@PLANT.EXAMPLE ' AS email FROM supplier WHERE s_suppkey % 3 = 0)
 SELECT em.email, u.id, u.display_name FROM em JOIN u1 u ON lower(trim(em.email)) = u.user_principal_name""",
 }
+
+SQL["xl_staging_schema"] = "SELECT treatment_id, in_treatment, run_date, operator FROM x_stg_treatment_excel_data"
+_STG_COLS = ["product_id", "filament_id", "printer", "operator_harvest", "date_harvest", "product", "storage",
+             "status_quality_check", "second_rate_goods", "prozess_step", "operater_quality_check", "date_of_quality_check",
+             "weight_check_g", "pressure_drop_check_mbar", "visual_check", "comment", "transfer_id",
+             "operator_visual_check_incoming_goods", "date_of_visual_check_incoming_goods", "visual_check_1",
+             "surface_treatment", "sterilization"]
+SQL["stage_drop_empty"] = ("SELECT " + ", ".join(f"{n} AS p{i}" for i, n in enumerate(_STG_COLS)) + " FROM x_stg_excel_data "
+                           "WHERE NOT (" + " AND ".join(f"{n} IS NULL" for n in _STG_COLS) + ")")

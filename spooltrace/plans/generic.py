@@ -123,3 +123,25 @@ def user_lookup(db) -> DataFrame:
     key = F.lower(F.trim(c("email")))
     return (emails.join(users.select("id", "display_name", "user_principal_name"), key == c("user_principal_name"))
             .select("email", "id", "display_name"))
+
+
+TREATMENT_COLUMNS = ["treatment_id", "in_treatment", "run_date", "operator"]
+
+
+def xl_staging_schema(db) -> DataFrame:
+    """The treatment sheet dropped as CSV and read back with the all-text staging schema."""
+    path = _scratch(db)
+    A.export_csv(db.stg_treatment_excel_data.select(*TREATMENT_COLUMNS), path)
+    return A.read_staging(db.spark, path, TREATMENT_COLUMNS, fmt="csv")
+
+
+def stage_drop_empty(db) -> DataFrame:
+    """A3: the production sheet body below the header, all-empty rows and 'Unnamed' (blank-header) columns
+    dropped; columns keep their sheet position (p0, p1, ...)."""
+    start, col0 = db.RAW_START_ROW, db.RAW_START_COL
+    raw = db.raw_production_sheet
+    cols = [f"c{k}" for k in range(col0, db.RAW_WIDTH + 1)]
+    head = raw.where(c("row_no") == start).select(*cols).first()
+    named = [(i, x) for i, x in enumerate(cols) if head[x] not in (None, "")]
+    body = raw.where(c("row_no") > start).select(*[c(x).alias(f"p{i}") for i, x in enumerate(cols)])
+    return body.na.drop(how="all").select(*[f"p{i}" for i, _ in named])

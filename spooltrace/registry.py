@@ -172,6 +172,8 @@ def queries() -> dict[str, Query]:
         "export_csv": _q(CG.export_csv),
         "stage_headers": _q(CG.stage_headers),
         "user_lookup": _q(CG.user_lookup),
+        "xl_staging_schema": _q(CG.xl_staging_schema),
+        "stage_drop_empty": _q(CG.stage_drop_empty),
     })
 
     def pipe(key):
@@ -417,11 +419,12 @@ def queries() -> dict[str, Query]:
     q["apply_mounts"] = q["apply_mount"]
     q["apply_sku_specs"] = q["apply_print_specs"]
     q["apply_materials"] = q["apply_new_lids"]
+    q["stage_dedupe_columns"] = q["stage_headers"]
     return q
 
 
 ALIASES = {"apply_orders": "apply_order_line_diff", "apply_mounts": "apply_mount", "apply_sku_specs": "apply_print_specs",
-           "apply_materials": "apply_new_lids"}
+           "apply_materials": "apply_new_lids", "stage_dedupe_columns": "stage_headers"}
 
 
 def oracle_sql() -> dict[str, str]:

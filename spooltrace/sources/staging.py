@@ -57,7 +57,7 @@ def xl_staging_schema(columns: list[str]) -> T.StructType:
 def read_staging(spark: SparkSession, path: str, columns: list[str], fmt: str = "csv") -> DataFrame:
     """Read a staging drop with the all-string schema."""
     reader = spark.read.schema(xl_staging_schema(columns))
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    return reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
 def load_staging(df: DataFrame, path: str, truncate: bool = True) -> None:
@@ -67,9 +67,12 @@ def load_staging(df: DataFrame, path: str, truncate: bool = True) -> None:
     df.write.mode("overwrite" if truncate else "append").parquet(path)
 
 
+CSV_OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """Write rows as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write rows as CSV with a header (cell text kept as is, spaces included)."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def content_digest(df: DataFrame) -> DataFrame:
