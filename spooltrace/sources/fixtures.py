@@ -364,9 +364,8 @@ class Tables:
 
     @cached_property
     def group_area_rights(self) -> DataFrame:
-        areas = self.spark.range(1, 6).selectExpr("id AS area_id")
         return (
-            self.src("nation").crossJoin(F.broadcast(areas))  # areas: 5 literal rows
+            self.src("nation").select("*", F.explode(F.array(*[F.lit(a) for a in range(1, 6)])).alias("area_id"))
             .where("(n_nationkey + area_id) % 4 <> 0")
             .selectExpr(
                 "CAST(n_nationkey * 5 + area_id AS BIGINT) AS id",
