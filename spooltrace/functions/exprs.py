@@ -59,8 +59,20 @@ def parse_decimal_comma(x, precision: int, scale: int) -> Column:
     return F.replace(_c(x), F.lit(","), F.lit(".")).try_cast(f"decimal({precision},{scale})")
 
 
+# Loose shape of each text format: parsing is only attempted when the text has that shape, which
+# avoids a failed-parse exception per row for the other formats (the parser still decides).
+_FORMAT_SHAPES = {
+    "dd.MM.yyyy": r"^\s*\d{1,2}\.\d{1,2}\.\d{4}\s*$",
+    "dd-MM-yyyy": r"^\s*\d{1,2}-\d{1,2}-\d{4}\s*$",
+    "MM/dd/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
+    "dd/MM/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
+}
+
+
 def _try_ts(x: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz")
+    shape = _FORMAT_SHAPES.get(fmt)
+    return F.when(x.rlike(shape), parsed) if shape else parsed
 
 
 # F33

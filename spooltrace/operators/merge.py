@@ -58,6 +58,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
     sides, since neither side of a full outer join can be broadcast.
     """
     keys = list(keys)
+    # the source (an increment) is read by the duplicate check, the update join and the insert anti-join:
+    # materialize it once instead of re-deriving it from lineage for each
+    source = source.checkpoint(eager=True)
     if validate:
         check_unique(source, keys)
     tcols = target.columns

@@ -26,12 +26,17 @@ DEFAULT_LOCATIONS = [("Unassigned", "Virtual", "Unassigned"), ("Waste", "Waste",
 
 
 def ensure_default_locations(db) -> DataFrame:
-    """C9 (locations): add Unassigned / Waste / Offsite when missing."""
+    """C9 (locations): add Unassigned / Waste / Offsite when missing (computed once per catalogue)."""
+    cached = db.__dict__.get("_ensured_locations") if hasattr(db, "__dict__") else None
+    if cached is not None:
+        return cached
     rows = db.spark.createDataFrame([(None, n, t, d, True) for n, t, d in DEFAULT_LOCATIONS],
                                     "id BIGINT, location_name STRING, location_type STRING, description STRING, "
                                     "is_active BOOLEAN")
     new, _ = C.insert_missing(db.storage_locations, rows, ["location_name"], id_col="id",
                               id_order=["location_name"])
+    if hasattr(db, "__dict__"):
+        db.__dict__["_ensured_locations"] = new
     return new
 
 
@@ -236,10 +241,13 @@ def etl_consistency_rules(db, tracking: DataFrame, as_of: str) -> DataFrame:
 
 def etl_pipeline(db, cutoff: str, as_of: str) -> dict[str, DataFrame]:
     """Run the chain in order and return every new table version (E5 -> E6 -> E8 -> E9 -> E14 -> E15)."""
+    # each step's new table version is materialized once (reliable checkpoint, like writing the version)
+    # so later steps read it instead of recomputing the chain from lineage
     unified = views.v_unified_legacy_prints(db, cutoff)
     harvest, inserted_h, cand = etl_harvest(db, cutoff, unified)
-    hmap = etl_harvest_map(cand)
+    hmap = etl_harvest_map(cand).checkpoint(eager=True)
     tracking, t_actions = etl_tracking(db, cutoff, hmap, as_of, unified)
+    tracking = tracking.checkpoint(eager=True)
     qc, qc_actions = etl_quality_control(db, tracking, cutoff)
     pti, pti_actions = etl_post_treatment(db, tracking, cutoff)
     tracking = etl_consistency_rules(db, tracking, as_of)
