@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.operators.ranking import row_number_global
+from spooltrace.session import materialize
 
 c = F.col
 
@@ -60,7 +61,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
     keys = list(keys)
     # the source (an increment) is read by the duplicate check, the update join and the insert anti-join:
     # materialize it once instead of re-deriving it from lineage for each
-    source = source.checkpoint(eager=True)
+    source = materialize(source)
     if validate:
         check_unique(source, keys)
     tcols = target.columns

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spooltrace.session import materialize
+
 _PID, _MID, _LOC = "_rk_pid", "_rk_mid", "_rk_loc"
 
 
@@ -50,7 +52,7 @@ def row_number_global(df: DataFrame, order_by: Sequence[str | Column], col: str
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
     parted = parted.withColumn(_LOC, F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33))
-    parted = parted.checkpoint(eager=True)
+    parted = materialize(parted)
     counts = parted.groupBy(_PID).agg(F.count(F.lit(1)).alias("_rk_cnt"))
     offsets = counts.select(
         _PID,
@@ -74,8 +76,7 @@ def row_number_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence
     groups = list(group_by)
     order = _cols(order_by)
     n = _n_parts(df, num_partitions)
-    parted = (df.repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id())
-              .checkpoint(eager=True))
+    parted = materialize(df.repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id()))
     local = parted.withColumn(
         _LOC, F.row_number().over(Window.partitionBy(*groups, _PID).orderBy(*order)))
     counts = parted.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias("_rk_cnt"))
@@ -101,9 +102,8 @@ def running_sum_within(df: DataFrame, group_by: Sequence[str], order_by: Sequenc
     order = _cols(order_by)
     val = F.col(value) if isinstance(value, str) else value
     n = _n_parts(df, num_partitions)
-    parted = (df.withColumn("_rk_val", val)
-              .repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id())
-              .checkpoint(eager=True))
+    parted = materialize(df.withColumn("_rk_val", val)
+                         .repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id()))
     local = parted.withColumn(_LOC, F.sum("_rk_val").over(
         Window.partitionBy(*groups, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = parted.groupBy(*groups, _PID).agg(F.sum("_rk_val").alias("_rk_tot"))

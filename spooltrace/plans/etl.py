@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
+from spooltrace.session import materialize
 from spooltrace.operators import merge as C
 from spooltrace.plans import views
 
@@ -245,9 +246,9 @@ def etl_pipeline(db, cutoff: str, as_of: str) -> dict[str, DataFrame]:
     # so later steps read it instead of recomputing the chain from lineage
     unified = views.v_unified_legacy_prints(db, cutoff)
     harvest, inserted_h, cand = etl_harvest(db, cutoff, unified)
-    hmap = etl_harvest_map(cand).checkpoint(eager=True)
+    hmap = materialize(etl_harvest_map(cand))
     tracking, t_actions = etl_tracking(db, cutoff, hmap, as_of, unified)
-    tracking = tracking.checkpoint(eager=True)
+    tracking = materialize(tracking)
     qc, qc_actions = etl_quality_control(db, tracking, cutoff)
     pti, pti_actions = etl_post_treatment(db, tracking, cutoff)
     tracking = etl_consistency_rules(db, tracking, as_of)

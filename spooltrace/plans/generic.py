@@ -79,7 +79,8 @@ def ensure_default_rows(db) -> DataFrame:
 
 
 def _scratch(db) -> str:
-    base = db.spark.sparkContext.getCheckpointDir() or "/tmp"
+    from spooltrace.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(db.spark)  # the session's shared checkpoint folder
     return f"{base.rstrip('/')}/staging-{uuid.uuid4().hex}"
 
 

@@ -22,6 +22,7 @@ from spooltrace.sources import staging as A
 from spooltrace.plans import sales as H
 from spooltrace.plans import scalars as FX
 from spooltrace.plans import views
+from spooltrace.session import materialize
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,7 +252,7 @@ def queries() -> dict[str, Query]:
 
     def users_two_rounds(spark, sf):
         db = Tables(spark, sf)
-        first = K.apply_users(db, db.users, K.login_commands(db, 1)).checkpoint(eager=True)
+        first = materialize(K.apply_users(db, db.users, K.login_commands(db, 1)))
         return K.apply_users(db, first, K.login_commands(db, 2))
 
     def qc_edit(spark, sf):

@@ -52,3 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spooltrace-ckpt-", dir=os.environ.get("SPOOLTRACE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` into the session's checkpoint folder (set only when the session has none)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
