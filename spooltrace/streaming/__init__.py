@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The modelled system has no queue, stream, watermark or trigger; its staging
+extracts arrive as whole sheets and are loaded in batch (``sources.staging``,
+with ``content_digest`` to skip unchanged sheets). No streaming operator is
+built beyond what the system does.
+"""
