@@ -21,9 +21,12 @@ def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     if name not in SQL:
         assert df.count() >= 0
+        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
         return
     ok, msg = compare(df, SQL[name], con)
     assert ok, msg
+    # no query may plan an unbounded cross product
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry_smoke(spark):
