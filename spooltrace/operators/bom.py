@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spooltrace.session import materialize
+
 c = F.col
 
 
@@ -35,7 +37,9 @@ def bom_closure(bom: DataFrame, skus: DataFrame, max_depth: int = 32) -> DataFra
         leaves.append(frontier.join(parents, frontier.node == parents._pp, "left_anti"))
         frontier = (is_parent.join(edges, is_parent.node == edges._p)
                     .select("root_sku_id", c("_c").alias("node"), (c("qty") * c("_q")).alias("qty")))
-        frontier = frontier.groupBy("root_sku_id", "node").agg(F.sum("qty").alias("qty"))
+        # each level is materialized so the emptiness test and the next level do not re-derive the
+        # whole path from the start (lineage stays one level long however deep the catalogue is)
+        frontier = materialize(frontier.groupBy("root_sku_id", "node").agg(F.sum("qty").alias("qty")))
         if frontier.isEmpty():
             break
     else:
