@@ -10,6 +10,7 @@ from spooltrace.llm.common import table
 from spooltrace.llm.quality import quality_verdicts
 from spooltrace.llm.secrets import SECRETS_SQL, secrets_query
 from spooltrace.llm.sharding import sharding_query
+from spooltrace.llm.simhash import simhash_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_secret_scan": _over_documents(secrets_query),
         "op6_stratified_sharding": _over_documents(sharding_query),
+        "op8_simhash": _over_documents(simhash_query),
         "op10_quality_rules": lambda spark, sf_dir: quality_verdicts(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }

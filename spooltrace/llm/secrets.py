@@ -104,8 +104,8 @@ def _outside_base(base: DataFrame, weak: DataFrame) -> DataFrame:
     """Weak candidates that overlap no base finding, by running extremes along the document."""
     both = (base.withColumn("strong", F.lit(True))
             .unionByName(weak.withColumn("strong", F.lit(False))))
-    up = Window.partitionBy("rid").orderBy("start", "strong").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("rid").orderBy(F.desc("start"), "strong").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("rid").orderBy("start", F.desc("strong")).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("strong")).rowsBetween(Window.unboundedPreceding, -1)
     marked = (both.withColumn("before", F.max(F.when(F.col("strong"), F.col("end"))).over(up))
               .withColumn("after", F.min(F.when(F.col("strong"), F.col("start"))).over(down)))
     free = (F.coalesce(F.col("before") <= F.col("start"), F.lit(True))
