@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.llm.common import table
+from spooltrace.llm.langid import language_query
+from spooltrace.llm.packing import packing_query
 from spooltrace.llm.quality import quality_verdicts
 from spooltrace.llm.secrets import SECRETS_SQL, secrets_query
 from spooltrace.llm.sharding import sharding_query
@@ -22,8 +24,10 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op3_secret_scan": _over_documents(secrets_query),
+        "op4_language_id": _over_documents(language_query),
         "op6_stratified_sharding": _over_documents(sharding_query),
         "op8_simhash": _over_documents(simhash_query),
+        "op9_best_fit_packing": _over_documents(packing_query),
         "op10_quality_rules": lambda spark, sf_dir: quality_verdicts(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
