@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spooltrace.session import ensure_checkpoint_dir
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -55,3 +60,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: Spark distributes its source once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="spooltrace-src-"), "spooltrace_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, func, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(func, schema)

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spooltrace.llm.common import map_batches
+
 UND = "und"
 _WORDISH = re.compile(r"[^\W\d_]")
 # ASCII other than letters becomes a space, so digits, marks and separators carry no language
@@ -212,7 +214,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def language_query(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import materialize
+from spooltrace.llm.common import map_batches, materialize
 from spooltrace.llm.tokens import ByteLevelEncoder, vocabulary
 from spooltrace.operators.ranking import row_number_within
 
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _equal_groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int, int]]]:

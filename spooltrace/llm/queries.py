@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spooltrace.llm.common import table
+from spooltrace.llm.embdedup import EMBEDDINGS_SQL, embedding_query
 from spooltrace.llm.langid import language_query
 from spooltrace.llm.packing import packing_query
 from spooltrace.llm.quality import quality_verdicts
@@ -23,6 +24,7 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_embedding_dedup": lambda spark, sf_dir: embedding_query(table(spark, sf_dir, "embeddings")),
         "op3_secret_scan": _over_documents(secrets_query),
         "op4_language_id": _over_documents(language_query),
         "op6_stratified_sharding": _over_documents(sharding_query),
@@ -34,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": SECRETS_SQL}
+    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op3_secret_scan": SECRETS_SQL}

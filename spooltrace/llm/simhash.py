@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import materialize
+from spooltrace.llm.common import map_batches, materialize
 from spooltrace.llm.components import connected_components
 
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -170,7 +170,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, groups: int = 7, c
     units = marked.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("cell")).otherwise(others))
                           .alias("cell")).select("cell", "fp")
     placed = units.repartition("cell").sortWithinPartitions("cell", "fp")
-    return placed.mapInArrow(lambda it: _cell_links(it, max_bits), "a long, b long").distinct()
+    return map_batches(placed, lambda it: _cell_links(it, max_bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, groups: int = 7,
