@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spooltrace.llm.bpe import bpe_query
 from spooltrace.llm.common import table
 from spooltrace.llm.embdedup import EMBEDDINGS_SQL, embedding_query
 from spooltrace.llm.langid import language_query
@@ -24,6 +25,7 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe_round_trip": _over_documents(bpe_query),
         "op2_embedding_dedup": lambda spark, sf_dir: embedding_query(table(spark, sf_dir, "embeddings")),
         "op3_secret_scan": _over_documents(secrets_query),
         "op4_language_id": _over_documents(language_query),
