@@ -41,6 +41,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_table(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """``materialize`` as a table bucketed by ``keys``, so that later joins on them move only the other side."""
+    spark = df.sparkSession
+    name = f"llm_{tag}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
+    if not _written:
+        atexit.register(_cleanup)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 def _cleanup() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is None:  # the session has ended

@@ -12,6 +12,7 @@ from spooltrace.llm.embdedup import EMBEDDINGS_SQL, embedding_query
 from spooltrace.llm.langid import language_query
 from spooltrace.llm.packing import packing_query
 from spooltrace.llm.quality import quality_verdicts
+from spooltrace.llm.repeats import repeats_query
 from spooltrace.llm.secrets import SECRETS_SQL, secrets_query
 from spooltrace.llm.sharding import sharding_query
 from spooltrace.llm.simhash import simhash_query
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op3_secret_scan": _over_documents(secrets_query),
         "op4_language_id": _over_documents(language_query),
         "op6_stratified_sharding": _over_documents(sharding_query),
+        "op7_suffix_dedup": _over_documents(repeats_query),
         "op8_simhash": _over_documents(simhash_query),
         "op9_best_fit_packing": _over_documents(packing_query),
         "op10_quality_rules": lambda spark, sf_dir: quality_verdicts(
