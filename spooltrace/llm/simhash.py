@@ -202,4 +202,4 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
                                                          F.monotonically_increasing_id().alias("r"))), "dedup")
     groups = near_duplicates(keyed, shingle, max_bits, id_col="_row", text_col=text_col)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_keep"))
-    return keyed.join(kept, F.col("_row.r") == F.col("_keep"), "left_semi").select(docs.columns)
+    return keyed.join(kept.hint("shuffle_hash"), F.col("_row.r") == F.col("_keep"), "left_semi").select(docs.columns)
