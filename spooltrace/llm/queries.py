@@ -10,6 +10,7 @@ from spooltrace.llm.bpe import bpe_query
 from spooltrace.llm.common import table
 from spooltrace.llm.embdedup import EMBEDDINGS_SQL, embedding_query
 from spooltrace.llm.langid import language_query
+from spooltrace.llm.licenses import license_query, licenses_sql
 from spooltrace.llm.packing import packing_query
 from spooltrace.llm.quality import quality_verdicts
 from spooltrace.llm.repeats import repeats_query
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op2_embedding_dedup": lambda spark, sf_dir: embedding_query(table(spark, sf_dir, "embeddings")),
         "op3_secret_scan": _over_documents(secrets_query),
         "op4_language_id": _over_documents(language_query),
+        "op5_license_scan": _over_documents(license_query),
         "op6_stratified_sharding": _over_documents(sharding_query),
         "op7_suffix_dedup": _over_documents(repeats_query),
         "op8_simhash": _over_documents(simhash_query),
@@ -40,4 +42,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op3_secret_scan": SECRETS_SQL}
+    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op3_secret_scan": SECRETS_SQL, "op5_license_scan": licenses_sql()}
