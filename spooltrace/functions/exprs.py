@@ -86,10 +86,21 @@ def parse_date_generic(x) -> Column:
     return parse_ts_generic(x).cast("date")
 
 
+MAX_SERIAL = 2958465  # fixed value: the spreadsheet serial of 9999-12-31
+
+
+def serial_out_of_range(x) -> Column:
+    """True where numeric text is too large or small for a spreadsheet date."""
+    return F.coalesce(F.abs(_c(x).try_cast("double")) > MAX_SERIAL, F.lit(False))
+
+
 def excel_serial(x, offset: int = -2) -> Column:
-    """Numeric text -> base date + int(value) + offset days (truncating like an int cast)."""
+    """Numeric text -> base date + int(value) + offset days (truncating like an int cast).
+
+    Serials beyond +-``MAX_SERIAL`` (9999-12-31) are no dates and give NULL; ``serial_out_of_range`` finds them.
+    """
     v = _c(x).try_cast("double")
-    days = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 3.0e6), v.cast("int") + F.lit(offset))
+    days = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= MAX_SERIAL), v.cast("int") + F.lit(offset))
     base = F.lit(EXCEL_BASE).cast("timestamp_ntz")
     return F.when(days.isNotNull(), F.timestamp_add("DAY", days, base))
 
@@ -183,7 +194,7 @@ def product_code(lot, seq) -> Column:
     lot = _c(lot)
     return F.when(lot.isNull() | (F.length(lot) < 4),
                   F.raise_error(F.lit("Request lot_number (YYCC) is missing/invalid"))).otherwise(
-        F.format_string("%s%04d", lot, _c(seq).cast("int")))
+        F.format_string("%s%04d", lot, _c(seq).cast("long")))
 
 
 # F18

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spooltrace.session import materialize
+
 c = F.col
 
 
@@ -18,33 +20,36 @@ class BomCycleError(ValueError):
     pass
 
 
-def bom_closure(bom: DataFrame, skus: DataFrame, max_depth: int = 32) -> DataFrame:
+def bom_closure(bom: DataFrame, skus: DataFrame) -> DataFrame:
     """(root_sku_id, component_sku_id, qty): leaf components per one unit of every sku in ``skus``.
 
     Quantities multiply along a path and sum over paths; a sku without BOM
-    rows maps to itself with quantity 1. A path longer than ``max_depth``
-    means a cycle and raises ``BomCycleError``.
+    rows maps to itself with quantity 1. Depth is not limited: a path that
+    visits more parents than there are must repeat one, and so must one that
+    comes back to its root; both raise ``BomCycleError``. Each level is written
+    once, so the plan does not grow with the depth, and callers join one table.
     """
-    edges = bom.select(c("parent_sku_id").alias("_p"), c("component_sku_id").alias("_c"),
-                       c("component_qty").cast("long").alias("_q"))
+    edges = materialize(bom.select(c("parent_sku_id").alias("_p"), c("component_sku_id").alias("_c"),
+                                   c("component_qty").cast("long").alias("_q")))
     parents = edges.select(c("_p").alias("_pp")).distinct()
-    frontier = skus.select(c("id").alias("root_sku_id"), c("id").alias("node"), F.lit(1).cast("long").alias("qty"))
-    leaves = []
-    for _ in range(max_depth + 1):
-        is_parent = frontier.join(parents, frontier.node == parents._pp, "left_semi")
-        leaves.append(frontier.join(parents, frontier.node == parents._pp, "left_anti"))
-        frontier = (is_parent.join(edges, is_parent.node == edges._p)
-                    .select("root_sku_id", c("_c").alias("node"), (c("qty") * c("_q")).alias("qty")))
-        frontier = frontier.groupBy("root_sku_id", "node").agg(F.sum("qty").alias("qty"))
-        if frontier.isEmpty():
+    n_parents = parents.count()
+    frontier = materialize(skus.select(c("id").alias("root_sku_id"), c("id").alias("node"),
+                                       F.lit(1).cast("long").alias("qty")))
+    out = frontier.join(parents, frontier.node == parents._pp, "left_anti")
+    depth = 0
+    while True:
+        frontier = materialize(
+            frontier.join(edges, frontier.node == edges._p)
+            .groupBy("root_sku_id", c("_c").alias("node")).agg(F.sum(c("qty") * c("_q")).alias("qty")))
+        depth += 1
+        seen = frontier.agg(F.count(F.lit(1)).alias("n"), F.max((c("root_sku_id") == c("node")).cast("int")).alias("back")).first()
+        if not seen["n"]:
             break
-    else:
-        raise BomCycleError(f"bill of materials deeper than {max_depth}: cycle?")
-    out = leaves[0]
-    for lf in leaves[1:]:
-        out = out.unionByName(lf)
-    return (out.groupBy("root_sku_id", c("node").alias("component_sku_id"))
-            .agg(F.sum("qty").cast("long").alias("qty")))
+        if seen["back"] or depth > n_parents:
+            raise BomCycleError("bill of materials holds a cycle")
+        out = out.unionByName(frontier.join(parents, frontier.node == parents._pp, "left_anti"))
+    return materialize(out.groupBy("root_sku_id", c("node").alias("component_sku_id"))
+                       .agg(F.sum("qty").cast("long").alias("qty")))
 
 
 def expand_lines(lines: DataFrame, closure: DataFrame, sku_col: str = "product_sku_id",

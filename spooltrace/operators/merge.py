@@ -1,10 +1,10 @@
 """Merge kernel (C1-C5, C8, C11): set-based upsert, insert-only merge, id assignment.
 
-Plain Spark sources have no MERGE, so an upsert is a full outer join on the
-merge keys: matched rows take the source's ``set_cols`` (optionally only
-when ``update_when`` holds), unmatched source rows are inserted with new ids,
-unmatched target rows stay. Duplicate source keys raise, as the database
-does. The join shuffles both sides on the keys once.
+Plain Spark sources have no MERGE, so an upsert is a left join of the target
+with the source plus an anti-join for the inserts: matched rows take the
+source's ``set_cols`` (optionally only when ``update_when`` holds), unmatched
+source rows are inserted with new ids, unmatched target rows stay. Duplicate
+source keys raise, as the database does.
 """
 
 from __future__ import annotations
@@ -155,15 +155,15 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str],
 
 def next_seq_for_lot(codes: DataFrame, lots: DataFrame, code_col: str = "product_code",
                      lot_col: str = "lot_number") -> DataFrame:
-    """Per lot, 1 + the largest 4-digit sequence among codes equal to lot + 4 characters (0 when none).
+    """Per lot, 1 + the largest sequence among the codes of its units (0 when none).
 
-    Done for all lots at once: codes are grouped by their lot prefix (code
-    minus its last 4 characters), so no per-lot query and no lock is needed.
+    ``codes`` carries each unit's own lot, so a sequence is what follows the
+    lot in the code, whatever its number of digits: past 9999 units it goes on
+    without repeating a code. Done for all lots at once, without a lock.
     """
-    cand = (codes.where(c(code_col).isNotNull() & (F.length(c(code_col)) > 4))
-            .select(F.expr(f"left({code_col}, length({code_col}) - 4)").alias("_lot"),
-                    F.right(c(code_col), F.lit(4)).try_cast("int").alias("_seq"))
-            .groupBy("_lot").agg(F.max("_seq").alias("_max")))
-    ls = lots.select(c(lot_col).alias("lot_number")).distinct()
+    lot, code = c(lot_col), c(code_col)
+    seq = F.expr(f"substring({code_col}, length({lot_col}) + 1)").try_cast("long")
+    cand = (codes.where(F.startswith(code, lot)).groupBy(lot.alias("_lot")).agg(F.max(seq).alias("_max")))
+    ls = lots.select(lot.alias("lot_number")).distinct()
     return (ls.join(cand, c("lot_number") == c("_lot"), "left")
             .select("lot_number", (F.coalesce(c("_max"), F.lit(0)) + 1).cast("long").alias("next_seq")))

@@ -31,10 +31,9 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _by_range(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
+    """Range partitions on ``order``; without a count the session's setting holds and AQE joins small ones."""
+    return df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
 
 
 def row_number_global(df: DataFrame, order_by: Sequence[str | Column], col: str = "rn",
@@ -47,8 +46,7 @@ def row_number_global(df: DataFrame, order_by: Sequence[str | Column], col: str
     into offsets (one row per partition) and broadcast back.
     """
     order = _cols(order_by)
-    n = _n_parts(df, num_partitions)
-    parted = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    parted = (_by_range(df, num_partitions, order).sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
     parted = parted.withColumn(_LOC, F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33))
@@ -75,8 +73,7 @@ def row_number_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence
     """
     groups = list(group_by)
     order = _cols(order_by)
-    n = _n_parts(df, num_partitions)
-    parted = materialize(df.repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id()))
+    parted = materialize(_by_range(df, num_partitions, [*_cols(groups), *order]).withColumn(_PID, F.spark_partition_id()))
     local = parted.withColumn(
         _LOC, F.row_number().over(Window.partitionBy(*groups, _PID).orderBy(*order)))
     counts = parted.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias("_rk_cnt"))
@@ -101,9 +98,8 @@ def running_sum_within(df: DataFrame, group_by: Sequence[str], order_by: Sequenc
     groups = list(group_by)
     order = _cols(order_by)
     val = F.col(value) if isinstance(value, str) else value
-    n = _n_parts(df, num_partitions)
-    parted = materialize(df.withColumn("_rk_val", val)
-                         .repartitionByRange(n, *_cols(groups), *order).withColumn(_PID, F.spark_partition_id()))
+    parted = materialize(_by_range(df.withColumn("_rk_val", val), num_partitions, [*_cols(groups), *order])
+                         .withColumn(_PID, F.spark_partition_id()))
     local = parted.withColumn(_LOC, F.sum("_rk_val").over(
         Window.partitionBy(*groups, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = parted.groupBy(*groups, _PID).agg(F.sum("_rk_val").alias("_rk_tot"))

@@ -76,3 +76,7 @@ _STG_COLS = ["product_id", "filament_id", "printer", "operator_harvest", "date_h
              "surface_treatment", "sterilization"]
 SQL["stage_drop_empty"] = ("SELECT " + ", ".join(f"{n} AS p{i}" for i, n in enumerate(_STG_COLS)) + " FROM x_stg_excel_data "
                            "WHERE NOT (" + " AND ".join(f"{n} IS NULL" for n in _STG_COLS) + ")")
+_CELLS = " || chr(31) || ".join(f"COALESCE('=' || CAST({n} AS VARCHAR), '')" for n in _STG_COLS)
+SQL["content_digest"] = f"""
+, h AS (SELECT CAST('0x' || left(md5({_CELLS}), 15) AS BIGINT) AS h FROM x_stg_excel_data)
+SELECT count(*) AS rows, CAST(COALESCE(sum(CAST(h AS HUGEINT)), 0) AS VARCHAR) AS hash_sum, COALESCE(bit_xor(h), 0) AS hash_xor FROM h"""

@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB) for G1-G36."""
 
-from spooltrace.functions import rules as R
+from spooltrace.oracle.lookup import HARVEST, REQUEST, UNITS, by_id, of_unit, place, plain, present, report, sku, stage, user
 from spooltrace.oracle.prelude import AS_OF_SQL
 
 UB = """FROM x_product_tracking pt JOIN x_product_harvest ph ON pt.harvest_id = ph.id
@@ -13,41 +13,70 @@ def _values(rows, cols):
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") v({', '.join(cols)})"
 
 
-SHELF_RULES = _values(R.shelf_option_rows(), ["business_status", "mode", "keyword", "next_stage_code"])
-STAGE_RULES = _values(R.stage_rule_rows(), ["stage_code", "keyword"])
+# fixed values, stated here again so that the oracle does not share the library's table
+SHELF_RULES = _values([
+    ("A-Ware", "Post-Harvest QC", "CellScrew; Inventory", "InInterimStorage"),
+    ("A-Ware", "Post-Treatment QC", "CellScrew; Sales", "PostTreatmentStorage"),
+    ("B-Ware", "Post-Harvest QC", "CellScrew; B-Ware", "InInterimStorage"),
+    ("B-Ware", "Post-Treatment QC", "CellScrew; Internal Use", "PostTreatmentStorage"),
+    ("In Quarantine", "Post-Harvest QC", "CellScrew; Quarantine", "Quarantine"),
+    ("In Quarantine", "Post-Treatment QC", "CellScrew; Quarantine", "Quarantine"),
+    ("In Quarantine", "AdHoc Quarantine", "CellScrew; Quarantine", "Quarantine"),
+    ("Waste", "Post-Harvest QC", "Disposed Product", "Disposed"),
+    ("Waste", "Post-Treatment QC", "Disposed Product", "Disposed"),
+], ["business_status", "mode", "keyword", "next_stage_code"])
+STAGE_RULES = _values([
+    ("HarvestQCComplete", "CellScrew; Inventory"), ("HarvestQCComplete", "CellScrew; B-Ware"),
+    ("InInterimStorage", "CellScrew; Inventory"), ("InInterimStorage", "CellScrew; B-Ware"),
+    ("QMTreatmentApproval", "CellScrew; Inventory"), ("QMTreatmentApproval", "CellScrew; B-Ware"),
+    ("InTreatment", "Offsite"), ("InTreatment", "Treatment/Partner/Customer"),
+    ("PostTreatmentQC", "CellScrew; Sales"), ("PostTreatmentQC", "Internal Use"), ("PostTreatmentQC", "CellScrew; B-Ware"),
+    ("PostTreatmentStorage", "CellScrew; Sales"), ("PostTreatmentStorage", "Internal Use"),
+    ("PostTreatmentStorage", "CellScrew; B-Ware"), ("QMSalesApproval", "CellScrew; Sales"),
+    ("PendingShipment", "CellScrew; Sales"), ("Shipped", "Offsite"), ("Shipped", "Treatment/Partner/Customer"),
+    ("Quarantine", "CellScrew; Quarantine"), ("Disposed", "Disposed Product"), ("Disposed", "Waste"),
+    ("Internal Use", "Internal Use"),
+], ["stage_code", "keyword"])
 
 BUSINESS = """CASE inspection_result WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
   WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'A-Ware' END"""
 
-G4 = """SELECT pt.id, pt.product_id, pt.harvest_id, pr.id AS request_id, ps.sku, ps.name AS sku_name, sps.average_weight_g,
-  sps.weight_buffer_g, pr.lot_number, p.name AS printer, ph.print_date
-FROM x_product_tracking pt JOIN x_product_harvest ph ON pt.harvest_id = ph.id
-JOIN x_product_requests pr ON ph.request_id = pr.id JOIN x_product_skus ps ON ps.id = pr.sku_id
-LEFT JOIN x_product_print_specs sps ON sps.sku_id = ps.id LEFT JOIN x_lifecycle_stages lc ON pt.current_stage_id = lc.id
-LEFT JOIN x_filament_mounting fm ON ph.filament_mounting_id = fm.id LEFT JOIN x_printers p ON fm.printer_id = p.id
-WHERE lc.stage_order = 1 AND pr.lot_number <> 'LEGACY_LOT'"""
+_RESULT = of_unit("product_quality_control", "inspection_result")
+_CHAIN = present(HARVEST["id"], REQUEST["id"], sku("id", "u.sku_id"))
+_MOUNT = HARVEST["filament_mounting_id"]
+_SPOOL = by_id("filament_mounting", "filament_tracking_id", _MOUNT)
+_SKU = {"sku": sku("sku", "u.sku_id"), "sku_name": sku("name", "u.sku_id")}
 
-G9 = f"""SELECT pt.id, pt.product_id, lc.stage_name AS current_stage_name, pt.location_id, ph.id AS harvest_id, pt.last_updated_at,
-  qc.inspection_result, f.serial_number AS filament_serial, ps.sku, ps.name AS sku_name, u.display_name AS printed_by, ph.print_date
-{UB} JOIN x_lifecycle_stages lc ON pt.current_stage_id = lc.id
-JOIN x_product_quality_control qc ON qc.product_tracking_id = pt.id
-JOIN x_filament_mounting fm ON ph.filament_mounting_id = fm.id JOIN x_filaments f ON fm.filament_tracking_id = f.id
-LEFT JOIN x_users u ON ph.printed_by = u.id
-WHERE lc.stage_code = 'HarvestQCComplete' AND pt.location_id IS NULL"""
+G4 = report({
+    **plain("u", "id", "product_id", "harvest_id"), "request_id": REQUEST["id"], "lot_number": REQUEST["lot_number"],
+    "sku": sku("sku", REQUEST["sku_id"]), "sku_name": sku("name", REQUEST["sku_id"]), "print_date": HARVEST["print_date"],
+    **{k: f"(SELECT z.{k} FROM x_product_print_specs z WHERE z.sku_id = {REQUEST['sku_id']})"
+       for k in ("average_weight_g", "weight_buffer_g")},
+    "printer": by_id("printers", "name", by_id("filament_mounting", "printer_id", _MOUNT)),
+}, UNITS, [f"{stage('stage_order')} = 1", f"{REQUEST['lot_number']} <> 'LEGACY_LOT'", *present(sku("id", REQUEST["sku_id"]))])
 
-G22 = f"""SELECT pt.id AS product_tracking_id, pt.product_id, lc.stage_name AS current_stage_name, pt.last_updated_at, pr.lot_number,
-  ps.sku, ps.name AS sku_name, qc.inspection_result, u.display_name AS inspected_by, qc.weight_grams, qc.pressure_drop,
-  qc.visual_pass, qc.notes, sl.location_name AS current_location
-{UB} JOIN x_lifecycle_stages lc ON pt.current_stage_id = lc.id
-JOIN x_product_quality_control qc ON qc.product_tracking_id = pt.id JOIN x_users u ON qc.inspected_by = u.id
-LEFT JOIN x_storage_locations sl ON pt.location_id = sl.id WHERE lc.stage_code = 'InInterimStorage'"""
+G9 = report({
+    **plain("u", "id", "product_id", "location_id", "last_updated_at"), **_SKU, "current_stage_name": stage(),
+    "harvest_id": HARVEST["id"], "print_date": HARVEST["print_date"], "printed_by": user(HARVEST["printed_by"]),
+    "inspection_result": _RESULT, "filament_serial": by_id("filaments", "serial_number", _SPOOL),
+}, UNITS, [f"{stage('stage_code')} = 'HarvestQCComplete'", "u.location_id IS NULL", *_CHAIN,
+           *present(of_unit("product_quality_control", "id"), by_id("filaments", "id", _SPOOL))])
 
-G23 = f"""SELECT pt.id AS product_tracking_id, pt.product_id, lc.stage_name AS current_stage_name, pt.last_updated_at,
-  ps.sku, ps.name AS sku_name, pti.qc_result AS inspection_result, u.display_name AS inspected_by, pti.visual_pass,
-  pti.surface_treated, pti.sterilized, sl.location_name AS current_location
-{UB} JOIN x_lifecycle_stages lc ON pt.current_stage_id = lc.id
-LEFT JOIN x_post_treatment_inspections pti ON pti.product_tracking_id = pt.id LEFT JOIN x_users u ON pti.inspected_by = u.id
-LEFT JOIN x_storage_locations sl ON pt.location_id = sl.id WHERE lc.stage_code = 'PostTreatmentStorage'"""
+_REVIEW = {"product_tracking_id": "u.id", **plain("u", "product_id", "last_updated_at"), **_SKU, "current_stage_name": stage(),
+           "current_location": place("u.location_id")}
+
+G22 = report({
+    **_REVIEW, "lot_number": REQUEST["lot_number"], "inspection_result": _RESULT,
+    "inspected_by": user(of_unit("product_quality_control", "inspected_by")),
+    **{k: of_unit("product_quality_control", k) for k in ("weight_grams", "pressure_drop", "visual_pass", "notes")},
+}, UNITS, [f"{stage('stage_code')} = 'InInterimStorage'", *_CHAIN,
+           *present(user(of_unit("product_quality_control", "inspected_by")))])
+
+G23 = report({
+    **_REVIEW, "inspection_result": of_unit("post_treatment_inspections", "qc_result"),
+    "inspected_by": user(of_unit("post_treatment_inspections", "inspected_by")),
+    **{k: of_unit("post_treatment_inspections", k) for k in ("visual_pass", "surface_treated", "sterilized")},
+}, UNITS, [f"{stage('stage_code')} = 'PostTreatmentStorage'", *_CHAIN])
 
 EXP = f"""SELECT pt.id, ph.print_date, s.sku, s.name AS sku_name
 FROM x_product_tracking pt JOIN x_product_harvest ph ON pt.harvest_id = ph.id JOIN x_product_requests pr ON ph.request_id = pr.id
@@ -126,12 +155,14 @@ JOIN x_storage_locations l ON contains(l.description, v.keyword)""",
 FROM ({MISMATCH}) m JOIN {STAGE_RULES} ON v.stage_code = m.stage_code JOIN x_storage_locations l ON contains(l.description, v.keyword)""",
     "inspection_sample": """
 , b AS (SELECT batch_id, product_tracking_id, count(*) OVER (PARTITION BY batch_id) AS n,
-   ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY (2654435761 * product_tracking_id + (7 * 40503 + 12345)) % 4294967296,
-                      product_tracking_id) AS rk
+   ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY md5('7:' || product_tracking_id), product_tracking_id) AS rk
    FROM x_treatment_batch_products)
 SELECT batch_id, product_tracking_id, CAST(n AS BIGINT) AS batch_size,
   CAST(least(n, greatest(2, CAST(round_even(n * 0.05, 0) AS BIGINT))) AS BIGINT) AS sample_size
 FROM b WHERE rk <= least(n, greatest(2, CAST(round_even(n * 0.05, 0) AS BIGINT)))""",
+    "inspection_all": """SELECT p.batch_id, p.product_tracking_id, z.n AS batch_size, z.n AS sample_size
+FROM x_treatment_batch_products p JOIN (SELECT batch_id, count(*) AS n FROM x_treatment_batch_products GROUP BY batch_id) z
+  ON z.batch_id = p.batch_id""",
     "treatment_qc_evaluation": """
 , u AS (SELECT pt.id, tbp.batch_id, tbp.surface_treat, st.status_name AS current_status
    FROM x_treatment_batch_products tbp JOIN x_product_tracking pt ON tbp.product_tracking_id = pt.id
@@ -213,9 +244,14 @@ FROM ({G23}) b WHERE current_stage_name = 'Stored; Pending QM Approval'""",
 }
 
 
-_areas = dict(R.SKU_SURFACE_AREA)
-LABELS = _values([(sku, label, "TRUE" if qr else "FALSE", str(size), _areas.get(sku, ""))
-                  for sku, label, qr, size in R.label_rows()], ["sku", "label", "qr", "size", "area"])
+# fixed values: label, its skus with the surface area printed, QR code, print size
+_BIG = [("GEB-CS10KTCS-4", "10197"), ("GEB-CS6KTCS-2", "6001"), ("GEB-CS6KTCS-4", "6124")]
+_MINI = [("GEB-CSmTCS", "856"), ("GEB-CSmTC2S", "851"), ("GEB-CSmTCS-2", "851")]
+_LABELS = [("CS10K-6K_v1", _BIG, "TRUE", 76), ("CS10K-6K_v2", _BIG, "TRUE", 76), ("CS10K-6K_v3", _BIG, "TRUE", 76),
+           ("CSmini_v1", _MINI, "TRUE", 50), ("CSmini_v2", _MINI, "TRUE", 50), ("CSmini_v3", _MINI, "FALSE", 76),
+           ("Tridock", [("GEB-CSmTD", "")], "FALSE", 76)]
+LABELS = _values([(code, label, qr, str(size), area) for label, skus, qr, size in _LABELS for code, area in skus],
+                 ["sku", "label", "qr", "size", "area"])
 SQL["label_templates"] = f"""SELECT g.id, g.product_id, g.reference_number, v.label, CAST(v.qr AS BOOLEAN) AS qr_required,
   CAST(v.size AS INTEGER) AS print_size, nullif(v.area, '') AS surface_area, g.expiration_label
 FROM ({SQL['label_data']}) g JOIN {LABELS} ON v.sku = g.reference_number"""

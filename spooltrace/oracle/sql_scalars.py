@@ -6,7 +6,7 @@ from spooltrace.oracle.sql_views import sql_bigint, sql_date_multi, sql_ts_gener
 
 
 
-def _b36(n: str, digits: int = 7) -> str:
+def _b36(n: str, digits: int = 12) -> str:
     d = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
     parts = " || ".join(f"CASE WHEN {n} >= {36 ** k} THEN substr({d}, CAST(({n} // {36 ** k}) % 36 AS INTEGER) + 1, 1) ELSE '' END"
                         for k in range(digits - 1, 0, -1))
@@ -73,9 +73,9 @@ FROM {S} s LEFT JOIN (SELECT status_name, min(id) AS id FROM x_product_statuses
 FROM x_stg_treatment_excel_data""",
     "base36": f"SELECT o_orderkey AS input, {_b36('o_orderkey')} AS output FROM orders",
     "lot_number": f"""SELECT o_orderkey AS key, lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') ||
-  CASE WHEN length({_b36('(o_orderkey % 1296)')}) < 2 THEN lpad({_b36('(o_orderkey % 1296)')}, 2, '0') ELSE {_b36('(o_orderkey % 1296)')} END
+  CASE WHEN length({_b36('o_orderkey')}) < 2 THEN lpad({_b36('o_orderkey')}, 2, '0') ELSE {_b36('o_orderkey')} END
   AS output FROM orders""",
-    "product_code": "SELECT id AS key, lot_number || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS output FROM x_product_requests",
+    "product_code": "SELECT id AS key, lot_number || printf('%04d', id) AS output FROM x_product_requests",
     "name_initials": f"""SELECT c_custkey AS key, c_mktsegment || ' ' || c_name AS input,
   {_initials("(c_mktsegment || ' ' || c_name)")} AS output FROM customer""",
     "ready_at": "SELECT id, moved_at, moved_at + INTERVAL 2 DAY AS output FROM x_filament_acclimatization",

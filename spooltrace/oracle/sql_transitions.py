@@ -305,13 +305,14 @@ cmd AS (SELECT m.request_id, m.best_mount_id AS filament_mount_id, pr.requested_
    (SELECT min(id) FROM x_seals WHERE qc_result = 'PASS' AND serial_number <> 'LEGACY_SEAL') AS seal_id,
    pr.sku_id, pr.lot_number, pr.is_tech_transfer
    FROM rmc m JOIN x_product_requests pr ON pr.id = m.request_id WHERE m.best_mount_id IS NOT NULL AND m.request_id % 3 = 0),
-seq0 AS (SELECT left(product_code, length(product_code) - 4) AS lot, max(TRY_CAST(right(product_code, 4) AS INTEGER)) AS mx
-   FROM x_product_tracking WHERE product_code IS NOT NULL AND length(product_code) > 4 GROUP BY 1),
+seq0 AS (SELECT q.lot_number AS lot, max(TRY_CAST(substr(t.product_code, length(q.lot_number) + 1) AS BIGINT)) AS mx
+   FROM x_product_requests q JOIN x_product_harvest h ON h.request_id = q.id JOIN x_product_tracking t ON t.harvest_id = h.id
+   WHERE starts_with(t.product_code, q.lot_number) GROUP BY 1),
 units AS (SELECT c.*,
    CAST((SELECT max(id) FROM x_product_harvest) + ROW_NUMBER() OVER (ORDER BY c.request_id) AS BIGINT) AS harvest_id,
    CAST((SELECT max(id) FROM x_product_tracking) + ROW_NUMBER() OVER (ORDER BY c.request_id) AS BIGINT) AS id,
    CAST(COALESCE((SELECT max(product_id) FROM x_product_tracking) + 1, 1000000) + ROW_NUMBER() OVER (ORDER BY c.request_id) - 1 AS BIGINT) AS product_id,
-   c.lot_number || lpad(CAST(COALESCE(s.mx, 0) + ROW_NUMBER() OVER (PARTITION BY c.lot_number ORDER BY c.request_id) AS VARCHAR), 4, '0') AS product_code
+   c.lot_number || printf('%04d', COALESCE(s.mx, 0) + ROW_NUMBER() OVER (PARTITION BY c.lot_number ORDER BY c.request_id)) AS product_code
    FROM cmd c LEFT JOIN seq0 s ON s.lot = c.lot_number)
 """
 
@@ -336,9 +337,8 @@ SELECT r.id, r.requested_by, r.sku_id, r.lot_number, CASE WHEN c.request_id IS N
   r.requested_at, r.notes, r.is_tech_transfer FROM x_product_requests r LEFT JOIN cmd c ON c.request_id = r.id"""
 
 C7 = K5_BASE + """
-, codes AS (SELECT product_code FROM x_product_tracking UNION ALL SELECT product_code FROM units),
-mx AS (SELECT left(product_code, length(product_code) - 4) AS lot, max(TRY_CAST(right(product_code, 4) AS INTEGER)) AS mx
-   FROM codes WHERE product_code IS NOT NULL AND length(product_code) > 4 GROUP BY 1)
+, mx AS (SELECT lot, max(mx) AS mx FROM (SELECT lot, mx FROM seq0 UNION ALL
+   SELECT lot_number, TRY_CAST(substr(product_code, length(lot_number) + 1) AS BIGINT) FROM units) GROUP BY lot)
 SELECT l.lot_number, CAST(COALESCE(mx.mx, 0) + 1 AS BIGINT) AS next_seq
 FROM (SELECT DISTINCT lot_number FROM x_product_requests WHERE status = 'Pending') l LEFT JOIN mx ON mx.lot = l.lot_number"""
 
@@ -990,11 +990,11 @@ SQL.update({
 })
 
 SKU_BASE = """
-, rows AS (SELECT trim(' GEB-' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || ' ') AS sku, trim('Line ' || p_brand) AS name,
+, rows AS (SELECT trim(' NEW-' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || ' ') AS sku, trim('Line ' || p_brand) AS name,
    CAST(1 + min(p_partkey) % 4 AS BIGINT) AS product_type_id, TRUE AS is_serialized, min(p_partkey) % 3 = 0 AS is_bundle,
    CAST(1 + min(p_partkey) % 5 AS BIGINT) AS pack_qty FROM part GROUP BY p_brand
    UNION ALL SELECT 'GEB-CSmTD', 'TriDock again', 4, FALSE, FALSE, 1
-   UNION ALL SELECT 'GEB-NONAME', '', 1, TRUE, FALSE, 1),
+   UNION ALL SELECT 'NEW-NONAME', '', 1, TRUE, FALSE, 1),
 chk AS (SELECT *, CASE WHEN sku IS NULL OR sku = '' OR name IS NULL OR name = '' THEN 'SKU and name are required.'
    WHEN pack_qty <= 0 THEN 'pack_qty must be > 0.' END AS why0 FROM rows),
 dup AS (SELECT sku FROM chk WHERE why0 IS NULL GROUP BY sku HAVING count(*) > 1),

@@ -271,18 +271,22 @@ def mismatch_fixes(db) -> DataFrame:
 
 
 def sample_key(unit_id, seed: int) -> F.Column:
-    """Seedable pseudo-random order of unit ids (multiplicative hash, integer only)."""
-    return (F.lit(2654435761) * unit_id + F.lit(seed * 40503 + 12345)) % F.lit(4294967296)
+    """Pseudo-random order of unit ids that depends on the seed as a whole (any id, no overflow)."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), unit_id.cast("string")))
 
 
-def inspection_sample(db, seed: int = 7) -> DataFrame:
-    """Per treatment batch a random sample of min(n, max(2, round_half_even(0.05 n))) units.
+def inspection_sample(db, seed: int = 7, inspect_all: bool = False) -> DataFrame:
+    """Per treatment batch a random sample of min(n, max(2, round_half_even(0.05 n))) units;
+    with ``inspect_all`` every unit of the batch.
 
     Per-batch counts come from a partial aggregate; the in-batch rank uses
     skew-safe row numbering, so one huge batch is not one task.
     """
     tbp = db.treatment_batch_products.select("batch_id", "product_tracking_id")
     n = tbp.groupBy(c("batch_id").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    if inspect_all:
+        return tbp.join(n, c("batch_id") == c("_b")).select("batch_id", "product_tracking_id", c("n").alias("batch_size"),
+                                                            c("n").alias("sample_size"))
     size = F.least(c("n"), F.greatest(F.lit(2), F.bround(c("n") * F.lit(0.05), 0).cast("long")))
     ranked = row_number_within(tbp.withColumn("_k", sample_key(c("product_tracking_id"), seed)),
                                ["batch_id"], ["_k", "product_tracking_id"], col="_rk")
@@ -505,15 +509,13 @@ def label_data(db, stage_code: str | None = "Printed") -> DataFrame:
                       exp["expiry_date"].alias("expiration_date"), exp["expiry_label"].alias("expiration_label"))
 
 
-MAX_LABELS_PER_REQUEST = 1000  # form limit
-
-
-def label_id_series(requests: DataFrame) -> DataFrame:
-    """(request_id, first_id, n) -> n consecutive label ids per request (n <= 1000)."""
+def label_id_series(requests: DataFrame, max_labels: int | None = None) -> DataFrame:
+    """(request_id, first_id, n) -> n consecutive label ids per request; more than ``max_labels``, if given, raises."""
     n = c("n")
-    checked = requests.withColumn(
-        "n", F.when((n < 1) | (n > MAX_LABELS_PER_REQUEST),
-                    F.raise_error(F.lit("label count must be between 1 and 1000"))).otherwise(n))
+    bad = n < 1
+    if max_labels is not None:
+        bad = bad | (n > max_labels)
+    checked = requests.withColumn("n", F.when(bad, F.raise_error(F.lit("label count out of range"))).otherwise(n))
     return checked.select("request_id", F.explode(F.sequence(c("first_id"), c("first_id") + c("n") - 1))
                           .alias("label_id"))
 

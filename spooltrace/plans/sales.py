@@ -67,6 +67,11 @@ def processing_orders(db) -> DataFrame:
             .withColumn("order_items", F.coalesce(c("order_items"), F.array().cast(lines.schema["order_items"].dataType))))
 
 
+def processing_orders_flat(db) -> DataFrame:
+    """H3 with the nested lines as JSON text, for readers without nested types."""
+    return processing_orders(db).withColumn("order_items", F.to_json("order_items"))
+
+
 def sales_inventory(db, as_of: str) -> DataFrame:
     """H4: releasable units with sku, lot, status, stage and printer operator, newest first."""
     r = (_releasable(db, as_of, ["QMSalesApproval"])

@@ -125,12 +125,12 @@ def base36(db):
 
 def lot_number(db):
     o = db.src("orders")
-    return o.select(c("o_orderkey").alias("key"), X.lot_number(c("o_orderdate"), c("o_orderkey") % 1296).alias("output"))
+    return o.select(c("o_orderkey").alias("key"), X.lot_number(c("o_orderdate"), c("o_orderkey")).alias("output"))
 
 
 def product_code(db):
     r = db.product_requests
-    return r.select(c("id").alias("key"), X.product_code(c("lot_number"), c("id") % 10000).alias("output"))
+    return r.select(c("id").alias("key"), X.product_code(c("lot_number"), c("id")).alias("output"))
 
 
 def name_initials(db):

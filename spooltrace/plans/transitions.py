@@ -438,7 +438,8 @@ def apply_harvest(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
                            c("filament_mount_id").alias("filament_mounting_id"), "printed_by",
                            now.alias("print_date"))
     # product codes: lot + (max existing sequence of the lot + rank of the request within the lot)
-    seq0 = C.next_seq_for_lot(db.product_tracking, harvest.select("lot_number"))
+    seq0 = C.next_seq_for_lot(lot_codes(db.product_tracking, db.product_harvest, db.product_requests, harvest),
+                              harvest.select("lot_number"))
     ranked = row_number_within_lot(harvest)
     coded = (ranked.join(seq0, "lot_number")
              .withColumn("product_code", X.product_code(c("lot_number"), c("next_seq") + c("_lot_rank") - 1)))
@@ -473,6 +474,15 @@ def apply_harvest(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
             "product_requests": requests}
 
 
+def lot_codes(tracking: DataFrame, harvests: DataFrame, requests: DataFrame, lots: DataFrame) -> DataFrame:
+    """(lot_number, product_code) of the units whose request belongs to one of ``lots``."""
+    req = requests.select(c("id").alias("_req"), "lot_number").join(lots.select("lot_number").distinct(), "lot_number",
+                                                                    "left_semi")
+    har = harvests.select(c("id").alias("_har"), "request_id")
+    return (tracking.select("harvest_id", "product_code").join(har, c("harvest_id") == c("_har"))
+            .join(req, c("request_id") == c("_req")).select("lot_number", "product_code"))
+
+
 def row_number_within_lot(df: DataFrame) -> DataFrame:
     from spooltrace.operators.ranking import row_number_within
     return row_number_within(df, ["lot_number"], ["request_id"], col="_lot_rank")
@@ -1400,12 +1410,12 @@ def sku_create_commands(db) -> DataFrame:
     """Command table for K20 create: one sku per part brand (bundles for every third brand), plus a re-sent
     existing code and a row without a name."""
     b = db.src("part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
-    brands = b.select(F.concat(F.lit(" GEB-"), F.regexp_replace(c("p_brand"), "[^A-Za-z0-9]", ""), F.lit(" ")).alias("sku"),
+    brands = b.select(F.concat(F.lit(" NEW-"), F.regexp_replace(c("p_brand"), "[^A-Za-z0-9]", ""), F.lit(" ")).alias("sku"),
                       F.concat(F.lit("Line "), c("p_brand")).alias("name"),
                       (F.lit(1) + c("k") % 4).cast("long").alias("product_type_id"), F.lit(True).alias("is_serialized"),
                       (c("k") % 3 == 0).alias("is_bundle"), (F.lit(1) + c("k") % 5).cast("long").alias("pack_qty"))
     extra = db.spark.createDataFrame(
-        [(" GEB-CSmTD ", "TriDock again", 4, False, False, 1), ("GEB-NONAME", "  ", 1, True, False, 1)],
+        [(" GEB-CSmTD ", "TriDock again", 4, False, False, 1), ("NEW-NONAME", "  ", 1, True, False, 1)],
         "sku STRING, name STRING, product_type_id BIGINT, is_serialized BOOLEAN, is_bundle BOOLEAN, pack_qty BIGINT")
     return brands.unionByName(extra)
 

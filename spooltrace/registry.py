@@ -106,6 +106,7 @@ def queries() -> dict[str, Query]:
         "shelf_stage_mismatch": _q(G.shelf_stage_mismatch),
         "mismatch_fixes": _q(G.mismatch_fixes),
         "inspection_sample": _q(G.inspection_sample, seed=7),
+        "inspection_all": _q(G.inspection_sample, inspect_all=True),
         "treatment_qc_evaluation": lambda spark, sf: G.treatment_qc_evaluation(
             Tables(spark, sf), G.treatment_inputs(Tables(spark, sf))),
         "expiring_soon": _q(G.expiring_soon, as_of=AS_OF),
@@ -133,7 +134,7 @@ def queries() -> dict[str, Query]:
         "customers": _q(H.customers_sorted),
         "product_types": _q(H.product_types_sorted),
         "sales_ready_qty": _q(H.sales_ready_qty, as_of=AS_OF),
-        "processing_orders": _q(H.processing_orders),
+        "processing_orders": _q(H.processing_orders_flat),
         "sales_inventory": _q(H.sales_inventory, as_of=AS_OF),
         "sales_summary": _q(H.sales_summary, as_of=AS_OF),
         "canceled_orders": _q(H.canceled_orders),
@@ -226,8 +227,12 @@ def queries() -> dict[str, Query]:
     def next_seq_after_harvest(spark, sf):
         from spooltrace.operators.merge import next_seq_for_lot
         db = Tables(spark, sf)
-        units = harvest(spark, sf)["product_tracking"]
-        return next_seq_for_lot(units, db.product_requests.where("status = 'Pending'"))
+        new = harvest(spark, sf)
+        pending = db.product_requests.where("status = 'Pending'")
+        cols = ["harvest_id", "product_code"]
+        units = db.product_tracking.select(*cols).unionByName(new["product_tracking"].select(*cols))
+        harvests = db.product_harvest.select("id", "request_id").unionByName(new["product_harvest"].select("id", "request_id"))
+        return next_seq_for_lot(K.lot_codes(units, harvests, db.product_requests, pending), pending)
 
     def qc(spark, sf):
         db = Tables(spark, sf)

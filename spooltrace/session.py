@@ -20,14 +20,17 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "spooltrace") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "spooltrace") -> SparkSession:
+    """A session with the library's defaults; the number of shuffle partitions is left alone unless given."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.driver.memory", os.environ.get("SPOOLTRACE_DRIVER_MEMORY", "16g"))
@@ -38,10 +41,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir, setting a scratch one only if unset.
+    """Return the session's checkpoint dir, setting a scratch one only for a local session that has none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is kept
-    as is; a machine-local folder is only ever chosen for local test runs.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that all executors
+    share; without it this raises instead of writing to each machine's own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="spooltrace-ckpt-", dir=os.environ.get("SPOOLTRACE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path

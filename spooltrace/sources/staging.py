@@ -76,15 +76,26 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """Order-insensitive digest of a table: (rows, sum of row hashes, xor of row hashes).
+    """Order-insensitive digest of a table: (rows, sum and xor of the first 60 bits of each row's md5).
 
-    Unchanged content gives the same digest regardless of row order or
-    partitioning, so re-staging can be skipped by comparing digests.
+    A row is hashed as its cells' texts with a separator; a NULL differs from
+    an empty text. Unchanged content gives the same digest regardless of row
+    order or partitioning, so re-staging can be skipped by comparing digests.
     """
-    h = F.xxhash64(*[c(x) for x in df.columns])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), c(f"`{x}`").cast("string")), F.lit("")) for x in df.columns])
+    h = F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-                  F.bit_xor(h).alias("hash_xor"))
+                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
+                  F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"))
+
+
+def load_if_changed(df: DataFrame, path: str, stored: DataFrame | None) -> DataFrame | None:
+    """Stage ``df`` unless its digest equals the ``stored`` one; returns the new digest, or None if skipped."""
+    new = content_digest(df)
+    if stored is not None and not stored.intersect(new).isEmpty():
+        return None
+    load_staging(df, path)
+    return new
 
 
 def staging_profile(df: DataFrame, top: int = 20) -> DataFrame:

@@ -7,8 +7,9 @@ from spooltrace.oracle.check import compare, duck_connect
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
 SQL = entry.oracle_sql()
+# every query of the library has SQL; those of the optional training-data package without it are tested there
+QUERIES = {name: q for name, q in entry.queries().items() if name in SQL}
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,6 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
-    if name not in SQL:
-        assert df.count() >= 0
-        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
-        return
     ok, msg = compare(df, SQL[name], con)
     assert ok, msg
     # no query may plan an unbounded cross product
@@ -33,3 +30,8 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "current_stage" in df.columns
+
+
+def test_every_library_query_has_an_oracle():
+    from spooltrace import registry
+    assert set(registry.queries()) == set(registry.oracle_sql())

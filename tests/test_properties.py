@@ -132,7 +132,7 @@ def test_bom_cycle_raises(spark):
     bom = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "parent_sku_id BIGINT, component_sku_id BIGINT, component_qty BIGINT")
     skus = spark.createDataFrame([(1,), (2,)], "id BIGINT")
     with pytest.raises(BomCycleError):
-        bom_closure(bom, skus, max_depth=5)
+        bom_closure(bom, skus)
 
 
 def test_bom_multiplies_and_sums_paths(spark):
@@ -165,3 +165,60 @@ def test_fifo_matches_brute_force_with_hot_sku(spark):
     assert got == expect
     short = {r.order_id: r.is_short for r in res.collect()}
     assert sum(short.values()) > 0
+
+
+def test_bom_has_no_depth_limit(spark):
+    chain = [(i, i + 1, 2 if i < 3 else 1) for i in range(1, 41)]
+    bom = spark.createDataFrame(chain, "parent_sku_id BIGINT, component_sku_id BIGINT, component_qty BIGINT")
+    closure = bom_closure(bom, spark.createDataFrame([(1,)], "id BIGINT"))
+    assert [tuple(r) for r in closure.collect()] == [(1, 41, 4)]
+
+
+def test_codes_stay_unique_past_four_digits(spark):
+    from spooltrace.functions import exprs as X
+    from spooltrace.operators.merge import next_seq_for_lot
+    lots = spark.createDataFrame([("0012",), ("00121",), ("0013",)], "lot_number STRING")
+    codes = spark.range(1, 10_002).selectExpr("'0012' lot_number", "id seq").withColumn(
+        "product_code", X.product_code(F.col("lot_number"), F.col("seq")))
+    assert codes.select("product_code").distinct().count() == 10_001
+    codes = codes.unionByName(spark.createDataFrame([("00121", "001210007"), ("0013", "odd")], "lot_number STRING, product_code STRING"),
+                              allowMissingColumns=True)
+    assert {r.lot_number: r.next_seq for r in next_seq_for_lot(codes, lots).collect()} == {"0012": 10_002, "00121": 8, "0013": 1}
+
+
+def test_inspection_sample_depends_on_seed_and_takes_large_ids(spark):
+    from types import SimpleNamespace
+    from spooltrace.plans.operations import inspection_sample
+    db = SimpleNamespace(treatment_batch_products=spark.range(4_000_000_000, 4_000_000_400).selectExpr("1 batch_id", "id product_tracking_id"))
+    picks = [sorted(r.product_tracking_id for r in inspection_sample(db, seed=s).collect()) for s in (1, 2)]
+    assert len(picks[0]) == len(picks[1]) == 20
+    offsets = [[x - p[0] for x in p] for p in picks]
+    assert picks[0] != picks[1] and offsets[0] != offsets[1]
+    assert inspection_sample(db, inspect_all=True).count() == 400
+
+
+def test_unchanged_content_is_not_staged_again(spark, tmp_path):
+    from spooltrace.sources.staging import content_digest, load_if_changed
+    df = spark.createDataFrame([("a", None), ("b", "")], "x STRING, y STRING")
+    path = str(tmp_path / "stage")
+    first = load_if_changed(df, path, None)
+    assert first is not None and spark.read.parquet(path).count() == 2
+    assert load_if_changed(df.orderBy(F.desc("x")), path, first) is None
+    changed = spark.createDataFrame([("a", ""), ("b", "")], "x STRING, y STRING")
+    assert load_if_changed(changed, path, content_digest(df)) is not None
+
+
+def test_cluster_session_needs_a_checkpoint_folder():
+    from types import SimpleNamespace
+    from spooltrace.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"),
+                           conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(fake)
+
+
+def test_serials_beyond_the_calendar_are_reported(spark):
+    from spooltrace.functions import exprs as X
+    df = spark.createDataFrame([("44000",), ("2958465",), ("2958466",), ("x",), (None,)], "v STRING")
+    got = df.select(X.excel_serial("v").isNull().alias("n"), X.serial_out_of_range("v").alias("o")).collect()
+    assert [(r.n, r.o) for r in got] == [(False, False), (False, False), (True, True), (True, False), (True, False)]
