@@ -45,9 +45,10 @@ def check_unique(source: DataFrame, keys: Sequence[str]) -> None:
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
                  insert_cols: Sequence[str] | None = None, update_when: Column | None = None,
                  id_col: str | None = "id", id_order: Sequence[str] | None = None,
-                 validate: bool = True) -> tuple[DataFrame, DataFrame]:
+                 validate: bool = True, fill_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Returns (new_target, actions) where actions has one row per touched key with ``_action``.
 
+    Matched rows take ``set_cols`` from the source, and ``fill_cols`` only where the target has none.
     ``update_when`` may reference target columns as ``t_<name>`` and source
     columns as ``s_<name>``. Inserted rows get ids after the target's max id
     in ``id_order`` (default: the keys) order.
@@ -78,6 +79,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
     def kept_col(x: str) -> Column:
         if x in set_cols and x in source.columns and x not in keys:
             return F.when(do_update, c(f"s_{x}")).otherwise(c(f"t_{x}")).cast(target.schema[x].dataType).alias(x)
+        if x in fill_cols:
+            return F.when(do_update, F.coalesce(c(f"t_{x}"), c(f"s_{x}"))).otherwise(c(f"t_{x}")).cast(
+                target.schema[x].dataType).alias(x)
         return c(f"t_{x}").alias(x)
 
     updated = j.select(*[kept_col(x) for x in tcols], F.when(do_update, F.lit("UPDATE")).alias("_action"))

@@ -8,11 +8,11 @@ The shift table has at most one row per range partition, so broadcasting
 it is bounded by the partition count, not by the data. A hot group that
 holds a third of all rows is spread over many range partitions.
 
-The range-partitioned rows are materialized once with a reliable
-``checkpoint()`` (in the session's ``spark.checkpoint.dir``): the offsets and
-the rows must see the same partition boundaries, and two evaluations of a
-range exchange over shuffled input can sample different boundaries. The
-checkpoint also keeps assigned numbers stable when an executor is lost.
+The range-partitioned rows are written once (in the session's
+``spark.checkpoint.dir``): the offsets and the rows must see the same partition
+boundaries, and two evaluations of a range exchange over shuffled input can
+sample different boundaries. The written table also keeps assigned numbers
+stable when an executor is lost.
 """
 
 from __future__ import annotations

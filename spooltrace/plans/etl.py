@@ -1,10 +1,11 @@
 """Staging -> core ETL transforms (E1-E16) as DataFrame functions returning new table versions.
 
-The chain mirrors the source pipeline: unified legacy prints (D7) -> new
-harvests (E5) -> product->harvest map (E6) -> unit upsert (E8) -> QC (E9)
-and post-treatment (E14) upserts -> consistency rules (E15). Every step is a
-set-based transform (joins, anti-joins, full-outer merge); ids for new rows
-come from the distributed numbering kernel. ``as_of`` replaces the system
+``etl_pipeline`` runs them in the source's order: spools (E1), mounts (E3),
+acclimatization (E4), unified legacy prints (D7) on those versions, new
+harvests (E5) and the product->harvest map (E6), units (E8), QC (E9),
+treatment batches (E10-E12), post-treatment (E14), consistency rules (E15).
+Every step is a set-based transform (joins, anti-joins, upserts); ids for new
+rows come from the distributed numbering kernel. ``as_of`` replaces the system
 clock everywhere.
 """
 
@@ -129,7 +130,7 @@ def etl_tracking(db, cutoff: str, harvest_map: DataFrame, as_of: str,
     unassigned = locs.where(c("location_name") == "Unassigned").select(c("id").alias("_unassigned")).withColumn(
         "_k", F.lit(1))
     src = (u.join(harvest_map, "product_id_bigint")
-           .join(F.broadcast(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln"))),
+           .join(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln")),
                  c("storage_name") == c("_ln"), "left")
            .withColumn("_k", F.lit(1)).join(F.broadcast(unassigned), "_k")
            .select(c("product_id_bigint").alias("product_id"), "harvest_id", "product_type_id", "sku_id",
@@ -240,25 +241,98 @@ def etl_consistency_rules(db, tracking: DataFrame, as_of: str) -> DataFrame:
     return out.select(*cols)
 
 
-def etl_pipeline(db, cutoff: str, as_of: str) -> dict[str, DataFrame]:
-    """Run the chain in order and return every new table version (E5 -> E6 -> E8 -> E9 -> E14 -> E15)."""
-    # each step's new table version is materialized once (reliable checkpoint, like writing the version)
-    # so later steps read it instead of recomputing the chain from lineage
-    unified = views.v_unified_legacy_prints(db, cutoff)
-    harvest, inserted_h, cand = etl_harvest(db, cutoff, unified)
-    hmap = materialize(etl_harvest_map(cand))
-    tracking, t_actions = etl_tracking(db, cutoff, hmap, as_of, unified)
-    tracking = materialize(tracking)
-    qc, qc_actions = etl_quality_control(db, tracking, cutoff)
-    pti, pti_actions = etl_post_treatment(db, tracking, cutoff)
-    tracking = etl_consistency_rules(db, tracking, as_of)
-    return {"product_harvest": harvest, "etl_harvest_map": hmap, "product_tracking": tracking,
-            "product_quality_control": qc, "post_treatment_inspections": pti,
-            "merge_outcome": C.merge_outcome(
-                t_actions.select(F.concat(F.lit("product_tracking:"), c("_action")).alias("_action"))
-                .unionByName(qc_actions.select(F.concat(F.lit("product_quality_control:"), c("_action")).alias("_action")))
-                .unionByName(pti_actions.select(F.concat(F.lit("post_treatment_inspections:"), c("_action"))
-                                                .alias("_action"))))}
+class Versions:
+    """The tables of ``db``, with the newer versions that the pipeline has written laid over them."""
+
+    def __init__(self, db):
+        self._db, self._new = db, {}
+
+    def __getattr__(self, name):
+        return self._new[name] if name in self._new else getattr(self._db, name)
+
+    def put(self, name: str, df: DataFrame) -> None:
+        self.__dict__.pop("_ensured_locations", None)  # derived from the locations
+        self._new[name] = materialize(df)
+
+    def written(self) -> dict[str, DataFrame]:
+        return dict(self._new)
+
+
+def _run_filaments(v, cutoff, as_of):
+    v.put("users", ensure_legacy_user(v))
+    v.put("storage_locations", _locations_with_shelves(v))
+    v.put("filaments", etl_filaments(v, cutoff, as_of)[0])
+
+
+def _run_harvest(v, cutoff, as_of):
+    harvest, _, cand = etl_harvest(v, cutoff)
+    v.put("etl_harvest_map", etl_harvest_map(cand))
+    v.put("product_harvest", harvest)
+
+
+def _run_treatment(v, cutoff, as_of):
+    out = etl_treatment_batches(v, v.product_tracking, cutoff)
+    v.put("treatment_batches", out["treatment_batches"])
+    v.put("treatment_batch_products", out["treatment_batch_products"])
+
+
+# label -> step; the order is the source pipeline's
+PIPELINE_STEPS = {
+    "filaments": _run_filaments,
+    "filament_mounting": lambda v, cutoff, as_of: v.put("filament_mounting", etl_mounting(v, as_of)),
+    "filament_acclimatization": lambda v, cutoff, as_of: v.put("filament_acclimatization", etl_acclimatization(v, as_of)[0]),
+    "product_harvest": _run_harvest,
+    "product_tracking": lambda v, cutoff, as_of: v.put(
+        "product_tracking", etl_tracking(v, cutoff, v.etl_harvest_map, as_of)[0]),
+    "product_quality_control": lambda v, cutoff, as_of: v.put(
+        "product_quality_control", etl_quality_control(v, v.product_tracking, cutoff)[0]),
+    "treatment_batch": _run_treatment,
+    "post_treatment_inspections": lambda v, cutoff, as_of: v.put(
+        "post_treatment_inspections", etl_post_treatment(v, v.product_tracking, cutoff)[0]),
+    "consistency_rules": lambda v, cutoff, as_of: v.put(
+        "product_tracking", etl_consistency_rules(v, v.product_tracking, as_of)),
+}
+
+
+def etl_pipeline(db, cutoff: str, as_of: str, only: set[str] | None = None, stage: bool = True, transform: bool = True,
+                 staging: dict[str, DataFrame] | None = None, until: str | None = None) -> dict[str, DataFrame]:
+    """Stage new extracts, then run the transforms in order; returns every table version written.
+
+    ``only`` restricts staging tables and transforms to its labels, ``stage`` and
+    ``transform`` switch either half off, ``staging`` holds new staging tables by
+    label, and ``until`` ends after that transform. Each version is written once,
+    and later steps read it.
+    """
+    v = Versions(db)
+    for label, extract in (staging or {}).items() if stage else ():
+        if only is None or label in only:
+            v.put(label, extract)
+    for label, step in PIPELINE_STEPS.items() if transform else ():
+        if only is None or label in only:
+            step(v, cutoff, as_of)
+        if label == until:
+            break
+    return v.written()
+
+
+def version_outcome(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
+    """One row: rows of the new version, rows with new ids, and old rows that differ."""
+    names = sorted(x for x in new.columns if x != "id")
+    before = old.select(c("id").alias("_old"), F.struct(*names).alias("_was"))
+    j = new.select("id", F.struct(*names).alias("_is")).join(before, c("id") == c("_old"), "left")
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c("_old").isNull()).alias("n_inserted"),
+                 F.count_if(c("_old").isNotNull() & ~c("_is").eqNullSafe(c("_was"))).alias("n_changed")).select(
+        F.lit(table).alias("table_name"), "n_rows", "n_inserted", "n_changed")
+
+
+def pipeline_outcome(db, versions: dict[str, DataFrame]) -> DataFrame:
+    """C4 for E16: one row per table that the pipeline wrote and that existed before."""
+    out = None
+    for name, df in versions.items():
+        if name != "etl_harvest_map":
+            row = version_outcome(getattr(db, name), df, name)
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -325,7 +399,7 @@ def etl_filaments(db, cutoff: str, as_of: str) -> tuple[DataFrame, DataFrame]:
                      F.coalesce(c("vs_check"), F.lit("")).alias("vs_check"))
     u = users.select(c("id").alias("_uid"), F.collate(c("display_name"), "UNICODE_CI_AI").alias("_uname"))
     norm = (base.where(c("filament_raw").isNotNull() & X.parse_bigint(c("filament_id_raw")).isNotNull())
-            .join(F.broadcast(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln"))),
+            .join(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln")),
                   c("shelf_name") == c("_ln"), "left")
             .join(u, F.collate(c("operator_legacy"), "UNICODE_CI_AI") == c("_uname"), "left")
             .withColumn("_k", F.lit(1))
@@ -393,37 +467,19 @@ def etl_mounting(db, as_of: str) -> DataFrame:
                   c("pname") == c("_pn"))
             .join(inv.withColumnRenamed("fid", "_ifid").withColumnRenamed("pname", "_ipn"),
                   (c("fid") == c("_ifid")) & (c("pname") == c("_ipn")), "left"))
-    src = base.select("filament_tracking_id", "printer_id",
-                      F.coalesce(c("weight_fl").try_cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)"))
-                      .alias("s_remaining"),
-                      F.when(c("printer_fi").isNotNull() & (F.trim(c("printer_fi")) != ""), "In Use")
-                      .otherwise("Unmounted").alias("s_status"))
-    C.check_unique(src, ["filament_tracking_id", "printer_id"])
     who = db.users.agg(F.coalesce(F.min(F.when(c("display_name") == "Unassigned", c("id"))), F.min("id"))
                        .alias("_by")).withColumn("_k", F.lit(1))
-    tgt = db.filament_mounting
-    j = (tgt.alias("t").join(src.alias("s"), (c("t.filament_tracking_id") == c("s.filament_tracking_id"))
-                             & (c("t.printer_id") == c("s.printer_id")), "full_outer")
-         .withColumn("_k", F.lit(1)).join(F.broadcast(who), "_k"))
     now = F.lit(as_of).cast("timestamp_ntz")
-    matched = c("t.id").isNotNull() & c("s.filament_tracking_id").isNotNull()
-    new = c("t.id").isNull()
-    unm = c("s_status") == "Unmounted"
-    out = j.select(
-        c("t.id").alias("id"),
-        F.coalesce(c("t.filament_tracking_id"), c("s.filament_tracking_id")).alias("filament_tracking_id"),
-        F.coalesce(c("t.printer_id"), c("s.printer_id")).alias("printer_id"),
-        F.when(new, c("_by")).otherwise(c("t.mounted_by")).alias("mounted_by"),
-        F.when(new, now).otherwise(c("t.mounted_at")).alias("mounted_at"),
-        F.when(new, F.when(unm, now)).when(matched & unm & c("t.unmounted_at").isNull(), now)
-         .otherwise(c("t.unmounted_at")).alias("unmounted_at"),
-        F.when(new, F.when(unm, c("_by"))).when(matched & unm & c("t.unmounted_by").isNull(), c("_by"))
-         .otherwise(c("t.unmounted_by")).alias("unmounted_by"),
-        F.when(matched | new, c("s_remaining")).otherwise(c("t.remaining_weight")).alias("remaining_weight"),
-        F.when(matched | new, c("s_status")).otherwise(c("t.status")).alias("status"))
-    start = C.next_id(tgt)
-    ins = C.assign_ids(out.where(c("id").isNull()).drop("id"), ["filament_tracking_id", "printer_id"], start, "id")
-    return out.where(c("id").isNotNull()).unionByName(ins.select(*out.columns))
+    in_use = c("printer_fi").isNotNull() & (F.trim(c("printer_fi")) != "")
+    src = (base.withColumn("_k", F.lit(1)).join(F.broadcast(who), "_k")  # one-row scalar
+           .select("filament_tracking_id", "printer_id", c("_by").alias("mounted_by"), now.alias("mounted_at"),
+                   F.when(~F.coalesce(in_use, F.lit(False)), now).alias("unmounted_at"),
+                   F.when(~F.coalesce(in_use, F.lit(False)), c("_by")).alias("unmounted_by"),
+                   F.coalesce(c("weight_fl").try_cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)"))
+                   .alias("remaining_weight"),
+                   F.when(in_use, "In Use").otherwise("Unmounted").alias("status")))
+    return C.merge_upsert(db.filament_mounting, src, ["filament_tracking_id", "printer_id"],
+                          set_cols=["remaining_weight", "status"], fill_cols=["unmounted_at", "unmounted_by"])[0]
 
 
 # ---------------------------------------------------------------------------
@@ -582,7 +638,7 @@ def etl_filaments_by_serial(db, as_of: str) -> tuple[DataFrame, DataFrame]:
                      X.parse_date_de(c("vsc_date")).alias("received_at"),
                      F.coalesce(c("vs_check"), F.lit("")).alias("vs_check"))
     norm = (base.where(c("serial_number").isNotNull())
-            .join(F.broadcast(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln"))),
+            .join(locs.select(c("id").alias("_loc"), c("location_name").alias("_ln")),
                   c("shelf_name") == c("_ln"), "left")
             .withColumn("_k", F.lit(1)).join(F.broadcast(consts), "_k")
             .select("serial_number", "lot_number", F.coalesce(c("_loc"), c("_un")).alias("location_id"),

@@ -178,8 +178,16 @@ def queries() -> dict[str, Query]:
         "stage_drop_empty": _q(CG.stage_drop_empty),
     })
 
-    def pipe(key):
-        return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF)[key]
+    def pipe(key, until):
+        return lambda spark, sf: E.etl_pipeline(Tables(spark, sf), CUTOFF, AS_OF, until=until)[key]
+
+    def harvest_map(spark, sf):
+        db = Tables(spark, sf)
+        return E.etl_harvest_map(E.etl_harvest(db, CUTOFF)[2])
+
+    def pipeline_outcome(spark, sf):
+        db = Tables(spark, sf)
+        return E.pipeline_outcome(db, E.etl_pipeline(db, CUTOFF, AS_OF))
 
     def tracking_after_e8(db):
         unified = views.v_unified_legacy_prints(db, CUTOFF)
@@ -196,7 +204,7 @@ def queries() -> dict[str, Query]:
         "ensure_default_locations": _q(E.ensure_default_locations),
         "fallback_user": lambda spark, sf: E.fallback_user(Tables(spark, sf).users),
         "etl_harvest": lambda spark, sf: E.etl_harvest(Tables(spark, sf), CUTOFF)[1],
-        "etl_harvest_map": pipe("etl_harvest_map"),
+        "etl_harvest_map": harvest_map,
         "etl_tracking": lambda spark, sf: tracking_after_e8(Tables(spark, sf)),
         "etl_quality_control": lambda spark, sf: E.etl_quality_control(
             Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)[0],
@@ -204,7 +212,19 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)[0],
         "etl_consistency_rules": lambda spark, sf: E.etl_consistency_rules(
             Tables(spark, sf), Tables(spark, sf).product_tracking, AS_OF),
-        "etl_pipeline": pipe("merge_outcome"),
+        "etl_pipeline": pipeline_outcome,
+        "pipeline_users": pipe("users", "filaments"),
+        "pipeline_storage_locations": pipe("storage_locations", "filaments"),
+        "pipeline_filaments": pipe("filaments", "filaments"),
+        "pipeline_filament_mounting": pipe("filament_mounting", "filament_mounting"),
+        "pipeline_filament_acclimatization": pipe("filament_acclimatization", "filament_acclimatization"),
+        "pipeline_product_harvest": pipe("product_harvest", "product_harvest"),
+        "pipeline_harvest_map": pipe("etl_harvest_map", "product_harvest"),
+        "pipeline_product_tracking": pipe("product_tracking", "consistency_rules"),
+        "pipeline_product_quality_control": pipe("product_quality_control", "product_quality_control"),
+        "pipeline_treatment_batches": pipe("treatment_batches", "treatment_batch"),
+        "pipeline_treatment_batch_products": pipe("treatment_batch_products", "treatment_batch"),
+        "pipeline_post_treatment_inspections": pipe("post_treatment_inspections", "post_treatment_inspections"),
         "etl_filaments": lambda spark, sf: E.etl_filaments(Tables(spark, sf), CUTOFF, AS_OF)[0],
         "etl_filaments_by_serial": lambda spark, sf: E.etl_filaments_by_serial(Tables(spark, sf), AS_OF)[0],
         "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],

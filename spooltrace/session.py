@@ -7,8 +7,10 @@ the session; a scratch one is set only when the session has none (tests).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,7 +61,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list = []
+
+
 def materialize(df):
-    """Reliable checkpoint of ``df`` into the session's checkpoint folder (set only when the session has none)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as Parquet in the session's checkpoint folder and read back.
+
+    Cuts the lineage as a reliable checkpoint does, but in columns, so later
+    reads are pruned. The tables are removed when the driver program ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is None:  # the session has ended
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
