@@ -16,6 +16,7 @@ from spooltrace.plans import etl as E
 from spooltrace.plans import generic as CG
 from spooltrace.plans import legacy as I
 from spooltrace.plans import transitions as K
+from spooltrace.plans import transitions_edits as KE
 from spooltrace.operators.constraints import command_report, constraint_report
 from spooltrace.sources import seeds as S
 from spooltrace.sources import staging as A
@@ -440,21 +441,55 @@ def queries() -> dict[str, Query]:
         "staging_profile": lambda spark, sf: A.staging_profile(Tables(spark, sf).stg_excel_data),
         "content_digest": lambda spark, sf: A.content_digest(Tables(spark, sf).stg_excel_data),
     })
-    # umbrella names of the inventory, each the main output of its first sub-operation
-    q["apply_orders"] = q["apply_order_line_diff"]
+
+    def edit(run, key):
+        return lambda spark, sf: run(Tables(spark, sf))[key]
+
+    def created(db):
+        return KE.apply_order_create(db, *KE.order_create_commands(db), AS_OF)
+
+    def storage_edit(db):
+        return KE.apply_storage_edit(db, KE.storage_edit_commands(db), AS_OF)
+
+    def spools(db):
+        return KE.apply_new_spools(db, KE.spool_commands(db), AS_OF)
+
+    def seals(db):
+        return KE.apply_new_seals(db, KE.seal_commands(db), AS_OF)
+
+    def seal_edit(db):
+        return KE.apply_seal_edit(db, KE.seal_edit_commands(db), AS_OF)
+
+    q.update({
+        "apply_order_create": edit(created, "orders"),
+        "apply_order_create_items": edit(created, "order_items"),
+        "apply_request_cancel": lambda spark, sf: KE.apply_request_cancel(
+            Tables(spark, sf).product_requests, KE.request_cancel_commands(Tables(spark, sf))),
+        "apply_storage_edit": edit(storage_edit, "product_tracking"),
+        "apply_storage_edit_history": edit(storage_edit, "product_status_history"),
+        "apply_storage_edit_audit": edit(storage_edit, "audit_log"),
+        "apply_new_spools": edit(spools, "filaments"),
+        "apply_new_spools_rejected": edit(spools, "rejected"),
+        "apply_new_seals": edit(seals, "seals"),
+        "apply_new_seals_rejected": edit(seals, "rejected"),
+        "apply_seal_edit": edit(seal_edit, "seals"),
+        "apply_seal_edit_audit": edit(seal_edit, "audit_log"),
+    })
+    # umbrella names of the inventory, each one main output
+    q["apply_orders"] = q["apply_order_create"]
     q["apply_mounts"] = q["apply_mount"]
     q["apply_sku_specs"] = q["apply_print_specs"]
-    q["apply_materials"] = q["apply_new_lids"]
+    q["apply_materials"] = q["apply_new_spools"]
     q["stage_dedupe_columns"] = q["stage_headers"]
     return q
 
 
-ALIASES = {"apply_orders": "apply_order_line_diff", "apply_mounts": "apply_mount", "apply_sku_specs": "apply_print_specs",
-           "apply_materials": "apply_new_lids", "stage_dedupe_columns": "stage_headers"}
+ALIASES = {"apply_orders": "apply_order_create", "apply_mounts": "apply_mount", "apply_sku_specs": "apply_print_specs",
+           "apply_materials": "apply_new_spools", "stage_dedupe_columns": "stage_headers"}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import (sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
+    from spooltrace.oracle import (sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
                                    sql_scalars, sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
@@ -468,6 +503,7 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_transitions.SQL)
     bodies.update(sql_scalars.SQL)
     bodies.update(sql_generic.SQL)
+    bodies.update(sql_edits.SQL)
     for alias, target in ALIASES.items():
         bodies[alias] = bodies[target]
     return {k: with_prelude(v) for k, v in bodies.items()}
