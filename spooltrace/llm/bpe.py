@@ -21,7 +21,9 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import map_batches, materialize, ship_package, shuffle_partitions
+from spooltrace.llm.common import keep_table, map_batches, release_memory, ship_package, shuffle_partitions
 from spooltrace.llm.tokens import SAFE, load_tokenizer, vocabulary
 
 
@@ -71,7 +73,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        load_tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         spec["normalizer"] = spec["truncation"] = spec["padding"] = None  # the words are normal already
@@ -98,27 +100,57 @@ class _Numbers(dict):
         return n
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_chars: int,
-                names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row per document (its word numbers) and, per block and bucket, the block's words there."""
-    splitter = WordSplitter(path)
+@functools.lru_cache(maxsize=2)
+def _splitter(path: str) -> WordSplitter:
+    return WordSplitter(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str) -> pa.Array:
+    """Piece of every id, null where there is none."""
+    vocab = load_tokenizer(path).get_vocab(with_added_tokens=True)
+    table = [None] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        table[i] = piece
+    return pa.array(table, pa.string())
+
+
+_PARTS = ["block", "bucket", "docs", "sizes", "data"]
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """Per block, a row with its documents' word numbers, and per bucket a row with the block's words there.
+
+    Words are numbered by falling frequency in the block, which packs best; a
+    word row holds the words in order, and their numbers.
+    """
+    splitter = _splitter(path)
     part, k = TaskContext.get().partitionId(), 0
     seen, ids, held, kind = _Numbers(), [], 0, None
-    numbers: list[bytes] = []
+    numbers: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        block = (part << 32) + k
+        flat = np.concatenate(numbers)
+        order = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
+        rank = np.empty(len(seen), np.uint32)
+        rank[order] = np.arange(len(seen), dtype=np.uint32)
         dealt: list[list[str]] = [[] for _ in range(buckets)]
-        for w in seen:  # in order of their numbers
+        for w in sorted(seen):
             dealt[zlib.crc32(w.encode()) % buckets].append(w)
         used = [b for b in range(buckets) if dealt[b]]
         lists = [zstandard.compress("\n".join(dealt[b]).encode(), 3) for b in used]
-        places = [_pack(np.array([seen[w] for w in dealt[b]])) for b in used]
-        n, m = len(ids), len(used)
+        places = [_pack(rank[[seen[w] for w in dealt[b]]]) for b in used]
+        m = len(used)
         return pa.RecordBatch.from_arrays([
-            pa.array([block] * (n + m), pa.int64()), pa.array([-1] * n + used, pa.int32()),
-            pa.array(ids + [None] * m, kind), pa.array(numbers + lists, pa.binary()), pa.array([None] * n + places, pa.binary())],
-            names=names)
+            pa.array([(part << 32) + k] * (m + 1), pa.int64()), pa.array([-1, *used], pa.int32()),
+            pa.array([ids] + [None] * m, pa.list_(kind)),
+            pa.array([_pack(np.fromiter(map(len, numbers), np.uint32, len(numbers))), *places], pa.binary()),
+            pa.array([_pack(rank[flat]), *lists], pa.binary())], names=_PARTS)
 
     for batch in batches:
         kind = batch.column(0).type
@@ -126,7 +158,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], path: str, buckets: int, bloc
             text = text.as_py() or ""
             words = splitter.split(text)
             ids.append(doc)
-            numbers.append(_pack(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))))
+            numbers.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
             held += len(text) + 64
             if held >= block_chars:
                 yield flush()
@@ -143,7 +175,7 @@ def _encode_bucket(t: pa.Table, path: str) -> pa.Table:
     for words in lists:
         for w in words:
             table.setdefault(w, len(table))
-    encoded = WordEncoder(path).encode(list(table))
+    encoded = _encoder(path).encode(list(table))
     sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
     flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
     first = np.cumsum(sizes) - sizes
@@ -152,8 +184,9 @@ def _encode_bucket(t: pa.Table, path: str) -> pa.Table:
         at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
         ids.append(_pack(_gather(flat, first[at], sizes[at])))
         counts.append(_pack(sizes[at]))
-    return pa.table({"block": t.column("block"), "places": t.column("places"),
-                     "data": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    release_memory()
+    return pa.table({"block": t.column("block"), "places": t.column("sizes"),
+                     "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -162,15 +195,13 @@ def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _join_back(t: pa.Table) -> pa.Table:
+def _join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents: the ids of each word in the place of its number."""
-    is_word = pc.is_null(t.column("number"))
-    words, docs = t.filter(is_word), t.filter(pc.invert(is_word))
     place = [_unpack(x.as_py()) for x in words.column("places")]
     total = sum(map(len, place))
     sizes, first = np.zeros(total, np.int64), np.zeros(total, np.int64)
     flats, base = [], 0
-    for p, data, counts in zip(place, words.column("data"), words.column("counts")):
+    for p, data, counts in zip(place, words.column("ids"), words.column("counts")):
         n = _unpack(counts.as_py()).astype(np.int64)
         sizes[p] = n
         first[p] = base + np.cumsum(n) - n
@@ -178,13 +209,17 @@ def _join_back(t: pa.Table) -> pa.Table:
         base += len(flats[-1])
     flat = np.concatenate(flats) if flats else np.empty(0, np.uint32)
     out = []
-    for x in docs.column("number"):
-        seq = _unpack(x.as_py())
-        out.append(_gather(flat, first[seq], sizes[seq]).astype("<u4").tobytes())
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+    for lengths, numbers in zip(docs.column("sizes"), docs.column("data")):
+        seq = _unpack(numbers.as_py())
+        ends = np.cumsum(_unpack(lengths.as_py()).astype(np.int64))
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            out.append(_gather(flat, first[seq[lo:hi]], sizes[seq[lo:hi]]).astype("<u4").tobytes())
+    release_memory()
+    return pa.table({"doc_id": pa.chunked_array([x.values for x in docs.column("docs")], docs.schema.field("docs").type.value_type),
+                     "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, path: str, block_chars: int = 1 << 24, id_col: str = "doc_id",
+def encode(docs: DataFrame, path: str, block_chars: int = 1 << 23, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(doc_id, ids) with ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
@@ -192,30 +227,24 @@ def encode(docs: DataFrame, path: str, block_chars: int = 1 << 24, id_col: str =
     buckets = 2 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["block", "bucket", "doc_id", "data", "places"]
-    parts = materialize(map_batches(
-        rows, lambda it: _block_rows(it, path, buckets, block_chars, names),
-        f"block long, bucket int, doc_id {kind}, data binary, places binary"), "words")
-    words = parts.where("bucket >= 0").select("block", "bucket", "data", "places")
-    encoded = words.groupBy("bucket").applyInArrow(
-        lambda t: _encode_bucket(t, path), "block long, places binary, data binary, counts binary")
-    numbers = parts.where("bucket < 0").select("block", "doc_id", F.col("data").alias("number"))
-    return numbers.unionByName(encoded, allowMissingColumns=True).groupBy("block").applyInArrow(
-        _join_back, f"doc_id {kind}, ids binary")
-
-
-def decode(encoded: DataFrame, path: str, sep: str = " ", step: int = 1 << 20) -> DataFrame:
+    parts = keep_table(map_batches(
+        rows, lambda it: _block_rows(it, path, buckets, block_chars),
+        f"block long, bucket int, docs array<{kind}>, sizes binary, data binary"), "words", ["block"])
+    encoded = parts.where("bucket >= 0").select("block", "bucket", "sizes", "data").groupBy("bucket").applyInArrow(
+        lambda t: _encode_bucket(t, path), "block long, places binary, ids binary, counts binary")
+    # the table is bucketed by block: only the encoded words move
+    numbers = parts.where("bucket < 0").select("block", "docs", "sizes", "data")
+    return numbers.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join_back, f"doc_id {kind}, ids binary")
+
+
+def decode(encoded: DataFrame, path: str, sep: str = " ", step: int = 1 << 19) -> DataFrame:
     """``encoded`` with the decoded ``text`` of its ids (the vocabulary has no decoder: pieces joined by ``sep``)."""
     columns = [c for c in encoded.columns if c != "text"]
     at = columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load_tokenizer(path).get_vocab(with_added_tokens=True)
-        table = [None] * (max(vocab.values()) + 1)
-        for piece, i in vocab.items():
-            table[i] = piece
-        pieces = pa.array(table, pa.string())
-        known = np.array([p is not None for p in table])
+        pieces = _pieces(path)
+        known = pieces.is_valid().to_numpy(zero_copy_only=False)
 
         def text(raw: bytes) -> str:
             ids = np.frombuffer(raw, "<u4")
@@ -226,8 +255,14 @@ def decode(encoded: DataFrame, path: str, sep: str = " ", step: int = 1 << 20) -
             return sep.join(found)
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([text(x.as_py() or b"") for x in b.column(at)], pa.string())], names=[*columns, "text"])
+            lo = held = 0
+            for hi, size in enumerate(pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist(), 1):
+                held += size
+                if held >= 4 * step or hi == len(b):
+                    part = b.slice(lo, hi - lo)
+                    texts = pa.array([text(x.as_py() or b"") for x in part.column(at)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*columns, "text"])
+                    lo, held = hi, 0
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in columns)
     return map_batches(encoded.select(*columns), run, f"{fields}, text string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.llm.common import map_batches, materialize
-from spooltrace.llm.tokens import ByteLevelEncoder, vocabulary
+from spooltrace.llm.tokens import byte_level_encoder, vocabulary
 from spooltrace.operators.ranking import row_number_within
 
 SEQUENCE = 1024
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ByteLevelEncoder(path)
+        enc = byte_level_encoder(path)
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):

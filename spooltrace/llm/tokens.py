@@ -8,6 +8,7 @@ library.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -62,3 +63,8 @@ class ByteLevelEncoder:
         if self.unsafe(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    return ByteLevelEncoder(path)
