@@ -24,6 +24,7 @@ from spooltrace.plans import sales as H
 from spooltrace.plans import scalars as FX
 from spooltrace.plans import views
 from spooltrace.session import materialize
+from spooltrace.sources.catalogue import Catalogue
 from spooltrace.sources.fixtures import AS_OF, CUTOFF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def _q(fn, **kw) -> Query:
     return run
 
 
+def _catalogue(f, *args, **kw):
+    """A query over the catalogue in use: seeds and rows derived from the supplied tables."""
+    return lambda spark, sf: f(Catalogue(Tables(spark, sf)), *args, **kw)
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "v_product_lifecycle": _q(views.v_product_lifecycle),
@@ -83,12 +89,12 @@ def queries() -> dict[str, Query]:
         "seal_remaining": _q(M.seal_remaining),
         "material_feasibility": lambda spark, sf: M.material_feasibility(
             Tables(spark, sf), M.pending_demand(Tables(spark, sf))),
-        "storage_locations": _q(M.storage_locations_sorted),
-        "printers": _q(M.printers_sorted),
+        "storage_locations": _catalogue(M.storage_locations_sorted),
+        "printers": _catalogue(M.printers_sorted),
         "users": _q(M.users_sorted),
     })
     q.update({
-        "requestable_skus": _q(G.requestable_skus),
+        "requestable_skus": _catalogue(G.requestable_skus),
         "pending_requests": _q(G.pending_requests),
         "harvested_products": _q(G.harvested_products),
         "printed_pending_qc": _q(G.printed_pending_qc),
@@ -119,9 +125,9 @@ def queries() -> dict[str, Query]:
         "quarantine_search": _q(G.quarantine_search),
         "audit_entries": _q(G.audit_entries),
         "previous_stage": _q(G.previous_stage),
-        "reasons": _q(G.reasons),
-        "contexts": _q(G.contexts),
-        "reasons_for_context": _q(G.reasons_for_context, outcome="B-Ware"),
+        "reasons": _catalogue(G.reasons),
+        "contexts": _catalogue(G.contexts),
+        "reasons_for_context": _catalogue(G.reasons_for_context, outcome="B-Ware"),
         "label_data": _q(G.label_data, stage_code="Printed"),
         "label_templates": _q(G.label_templates, stage_code="Printed"),
         "label_id_series": lambda spark, sf: G.label_id_series(G.label_requests(Tables(spark, sf))),
@@ -130,10 +136,10 @@ def queries() -> dict[str, Query]:
         "qm_bulk_eligible": _q(G.qm_bulk_eligible),
     })
     q.update({
-        "active_skus": _q(H.active_skus),
-        "orderable_types": _q(H.orderable_types),
+        "active_skus": _catalogue(H.active_skus),
+        "orderable_types": _catalogue(H.orderable_types),
         "customers": _q(H.customers_sorted),
-        "product_types": _q(H.product_types_sorted),
+        "product_types": _catalogue(H.product_types_sorted),
         "sales_ready_qty": _q(H.sales_ready_qty, as_of=AS_OF),
         "processing_orders": _q(H.processing_orders_flat),
         "sales_inventory": _q(H.sales_inventory, as_of=AS_OF),
@@ -141,7 +147,7 @@ def queries() -> dict[str, Query]:
         "canceled_orders": _q(H.canceled_orders),
         "canceled_order_items": _q(H.canceled_order_items),
         "unit_requirements": _q(H.unit_requirements),
-        "bom_expand": _q(H.bom_expand),
+        "bom_expand": _catalogue(H.bom_expand),
         "order_components": _q(H.order_components),
         "fifo_pick": _q(H.fifo_pick, as_of=AS_OF, sku_id=1, limit=5),
         "fifo_allocate": lambda spark, sf: H.fifo_allocate(Tables(spark, sf), AS_OF)[1],
@@ -152,7 +158,7 @@ def queries() -> dict[str, Query]:
         "shipment_non_serialized": lambda spark, sf: H.shipment_non_serialized(
             Tables(spark, sf), H.shipment_sku_items(Tables(spark, sf), AS_OF)),
         "open_orders": _q(H.open_orders),
-        "skus_with_specs_flag": _q(H.skus_with_specs_flag),
+        "skus_with_specs_flag": _catalogue(H.skus_with_specs_flag),
         "package_estimate": _q(H.package_estimate),
         "package_totals": _q(H.package_totals),
     })
@@ -489,7 +495,7 @@ ALIASES = {"apply_orders": "apply_order_create", "apply_mounts": "apply_mount",
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import (sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
+    from spooltrace.oracle import (sql_catalogue, sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
                                    sql_scalars, sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
@@ -504,6 +510,7 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_scalars.SQL)
     bodies.update(sql_generic.SQL)
     bodies.update(sql_edits.SQL)
+    bodies.update(sql_catalogue.SQL)
     for alias, target in ALIASES.items():
         bodies[alias] = bodies[target]
     return {k: with_prelude(v) for k, v in bodies.items()}
