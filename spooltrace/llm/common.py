@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -88,7 +90,24 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: idle Python workers stay alive beside the JVM."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, func, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers, whose memory is released after each task."""
+    def run(batches):
+        try:
+            yield from func(batches)
+        finally:
+            release_memory()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(func, schema)
+    return df.mapInArrow(run, schema)
