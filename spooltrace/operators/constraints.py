@@ -1,65 +1,146 @@
 """Constraint report (X1): violations per CHECK / NOT NULL / UNIQUE / FK as (table, constraint, n).
 
-Each check is a filter-count, a grouped duplicate count or an anti-join;
-all are unioned into one small result, so one job evaluates every rule.
+A table's NOT NULL and CHECK counts are one aggregate. Its foreign keys are one
+scan: the values of all key columns are counted together (a hot value collapses
+before the shuffle) and the distinct ones that meet no parent id are summed up.
+Its unique keys are one scan in the same way.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
 
-QUARANTINE_STATUSES = ["Active", "Released", "Disposed"]
-ACCESS_LEVELS = ["Read", "Write", "Admin"]
-
-
-def _count(df: DataFrame, table: str, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"),
-                                                       F.lit(name).alias("constraint_name"), "n")
-
-
-def _dup(df: DataFrame, keys: list[str], table: str, name: str) -> DataFrame:
-    d = df.where(F.greatest(*[c(k).isNotNull() for k in keys]) if len(keys) > 1 else c(keys[0]).isNotNull())
-    return _count(d.groupBy(*keys).count().where(c("count") > 1), table, name)
-
 
-def _fk(child: DataFrame, col: str, parent: DataFrame, table: str, name: str) -> DataFrame:
-    orphans = child.where(c(col).isNotNull()).join(parent.select(c("id").alias("_pid")), c(col) == c("_pid"),
-                                                   "left_anti")
-    return _count(orphans, table, name)
+@dataclass(frozen=True)
+class Rules:
+    """Rules of one table; checks are SQL conditions that a row may not fail (NULL passes)."""
+    required: str = ""
+    foreign: dict[str, str] = field(default_factory=dict)
+    checks: dict[str, str] = field(default_factory=dict)
+    unique: tuple[str, ...] = ()
+
+
+_USER, _UNIT, _SPOOL, _PLACE, _STAGE, _SKU = ("users", "product_tracking", "filaments", "storage_locations",
+                                              "lifecycle_stages", "product_skus")
+_RESULT = "IN ('Passed', 'B-Ware', 'Waste', 'Quarantine')"
+
+# fixed values: the constraints of the modelled schema
+RULES = {
+    "product_tracking": Rules(
+        "harvest_id product_id product_type_id sku_id current_stage_id",
+        {"harvest_id": "product_harvest", "location_id": _PLACE, "current_stage_id": _STAGE, "previous_stage_id": _STAGE,
+         "current_status_id": "product_statuses", "sku_id": _SKU, "product_type_id": "product_types"},
+        unique=("harvest_id", "product_id", "product_code")),
+    "product_harvest": Rules(
+        "request_id lid_id seal_id filament_mounting_id printed_by",
+        {"request_id": "product_requests", "lid_id": "lids", "seal_id": "seals", "filament_mounting_id": "filament_mounting",
+         "printed_by": _USER}),
+    "product_requests": Rules("requested_by sku_id lot_number", {"requested_by": _USER, "sku_id": _SKU},
+                              {"status": "IN ('Pending', 'Fulfilled', 'Cancelled')"}),
+    "product_quality_control": Rules(
+        "product_tracking_id inspected_by inspected_at weight_grams pressure_drop visual_pass inspection_result",
+        {"product_tracking_id": _UNIT, "inspected_by": _USER}, {"inspection_result": _RESULT}),
+    "post_treatment_inspections": Rules("product_tracking_id inspected_by visual_pass surface_treated sterilized qc_result",
+                                        {"product_tracking_id": _UNIT, "inspected_by": _USER}, {"qc_result": _RESULT}),
+    "filaments": Rules("filament_id serial_number lot_number location_id weight_grams received_at received_by qc_result",
+                       {"location_id": _PLACE, "received_by": _USER}, {"qc_result": "IN ('PASS', 'FAIL')"}, ("filament_id",)),
+    "filament_mounting": Rules("filament_tracking_id printer_id mounted_by remaining_weight status",
+                               {"filament_tracking_id": _SPOOL, "printer_id": "printers", "mounted_by": _USER, "unmounted_by": _USER},
+                               {"status": "IN ('In Use', 'Unmounted')"}),
+    "filament_acclimatization": Rules("filament_tracking_id moved_by moved_at status",
+                                      {"filament_tracking_id": _SPOOL, "moved_by": _USER},
+                                      {"status": "IN ('Acclimatizing', 'Complete')"}, ("filament_tracking_id",)),
+    "lids": Rules("serial_number quantity location_id received_at received_by qc_result",
+                  {"location_id": _PLACE, "received_by": _USER}, {"qc_result": "IN ('PASS', 'FAIL')"}, ("serial_number",)),
+    "seals": Rules("serial_number quantity location_id received_at received_by qc_result",
+                   {"location_id": _PLACE, "received_by": _USER}, {"qc_result": "IN ('PASS', 'FAIL')"}, ("serial_number",)),
+    "treatment_batches": Rules("sent_by sent_at status", {"sent_by": _USER}, {"status": "IN ('Shipped', 'Inspected')"}),
+    "treatment_batch_products": Rules("batch_id product_tracking_id surface_treat sterilize",
+                                      {"batch_id": "treatment_batches", "product_tracking_id": _UNIT}, unique=("product_tracking_id",)),
+    "customers": Rules("customer_name", unique=("customer_name",)),
+    "orders": Rules("customer_id order_date order_creator_id status updated_by",
+                    {"parent_order_id": "orders", "customer_id": "customers", "order_creator_id": _USER, "updated_by": _USER},
+                    {"status": "IN ('Processing', 'Shipped', 'Completed', 'Canceled')"}),
+    "order_items": Rules("order_id product_sku_id quantity", {"order_id": "orders", "product_sku_id": _SKU}, {"quantity": "> 0"}),
+    "shipments": Rules("customer_id creator_id created_date status updated_by",
+                       {"customer_id": "customers", "order_id": "orders", "creator_id": _USER, "updated_by": _USER},
+                       {"status": "IN ('Pending', 'Shipped', 'In Transit', 'Delivered', 'Returned', 'Canceled')"}),
+    "shipment_unit_items": Rules("shipment_id product_tracking_id", {"shipment_id": "shipments", "product_tracking_id": _UNIT},
+                                 unique=("product_tracking_id",)),
+    "quarantined_products": Rules(
+        "product_tracking_id from_stage_id source quarantine_date quarantined_by quarantine_status",
+        {"product_tracking_id": _UNIT, "from_stage_id": _STAGE, "location_id": _PLACE, "quarantined_by": _USER, "resolved_by": _USER},
+        {"source": "IN ('Harvest QC', 'Post-Treatment QC', 'Ad-Hoc')", "quarantine_status": "IN ('Active', 'Released', 'Disposed')",
+         "result": "IN ('Passed', 'B-Ware', 'Waste')"}),
+    "product_investigations": Rules(
+        "product_tracking_id status created_by created_at",
+        {"product_tracking_id": _UNIT, "created_by": _USER, "resolved_by": _USER},
+        {"status": "IN ('Under Investigation', 'Cleared A-Ware', 'Cleared B-Ware', 'Disposed')"}),
+    "material_usage": Rules("product_tracking_id material_type lot_number used_quantity used_at used_by",
+                            {"product_tracking_id": _UNIT, "harvest_id": "product_harvest", "used_by": _USER},
+                            {"material_type": "IN ('Filament', 'Lid', 'Seal')"}),
+    "audit_log": Rules("table_name record_id field_name reason changed_by changed_at", {"changed_by": _USER}),
+    "product_skus": Rules("product_type_id sku name is_serialized is_bundle pack_qty is_active",
+                          {"product_type_id": "product_types"}, {"pack_qty": "> 0"}, ("sku",)),
+    "product_print_specs": Rules("height_mm diameter_mm average_weight_g weight_buffer_g", {"sku_id": _SKU},
+                                 {"height_mm": "> 0", "diameter_mm": "> 0", "average_weight_g": "> 0", "weight_buffer_g": ">= 0"}),
+    "issue_reason_contexts": Rules("reason_id context_id", {"reason_id": "issue_reasons", "context_id": "issue_contexts"},
+                                   unique=("reason_id, context_id",)),
+    "group_area_rights": Rules("group_oid area_id access_level", {"area_id": "application_areas"},
+                               {"access_level": "IN ('Read', 'Write', 'Admin')"}, ("group_oid, area_id",)),
+}
+
+
+def _value_counts(df: DataFrame, table: str, rules: Rules) -> DataFrame:
+    counts = {f"NN {x}": c(x).isNull() for x in rules.required.split()}
+    counts |= {f"CK {x}": ~F.expr(f"{x} {cond}") for x, cond in rules.checks.items()}
+    agg = df.agg(*[F.count_if(cond).alias(name) for name, cond in counts.items()])
+    return agg.select(F.explode(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(n).alias("constraint_name"), c(f"`{n}`").alias("n"))
+        for n in counts])).alias("r")).select("r.*")
+
+
+def _orphans(db, df: DataFrame, table: str, foreign: dict[str, str]) -> DataFrame:
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f"FK {x}").alias("name"), F.lit(p).alias("parent"), c(x).cast("long").alias("v"))
+        for x, p in foreign.items()])).alias("k")).select("k.*")
+    counted = values.groupBy("name", "parent", "v").agg(F.count(F.lit(1)).alias("n"))
+    ids = None
+    for p in sorted(set(foreign.values())):
+        one = getattr(db, p).select(F.lit(p).alias("parent"), c("id").cast("long").alias("v"), F.lit(True).alias("known"))
+        ids = one if ids is None else ids.unionByName(one)
+    lost = c("v").isNotNull() & c("known").isNull()
+    return (counted.join(ids, ["parent", "v"], "left").groupBy("name")
+            .agg(F.coalesce(F.sum(F.when(lost, c("n"))), F.lit(0)).cast("long").alias("n"))
+            .select(F.lit(table).alias("table_name"), c("name").alias("constraint_name"), "n"))
+
+
+def _duplicates(df: DataFrame, table: str, unique: tuple[str, ...]) -> DataFrame:
+    keys = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f"UQ {u}").alias("name"), F.array(*[c(x).cast("string") for x in u.split(", ")]).alias("v"))
+        for u in unique])).alias("k")).select("k.*")
+    counted = keys.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    some = F.exists("v", lambda x: x.isNotNull())
+    return counted.groupBy("name").agg(F.count_if((c("n") > 1) & some).alias("n")).select(
+        F.lit(table).alias("table_name"), c("name").alias("constraint_name"), "n")
 
 
 def constraint_report(db) -> DataFrame:
-    checks = [
-        _dup(db.product_tracking, ["product_id"], "product_tracking", "UQ product_id"),
-        _dup(db.product_tracking.where(c("product_code").isNotNull()), ["product_code"], "product_tracking",
-             "UQ product_code (filtered)"),
-        _count(db.product_tracking.where(c("current_stage_id").isNull()), "product_tracking", "NN current_stage_id"),
-        _fk(db.product_tracking, "harvest_id", db.product_harvest, "product_tracking", "FK harvest_id"),
-        _fk(db.product_tracking, "location_id", db.storage_locations, "product_tracking", "FK location_id"),
-        _fk(db.product_tracking, "current_stage_id", db.lifecycle_stages, "product_tracking", "FK current_stage_id"),
-        _fk(db.product_tracking, "current_status_id", db.product_statuses, "product_tracking", "FK current_status_id"),
-        _fk(db.product_harvest, "request_id", db.product_requests, "product_harvest", "FK request_id"),
-        _fk(db.product_harvest, "filament_mounting_id", db.filament_mounting, "product_harvest",
-            "FK filament_mounting_id"),
-        _fk(db.product_quality_control, "product_tracking_id", db.product_tracking, "product_quality_control",
-            "FK product_tracking_id"),
-        _dup(db.treatment_batch_products, ["product_tracking_id"], "treatment_batch_products", "UQ product_tracking_id"),
-        _dup(db.shipment_unit_items, ["product_tracking_id"], "shipment_unit_items", "UQ product_tracking_id"),
-        _count(db.quarantined_products.where(~c("quarantine_status").isin(*QUARANTINE_STATUSES)),
-               "quarantined_products", "CK quarantine_status"),
-        _count(db.product_skus.where(c("pack_qty") <= 0), "product_skus", "CK pack_qty > 0"),
-        _count(db.order_items.where(c("quantity") <= 0), "order_items", "CK quantity > 0"),
-        _dup(db.issue_reason_contexts, ["reason_id", "context_id"], "issue_reason_contexts", "UQ reason_context"),
-        _count(db.group_area_rights.where(~c("access_level").isin(*ACCESS_LEVELS)), "group_area_rights",
-               "CK access_level"),
-        _fk(db.group_area_rights, "area_id", db.application_areas, "group_area_rights", "FK area_id"),
-    ]
-    out = checks[0]
-    for ch in checks[1:]:
-        out = out.unionByName(ch)
+    out = None
+    for table, rules in RULES.items():
+        df = getattr(db, table)
+        parts = [_value_counts(df, table, rules)]
+        if rules.foreign:
+            parts.append(_orphans(db, df, table, rules.foreign))
+        if rules.unique:
+            parts.append(_duplicates(df, table, rules.unique))
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -45,43 +45,6 @@ SELECT {', '.join('CASE WHEN c.product_tracking_id IS NOT NULL THEN i.sid ELSE t
 FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id LEFT JOIN ids i ON i.status_name = c.status_name"""
 
 
-def _cnt(sql: str, table: str, name: str) -> str:
-    return f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, CAST(count(*) AS BIGINT) AS n FROM ({sql}) z"
-
-
-def _fk(child: str, col: str, parent: str) -> str:
-    return f"SELECT 1 FROM {child} WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT id FROM {parent})"
-
-
-CONSTRAINTS = " UNION ALL ".join([
-    _cnt("SELECT product_id FROM x_product_tracking WHERE product_id IS NOT NULL GROUP BY product_id HAVING count(*) > 1",
-         "product_tracking", "UQ product_id"),
-    _cnt("SELECT product_code FROM x_product_tracking WHERE product_code IS NOT NULL GROUP BY product_code HAVING count(*) > 1",
-         "product_tracking", "UQ product_code (filtered)"),
-    _cnt("SELECT 1 FROM x_product_tracking WHERE current_stage_id IS NULL", "product_tracking", "NN current_stage_id"),
-    _cnt(_fk("x_product_tracking", "harvest_id", "x_product_harvest"), "product_tracking", "FK harvest_id"),
-    _cnt(_fk("x_product_tracking", "location_id", "x_storage_locations"), "product_tracking", "FK location_id"),
-    _cnt(_fk("x_product_tracking", "current_stage_id", "x_lifecycle_stages"), "product_tracking", "FK current_stage_id"),
-    _cnt(_fk("x_product_tracking", "current_status_id", "x_product_statuses"), "product_tracking", "FK current_status_id"),
-    _cnt(_fk("x_product_harvest", "request_id", "x_product_requests"), "product_harvest", "FK request_id"),
-    _cnt(_fk("x_product_harvest", "filament_mounting_id", "x_filament_mounting"), "product_harvest", "FK filament_mounting_id"),
-    _cnt(_fk("x_product_quality_control", "product_tracking_id", "x_product_tracking"), "product_quality_control",
-         "FK product_tracking_id"),
-    _cnt("SELECT product_tracking_id FROM x_treatment_batch_products WHERE product_tracking_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-         "treatment_batch_products", "UQ product_tracking_id"),
-    _cnt("SELECT product_tracking_id FROM x_shipment_unit_items WHERE product_tracking_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-         "shipment_unit_items", "UQ product_tracking_id"),
-    _cnt("SELECT 1 FROM x_quarantined_products WHERE quarantine_status NOT IN ('Active', 'Released', 'Disposed')",
-         "quarantined_products", "CK quarantine_status"),
-    _cnt("SELECT 1 FROM x_product_skus WHERE pack_qty <= 0", "product_skus", "CK pack_qty > 0"),
-    _cnt("SELECT 1 FROM x_order_items WHERE quantity <= 0", "order_items", "CK quantity > 0"),
-    _cnt("SELECT reason_id, context_id FROM x_issue_reason_contexts WHERE reason_id IS NOT NULL OR context_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
-         "issue_reason_contexts", "UQ reason_context"),
-    _cnt("SELECT 1 FROM x_group_area_rights WHERE access_level NOT IN ('Read', 'Write', 'Admin')", "group_area_rights",
-         "CK access_level"),
-    _cnt(_fk("x_group_area_rights", "area_id", "x_application_areas"), "group_area_rights", "FK area_id"),
-])
-
 STG_COLS = ["product_id", "filament_id", "printer", "operator_harvest", "date_harvest", "product", "storage",
             "status_quality_check", "second_rate_goods", "prozess_step", "operater_quality_check", "date_of_quality_check",
             "weight_check_g", "pressure_drop_check_mbar", "visual_check", "comment", "transfer_id",
@@ -99,7 +62,6 @@ SQL = {
     "apply_status_change": STATUS,
     "apply_expiry": _ex_t,
     "apply_expiry_history": _ex_h,
-    "constraint_report": CONSTRAINTS,
     "staging_profile": PROFILE,
 }
 

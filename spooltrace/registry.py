@@ -495,7 +495,7 @@ ALIASES = {"apply_orders": "apply_order_create", "apply_mounts": "apply_mount",
 
 
 def oracle_sql() -> dict[str, str]:
-    from spooltrace.oracle import (sql_catalogue, sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
+    from spooltrace.oracle import (sql_catalogue, sql_constraints, sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
                                    sql_scalars, sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
@@ -511,6 +511,7 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_generic.SQL)
     bodies.update(sql_edits.SQL)
     bodies.update(sql_catalogue.SQL)
+    bodies.update(sql_constraints.SQL)
     for alias, target in ALIASES.items():
         bodies[alias] = bodies[target]
     return {k: with_prelude(v) for k, v in bodies.items()}
