@@ -45,7 +45,37 @@ ch AS (SELECT s.id, s.quantity AS was, r.remaining_units AS new FROM x_seals s J
    WHERE r.remaining_units <> s.quantity)
 """
 
+_SECOND = """
+, look AS (SELECT id, product_tracking_id AS unit, qc_result AS was,
+   ['B-Ware', 'Quarantine', 'Waste', 'Passed'][list_position(['Passed', 'B-Ware', 'Quarantine', 'Waste'], qc_result)] AS new
+   FROM x_post_treatment_inspections),
+eff AS (SELECT * FROM look WHERE COALESCE(was, 'None') <> COALESCE(new, 'None')),
+names AS (SELECT * FROM (VALUES ('Passed', 'A-Ware'), ('B-Ware', 'B-Ware'), ('Quarantine', 'In Quarantine'), ('Waste', 'Waste')) v(r, n)),
+sts AS (SELECT e.unit, min(s.id) AS sid FROM eff e LEFT JOIN names ON r = e.new JOIN x_product_statuses s
+   ON s.status_name = COALESCE(n, 'Pending') GROUP BY e.unit),
+held AS (SELECT e.unit, t.current_stage_id AS stage FROM eff e JOIN x_product_tracking t ON t.id = e.unit WHERE e.new = 'Quarantine'),
+qs AS (SELECT min(id) AS sid FROM x_lifecycle_stages WHERE stage_code = 'Quarantine')
+"""
+
 SQL = {
+    "apply_post_treatment_edit": _SECOND + """SELECT p.* REPLACE (COALESCE(e.new, p.qc_result) AS qc_result)
+FROM x_post_treatment_inspections p LEFT JOIN eff e USING (id)""",
+    "apply_post_treatment_edit_audit": _SECOND + f"""SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY id) AS BIGINT) AS id,
+  'post_treatment_inspections' AS table_name, id AS record_id, 'qc_result' AS field_name, COALESCE(was, 'None') AS old_value,
+  COALESCE(new, 'None') AS new_value, 'second look' AS reason, CAST(3 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM eff""",
+    "apply_post_treatment_edit_tracking": _SECOND + f"""SELECT t.* REPLACE (
+  if(h.unit IS NULL, t.previous_stage_id, t.current_stage_id) AS previous_stage_id,
+  if(h.unit IS NULL, t.current_stage_id, (SELECT sid FROM qs)) AS current_stage_id, COALESCE(s.sid, t.current_status_id) AS current_status_id,
+  if(s.unit IS NULL AND h.unit IS NULL, t.last_updated_at, {AS_OF_SQL}) AS last_updated_at)
+FROM x_product_tracking t LEFT JOIN sts s ON s.unit = t.id LEFT JOIN held h ON h.unit = t.id""",
+    "apply_post_treatment_edit_history": _SECOND + f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY unit) AS BIGINT) AS id, unit AS product_tracking_id,
+  stage AS from_stage_id, (SELECT sid FROM qs) AS to_stage_id, 'Moved to quarantine' AS reason, CAST(3 AS BIGINT) AS changed_by,
+  {AS_OF_SQL} AS changed_at FROM held""",
+    "apply_post_treatment_edit_quarantine": _SECOND + f"""SELECT CAST((SELECT max(id) FROM x_quarantined_products)
+  + ROW_NUMBER() OVER (ORDER BY unit) AS BIGINT) AS id, unit AS product_tracking_id, stage AS from_stage_id, 'Post-Treatment QC' AS source,
+  CAST(NULL AS BIGINT) AS location_id, {AS_OF_SQL} AS quarantine_date, CAST(3 AS BIGINT) AS quarantined_by,
+  'second look' AS quarantine_reason, 'Active' AS quarantine_status, CAST(NULL AS VARCHAR) AS result,
+  CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by FROM held""",
     "apply_order_create": _ORDERS + f"""SELECT id, CAST(NULL AS BIGINT) AS parent_order_id, customer_id, {AS_OF_SQL} AS order_date,
   CAST(1 AS BIGINT) AS order_creator_id, 'Processing' AS status, CAST(NULL AS TIMESTAMP) AS updated_at,
   CAST(1 AS BIGINT) AS updated_by, 'ordered again' AS notes FROM made""",

@@ -1153,28 +1153,30 @@ def customer_commands(db) -> DataFrame:
 # K7 QC edits, K20 print specs
 # ---------------------------------------------------------------------------
 
-def apply_qc_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_qc_edit(db, edits: DataFrame, as_of: str, table: str = "product_quality_control",
+                  result_field: str = "inspection_result", source: str = "Harvest QC", other_status: str = "A-Ware",
+                  move_reason: str = "QC edit: moved to Quarantine") -> dict[str, DataFrame]:
     """K7: edit rows (qc_id, product_tracking_id, field_name, old_value, new_value, reason, user_id) ->
     audited QC field changes; a changed inspection result re-maps the unit's status (default A-Ware) and a
     new 'Quarantine' result adds a 'Harvest QC' quarantine row (from the current stage) and moves the unit
-    to stage Quarantine."""
+    to stage Quarantine. The post-treatment form edits ``post_treatment_inspections`` the same way."""
     changes = edits.select(c("qc_id").alias("record_id"), "field_name", "old_value", "new_value", "reason",
                            c("user_id").alias("changed_by"))
-    res = apply_field_changes(db.product_quality_control, "product_quality_control", changes, as_of,
+    res = apply_field_changes(getattr(db, table), table, changes, as_of,
                               audit_start=C.next_id(db.audit_log))
-    changed = res["audit_log"].where(c("field_name") == "inspection_result").select(c("record_id").alias("_qc"),
+    changed = res["audit_log"].where(c("field_name") == result_field).select(c("record_id").alias("_qc"),
                                                                                   c("new_value").alias("_res"))
-    hits = (edits.where(c("field_name") == "inspection_result")
+    hits = (edits.where(c("field_name") == result_field)
             .join(changed, (c("qc_id") == c("_qc")) & (c("new_value") == c("_res")))
             .select("product_tracking_id", c("new_value").alias("result"), "reason", "user_id"))
     C.check_unique(hits, ["product_tracking_id"])
-    status = hits.select("product_tracking_id", X.business_status(c("result"), "A-Ware").alias("status_name"))
+    status = hits.select("product_tracking_id", X.business_status(c("result"), other_status).alias("status_name"))
     tracking = apply_status_change(db.product_tracking, db.product_statuses, status, as_of)
     q = hits.where(c("result") == "Quarantine")
     t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
     now = F.lit(as_of).cast("timestamp_ntz")
     quar = (q.join(t, c("product_tracking_id") == c("_tid"))
-            .select("product_tracking_id", "from_stage_id", F.lit("Harvest QC").alias("source"),
+            .select("product_tracking_id", "from_stage_id", F.lit(source).alias("source"),
                     F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
                     c("user_id").alias("quarantined_by"), F.nullif(c("reason"), F.lit("")).alias("quarantine_reason"),
                     F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
@@ -1184,9 +1186,9 @@ def apply_qc_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
     stage = _stage_id(db, "Quarantine")
     cmd = (q.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"),
-                   F.lit("QC edit: moved to Quarantine").alias("reason"), "user_id"))
+                   F.lit(move_reason).alias("reason"), "user_id"))
     moved = apply_stage_change(tracking, cmd, as_of)
-    return {"product_quality_control": res["product_quality_control"], "audit_log": res["audit_log"],
+    return {table: res[table], "audit_log": res["audit_log"],
             "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
             "quarantined_products": quar}
 

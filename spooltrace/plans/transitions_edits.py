@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.operators import merge as C
-from spooltrace.plans.transitions import HISTORY_COLUMNS, ITEM_COLUMNS, ORDER_COLUMNS, apply_field_changes
+from spooltrace.plans.transitions import (HISTORY_COLUMNS, ITEM_COLUMNS, ORDER_COLUMNS, RESULT_CYCLE, apply_field_changes,
+                                          apply_qc_edit)
 
 c = F.col
 
@@ -143,3 +144,19 @@ def seal_edit_commands(db) -> DataFrame:
             .select(c("id").alias("record_id"), F.lit("quantity").alias("field_name"),
                     c("quantity").cast("string").alias("old_value"), c("remaining_units").cast("string").alias("new_value"),
                     F.lit("recount").alias("reason"), F.lit(1).alias("changed_by")))
+
+
+def apply_post_treatment_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """K7 (post-treatment form): audited inspection edits; the result re-maps the status, Quarantine moves the unit."""
+    return apply_qc_edit(db, edits, as_of, table="post_treatment_inspections", result_field="qc_result",
+                         source="Post-Treatment QC", other_status="Pending", move_reason="Moved to quarantine")
+
+
+def post_treatment_edit_commands(db) -> DataFrame:
+    """Command table for K7 post-treatment: every inspection gets the next result in the fixed cycle."""
+    nxt = None
+    for a, b in RESULT_CYCLE:
+        nxt = F.when(c("qc_result") == a, b) if nxt is None else nxt.when(c("qc_result") == a, b)
+    return db.post_treatment_inspections.select(
+        c("id").alias("qc_id"), "product_tracking_id", F.lit("qc_result").alias("field_name"), c("qc_result").alias("old_value"),
+        nxt.alias("new_value"), F.lit("second look").alias("reason"), F.lit(3).cast("long").alias("user_id"))

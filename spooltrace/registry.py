@@ -466,7 +466,15 @@ def queries() -> dict[str, Query]:
     def seal_edit(db):
         return KE.apply_seal_edit(db, KE.seal_edit_commands(db), AS_OF)
 
+    def post_edit(db):
+        return KE.apply_post_treatment_edit(db, KE.post_treatment_edit_commands(db), AS_OF)
+
     q.update({
+        "apply_post_treatment_edit": edit(post_edit, "post_treatment_inspections"),
+        "apply_post_treatment_edit_audit": edit(post_edit, "audit_log"),
+        "apply_post_treatment_edit_tracking": edit(post_edit, "product_tracking"),
+        "apply_post_treatment_edit_history": edit(post_edit, "product_status_history"),
+        "apply_post_treatment_edit_quarantine": edit(post_edit, "quarantined_products"),
         "apply_order_create": edit(created, "orders"),
         "apply_order_create_items": edit(created, "order_items"),
         "apply_request_cancel": lambda spark, sf: KE.apply_request_cancel(
