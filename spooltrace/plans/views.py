@@ -26,12 +26,23 @@ def _shipment_links(db) -> DataFrame:
     return si.join(s, c("si.shipment_id") == c("s.id"), "left")
 
 
+def used_rows(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
+    """Rows of ``dim`` whose id occurs in the fact's ``key``.
+
+    A few users, lids or mounts can serve most rows of a fact. Reduced to the
+    ids in use (a distinct that collapses before the shuffle), such a dimension
+    is small enough for AQE to broadcast after measuring it, however large the
+    whole table is, and the fact is not gathered on a few hot keys.
+    """
+    return dim.join(fact.select(c(key).alias("_used")).distinct(), c("id") == c("_used"), "left_semi")
+
+
 def v_product_lifecycle(db) -> DataFrame:
     """One row per unit x QC x batch link x inspection x shipment link (1:N joins fan out)."""
     tbp = db.treatment_batch_products.alias("tbp").join(
         db.treatment_batches.alias("tb"), c("tbp.batch_id") == c("tb.id"), "left")
     harvest = (db.product_harvest.alias("ph")
-               .join(db.users.alias("u"), c("ph.printed_by") == c("u.id"), "left")
+               .join(used_rows(db.users, db.product_harvest, "printed_by").alias("u"), c("ph.printed_by") == c("u.id"), "left")
                .join(db.product_requests.alias("pr"), c("ph.request_id") == c("pr.id"), "left")
                .join(db.product_skus.alias("ps"), c("pr.sku_id") == c("ps.id"), "left")
                .join(db.product_types.alias("ptype"), c("ps.product_type_id") == c("ptype.id"), "left"))
@@ -109,18 +120,20 @@ def v_seal_inventory(db) -> DataFrame:
 
 def v_product_status(db) -> DataFrame:
     """Unit status with sku/type taken from the unit, falling back to its request."""
-    mount = (db.filament_mounting.alias("fm")
+    mount = (used_rows(db.filament_mounting, db.product_harvest, "filament_mounting_id").alias("fm")
              .join(db.filaments.alias("f"), c("fm.filament_tracking_id") == c("f.id"), "left")
              .join(db.printers.alias("p"), c("fm.printer_id") == c("p.id"), "left"))
     harvest = (db.product_harvest.alias("ph")
                .join(db.product_requests.alias("pr"), c("ph.request_id") == c("pr.id"))
-               .join(db.users.alias("printed_user"), c("ph.printed_by") == c("printed_user.id"))
+               .join(used_rows(db.users, db.product_harvest, "printed_by").alias("printed_user"),
+                     c("ph.printed_by") == c("printed_user.id"))
                .join(db.product_skus.alias("sku_req"), c("pr.sku_id") == c("sku_req.id"), "left")
                .join(db.product_types.alias("ptype_req"), c("sku_req.product_type_id") == c("ptype_req.id"), "left")
-               .join(db.lids.alias("l"), c("ph.lid_id") == c("l.id"), "left")
+               .join(used_rows(db.lids, db.product_harvest, "lid_id").alias("l"), c("ph.lid_id") == c("l.id"), "left")
                .join(mount, c("ph.filament_mounting_id") == c("fm.id"), "left"))
     qc = (db.product_quality_control.alias("qc")
-          .join(db.users.alias("qc_user"), c("qc.inspected_by") == c("qc_user.id"), "left"))
+          .join(used_rows(db.users, db.product_quality_control, "inspected_by").alias("qc_user"),
+                c("qc.inspected_by") == c("qc_user.id"), "left"))
     out = (db.product_tracking.alias("pt")
            .join(qc, c("qc.product_tracking_id") == c("pt.id"), "left")
            .join(db.treatment_batch_products.alias("tbi"), c("tbi.product_tracking_id") == c("pt.id"), "left")
@@ -164,7 +177,7 @@ def v_material_usage_summary(db) -> DataFrame:
     out = (db.material_usage.alias("mu")
            .join(harvest, c("mu.harvest_id") == c("ph.id"), "left")
            .join(db.product_tracking.alias("pt"), c("mu.product_tracking_id") == c("pt.id"), "left")
-           .join(db.users.alias("u"), c("mu.used_by") == c("u.id"), "left"))
+           .join(used_rows(db.users, db.material_usage, "used_by").alias("u"), c("mu.used_by") == c("u.id"), "left"))
     return out.select(
         c("mu.id").alias("usage_id"), c("mu.material_type").alias("material_type"),
         c("mu.lot_number").alias("lot_number"), c("mu.used_quantity").alias("used_quantity"),
