@@ -188,7 +188,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred",
-                  score_col: str = "score", max_bytes: int = 1 << 23) -> DataFrame:
+                  score_col: str = "score", max_bytes: int = 1 << 22) -> DataFrame:
     """``docs`` with predicted language and score (columns of those names are replaced)."""
     rows = docs.drop(lang_col, score_col)
     names = [*rows.columns, lang_col, score_col]
