@@ -226,9 +226,14 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
     return rows, classes
 
 
-def fit_sample(classes: DataFrame, sample_rows: int, tile_rows: int) -> dict[int, Axes]:
-    """Axes per vector length from at most ``sample_rows`` vectors (smallest hashes of the id)."""
-    total = classes.count()
+def fit_sample(classes: DataFrame, sample_rows: int, tile_rows: int, max_values: int = 1 << 22) -> dict[int, Axes]:
+    """Axes per vector length from at most ``sample_rows`` vectors (smallest hashes of the id).
+
+    Sample and tiles also hold at most ``max_values`` components, whatever the length of the vectors.
+    """
+    seen = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    total, most = seen["n"], max(64, max_values // (seen["dim"] or 1))
+    sample_rows, tile_rows = min(sample_rows, most), min(tile_rows, most)
     picked = classes.orderBy(F.xxhash64("id"), "id").select("vec").limit(sample_rows).collect()
     by: dict[int, list] = {}
     for r in picked:
