@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
+from spooltrace.operators.ranking import running_sum_within
 from spooltrace.plans import views
 
 c = F.col
@@ -96,9 +97,10 @@ def request_mount_candidates(db) -> DataFrame:
     least the required weight (avg + buffer + 10) and the best one (most remaining, then
     smallest mount id).
 
-    The required weight depends only on the sku, so the mount comparison runs
-    on (sku x mount) - bounded by the sku list - and requests join it on
-    sku_id; no request x mount pairs are materialized.
+    The required weight depends only on the sku. Mounts are counted per weight,
+    and the skus' requirements take their places in that order: the running
+    count there is the number of mounts that suffice, so no mount meets a sku.
+    The best mount is the same for every sku that has one.
     """
     req = db.product_requests.where((c("status") == "Pending") & (c("lot_number") != "LEGACY_LOT"))
     need = (db.product_skus.alias("s")
@@ -107,13 +109,19 @@ def request_mount_candidates(db) -> DataFrame:
                     .alias("required_weight")))
     mounts = db.filament_mounting.where(c("status") == "In Use").select(
         c("id").alias("_m_id"), c("remaining_weight").alias("_m_rem"))
-    # sku list is a literal dim: the inequality join is (skus x mounts), with the small side broadcast
-    per_sku = (mounts.join(F.broadcast(need), c("_m_rem") >= c("required_weight"))
-               .groupBy("_sku")
-               .agg(F.count(F.lit(1)).alias("candidate_mounts"),
-                    F.min_by(c("_m_id"), F.struct(-c("_m_rem"), c("_m_id"))).alias("best_mount_id"),
-                    F.max("_m_rem").alias("best_remaining_weight")))
-    out = (req.alias("r").join(F.broadcast(need), c("r.sku_id") == c("_sku"), "left")
+    weight = "decimal(14,2)"
+    line = (mounts.where(c("_m_rem").isNotNull()).groupBy((-c("_m_rem")).cast(weight).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .select(F.lit(1).alias("_all"), "_v", F.lit(0).alias("_kind"), "_n", F.lit(None).cast("long").alias("_sku"))
+            .unionByName(need.select(F.lit(1).alias("_all"), (-c("required_weight")).cast(weight).alias("_v"),
+                                     F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_n"), "_sku")))
+    counted = running_sum_within(line, ["_all"], ["_v", "_kind", "_sku"], "_n", col="candidate_mounts")
+    best = mounts.agg(F.max(F.struct("_m_rem", (-c("_m_id")).alias("i"))).alias("_b")).withColumn("_k", F.lit(1))  # one row
+    per_sku = (counted.where((c("_kind") == 1) & (c("candidate_mounts") > 0)).withColumn("_k", F.lit(1))
+               .join(F.broadcast(best), "_k")
+               .select("_sku", "candidate_mounts", (-c("_b.i")).alias("best_mount_id"),
+                       c("_b._m_rem").alias("best_remaining_weight")))
+    out = (req.alias("r").join(need, c("r.sku_id") == c("_sku"), "left")
            .join(per_sku.withColumnRenamed("_sku", "_sku2"), c("r.sku_id") == c("_sku2"), "left"))
     return out.select(c("r.id").alias("request_id"), c("r.sku_id").alias("sku_id"),
                       F.coalesce(c("required_weight"), F.lit(0).cast("decimal(10,2)")).alias("required_weight"),
@@ -226,23 +234,34 @@ def filament_lot_units(db) -> DataFrame:
     """Per sku the spool lot yielding most units = floor(grams / (avg + buffer)).
 
     A lot only counts when it yields at least one unit; ties go to the
-    smallest lot number; no such lot gives a NULL lot and 0 units. The lot
-    table is small after the aggregate and is compared with the sku list
-    (a literal dim, broadcast).
+    smallest lot number; no such lot gives a NULL lot and 0 units.
     """
-    lots = filament_lot_grams(db)
     uw = _unit_weight(db).where(c("unit_weight").isNotNull())
-    # inequality join against the literal sku list (broadcast): lot yields >= 1 unit
-    cand = (lots.join(F.broadcast(uw), c("available_grams") >= c("unit_weight"))
-            .withColumn("units", F.floor(c("available_grams") / c("unit_weight")).cast("long")))
-    best = cand.groupBy("sku_id").agg(
-        F.min_by(F.struct("lot_number", "available_grams"), F.struct(-c("units"), c("lot_number"))).alias("b"),
-        F.max("units").alias("max_units"))
-    return (uw.join(best, "sku_id", "left")
+    return (uw.join(_best_lots(filament_lot_grams(db), uw), "sku_id", "left")
             .select("sku_id", c("b.lot_number").alias("lot_number"), c("b.available_grams").alias("available_grams"),
                     F.coalesce(c("max_units"), F.lit(0).cast("long")).alias("max_units")))
 
 
+def _best_lots(lots: DataFrame, uw: DataFrame) -> DataFrame:
+    """(sku_id, b(lot_number, available_grams), max_units): the smallest lot with the most units per sku.
+
+    The heaviest lot gives the most units for every sku, so the units are known
+    from one scalar. Only lots heavy enough to reach some sku's number can be a
+    sku's smallest such lot; these few are compared with the skus.
+    """
+    top = lots.agg(F.max("available_grams").alias("_top")).withColumn("_k", F.lit(1))  # one row
+    units = F.floor(c("_top") / c("unit_weight")).cast("long")
+    want = (uw.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k").withColumn("max_units", units)
+            .where(c("max_units") >= 1).select("sku_id", "unit_weight", "max_units"))
+    reach = c("unit_weight") * c("max_units")
+    least = want.agg(F.min(reach).alias("_least")).withColumn("_k", F.lit(1))  # one row
+    heavy = (lots.withColumn("_k", F.lit(1)).join(F.broadcast(least), "_k").where(c("available_grams") >= c("_least"))
+             .select("lot_number", "available_grams"))
+    return (want.join(heavy, c("available_grams") >= reach).groupBy("sku_id")
+            .agg(F.min_by(F.struct("lot_number", "available_grams"), c("lot_number")).alias("b"),
+                 F.max("max_units").alias("max_units")))
+
+
 def _batch_remaining(db, table: DataFrame, material: str) -> DataFrame:
     avail = (table.where(c("qc_result") == "PASS").groupBy("serial_number")
              .agg(F.sum("quantity").cast("long").alias("available_units")))
@@ -280,15 +299,12 @@ def material_feasibility(db, requests: DataFrame) -> DataFrame:
     """
     uw = _unit_weight(db)
     lots = filament_lot_grams(db)
-    per_sku = (lots.join(F.broadcast(uw.where(c("unit_weight").isNotNull())), c("available_grams") >= c("unit_weight"))
-               .withColumn("units", F.floor(c("available_grams") / c("unit_weight")).cast("long"))
-               .groupBy("sku_id")
-               .agg(F.min_by(c("lot_number"), F.struct(-c("units"), c("lot_number"))).alias("best_filament_lot"),
-                    F.max("units").alias("_max_f")))
+    per_sku = _best_lots(lots, uw.where(c("unit_weight").isNotNull())).select(
+        "sku_id", c("b.lot_number").alias("best_filament_lot"), c("max_units").alias("_max_f"))
     lid = _best_batch(lid_remaining(db), "lid").withColumn("_k", F.lit(1))
     seal = _best_batch(seal_remaining(db), "seal").withColumn("_k", F.lit(1))
     out = (requests.alias("q")
-           .join(F.broadcast(uw), "sku_id", "left")
+           .join(uw, "sku_id", "left")
            .join(per_sku, "sku_id", "left")
            .withColumn("_k", F.lit(1))
            .join(F.broadcast(lid), "_k", "left")

@@ -18,3 +18,33 @@ def test_upsert_has_no_full_outer_join(spark):
     plan = _plan(merged)
     assert "FullOuter" not in plan
     assert "LeftOuter" in plan
+
+
+def test_mounting_runs_on_the_merge_kernel(spark):
+    from spooltrace.plans import etl as E
+    from spooltrace.sources.fixtures import AS_OF
+    assert "FullOuter" not in _plan(E.etl_mounting(Tables(spark, SF_SMALL), AS_OF))
+
+
+def test_order_components_joins_the_closure_once(spark):
+    from spooltrace.plans import sales as H
+    plan = _plan(H.order_components(Tables(spark, SF_SMALL)))
+    assert plan.count("Exchange hashpartitioning") <= 12  # initial and final plan together; the closure is one written table
+
+
+def test_mounts_meet_no_sku_by_inequality(spark):
+    from spooltrace.plans import materials as M
+    plan = _plan(M.request_mount_candidates(Tables(spark, SF_SMALL)))
+    # one-row scalars may join without a condition; no row is compared with another table's rows
+    assert not any(">=" in x or "<=" in x for x in plan.splitlines() if "NestedLoopJoin" in x)
+
+
+def test_dimensions_in_use_survive_without_static_broadcast(spark):
+    from spooltrace.plans import views
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        db = Tables(spark, SF_SMALL)
+        assert views.v_product_status(db).count() == db.product_tracking.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
