@@ -42,3 +42,9 @@ SQL = {n: _over_catalogue(body) for n, body in {
     **{n: _G[n] for n in ("requestable_skus", "reasons", "contexts", "reasons_for_context")},
     **{n: _H[n] for n in ("active_skus", "orderable_types", "product_types", "bom_expand", "skus_with_specs_flag")},
 }.items()}
+
+_EVERY = """SELECT w.context_code, r.id, r.reason_code, r.reason_label, r.category, r.default_outcome
+FROM xc_issue_reason_contexts l, xc_issue_reasons r, xc_issue_contexts w WHERE r.id = l.reason_id AND w.id = l.context_id"""
+SQL["reasons_for_every_outcome"] = f", {TABLES}\n{_EVERY}"
+SQL["reasons_for_quarantine"] = (f", {TABLES}\n{_EVERY} AND r.is_active AND w.context_code = 'AdHoc' "
+                                 "AND COALESCE(r.default_outcome, 'Quarantine') = 'Quarantine'")

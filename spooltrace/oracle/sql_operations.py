@@ -255,3 +255,28 @@ LABELS = _values([(code, label, qr, str(size), area) for label, skus, qr, size i
 SQL["label_templates"] = f"""SELECT g.id, g.product_id, g.reference_number, v.label, CAST(v.qr AS BOOLEAN) AS qr_required,
   CAST(v.size AS INTEGER) AS print_size, nullif(v.area, '') AS surface_area, g.expiration_label
 FROM ({SQL['label_data']}) g JOIN {LABELS} ON v.sku = g.reference_number"""
+
+_SEARCH = SQL["quarantine_search"]
+SQL.update({
+    "quarantine_search_unit": f"SELECT * FROM ({_SEARCH}) d WHERE product_id = 18",
+    "quarantine_search_lot": f"SELECT * FROM ({_SEARCH}) d WHERE lot_number = '0012'",
+    "quarantine_search_batch": f"""SELECT * FROM ({_SEARCH}) d
+WHERE product_id IN (SELECT product_tracking_id FROM x_treatment_batch_products WHERE batch_id = 3)""",
+    "quarantine_search_mount": f"""SELECT * FROM ({_SEARCH}) d
+WHERE harvest_id IN (SELECT id FROM x_product_harvest WHERE filament_mounting_id = 5)""",
+    "label_data_after_qc": SQL["label_data"].replace("'Printed'", "'HarvestQCComplete'"),
+    "label_templates_after_qc": SQL["label_templates"].replace("'Printed'", "'HarvestQCComplete'"),
+})
+
+
+def _shelves(units: str, mode: str) -> str:
+    status = BUSINESS.replace("inspection_result", "g.inspection_result")
+    return f"""SELECT DISTINCT g.id, g.product_id, {status} AS business_status, l.id AS location_id, l.location_name, l.description,
+  v.next_stage_code FROM ({units}) g JOIN {SHELF_RULES} ON v.mode = '{mode}' AND v.business_status = {status}
+JOIN x_storage_locations l ON contains(l.description, v.keyword)"""
+
+
+SQL["shelf_options_after_treatment"] = _shelves(SQL["needs_storage_treatment"], "Post-Treatment QC")
+SQL["shelf_options_adhoc"] = _shelves(SQL["needs_storage_adhoc"], "AdHoc Quarantine")
+SQL["next_stage_modes"] = f"""SELECT q.id, {BUSINESS} AS business_status, v.mode, v.next_stage_code
+FROM x_product_quality_control q JOIN {SHELF_RULES} ON v.business_status = {BUSINESS}"""

@@ -123,3 +123,7 @@ SQL["shipment_non_serialized"] = SQL["shipment_sku_items"].replace(
     "SELECT * FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) WHERE quantity > 0",
     """SELECT x.order_id, x.product_sku_id AS sku_id, ps.sku, ps.name AS sku_name, x.quantity
 FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) x JOIN x_product_skus ps ON ps.id = x.product_sku_id WHERE x.quantity > 0""")
+
+for _name, _cond in (("sku", "sku = 'GEB-CSmTCS'"), ("status", "product_status = 'B-Ware'"), ("operator", "printed_by = 'Op 0003'")):
+    SQL[f"sales_summary_by_{_name}"] = (f"SELECT sku, sku_name, count(*) AS count FROM ({SQL['sales_inventory']}) d "
+                                        f"WHERE {_cond} GROUP BY sku, sku_name")

@@ -1,6 +1,5 @@
 """Oracle SQL (DuckDB) for the column-level scalar rule queries."""
 
-from spooltrace.functions import rules as R
 from spooltrace.oracle.sql_etl import FAIL_WORDS, _clean, sql_bigint_loose
 from spooltrace.oracle.sql_views import sql_bigint, sql_date_multi, sql_ts_generic
 
@@ -24,8 +23,9 @@ def _initials(x: str) -> str:
 
 STEP = " ".join(f"WHEN '{k}' THEN {v}" for k, v in
                 [("SOLD", 12), ("SALES", 8), ("NOT USABLE", 10), ("INTERNAL", 13), ("IN TREATMENT", 5), ("INTERIM STORAGE", 4)])
-NEXT = " UNION ALL ".join(f"SELECT '{s}' AS business_status, '{code}' AS next_stage_code"
-                          for s, modes in R.NEXT_STAGE_BY_RESULT.items() for m, code in modes.items() if m == "Post-Harvest QC")
+# fixed values, stated apart from the library's table: next stage after harvest QC
+NEXT = " UNION ALL ".join(f"SELECT '{s}' AS business_status, '{code}' AS next_stage_code" for s, code in (
+    ("A-Ware", "InInterimStorage"), ("B-Ware", "InInterimStorage"), ("In Quarantine", "Quarantine"), ("Waste", "Disposed")))
 BUSINESS = ("CASE {x} WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine' "
             "WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE '{d}' END")
 AS_OF = "TIMESTAMP '2000-06-30 00:00:00'"

@@ -163,6 +163,14 @@ def business_status(db):
                     X.business_status(c("inspection_result"), "Pending").alias("output"))
 
 
+def next_stage_modes(db):
+    """business status of the QC result and storage mode -> next stage code, for every mode that knows the status."""
+    rows = [(s, m, code) for s, modes in R.NEXT_STAGE_BY_RESULT.items() for m, code in modes.items()]
+    rules = db.spark.createDataFrame(rows, "business_status STRING, mode STRING, next_stage_code STRING")
+    q = db.product_quality_control.select("id", X.business_status(c("inspection_result"), "A-Ware").alias("business_status"))
+    return q.join(F.broadcast(rules), "business_status").select("id", "business_status", "mode", "next_stage_code")
+
+
 def next_stage(db):
     """(business status of the QC result, Post-Harvest QC) -> next stage code via the literal rule table."""
     rows = [(s, m, code) for s, modes in R.NEXT_STAGE_BY_RESULT.items() for m, code in modes.items()]
@@ -247,6 +255,6 @@ def clip_text(db):
 NAMES = ["parse_bigint", "parse_bigint_strict", "parse_decimal_comma", "parse_date_multi", "parse_date_de",
          "clean_key", "blank_to_null", "lot_prefix", "pass_fail", "qc_result_matrix", "post_treat_flags",
          "legacy_status_stage", "treatment_status", "treatment_notes", "base36", "lot_number", "product_code",
-         "name_initials", "ready_at", "harvest_qc_rule", "treatment_qc_rule", "business_status", "next_stage",
+         "name_initials", "ready_at", "harvest_qc_rule", "treatment_qc_rule", "business_status", "next_stage", "next_stage_modes",
          "qm_target_stage", "resolution_status", "append_note", "weight_health", "label_expiry", "required_weight",
          "expanded_qty", "has_level", "reason_matches_outcome", "parse_ts_generic", "clip_text"]

@@ -123,13 +123,25 @@ def queries() -> dict[str, Query]:
         "quarantined": _q(G.quarantined),
         "investigated": _q(G.investigated),
         "quarantine_search": _q(G.quarantine_search),
+        "quarantine_search_unit": _q(G.quarantine_search, mode="Product ID", value="18"),
+        "quarantine_search_lot": _q(G.quarantine_search, mode="Lot Number", value="0012"),
+        "quarantine_search_batch": _q(G.quarantine_search, mode="Treatment Batch", value="3"),
+        "quarantine_search_mount": _q(G.quarantine_search, mode="Filament Mount ID", value="5"),
         "audit_entries": _q(G.audit_entries),
         "previous_stage": _q(G.previous_stage),
         "reasons": _catalogue(G.reasons),
         "contexts": _catalogue(G.contexts),
         "reasons_for_context": _catalogue(G.reasons_for_context, outcome="B-Ware"),
+        "reasons_for_every_outcome": _catalogue(G.reasons_for_context, include_inactive=True),
+        "reasons_for_quarantine": _catalogue(G.reasons_for_context, context_code="AdHoc", outcome="Quarantine"),
         "label_data": _q(G.label_data, stage_code="Printed"),
         "label_templates": _q(G.label_templates, stage_code="Printed"),
+        "label_data_after_qc": _q(G.label_data, stage_code="HarvestQCComplete"),
+        "label_templates_after_qc": _q(G.label_templates, stage_code="HarvestQCComplete"),
+        "shelf_options_after_treatment": lambda spark, sf: G.shelf_options(
+            Tables(spark, sf), G.needs_storage_treatment(Tables(spark, sf)), "Post-Treatment QC"),
+        "shelf_options_adhoc": lambda spark, sf: G.shelf_options(
+            Tables(spark, sf), G.needs_storage_adhoc(Tables(spark, sf)), "AdHoc Quarantine"),
         "label_id_series": lambda spark, sf: G.label_id_series(G.label_requests(Tables(spark, sf))),
         "effective_access": lambda spark, sf: G.effective_access(
             Tables(spark, sf), G.user_memberships(Tables(spark, sf))),
@@ -144,6 +156,9 @@ def queries() -> dict[str, Query]:
         "processing_orders": _q(H.processing_orders_flat),
         "sales_inventory": _q(H.sales_inventory, as_of=AS_OF),
         "sales_summary": _q(H.sales_summary, as_of=AS_OF),
+        "sales_summary_by_sku": _q(H.sales_summary, as_of=AS_OF, sku="GEB-CSmTCS"),
+        "sales_summary_by_status": _q(H.sales_summary, as_of=AS_OF, status="B-Ware"),
+        "sales_summary_by_operator": _q(H.sales_summary, as_of=AS_OF, operator="Op 0003"),
         "canceled_orders": _q(H.canceled_orders),
         "canceled_order_items": _q(H.canceled_order_items),
         "unit_requirements": _q(H.unit_requirements),
