@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from spooltrace.session import ensure_checkpoint_dir
 
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -90,6 +92,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def return_large_blocks() -> None:
+    """Have malloc take blocks over 1 MB straight from the system, so that they go back when freed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: idle Python workers stay alive beside the JVM."""
     import pyarrow as pa
@@ -102,12 +111,18 @@ def release_memory() -> None:
 
 
 def map_batches(df: DataFrame, func, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers, whose memory is released after each task."""
+    """``mapInArrow`` with this package on the workers, whose memory is released after each task.
+
+    Texts are long, so a session that does not set the size of Arrow batches gets ``BATCH_ROWS``.
+    """
     def run(batches):
+        return_large_blocks()
         try:
             yield from func(batches)
         finally:
             release_memory()
 
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

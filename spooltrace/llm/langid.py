@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,21 +199,15 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            lang: list[str] = []
-            score: list[float] = []
-            part: list[str | None] = []
-            held = 0
-            for k, t in enumerate(texts):
-                part.append(t)
-                held += len(t or "")
-                if held >= max_bytes or k == len(texts) - 1:
-                    found, margins = predict(part, model)
-                    lang += found
-                    score += margins
-                    part, held = [], 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=names)
+            lo = held = 0
+            for hi, size in enumerate(pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist(), 1):
+                held += size
+                if held >= max_bytes or hi == len(b):
+                    part = b.slice(lo, hi - lo)
+                    lang, score = predict(part.column(at).to_pylist(), model)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                     names=names)
+                    lo, held = hi, 0
 
     return map_batches(rows, run, schema)
 
