@@ -250,22 +250,31 @@ class Versions:
     def __getattr__(self, name):
         return self._new[name] if name in self._new else getattr(self._db, name)
 
-    def put(self, name: str, df: DataFrame) -> None:
-        self.__dict__.pop("_ensured_locations", None)  # derived from the locations
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        if name == "storage_locations":
+            self.__dict__.pop("_ensured_locations", None)  # derived from the locations
         self._new[name] = materialize(df)
+        return self._new[name]
+
+    def prints(self, cutoff: str) -> DataFrame:
+        """The unified legacy prints (D7) of the versions at the first call, written once."""
+        if "_prints" not in self.__dict__:
+            self.__dict__["_prints"] = materialize(views.v_unified_legacy_prints(self, cutoff))
+        return self.__dict__["_prints"]
 
     def written(self) -> dict[str, DataFrame]:
         return dict(self._new)
 
 
 def _run_filaments(v, cutoff, as_of):
-    v.put("users", ensure_legacy_user(v))
-    v.put("storage_locations", _locations_with_shelves(v))
-    v.put("filaments", etl_filaments(v, cutoff, as_of)[0])
+    users = v.put("users", ensure_legacy_user(v))
+    locations = v.put("storage_locations", _locations_with_shelves(v))
+    v.__dict__["_ensured_locations"] = locations  # they hold the default rows
+    v.put("filaments", etl_filaments(v, cutoff, as_of, users, locations)[0])
 
 
 def _run_harvest(v, cutoff, as_of):
-    harvest, _, cand = etl_harvest(v, cutoff)
+    harvest, _, cand = etl_harvest(v, cutoff, v.prints(cutoff))
     v.put("etl_harvest_map", etl_harvest_map(cand))
     v.put("product_harvest", harvest)
 
@@ -283,7 +292,7 @@ PIPELINE_STEPS = {
     "filament_acclimatization": lambda v, cutoff, as_of: v.put("filament_acclimatization", etl_acclimatization(v, as_of)[0]),
     "product_harvest": _run_harvest,
     "product_tracking": lambda v, cutoff, as_of: v.put(
-        "product_tracking", etl_tracking(v, cutoff, v.etl_harvest_map, as_of)[0]),
+        "product_tracking", etl_tracking(v, cutoff, v.etl_harvest_map, as_of, v.prints(cutoff))[0]),
     "product_quality_control": lambda v, cutoff, as_of: v.put(
         "product_quality_control", etl_quality_control(v, v.product_tracking, cutoff)[0]),
     "treatment_batch": _run_treatment,
@@ -375,7 +384,8 @@ def _eligible_spools(db, cutoff: str) -> DataFrame:
     return used.union(received).distinct()
 
 
-def etl_filaments(db, cutoff: str, as_of: str) -> tuple[DataFrame, DataFrame]:
+def etl_filaments(db, cutoff: str, as_of: str, users: DataFrame | None = None,
+                  locations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Upsert spools by filament id from the spool sheet, for spools used or received since ``cutoff``.
 
     Location by shelf name (new shelves are added first, blank -> Unassigned);
@@ -383,10 +393,10 @@ def etl_filaments(db, cutoff: str, as_of: str) -> tuple[DataFrame, DataFrame]:
     user; duplicate source rows per spool keep the latest receipt (then the
     smallest serial).
     """
-    users = ensure_legacy_user(db)
+    users = ensure_legacy_user(db) if users is None else users
     fallback = users.where(c("user_principal_name") == LEGACY_IMPORT_UPN).agg(F.min("id").alias("_fb")).withColumn(
         "_k", F.lit(1))
-    locs = _locations_with_shelves(db)
+    locs = _locations_with_shelves(db) if locations is None else locations
     unassigned = locs.where(c("location_name") == "Unassigned").agg(F.min("id").alias("_un")).withColumn(
         "_k", F.lit(1))
     fe = db.stg_filament_excel_data
