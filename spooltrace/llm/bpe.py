@@ -184,7 +184,8 @@ def _encode_bucket(t: pa.Table, path: str) -> pa.Table:
         at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
         ids.append(_pack(_gather(flat, first[at], sizes[at])))
         counts.append(_pack(sizes[at]))
-    release_memory()
+    if len(table) > 20_000:  # a small bucket leaves little to give back
+        release_memory()
     return pa.table({"block": t.column("block"), "places": t.column("sizes"),
                      "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
