@@ -2,18 +2,26 @@
 
 A text is normalised (A-Z in lower case, every run of other characters than
 a-z and 0-9 a space) and compared in units: each line, each paragraph of
-several lines, and the whole text if it has several paragraphs. With a and b
+several lines, the whole text if it has several paragraphs, and, for every
+template, each window of the text that has as many bigrams as the template,
+wherever it begins and whatever lines or paragraphs it crosses. With a and b
 bigrams (repeats count) and o in common, the Dice coefficient is 2 o / (a + b).
 It can reach t only if t / (2 - t) * b <= a <= (2 - t) / t * b, so the sizes
 alone drop most pairs: a unit that fits no template is dropped before its
 bigrams are built, and a bigram meets only templates of fitting size.
 
+Windows are not enumerated. The i-th occurrence of a bigram that the template
+has m times adds one to the overlap of the windows that begin after the
+occurrence m before it and hold it, which is one interval of beginnings; a
+running sum over the ends of these intervals gives the fullest window.
+
 Native functions only. The templates are a fixed list, so their bigrams are
 broadcast; only bigrams that some template has are shuffled.
 
 Defined results: null, empty and short texts match nothing (license null, dice
 0); of equally good matches the first template name, then the first unit, is
-reported; repeated rows are reported row by row; an empty table gives no rows;
+reported; a window is reported, and counted as a unit, only if it is better than
+every line, paragraph and text of its document; repeated rows are reported row by row; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -22,7 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spooltrace.llm.common import let
@@ -154,14 +162,52 @@ def license_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", t
             .where(F.col("dice") >= threshold).select(*keys, "kind", "no", "license", "dice").drop("_row"))
 
 
+def window_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
+                   templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(keys, kind, no, license, dice) of the fullest window of each template that reaches the threshold, for each row of
+    ``keyed``; ``no`` is the window's first word."""
+    spark: SparkSession = keyed.sparkSession
+    known = spark.createDataFrame(template_bigrams(templates), "license string, bigram string, times int, size_b int")
+    keys = [*keys, "_row"]  # rows with equal keys are compared apart
+    clean = F.btrim(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{OTHER}\\n]+", " ")))
+    pairs = let(F.split(clean, " "), lambda w: F.zip_with(
+        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    rows = keyed.withColumn("_row", F.monotonically_increasing_id()).select(*keys, pairs.alias("pairs"))
+    bigrams = rows.select(*keys, F.size("pairs").alias("n"), F.posexplode("pairs").alias("pos", "bigram"))
+    met = bigrams.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi")
+    places = met.groupBy(*keys, "n", "bigram").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    pair = [*keys, "license", "size_b", "n"]
+    # a text that shares too few bigrams with a template as a whole has no window that reaches the threshold
+    near = (places.join(F.broadcast(known), "bigram").where(F.col("n") >= F.col("size_b"))
+            .groupBy(*pair).agg(F.sum(F.least(F.size("at"), "times")).alias("o"),
+                                F.collect_list(F.struct("at", "times")).alias("found"))
+            .where(F.col("o") >= threshold * F.col("size_b")))
+    ends = F.flatten(F.transform("found", lambda g: F.flatten(F.transform(g["at"], lambda p, i: F.array(
+        F.struct(F.greatest(p - F.col("size_b") + 1, F.coalesce(F.get(g["at"], i - g["times"]) + 1, F.lit(0))).alias("no"),
+                 F.lit(1).alias("step")),
+        F.struct((p + 1).alias("no"), F.lit(-1).alias("step")))))))
+    steps = near.select(*pair, F.explode(ends).alias("e")).groupBy(*pair, "e.no").agg(F.sum("e.step").alias("step"))
+    so_far = Window.partitionBy(*pair).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = steps.withColumn("o", F.sum("step").over(so_far)).where(F.col("no") <= F.col("n") - F.col("size_b"))
+    best = full.groupBy(*pair).agg(F.min(F.struct((-F.col("o")).alias("o"), "no")).alias("w"))
+    dice = -F.col("w.o") / F.col("size_b")
+    return (best.withColumn("dice", dice).where(F.col("dice") >= threshold)
+            .select(*keys, F.lit("window").alias("kind"), "w.no", "license", "dice").drop("_row"))
+
+
 def license_query(docs: DataFrame) -> DataFrame:
     """Best match of every document, and how many units matched."""
     i, t = F.col("doc_id"), F.col("text")
     keyed = docs.select("doc_id", "text", F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"))
     keys = ["k1", "k2"]
-    found = license_matches(keyed, keys)
+    found = license_matches(keyed, keys).unionByName(window_matches(keyed, keys))
     rank = F.struct((-F.col("dice")).alias("d"), "license", "kind", "no")
-    best = found.groupBy(*keys).agg(F.min(rank).alias("best"), F.count_distinct("kind", "no").alias("n_units"))
+    unit = F.col("kind") != "window"
+    hits = found.groupBy(*keys).agg(F.min(F.when(unit, rank)).alias("unit"), F.min(F.when(~unit, rank)).alias("window"),
+                                    F.count_distinct(F.when(unit, F.struct("kind", "no"))).alias("n"))
+    better = F.coalesce(F.col("window.d") < F.coalesce("unit.d", F.lit(0.0)), F.lit(False))
+    best = hits.select(*keys, F.when(better, F.col("window")).otherwise(F.col("unit")).alias("best"),
+                       (F.col("n") + better.cast("int")).alias("n_units"))
     return keyed.select(*keys, "doc_id").join(best, keys, "left").select(
         "doc_id", F.col("best.license").alias("license"), F.coalesce(-F.col("best.d"), F.lit(0.0)).alias("dice"),
         F.concat_ws(":", "best.kind", "best.no").alias("unit"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))

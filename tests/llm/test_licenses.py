@@ -54,3 +54,30 @@ def test_against_sql(spark):
     con.register("fixture", frame(spark).select("doc_id", "text").toPandas())
     ok, msg = compare(licenses.license_query(frame(spark)), licenses.licenses_sql().replace("FROM documents", "FROM fixture"), con)
     assert ok, msg
+
+
+def brute_window(text):
+    """Best Dice over all windows of each template's size."""
+    words = licenses._normal(text)
+    return max(((dice(" ".join(words[i:i + n]), t), name) for name, t in licenses.TEMPLATES.items()
+                for n in [len(licenses._normal(t))] for i in range(len(words) - n + 1)), default=(0.0, None))
+
+
+def test_templates_inside_longer_units(spark):
+    mit, bsd, gpl, apache = (licenses.TEMPLATES[x] for x in ("mit", "bsd-2-clause", "gpl-3.0-header", "apache-2.0-header"))
+    prose = " ".join(f"word{i}" for i in range(200))
+    hashed = "#!/bin/sh\n" + "\n#\n".join(f"# {x}" for x in gpl.split("\n")) + f"\n{prose}\n"
+    broken = mit.replace("merge, publish, ", "").replace("the", "the the", 3)
+    texts = {prose + " " + " ".join(mit.split()) + " " + prose: "mit", hashed.replace("version 3", "version\n#\n# 3"): "gpl-3.0-header",
+             bsd + " THIS SOFTWARE IS PROVIDED AS IS " + prose: "bsd-2-clause",
+             f"{prose}\n\n" + apache.replace(". ", ".\n\n") + f"\n\n{prose}": "apache-2.0-header",
+             "Copyright 2021 Example Ltd. All rights reserved.": "all-rights-reserved",
+             "Copyright 2020 A. Released under the MIT License.": "mit-notice", f"{prose} {broken} {prose}": "mit",
+             f"{prose} {mit[:len(mit) // 2]} {prose}": None, "all rights " * 300: None}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_query(docs.unionByName(docs)).collect()}
+    for i, (text, name) in enumerate(texts.items()):
+        d, _ = brute_window(text)
+        assert got[i].license == name, text
+        assert got[i].dice == (max(d, brute(text)[1]) if name else 0.0)
+        assert got[i].n_units >= (name is not None)
