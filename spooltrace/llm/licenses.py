@@ -27,8 +27,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,19 @@ THRESHOLD = 0.8
 OTHER = r"\x00-\x09\x0B-/:-@\[-`{-\x{10FFFF}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# fixed values: texts of public licences and of the notices that name them
+SPDX = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1",
+        "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+
+
+def _gnu_header(name: str, version: str, what: str = "program") -> str:
+    return f"""This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by
+        the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of
+        the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+
+
+# fixed values: texts of public licences (whole ones in license_texts) and of the headers and notices that name them
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
@@ -74,9 +88,39 @@ TEMPLATES = {
     "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    # whole standard headers
+    "agpl-3.0-header": _gnu_header("GNU Affero General Public License", "3"),
+    "epl-2.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "gpl-2.0-header": _gnu_header("GNU General Public License", "2"),
+    "gpl-3.0-header-whole": _gnu_header("GNU General Public License", "3"),
+    "lgpl-2.1-header": _gnu_header("GNU Lesser General Public License", "2.1", "library"),
+    "lgpl-3.0-header": _gnu_header("GNU Lesser General Public License", "3"),
+    # usual notices
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "apache-2.0-notice-short": "Licensed under the Apache License 2.0.",
+    "bsd-2-clause-notice": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-notice": "Licensed under the BSD 3-Clause License.",
+    "bsd-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0-notice": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
+        this work.""",
+    "epl-2.0-notice": "Licensed under the Eclipse Public License, version 2.0.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "isc-notice": "Licensed under the ISC License.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "mit-notice-distributed": "Distributed under the MIT License.",
+    "mit-notice-licensed": "Licensed under the MIT License.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    **{f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX},
+    **{f"{f.stem}-text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},
 }
 
 
+@functools.lru_cache(maxsize=128)
 def _normal(text: str) -> list[str]:
     kept = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in text)
     return kept.split()

@@ -81,3 +81,20 @@ def test_templates_inside_longer_units(spark):
         assert got[i].license == name, text
         assert got[i].dice == (max(d, brute(text)[1]) if name else 0.0)
         assert got[i].n_units >= (name is not None)
+
+
+def test_common_licences_have_templates(spark):
+    whole = {x: licenses.TEMPLATES[f"{x}-text"] for x in ("gpl-3.0", "gpl-2.0", "lgpl-2.1", "apache-2.0", "mpl-2.0", "cc0-1.0", "mit")}
+    texts = {"Licensed under the MIT license.": "mit-notice-licensed", "Distributed under the MIT License.": "mit-notice-distributed",
+             "Licensed under the Apache License 2.0.": "apache-2.0-notice-short",
+             "governed by a BSD-style license that can be found in the LICENSE file": "bsd-notice",
+             "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice",
+             "// SPDX-License-Identifier: MPL-2.0": "spdx-mpl-2.0", licenses.TEMPLATES["lgpl-2.1-header"]: "lgpl-2.1-header",
+             **{f"Copyright 2020 Someone\n\n{t}\nends here": x for x, t in whole.items()}}  # a text may quote its own header
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_query(docs).collect()}
+    for i, name in enumerate(texts.values()):
+        assert got[i].license.startswith(name) if i >= len(texts) - len(whole) else got[i].license == name
+        assert got[i].dice == 1 or i < len(texts) - len(whole)
+    found = {(r.doc_id, r.license) for r in licenses.window_matches(docs, ["doc_id"]).where("dice = 1").collect()}
+    assert {(i, f"{x}-text") for i, x in enumerate(whole, len(texts) - len(whole))} <= found
