@@ -10,9 +10,11 @@ Whole texts are parsed, in windows of ``window`` bytes (a phrase ends at a
 window's end) that advance together as array lanes: one table look-up per byte
 and language.
 
-The labelled sample is bounded: for each of the ``max_languages`` most frequent
-languages, ``slots`` labelled documents (the one with the smallest id hash in
-each of ``slots`` hash classes), ``excerpt`` characters of each. Only
+The labelled sample is bounded, and every language has its share: ``slots``
+labelled documents (the one with the smallest id hash in each of ``slots`` hash
+classes), ``excerpt`` characters of each, for up to ``full_languages`` languages.
+More languages divide the same total, first by fewer documents, then by shorter
+excerpts. Only
 ``text`` and ``lang`` of rows that are not held out are learned from, and a
 prediction reads the text alone.
 
@@ -62,19 +64,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, slots: int = 64, excerpt: int = 384, max_languages: int = 64, id_col: str = "doc_id",
+def learn(docs: DataFrame, slots: int = 64, excerpt: int = 384, full_languages: int = 64, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> Model:
     """Bounded labelled sample of the rows that are not held out."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.lit("sample"), F.col(id_col)).alias("h"))
-    top = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages))
-    langs = [r.lang for r in top.collect()]
+    share = full_languages * slots * excerpt // max(1, rows.select("lang").distinct().count())
+    slots, excerpt = max(1, min(slots, share // excerpt)), max(1, min(excerpt, share))
     slot = F.pmod("h", F.lit(slots)).alias("slot")
-    chosen = rows.where(F.col("lang").isin(langs)).groupBy("lang", slot).agg(F.min("h").alias("h")).collect()
+    chosen = rows.groupBy("lang", slot).agg(F.min("h").alias("h")).collect()
     size = F.length("text")
     start = F.pmod(F.xxhash64("h"), F.greatest(size - excerpt, F.lit(1))).cast("int") + 1
-    wanted = rows.where(F.col("h").isin([r.h for r in chosen]) & F.col("lang").isin(langs))
+    wanted = rows.where(F.col("h").isin([r.h for r in chosen]))
     texts = (wanted.groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(excerpt))).alias("t")).collect())
     keep = {(r.lang, r.h) for r in chosen}
     by: dict[str, list[bytes]] = {}
@@ -154,6 +156,7 @@ def phrase_counts(texts: list[bytes], model: Model, window: int = 1024, lanes: i
     size = np.minimum(sizes[owner] - first * window, window)
     flat = codes[np.frombuffer(b"".join(texts), np.uint8)]
     order = np.argsort(-size, kind="stable")
+    lanes = max(1, min(lanes, lanes * 64 // len(roots)))  # many languages advance fewer windows together
     out = np.zeros((len(texts), len(roots)), np.int64)
     for i in range(0, len(order), lanes):
         w = order[i:i + lanes]

@@ -63,3 +63,17 @@ def test_drop_unidentified_keeps_columns(spark):
     junk = spark.createDataFrame([(10**6, "12345 !!")], "doc_id long, text string")
     out = langid.drop_unidentified(docs.unionByName(junk, allowMissingColumns=True))
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_every_language_is_learned(spark):
+    def text(k, i):  # each language has letters of its own
+        return " ".join(chr(0x4e00 + 8 * k + (i + j) % 8) * 3 for j in range(40))
+    rows = [(100 * k + i, text(k, i), f"l{k:03d}") for k in range(90) for i in range(9 if k < 70 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, slots=4, excerpt=64)
+    assert [n for n, _ in model.samples] == sorted({r[2] for r in rows})
+    assert all(s.count(b"\n") < 4 for _, s in model.samples)
+    texts = [r[1] for r in rows]
+    assert langid.predict(texts, model)[0] == [r[2] for r in rows]
+    few = langid.learn(docs, slots=4, excerpt=64, full_languages=1)  # 256 characters for 90 languages
+    assert len(few.samples) == 90 and sum(len(s.decode()) for _, s in few.samples) <= 256
