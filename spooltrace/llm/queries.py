@@ -11,12 +11,15 @@ from spooltrace.llm.common import table
 from spooltrace.llm.embdedup import EMBEDDINGS_SQL, embedding_query
 from spooltrace.llm.langid import language_query
 from spooltrace.llm.licenses import license_query, licenses_sql
+from spooltrace.llm.merkle import MERKLE_SQL, manifest_query
 from spooltrace.llm.packing import packing_query
 from spooltrace.llm.quality import quality_verdicts
 from spooltrace.llm.repeats import repeats_query
 from spooltrace.llm.secrets import SECRETS_SQL, secrets_query
 from spooltrace.llm.sharding import sharding_query
 from spooltrace.llm.simhash import simhash_query
+from spooltrace.llm.toxicity import toxicity_query
+from spooltrace.llm.whitening import whitening_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +41,13 @@ def queries() -> dict[str, Query]:
         "op9_best_fit_packing": _over_documents(packing_query),
         "op10_quality_rules": lambda spark, sf_dir: quality_verdicts(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op11_merkle_manifest": _over_documents(manifest_query),
+        "op12_toxicity": lambda spark, sf_dir: toxicity_query(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op13_embedding_whitening": lambda spark, sf_dir: whitening_query(table(spark, sf_dir, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op3_secret_scan": SECRETS_SQL, "op5_license_scan": licenses_sql()}
+    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op3_secret_scan": SECRETS_SQL, "op5_license_scan": licenses_sql(),
+            "op11_merkle_manifest": MERKLE_SQL}
