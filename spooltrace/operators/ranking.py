@@ -17,7 +17,7 @@ stable when an executor is lost.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,28 +87,49 @@ def row_number_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence
         _PID, _LOC, "_rk_off")
 
 
-def running_sum_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
-                       value: str | Column, col: str = "running", num_partitions: int | None = None) -> DataFrame:
-    """``SUM(value) OVER (PARTITION BY group_by ORDER BY order_by ROWS UNBOUNDED PRECEDING)``, skew-safe.
-
-    Same scheme as ``row_number_within``: running sums inside each
-    (group, range partition) piece plus the group's total of earlier pieces;
-    the shift table has at most one row per range partition.
-    """
-    groups = list(group_by)
-    order = _cols(order_by)
+def _running(df: DataFrame, groups: list[str], order: list[Column], value: str | Column,
+             fold: Callable[[str], Column], num_partitions: int | None) -> DataFrame:
+    """Rows with ``_LOC``, the fold inside their (group, range partition) piece, and ``_rk_off``, that of earlier pieces."""
     val = F.col(value) if isinstance(value, str) else value
     parted = materialize(_by_range(df.withColumn("_rk_val", val), num_partitions, [*_cols(groups), *order])
                          .withColumn(_PID, F.spark_partition_id()))
-    local = parted.withColumn(_LOC, F.sum("_rk_val").over(
+    local = parted.withColumn(_LOC, fold("_rk_val").over(
         Window.partitionBy(*groups, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = parted.groupBy(*groups, _PID).agg(F.sum("_rk_val").alias("_rk_tot"))
+    totals = parted.groupBy(*groups, _PID).agg(fold("_rk_val").alias("_rk_tot"))
+    earlier = Window.partitionBy(*groups) if groups else Window  # without groups: one row per range partition
     shifts = (totals
-              .withColumn("_rk_off", F.sum("_rk_tot").over(
-                  Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)))
+              .withColumn("_rk_off", fold("_rk_tot").over(
+                  earlier.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)))
               .where(F.col("_rk_off").isNotNull())
               .select(*groups, _PID, "_rk_off"))
     # a group continues from an earlier partition only at the start of a partition: <= num_partitions rows
-    out = local.join(F.broadcast(shifts), [*groups, _PID], "left")
+    return local.join(F.broadcast(shifts), [*groups, _PID], "left")
+
+
+def running_sum_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
+                       value: str | Column, col: str = "running", num_partitions: int | None = None) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY group_by ORDER BY order_by ROWS UNBOUNDED PRECEDING)``, skew-safe.
+
+    Same scheme as ``row_number_within``: running sums inside each
+    (group, range partition) piece plus the group's total of earlier pieces;
+    the shift table has at most one row per range partition.
+    """
+    out = _running(df, list(group_by), _cols(order_by), value, F.sum, num_partitions)
     return out.withColumn(col, F.coalesce(F.col("_rk_off"), F.lit(0)) + F.col(_LOC)).drop(
         _PID, _LOC, "_rk_off", "_rk_val")
+
+
+def running_min_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
+                       value: str | Column, col: str = "running", num_partitions: int | None = None) -> DataFrame:
+    """``MIN(value) OVER (PARTITION BY group_by ORDER BY order_by ROWS UNBOUNDED PRECEDING)``, skew-safe.
+
+    Null values are passed over; the value may be a struct. With no groups the
+    minimum runs over the whole table, still without a single-partition window
+    over rows. Rows that ask (value null) and rows that offer can stand in one
+    ordering, which answers "least value among all rows up to here" without an
+    inequality join.
+    """
+    out = _running(df, list(group_by), _cols(order_by), value, F.min, num_partitions)
+    return out.withColumn(col, F.when(F.col("_rk_off").isNull(), F.col(_LOC)).when(
+        F.col(_LOC).isNull(), F.col("_rk_off")).otherwise(F.least("_rk_off", _LOC))).drop(
+        _PID, _LOC, "_rk_off", "_rk_val")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
-from spooltrace.operators.ranking import running_sum_within
+from spooltrace.operators.ranking import running_min_within, running_sum_within
 from spooltrace.plans import views
 
 c = F.col
@@ -246,20 +246,24 @@ def _best_lots(lots: DataFrame, uw: DataFrame) -> DataFrame:
     """(sku_id, b(lot_number, available_grams), max_units): the smallest lot with the most units per sku.
 
     The heaviest lot gives the most units for every sku, so the units are known
-    from one scalar. Only lots heavy enough to reach some sku's number can be a
-    sku's smallest such lot; these few are compared with the skus.
+    from one scalar, and with them the grams that a lot must hold. Lots and skus
+    then stand in one ordering by falling grams, where the running least lot
+    number at a sku's place is its lot: one range shuffle, no inequality join.
     """
     top = lots.agg(F.max("available_grams").alias("_top")).withColumn("_k", F.lit(1))  # one row
-    units = F.floor(c("_top") / c("unit_weight")).cast("long")
-    want = (uw.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k").withColumn("max_units", units)
-            .where(c("max_units") >= 1).select("sku_id", "unit_weight", "max_units"))
-    reach = c("unit_weight") * c("max_units")
-    least = want.agg(F.min(reach).alias("_least")).withColumn("_k", F.lit(1))  # one row
-    heavy = (lots.withColumn("_k", F.lit(1)).join(F.broadcast(least), "_k").where(c("available_grams") >= c("_least"))
-             .select("lot_number", "available_grams"))
-    return (want.join(heavy, c("available_grams") >= reach).groupBy("sku_id")
-            .agg(F.min_by(F.struct("lot_number", "available_grams"), c("lot_number")).alias("b"),
-                 F.max("max_units").alias("max_units")))
+    want = (uw.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k")
+            .withColumn("max_units", F.floor(c("_top") / c("unit_weight")).cast("long"))
+            .where(c("max_units") >= 1))
+    grams = "decimal(38,6)"
+    offers = lots.where(c("lot_number").isNotNull()).select(
+        c("available_grams").cast(grams).alias("grams"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("sku_id"),
+        F.lit(None).cast("long").alias("max_units"), F.struct("lot_number", "available_grams").alias("lot"))
+    asks = want.select((c("unit_weight") * c("max_units")).cast(grams).alias("grams"), F.lit(1).alias("asks"),
+                       c("sku_id").cast("long").alias("sku_id"), "max_units",
+                       F.lit(None).cast(offers.schema["lot"].dataType).alias("lot"))
+    order = [c("grams").desc(), c("asks")]  # a lot of exactly the grams asked for comes first
+    return (running_min_within(offers.unionByName(asks), [], order, "lot", col="b")
+            .where("asks = 1").select("sku_id", "b", "max_units"))
 
 
 def _batch_remaining(db, table: DataFrame, material: str) -> DataFrame:

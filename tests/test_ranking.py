@@ -1,9 +1,9 @@
-"""Skew-safe numbering and running sums equal plain windows, including a hot group."""
+"""Skew-safe numbering, running sums and minima equal plain windows, including a hot group."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spooltrace.operators.ranking import row_number_global, row_number_within, running_sum_within
+from spooltrace.operators.ranking import row_number_global, row_number_within, running_min_within, running_sum_within
 
 
 def _data(spark):
@@ -35,3 +35,13 @@ def test_running_sum_within(spark):
     w = Window.partitionBy("g").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
     b = df.select("id", F.sum("v").over(w).alias("rs2"))
     assert a.join(b, "id").where("rs <> rs2").count() == 0
+
+
+def test_running_min_within(spark):
+    df = _data(spark).withColumn("v", F.expr("CASE WHEN v > 6 THEN named_struct('a', 100 - id, 'b', id) END"))
+    for groups in (["g"], []):
+        a = running_min_within(df, groups, ["k", "id"], "v", col="rm", num_partitions=6).select("id", "rm")
+        w = Window.partitionBy(*groups).orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
+        b = df.select("id", F.min("v").over(w).alias("rm2"))
+        assert a.join(b, "id").where("NOT (rm <=> rm2)").count() == 0
+    assert running_min_within(df.limit(0), [], ["k"], "v").count() == 0
