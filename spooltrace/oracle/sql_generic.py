@@ -64,7 +64,7 @@ SELECT position, raw_header, normalized,
     THEN '_' || CAST(ROW_NUMBER() OVER (PARTITION BY normalized ORDER BY position) - 1 AS VARCHAR) ELSE '' END AS final_name
 FROM h""",
     "user_lookup": ", " + _users_round("x_users", _login(1), "u1") + """
-, em AS (SELECT ' USER' || CAST(s_suppkey AS VARCHAR) || '@PLANT.EXAMPLE ' AS email FROM supplier WHERE s_suppkey % 3 = 0)
+, em AS (SELECT ' USER' || CAST(s_suppkey AS VARCHAR) || '@PLANT.EXAMPLE ' AS email FROM supplier)
 SELECT em.email, u.id, u.display_name FROM em JOIN u1 u ON lower(trim(em.email)) = u.user_principal_name""",
 }
 

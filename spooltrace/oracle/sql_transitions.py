@@ -27,22 +27,36 @@ FROM x_product_tracking t JOIN cmd c ON c.product_tracking_id = t.id"""
     return tracking, history
 
 
-STAGE_CMD = """SELECT id AS product_tracking_id, 1 + (id // 10) % 14 AS new_stage_id, 'bulk move' AS reason, 1 + id % 10 AS user_id,
-  CASE WHEN id % 20 = 0 THEN 1 + id % 25 END AS location_id FROM x_product_tracking WHERE id % 10 = 0"""
+# several moves a unit: a step starts where the one before it ended
+K1_BASE = """
+, cmd AS (SELECT t.id AS unit, n.seq, 1 + (t.id + 5 * n.seq) % 14 AS to_stage, 'bulk move ' || CAST(n.seq AS VARCHAR) AS reason,
+   1 + (t.id + n.seq) % 10 AS who, CASE WHEN (t.id + n.seq) % 2 = 0 THEN 1 + (t.id + n.seq) % 25 END AS place, t.current_stage_id AS at_first
+   FROM x_product_tracking t JOIN (VALUES (1), (2), (3)) n(seq) ON n.seq <= 1 + t.id % 3),
+walk AS (SELECT *, COALESCE(lag(to_stage) OVER (PARTITION BY unit ORDER BY seq), at_first) AS from_stage,
+   row_number() OVER (PARTITION BY unit ORDER BY seq DESC) AS from_end FROM cmd),
+places AS (SELECT unit, arg_max(place, seq) AS place FROM cmd WHERE place IS NOT NULL GROUP BY unit)
+"""
+K1_TRACK = K1_BASE + f"""
+SELECT t.* REPLACE (w.from_stage AS previous_stage_id, w.to_stage AS current_stage_id, COALESCE(p.place, t.location_id) AS location_id,
+  {AS_OF_SQL} AS last_updated_at)
+FROM x_product_tracking t JOIN walk w ON w.unit = t.id AND w.from_end = 1 LEFT JOIN places p ON p.unit = t.id"""
+K1_HIST = K1_BASE + f"""
+SELECT CAST(row_number() OVER (ORDER BY unit, seq) AS BIGINT) AS id, unit AS product_tracking_id, from_stage AS from_stage_id,
+  to_stage AS to_stage_id, reason, who AS changed_by, {AS_OF_SQL} AS changed_at FROM walk"""
 EXPIRY_CMD = f"""SELECT pt.id AS product_tracking_id, (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Expired') AS new_stage_id,
   'Auto-expired after 1 year' AS reason, CAST(1 AS BIGINT) AS user_id, CAST(NULL AS BIGINT) AS location_id
 FROM x_product_tracking pt JOIN x_product_harvest ph ON pt.harvest_id = ph.id JOIN x_lifecycle_stages ls ON pt.current_stage_id = ls.id
 WHERE ls.stage_code <> 'Expired' AND ph.print_date < {AS_OF_SQL} - INTERVAL 1 YEAR"""
 
-_st_t, _st_h = _stage_change(STAGE_CMD)
 _ex_t, _ex_h = _stage_change(EXPIRY_CMD)
 
 STATUS = f"""
-, cmd AS (SELECT id AS product_tracking_id, ['Pending', 'A-Ware', 'B-Ware', 'In Quarantine', 'Waste'][id % 5 + 1] AS status_name
-   FROM x_product_tracking WHERE id % 9 = 0),
+, cmd AS (SELECT t.id AS unit, n.seq, ['Pending', 'A-Ware', 'B-Ware', 'In Quarantine', 'Waste'][(t.id + n.seq) % 5 + 1] AS status_name
+   FROM x_product_tracking t JOIN (VALUES (1), (2)) n(seq) ON n.seq <= 1 + t.id % 2),
+final AS (SELECT unit, arg_max(status_name, seq) AS status_name FROM cmd GROUP BY unit),
 ids AS (SELECT status_name, min(id) AS sid FROM x_product_statuses GROUP BY status_name)
-SELECT {', '.join('CASE WHEN c.product_tracking_id IS NOT NULL THEN i.sid ELSE t.current_status_id END AS current_status_id' if x == 'current_status_id' else f'CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at' if x == 'last_updated_at' else 't.' + x for x in TRACK_COLS)}
-FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id LEFT JOIN ids i ON i.status_name = c.status_name"""
+SELECT t.* REPLACE (i.sid AS current_status_id, {AS_OF_SQL} AS last_updated_at)
+FROM x_product_tracking t JOIN final f ON f.unit = t.id JOIN ids i ON i.status_name = f.status_name"""
 
 
 STG_COLS = ["product_id", "filament_id", "printer", "operator_harvest", "date_harvest", "product", "storage",
@@ -57,8 +71,8 @@ PROFILE = ("SELECT column_name, null_count, (SELECT CAST(count(*) AS BIGINT) FRO
            + ") z ORDER BY null_count DESC, column_name LIMIT 20")
 
 SQL = {
-    "apply_stage_change": _st_t,
-    "apply_stage_change_history": _st_h,
+    "apply_stage_change": K1_TRACK,
+    "apply_stage_change_history": K1_HIST,
     "apply_status_change": STATUS,
     "apply_expiry": _ex_t,
     "apply_expiry_history": _ex_h,
@@ -83,18 +97,20 @@ def _tracking_select(stage_expr: str, status_expr: str, touched: str) -> str:
 
 
 K3_CMD = """
-, cmd AS (SELECT id AS record_id, ['weight_grams', 'qc_result', 'location_id'][id % 3 + 1] AS field_name,
-   weight_grams, qc_result, location_id, 'inventory correction' AS reason, 1 + id % 10 AS changed_by FROM x_filaments WHERE id % 7 = 0),
-cmd2 AS (SELECT record_id, field_name, reason, changed_by,
-   CASE field_name WHEN 'weight_grams' THEN CAST(weight_grams AS VARCHAR) WHEN 'qc_result' THEN qc_result
-        ELSE CAST(location_id AS VARCHAR) END AS old_value,
-   CASE field_name WHEN 'weight_grams' THEN CASE WHEN record_id % 2 = 0 THEN CAST(weight_grams AS VARCHAR)
-        ELSE CAST(CAST(weight_grams + 5.5 AS DECIMAL(10,2)) AS VARCHAR) END
-        WHEN 'qc_result' THEN CASE WHEN qc_result = 'PASS' THEN 'FAIL' ELSE 'PASS' END
-        ELSE CAST(1 + (record_id + 3) % 25 AS VARCHAR) END AS new_value FROM cmd),
-eff AS (SELECT * FROM cmd2 WHERE NOT (CASE WHEN field_name = 'weight_grams'
+, cmd AS (SELECT f.id AS record_id, e.seq, e.field_name, 1 + f.id % 10 AS changed_by,
+   CASE e.field_name WHEN 'weight_grams' THEN CAST(f.weight_grams AS VARCHAR) WHEN 'qc_result' THEN f.qc_result
+     ELSE CAST(f.location_id AS VARCHAR) END AS at_first,
+   CASE e.seq WHEN 4 THEN CASE WHEN f.qc_result = 'PASS' THEN 'FAIL' ELSE 'PASS' END
+     WHEN 5 THEN CAST(1 + (f.id + 3) % 25 AS VARCHAR)
+     ELSE CAST(CAST(f.weight_grams + 5.5 - CASE WHEN e.seq = 3 THEN f.id % 4 ELSE 0 END AS DECIMAL(10,2)) AS VARCHAR) END AS new_value
+   FROM x_filaments f, (VALUES (1, 'weight_grams'), (2, 'weight_grams'), (3, 'weight_grams'), (4, 'qc_result'), (5, 'location_id'))
+     e(seq, field_name)),
+walk AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN at_first ELSE lag(new_value) OVER w END AS old_value
+   FROM cmd WINDOW w AS (PARTITION BY record_id, field_name ORDER BY seq)),
+steps AS (SELECT *, 'inventory correction' AS reason FROM walk WHERE NOT (CASE WHEN field_name = 'weight_grams'
    THEN round(TRY_CAST(old_value AS DOUBLE), 5) IS NOT DISTINCT FROM round(TRY_CAST(new_value AS DOUBLE), 5)
-   ELSE COALESCE(old_value, 'None') = COALESCE(new_value, 'None') END))
+   ELSE COALESCE(old_value, 'None') = COALESCE(new_value, 'None') END)),
+eff AS (SELECT record_id, field_name, arg_max(new_value, seq) AS new_value FROM steps GROUP BY record_id, field_name)
 """
 
 K3_TARGET = K3_CMD + """
@@ -109,9 +125,9 @@ LEFT JOIN eff eq ON eq.record_id = f.id AND eq.field_name = 'qc_result'
 LEFT JOIN eff el ON el.record_id = f.id AND el.field_name = 'location_id'"""
 
 K3_AUDIT = K3_CMD + f"""
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY record_id, field_name) AS BIGINT) AS id, 'filaments' AS table_name, record_id, field_name,
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id, 'filaments' AS table_name, record_id, field_name,
   COALESCE(old_value, 'None') AS old_value, COALESCE(new_value, 'None') AS new_value, reason, changed_by, {AS_OF_SQL} AS changed_at
-FROM eff"""
+FROM steps"""
 
 
 def _b36(n: str) -> str:
@@ -120,13 +136,14 @@ def _b36(n: str) -> str:
     def dig(x: str) -> str:
         return f"substr({d}, CAST({x} AS INTEGER) + 1, 1)"
     return (f"(CASE WHEN {n} < 36 THEN {dig(n)} WHEN {n} < 1296 THEN {dig(f'{n} // 36')} || {dig(f'{n} % 36')} "
-            f"ELSE {dig(f'{n} // 1296')} || {dig(f'({n} // 36) % 36')} || {dig(f'{n} % 36')} END)")
+            f"WHEN {n} < 46656 THEN {dig(f'{n} // 1296')} || {dig(f'({n} // 36) % 36')} || {dig(f'{n} % 36')} "
+            f"ELSE {dig(f'{n} // 46656')} || {dig(f'({n} // 1296) % 36')} || {dig(f'({n} // 36) % 36')} || {dig(f'{n} % 36')} END)")
 
 
 K4 = f"""
 , cmd AS (SELECT CAST(o_orderkey AS BIGINT) AS command_id, CAST(1 + o_custkey % 10 AS BIGINT) AS requested_by,
    CAST(1 + o_custkey % 7 AS BIGINT) AS sku_id, CAST(1 + o_orderkey % 4 AS INTEGER) AS quantity, o_orderkey % 19 = 0 AS is_tech_transfer,
-   ROW_NUMBER() OVER (ORDER BY o_orderkey) AS batch_number FROM orders WHERE o_orderkey % 50 = 0),
+   ROW_NUMBER() OVER (ORDER BY o_orderkey) AS batch_number FROM orders),
 cmd2 AS (SELECT *, lpad(CAST(year({AS_OF_SQL}) % 100 AS VARCHAR), 2, '0') ||
    CASE WHEN length({_b36('batch_number')}) < 2 THEN lpad({_b36('batch_number')}, 2, '0') ELSE {_b36('batch_number')} END AS lot_number
    FROM cmd),
@@ -169,13 +186,12 @@ SELECT CAST((SELECT max(id) FROM x_product_investigations) + ROW_NUMBER() OVER (
   product_tracking_id, 'Under Investigation' AS status, 'DEV-Q' || CAST(id AS VARCHAR) AS deviation_number,
   'escalated from quarantine' AS comment, quarantined_by AS created_by, {AS_OF_SQL} AS created_at,
   CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS BIGINT) AS resolved_by
-FROM x_quarantined_products WHERE quarantine_status = 'Active' AND product_tracking_id % 3 = 0"""
+FROM x_quarantined_products WHERE quarantine_status = 'Active'"""
 
 K10_CMD = f"""
 , cmd AS (SELECT id AS product_tracking_id, current_stage_id AS from_stage_id, 'Ad-Hoc' AS source, 1 + id % 10 AS quarantined_by,
    'suspect lot ' || CAST(id % 97 AS VARCHAR) AS reason, [1 + id % 19, 1 + id % 19, 1 + id % 5] AS reason_ids
-   FROM x_product_tracking WHERE id % 37 = 0
-     AND id NOT IN (SELECT product_tracking_id FROM x_quarantined_products WHERE quarantine_status = 'Active')),
+   FROM x_product_tracking WHERE id NOT IN (SELECT product_tracking_id FROM x_quarantined_products WHERE quarantine_status = 'Active')),
 newq AS (SELECT CAST((SELECT max(id) FROM x_quarantined_products) + ROW_NUMBER() OVER (ORDER BY product_tracking_id) AS BIGINT) AS id, *
    FROM cmd)
 """
@@ -189,6 +205,21 @@ K10_LINKS = K10_CMD + """
 , links AS (SELECT DISTINCT id AS quarantine_id, unnest(reason_ids) AS reason_id FROM newq)
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY quarantine_id, reason_id) AS BIGINT) AS id, quarantine_id, reason_id FROM links"""
 
+
+
+def _history(base: str, rows: str, stage: str, reason: str, who: str) -> str:
+    """One history row per unit of ``rows`` (product_tracking_id): from the unit's stage to ``stage``."""
+    return base + f"""
+SELECT CAST(row_number() OVER (ORDER BY t.id) AS BIGINT) AS id, t.id AS product_tracking_id, t.current_stage_id AS from_stage_id,
+  {stage} AS to_stage_id, {reason} AS reason, CAST({who} AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at
+FROM x_product_tracking t JOIN {rows} z ON z.product_tracking_id = t.id"""
+
+
+def _stage(code: str) -> str:
+    return f"(SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = '{code}')"
+
+
+K10_HIST = _history(K10_CMD, "cmd", _stage("Quarantine"), "'Ad-Hoc Quarantine: ' || z.reason", "z.quarantined_by")
 K10_TRACK = K10_CMD + f"""
 SELECT {_tracking_select("CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_lifecycle_stages WHERE stage_code = 'Quarantine') ELSE t.current_stage_id END",
                          "CASE WHEN c.product_tracking_id IS NOT NULL THEN (SELECT min(id) FROM x_product_statuses WHERE status_name = 'In Quarantine') ELSE t.current_status_id END",
@@ -222,7 +253,7 @@ SELECT q.id, q.product_tracking_id, q.from_stage_id, q.source, q.location_id, q.
   CASE WHEN c.product_tracking_id IS NOT NULL THEN c.resolved_by ELSE q.resolved_by END AS resolved_by
 FROM x_quarantined_products q LEFT JOIN cmd2 c ON c.product_tracking_id = q.product_tracking_id AND q.quarantine_status = 'Active'"""
 
-K11_TRACK = K11_CMD + f"""
+K11_MOVES = K11_CMD + """
 , moves AS (SELECT c.product_tracking_id, c.resolution, ns.id AS new_stage_id FROM cmd c
    JOIN x_product_tracking t ON t.id = c.product_tracking_id LEFT JOIN x_lifecycle_stages cs ON cs.id = t.current_stage_id
    JOIN (SELECT stage_name, min(id) AS id FROM x_lifecycle_stages GROUP BY stage_name) ns ON ns.stage_name =
@@ -230,8 +261,14 @@ K11_TRACK = K11_CMD + f"""
           WHEN cs.stage_name = 'Harvest QC Complete; Pending Storage' THEN 'QM Approved for Treatment; Pending Treatment'
           WHEN c.resolution = 'B-Ware' AND cs.stage_name = 'Returned / Post-Treatment QC; Pending Storage' THEN 'Internal Use/Client'
           WHEN cs.stage_name = 'Returned / Post-Treatment QC; Pending Storage' THEN 'QM Approved For Sales; Pending Sales'
-          ELSE cs.stage_name END),
-st AS (SELECT c.product_tracking_id, s.id AS sid FROM cmd c JOIN x_product_statuses s ON s.status_name =
+          ELSE cs.stage_name END)
+"""
+
+K11_HIST = _history(K11_MOVES, "(SELECT m.*, c.resolved_by FROM moves m JOIN cmd c ON c.product_tracking_id = m.product_tracking_id)",
+                    "z.new_stage_id", "'QM resolution: ' || z.resolution", "z.resolved_by")
+
+K11_TRACK = K11_MOVES + f"""
+, st AS (SELECT c.product_tracking_id, s.id AS sid FROM cmd c JOIN x_product_statuses s ON s.status_name =
    CASE c.resolution WHEN 'Passed' THEN 'A-Ware' WHEN 'B-Ware' THEN 'B-Ware' WHEN 'Quarantine' THEN 'In Quarantine'
         WHEN 'In Quarantine' THEN 'In Quarantine' WHEN 'Waste' THEN 'Waste' ELSE 'Pending' END)
 SELECT {_tracking_select('CASE WHEN m.product_tracking_id IS NOT NULL THEN m.new_stage_id ELSE t.current_stage_id END',
@@ -249,6 +286,8 @@ SQL.update({
     "apply_quarantine": K10_ROWS,
     "apply_quarantine_reasons": K10_LINKS,
     "apply_quarantine_tracking": K10_TRACK,
+    "apply_quarantine_history": K10_HIST,
+    "apply_quarantine_resolution_history": K11_HIST,
     "apply_quarantine_resolution": K11_INV,
     "apply_quarantine_resolution_quarantine": K11_Q,
     "apply_quarantine_resolution_tracking": K11_TRACK,
@@ -266,7 +305,7 @@ cmd AS (SELECT m.request_id, m.best_mount_id AS filament_mount_id, pr.requested_
    (SELECT min(id) FROM x_lids WHERE qc_result = 'PASS' AND serial_number <> 'LEGACY_LID') AS lid_id,
    (SELECT min(id) FROM x_seals WHERE qc_result = 'PASS' AND serial_number <> 'LEGACY_SEAL') AS seal_id,
    pr.sku_id, pr.lot_number, pr.is_tech_transfer
-   FROM rmc m JOIN x_product_requests pr ON pr.id = m.request_id WHERE m.best_mount_id IS NOT NULL AND m.request_id % 3 = 0),
+   FROM rmc m JOIN x_product_requests pr ON pr.id = m.request_id WHERE m.best_mount_id IS NOT NULL),
 seq0 AS (SELECT q.lot_number AS lot, max(TRY_CAST(substr(t.product_code, length(q.lot_number) + 1) AS BIGINT)) AS mx
    FROM x_product_requests q JOIN x_product_harvest h ON h.request_id = q.id JOIN x_product_tracking t ON t.harvest_id = h.id
    WHERE starts_with(t.product_code, q.lot_number) GROUP BY 1),
@@ -360,7 +399,14 @@ SELECT fm.id, fm.filament_tracking_id, fm.printer_id, fm.mounted_by, fm.mounted_
   fm.status
 FROM x_filament_mounting fm LEFT JOIN pm ON pm.mount_id = fm.id"""
 
+K5_HARVEST = K5_BASE + f"""
+SELECT harvest_id AS id, request_id, lid_id, seal_id, filament_mount_id AS filament_mounting_id, printed_by, {AS_OF_SQL} AS print_date
+FROM units"""
+
+K6_HIST = _history(K6_BASE, "cmd", _stage("HarvestQCComplete"), "'Harvest QC Complete'", "z.inspected_by")
+
 SQL.update({
+    "apply_harvest_records": K5_HARVEST, "apply_qc_history": K6_HIST,
     "apply_harvest": K5_TRACK, "apply_harvest_usage": K5_USAGE, "apply_harvest_requests": K5_REQ, "next_seq_for_lot": C7,
     "apply_qc": K6_QC, "apply_qc_reasons": K6_REASONS, "apply_qc_usage": K6_USAGE, "apply_qc_tracking": K6_TRACK,
     "apply_qc_quarantine": K6_QUAR, "apply_qc_mounts": K6_MOUNTS,
@@ -435,31 +481,39 @@ FROM x_treatment_batches b"""
 
 K14_BASE = f"""
 , opts AS ({_G['shelf_options']}),
-asg AS (SELECT id AS product_tracking_id, min(location_id) AS location_id FROM opts GROUP BY id),
-asg2 AS (SELECT a.product_tracking_id, a.location_id, min(o.next_stage_code) AS stage_code FROM asg a
-   JOIN opts o ON o.id = a.product_tracking_id AND o.location_id = a.location_id GROUP BY a.product_tracking_id, a.location_id),
-cmd AS (SELECT a.*, s.id AS new_stage_id, CASE a.stage_code WHEN 'Quarantine' THEN 'Moved to Quarantine' WHEN 'Disposed' THEN 'Disposed'
-   ELSE 'Storage assignment' END AS reason FROM asg2 a JOIN x_lifecycle_stages s ON s.stage_code = a.stage_code)
+ranked AS (SELECT id, location_id, next_stage_code, row_number() OVER (PARTITION BY id ORDER BY location_id, next_stage_code) AS first_rank,
+   row_number() OVER (PARTITION BY id ORDER BY location_id DESC, next_stage_code DESC) AS last_rank
+   FROM (SELECT DISTINCT id, location_id, next_stage_code FROM opts)),
+held AS (SELECT DISTINCT product_tracking_id AS unit FROM x_quarantined_products WHERE quarantine_status = 'Active'
+   AND product_tracking_id NOT IN (SELECT id FROM opts)),
+asg AS (SELECT id AS unit, 1 AS seq, location_id, next_stage_code AS stage_code FROM ranked WHERE first_rank = 1
+   UNION ALL SELECT id, 2, location_id, next_stage_code FROM ranked WHERE last_rank = 1 AND first_rank > 1
+   UNION ALL SELECT unit, 1, 1 + unit % 25, 'Quarantine' FROM held),
+cmd AS (SELECT a.*, s.id AS to_stage, CASE a.stage_code WHEN 'Quarantine' THEN 'Moved to Quarantine' WHEN 'Disposed' THEN 'Disposed'
+   ELSE 'Storage assignment' END AS reason FROM asg a JOIN x_lifecycle_stages s ON s.stage_code = a.stage_code),
+walk AS (SELECT c.*, COALESCE(lag(c.to_stage) OVER (PARTITION BY c.unit ORDER BY c.seq), t.current_stage_id) AS from_stage,
+   row_number() OVER (PARTITION BY c.unit ORDER BY c.seq DESC) AS from_end FROM cmd c JOIN x_product_tracking t ON t.id = c.unit)
 """
 
 K14_TRACK = K14_BASE + f"""
-SELECT {', '.join(
-    "CASE WHEN c.product_tracking_id IS NOT NULL THEN t.current_stage_id ELSE t.previous_stage_id END AS previous_stage_id" if x == 'previous_stage_id' else
-    "CASE WHEN c.product_tracking_id IS NOT NULL THEN c.new_stage_id ELSE t.current_stage_id END AS current_stage_id" if x == 'current_stage_id' else
-    "CASE WHEN c.product_tracking_id IS NOT NULL AND c.location_id IS NOT NULL THEN c.location_id ELSE t.location_id END AS location_id" if x == 'location_id' else
-    f"CASE WHEN c.product_tracking_id IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at" if x == 'last_updated_at' else
-    't.' + x for x in TRACK_COLS)}
-FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
+SELECT t.* REPLACE (COALESCE(w.from_stage, t.previous_stage_id) AS previous_stage_id, COALESCE(w.to_stage, t.current_stage_id) AS current_stage_id,
+  COALESCE(w.location_id, t.location_id) AS location_id,
+  CASE WHEN w.unit IS NOT NULL THEN {AS_OF_SQL} ELSE t.last_updated_at END AS last_updated_at)
+FROM x_product_tracking t LEFT JOIN walk w ON w.unit = t.id AND w.from_end = 1"""
 
 K14_HIST = K14_BASE + f"""
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY t.id) AS BIGINT) AS id, t.id AS product_tracking_id, t.current_stage_id AS from_stage_id,
-  c.new_stage_id AS to_stage_id, c.reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at
-FROM x_product_tracking t JOIN cmd c ON c.product_tracking_id = t.id"""
+SELECT CAST(row_number() OVER (ORDER BY unit, seq) AS BIGINT) AS id, unit AS product_tracking_id, from_stage AS from_stage_id,
+  to_stage AS to_stage_id, reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM walk"""
+
+K14_QUAR = K14_BASE + """
+, sent AS (SELECT unit, arg_max(location_id, seq) AS place FROM asg WHERE stage_code = 'Quarantine' GROUP BY unit)
+SELECT q.* REPLACE (CASE WHEN q.quarantine_status = 'Active' THEN COALESCE(s.place, q.location_id) ELSE q.location_id END AS location_id)
+FROM x_quarantined_products q LEFT JOIN sent s ON s.unit = q.product_tracking_id"""
 
 K18_BASE = """
 , cmd AS (SELECT id AS shipment_id, 'shipped' AS action, CASE WHEN id % 2 = 0 THEN 'UPS' ELSE 'DHL' END AS carrier,
    'TRK' || CAST(id AS VARCHAR) AS tracking_number FROM x_shipments WHERE status = 'Pending'
-   UNION ALL SELECT id, 'delivered', NULL, NULL FROM x_shipments WHERE status = 'Shipped' AND id % 2 = 0),
+   UNION ALL SELECT id, 'delivered', NULL, NULL FROM x_shipments WHERE status = 'Shipped'),
 units AS (SELECT si.product_tracking_id FROM x_shipment_unit_items si JOIN cmd c ON c.shipment_id = si.shipment_id AND c.action = 'shipped')
 """
 
@@ -486,7 +540,15 @@ SQL.update({
     "apply_treatment_batch": K8_BATCHES, "apply_treatment_batch_links": K8_LINKS, "apply_treatment_batch_tracking": K8_TRACK,
     "apply_post_treatment_qc": K9_INS, "apply_post_treatment_qc_tracking": K9_TRACK,
     "apply_post_treatment_qc_quarantine": K9_QUAR, "apply_post_treatment_qc_batches": K9_BATCHES,
-    "apply_storage": K14_TRACK, "apply_storage_history": K14_HIST,
+    "apply_storage": K14_TRACK, "apply_storage_history": K14_HIST, "apply_storage_quarantine": K14_QUAR,
+    "apply_treatment_batch_history": _history(K8_BASE, "cmd", _stage("InTreatment"), "'Sent for Treatment (batch creation)'", "1"),
+    "apply_post_treatment_qc_history": _history(K9_BASE, "cmd", _stage("PostTreatmentQC"), "'Post-Treatment QC Complete'", "1"),
+    "apply_post_treatment_qc_reasons": K9_BASE + """
+, ins AS (SELECT (SELECT max(id) FROM x_post_treatment_inspections) + row_number() OVER (ORDER BY product_tracking_id) AS inspection_id,
+   1 + product_tracking_id % 19 AS reason_id FROM cmd)
+SELECT CAST(row_number() OVER (ORDER BY inspection_id, reason_id) AS BIGINT) AS id, CAST(inspection_id AS BIGINT) AS inspection_id, reason_id
+FROM ins""",
+    "apply_shipment_status_history": _history(K18_BASE, "units", _stage("Shipped"), "'Shipment sent'", "1"),
     "apply_shipment_status": K18_SHIP, "apply_shipment_status_tracking": K18_TRACK,
 })
 
@@ -512,7 +574,7 @@ haudit AS (SELECT CAST({_AUDIT_START} + ROW_NUMBER() OVER (ORDER BY record_id, f
 
 
 CANCEL_CMD = ("SELECT id AS order_id, 1 + customer_id % 10 AS user_id, 'customer request' AS notes FROM x_orders "
-              "WHERE status = 'Processing' AND id % 10 = 2")
+              "WHERE status = 'Processing'")
 
 K16_CANCEL = f"""
 , cmd AS ({CANCEL_CMD})
@@ -526,7 +588,7 @@ FROM x_orders o LEFT JOIN cmd c ON c.order_id = o.id"""
 K16_CANCEL_AUDIT = _header_audit_sql(CANCEL_CMD, "Canceled", "Order request canceled") + " SELECT * FROM haudit"
 
 K16_DIFF_BASE = """
-, o AS (SELECT id FROM x_orders WHERE status = 'Processing' AND id % 10 = 1),
+, o AS (SELECT id FROM x_orders WHERE status = 'Processing'),
 d AS (SELECT i.order_id, i.product_sku_id, CAST(i.quantity + CASE WHEN i.product_sku_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS quantity
    FROM x_order_items i JOIN o ON o.id = i.order_id WHERE i.product_sku_id NOT IN (3, 7)
    UNION ALL SELECT id, CAST(7 AS BIGINT), CAST(2 AS BIGINT) FROM o),
@@ -557,7 +619,7 @@ SELECT CAST({_AUDIT_START} + ROW_NUMBER() OVER (ORDER BY record_id, field_name,
   record_id, field_name, old_value, new_value, reason, CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM a"""
 
 K16_RECREATE_BASE = f"""
-, src AS (SELECT order_id FROM ({_H.CANCELED}) h WHERE order_id % 4 = 0),
+, src AS (SELECT order_id FROM ({_H.CANCELED}) h),
 heads AS (SELECT CAST((SELECT max(id) FROM x_orders) + ROW_NUMBER() OVER (ORDER BY o.id) AS BIGINT) AS id, o.id AS parent_order_id,
    o.customer_id, o.notes AS old_notes FROM x_orders o JOIN src ON src.order_id = o.id)
 """
@@ -603,7 +665,21 @@ SELECT CAST(COALESCE((SELECT max(id) FROM x_shipment_sku_items), 0) + ROW_NUMBER
 K17_AUDIT = K17_BASE + _header_audit_sql("SELECT order_id, 1 AS user_id FROM heads", "Completed", "Shipment created") + \
     " SELECT * FROM haudit"
 
+_K17_ALLOC = "(SELECT a.product_id AS product_tracking_id FROM alloc a JOIN heads h ON h.order_id = a.order_id)"
+K17_TRACK = K17_BASE + f"""
+SELECT t.* REPLACE (CASE WHEN z.product_tracking_id IS NULL THEN t.previous_stage_id ELSE t.current_stage_id END AS previous_stage_id,
+  CASE WHEN z.product_tracking_id IS NULL THEN t.current_stage_id ELSE {_stage('PendingShipment')} END AS current_stage_id,
+  CASE WHEN z.product_tracking_id IS NULL THEN t.last_updated_at ELSE {AS_OF_SQL} END AS last_updated_at)
+FROM x_product_tracking t LEFT JOIN {_K17_ALLOC} z ON z.product_tracking_id = t.id"""
+K17_ORDERS = K17_BASE + f"""
+SELECT o.* REPLACE (CASE WHEN h.order_id IS NULL THEN o.status ELSE 'Completed' END AS status,
+  CASE WHEN h.order_id IS NULL THEN o.updated_at ELSE {AS_OF_SQL} END AS updated_at,
+  CASE WHEN h.order_id IS NULL THEN o.updated_by ELSE 1 END AS updated_by)
+FROM x_orders o LEFT JOIN heads h ON h.order_id = o.id"""
+
 SQL.update({
+    "apply_shipment_tracking": K17_TRACK, "apply_shipment_orders": K17_ORDERS,
+    "apply_shipment_history": _history(K17_BASE, _K17_ALLOC, _stage("PendingShipment"), "'Marked for Shipment'", "1"),
     "apply_order_cancel": K16_CANCEL, "apply_order_cancel_audit": K16_CANCEL_AUDIT,
     "apply_order_line_diff": K16_DIFF, "apply_order_line_diff_audit": K16_DIFF_AUDIT,
     "apply_recreate_orders": K16_RECREATE, "apply_recreate_order_items": K16_RECREATE_ITEMS,
@@ -613,7 +689,7 @@ SQL.update({
 
 _M2 = _M["mountable_filaments"]
 K19_MOUNT = f"""
-, m AS (SELECT id, max(weight_grams) AS weight_grams FROM ({_M2}) x WHERE id % 5 = 0 GROUP BY id)
+, m AS (SELECT id, max(weight_grams) AS weight_grams FROM ({_M2}) x GROUP BY id)
 SELECT CAST((SELECT max(id) FROM x_filament_mounting) + ROW_NUMBER() OVER (ORDER BY id, 1 + id % 7) AS BIGINT) AS id,
   id AS filament_tracking_id, 1 + id % 7 AS printer_id, 1 + id % 10 AS mounted_by, {AS_OF_SQL} AS mounted_at,
   CAST(NULL AS TIMESTAMP) AS unmounted_at, CAST(NULL AS BIGINT) AS unmounted_by, CAST(weight_grams AS DECIMAL(10,2)) AS remaining_weight,
@@ -621,13 +697,13 @@ SELECT CAST((SELECT max(id) FROM x_filament_mounting) + ROW_NUMBER() OVER (ORDER
 
 K19_UNMOUNT = f"""
 SELECT id, filament_tracking_id, printer_id, mounted_by, mounted_at,
-  CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN {AS_OF_SQL} ELSE unmounted_at END AS unmounted_at,
-  CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN 1 + id % 10 ELSE unmounted_by END AS unmounted_by,
-  remaining_weight, CASE WHEN unmounted_at IS NULL AND id % 4 = 1 THEN 'Unmounted' ELSE status END AS status
+  CASE WHEN unmounted_at IS NULL THEN {AS_OF_SQL} ELSE unmounted_at END AS unmounted_at,
+  CASE WHEN unmounted_at IS NULL THEN 1 + id % 10 ELSE unmounted_by END AS unmounted_by,
+  remaining_weight, CASE WHEN unmounted_at IS NULL THEN 'Unmounted' ELSE status END AS status
 FROM x_filament_mounting"""
 
 K19_W_BASE = """
-, cmd AS (SELECT id AS filament_pk, CAST((id * 7) % 1000 + 0.5 AS DECIMAL(10,2)) AS new_weight FROM x_filaments WHERE id % 9 = 0),
+, cmd AS (SELECT id AS filament_pk, CAST((id * 7) % 1000 + 0.5 AS DECIMAL(10,2)) AS new_weight FROM x_filaments),
 r AS (SELECT c.*, fm.id AS mid, fm.remaining_weight AS rw, f.weight_grams AS w FROM cmd c
    LEFT JOIN x_filament_mounting fm ON fm.filament_tracking_id = c.filament_pk AND fm.status = 'In Use'
    LEFT JOIN x_filaments f ON f.id = c.filament_pk),
@@ -692,10 +768,9 @@ def _initials_sql(x: str) -> str:
 
 
 def _login(round_no: int) -> str:
-    cond = "WHERE s_suppkey % 2 = 0" if round_no == 2 else ""
     name = "'Anna Maria ' || s_name" if round_no == 2 else "s_name"
     return (f"SELECT 'oid-' || CAST(s_suppkey AS VARCHAR) AS oid, 'user' || CAST(s_suppkey AS VARCHAR) || '@plant.example' AS upn, "
-            f"CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE {name} END AS display_name FROM supplier {cond}")
+            f"CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE {name} END AS display_name FROM supplier")
 
 
 def _users_round(prev: str, login: str, name: str) -> str:
@@ -730,7 +805,7 @@ UNION ALL SELECT serial_number, 'repeated' FROM dup"""
 K23_CUST_BASE = """
 , n AS (SELECT trim(' Account ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR)) AS customer_name
    FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
-   UNION ALL SELECT trim(c_name) FROM customer WHERE c_custkey % 97 = 0),
+   UNION ALL SELECT trim(c_name) FROM customer),
 n2 AS (SELECT * FROM n WHERE customer_name <> ''),
 dup AS (SELECT customer_name FROM n2 GROUP BY customer_name HAVING count(*) > 1)
 """
@@ -752,8 +827,8 @@ SQL.update({
 K7_BASE = f"""
 , ed AS (SELECT id AS qc_id, product_tracking_id, 'inspection_result' AS field_name, inspection_result AS old_value,
    CASE inspection_result WHEN 'Passed' THEN 'B-Ware' WHEN 'B-Ware' THEN 'Quarantine' WHEN 'Quarantine' THEN 'Waste'
-     WHEN 'Waste' THEN 'Passed' END AS new_value FROM x_product_quality_control WHERE id % 13 = 0
-   UNION ALL SELECT id, product_tracking_id, 'notes', notes, 'rechecked' FROM x_product_quality_control WHERE id % 13 = 1),
+     WHEN 'Waste' THEN 'Passed' END AS new_value FROM x_product_quality_control
+   UNION ALL SELECT id, product_tracking_id, 'notes', notes, 'rechecked' FROM x_product_quality_control),
 ed2 AS (SELECT *, 'QC correction' AS reason, 1 + qc_id % 10 AS user_id FROM ed),
 eff AS (SELECT * FROM ed2 WHERE COALESCE(old_value, 'None') <> COALESCE(new_value, 'None')),
 hits AS (SELECT product_tracking_id, new_value AS result, reason, user_id FROM eff WHERE field_name = 'inspection_result'),
@@ -824,6 +899,7 @@ SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY reco
 
 SQL.update({
     "apply_qc_edit": K7_QC, "apply_qc_edit_audit": K7_AUDIT, "apply_qc_edit_tracking": K7_TRACK,
+    "apply_qc_edit_history": _history(K7_BASE, "q", _stage("Quarantine"), "'QC edit: moved to Quarantine'", "z.user_id"),
     "apply_qc_edit_quarantine": K7_QUAR, "apply_print_specs": K20_SPECS, "apply_print_specs_audit": K20_AUDIT,
 })
 
@@ -843,7 +919,7 @@ CMD_REPORT = _K6_CMD.replace("cmd AS (", "qcmd AS (").replace("FROM cmd", "FROM
    JOIN x_product_tracking pt ON tbp.product_tracking_id = pt.id LEFT JOIN x_product_statuses st ON pt.current_status_id = st.id),
 names AS (SELECT trim(' Account ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR)) AS name
    FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
-   UNION ALL SELECT trim(c_name) FROM customer WHERE c_custkey % 97 = 0),
+   UNION ALL SELECT trim(c_name) FROM customer),
 ncount AS (SELECT name, count(*) AS n FROM names GROUP BY name)
 SELECT 'harvest_qc' AS command, CAST(product_tracking_id AS VARCHAR) AS command_key, 'weight and pressure are required' AS problem
 FROM qcmd WHERE COALESCE(weight_grams, 0) = 0 OR COALESCE(pressure_drop, 0) = 0
@@ -881,7 +957,8 @@ UNION ALL SELECT CAST((SELECT max(id) FROM x_group_area_rights) + ROW_NUMBER() O
 WHERE NOT EXISTS (SELECT 1 FROM x_group_area_rights g WHERE g.group_oid = s.group_oid AND g.area_id = s.area_id)"""
 
 UNDO_BASE = """
-, cmd AS (SELECT id AS harvest_id, request_id FROM x_product_harvest WHERE id % 97 = 0),
+, cmd AS (SELECT id AS harvest_id, request_id FROM x_product_harvest
+   WHERE id IN (SELECT harvest_id FROM x_product_tracking WHERE current_stage_id = 1)),
 ch AS (SELECT r.id AS record_id, r.status AS old_value FROM x_product_requests r JOIN cmd c ON c.request_id = r.id
    WHERE COALESCE(r.status, 'None') <> 'Pending')
 """
@@ -896,7 +973,7 @@ UNDO_TRACK = UNDO_BASE + " SELECT * FROM x_product_tracking WHERE harvest_id NOT
 
 RM_BASE = """
 , cmd AS (SELECT tbp.id AS batch_product_id, tbp.product_tracking_id FROM x_treatment_batch_products tbp
-   JOIN x_treatment_batches tb ON tb.id = tbp.batch_id AND tb.status = 'Shipped' WHERE tbp.id % 11 = 0)
+   JOIN x_treatment_batches tb ON tb.id = tbp.batch_id AND tb.status = 'Shipped')
 """
 RM_LINKS = RM_BASE + " SELECT * FROM x_treatment_batch_products WHERE id NOT IN (SELECT batch_product_id FROM cmd)"
 RM_AUDIT = RM_BASE + f"""
@@ -910,25 +987,25 @@ FROM x_product_tracking t LEFT JOIN cmd c ON c.product_tracking_id = t.id"""
 
 _M1 = _M["filaments_in_storage"]
 ACCL = f"""
-, cmd AS (SELECT DISTINCT id AS filament_tracking_id FROM ({_M1}) x WHERE id % 3 = 0)
+, cmd AS (SELECT DISTINCT id AS filament_tracking_id FROM ({_M1}) x)
 SELECT CAST((SELECT max(id) FROM x_filament_acclimatization) + ROW_NUMBER() OVER (ORDER BY filament_tracking_id) AS BIGINT) AS id,
   filament_tracking_id, CAST(1 AS BIGINT) AS moved_by, {AS_OF_SQL} AS moved_at, {AS_OF_SQL} + INTERVAL 2 DAY AS ready_at,
   'Acclimatizing' AS status FROM cmd"""
 
 DEL_ACCL = f"""
 , ch AS (SELECT id AS record_id, 'status' AS field_name, COALESCE(status, 'None') AS old_value, 0 AS seq
-   FROM x_filament_acclimatization WHERE id % 7 = 0
-   UNION ALL SELECT id, 'moved_at', COALESCE(strftime(moved_at, '%Y-%m-%d %H:%M:%S'), 'None'), 1 FROM x_filament_acclimatization WHERE id % 7 = 0
-   UNION ALL SELECT id, 'moved_by', COALESCE(CAST(moved_by AS VARCHAR), 'None'), 2 FROM x_filament_acclimatization WHERE id % 7 = 0)
+   FROM x_filament_acclimatization WHERE status = 'Acclimatizing'
+   UNION ALL SELECT id, 'moved_at', COALESCE(strftime(moved_at, '%Y-%m-%d %H:%M:%S'), 'None'), 1 FROM x_filament_acclimatization WHERE status = 'Acclimatizing'
+   UNION ALL SELECT id, 'moved_by', COALESCE(CAST(moved_by AS VARCHAR), 'None'), 2 FROM x_filament_acclimatization WHERE status = 'Acclimatizing')
 SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id, field_name, seq) AS BIGINT) AS id,
   'filament_acclimatization' AS table_name, record_id, field_name, old_value, 'DELETED' AS new_value, 'entered twice' AS reason,
   CAST(1 AS BIGINT) AS changed_by, {AS_OF_SQL} AS changed_at FROM ch WHERE old_value <> 'DELETED'"""
 
 RESTORE_BASE = """
 , ch AS (SELECT id AS record_id, 'unmounted_at' AS field_name, strftime(unmounted_at, '%Y-%m-%d %H:%M:%S') AS old_value,
-   CAST(NULL AS VARCHAR) AS new_value, 0 AS seq FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1
-   UNION ALL SELECT id, 'unmounted_by', CAST(unmounted_by AS VARCHAR), NULL, 1 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1
-   UNION ALL SELECT id, 'status', status, 'In Use', 2 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL AND id % 5 = 1),
+   CAST(NULL AS VARCHAR) AS new_value, 0 AS seq FROM x_filament_mounting WHERE unmounted_at IS NOT NULL
+   UNION ALL SELECT id, 'unmounted_by', CAST(unmounted_by AS VARCHAR), NULL, 1 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL
+   UNION ALL SELECT id, 'status', status, 'In Use', 2 FROM x_filament_mounting WHERE unmounted_at IS NOT NULL),
 eff AS (SELECT * FROM ch WHERE COALESCE(old_value, 'None') <> COALESCE(new_value, 'None'))
 """
 RESTORE = RESTORE_BASE + """
@@ -946,6 +1023,9 @@ SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY reco
 
 SQL.update({
     "apply_harvest_undo": UNDO_REQ, "apply_harvest_undo_audit": UNDO_AUDIT, "apply_harvest_undo_tracking": UNDO_TRACK,
+    "apply_harvest_undo_records": UNDO_BASE + " SELECT * FROM x_product_harvest WHERE id NOT IN (SELECT harvest_id FROM cmd)",
+    "apply_remove_from_batch_history": _history(RM_BASE, "cmd", _stage("QMTreatmentApproval"), "'Removed from treatment batch'", "1"),
+    "apply_delete_acclimatization_table": "SELECT * FROM x_filament_acclimatization WHERE status IS DISTINCT FROM 'Acclimatizing'",
     "apply_remove_from_batch": RM_LINKS, "apply_remove_from_batch_tracking": RM_TRACK,
     "apply_remove_from_batch_audit": RM_AUDIT, "apply_acclimatize": ACCL, "apply_delete_acclimatization": DEL_ACCL,
     "apply_restore_mount": RESTORE, "apply_restore_mount_audit": RESTORE_AUDIT,

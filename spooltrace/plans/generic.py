@@ -119,7 +119,7 @@ def user_lookup(db) -> DataFrame:
     """Sign-in e-mails (trimmed, lower-cased) looked up by principal name among users after the sign-ins."""
     from spooltrace.plans import transitions as K
     users = K.apply_users(db, db.users, K.login_commands(db, 1))
-    emails = db.src("supplier").where("s_suppkey % 3 = 0").select(
+    emails = db.src("supplier").select(
         F.concat(F.lit(" USER"), c("s_suppkey").cast("string"), F.lit("@PLANT.EXAMPLE ")).alias("email"))
     key = F.lower(F.trim(c("email")))
     return (emails.join(users.select("id", "display_name", "user_principal_name"), key == c("user_principal_name"))

@@ -3,52 +3,89 @@
 A transition takes the current tables plus a *command table* (one row per
 requested change) and returns new versions of the touched tables and the
 appended history rows, all computed from one input snapshot. ``as_of``
-replaces the clock. Command keys must be unique per unit (checked).
+replaces the clock. A command table with a column ``seq`` may hold several
+commands for one unit: they apply in that order, each from what the one before
+left, with a history row per step. Without it a unit may appear once (checked).
+
+The outputs are made when they are read (``Outputs``): reading one table numbers
+and writes nothing for the others. Checks of the commands run at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
 from spooltrace.operators import merge as C
+from spooltrace.operators.outputs import Outputs, once
+from spooltrace.operators.ranking import row_number_within
 
 c = F.col
 
 HISTORY_COLUMNS = ["id", "product_tracking_id", "from_stage_id", "to_stage_id", "reason", "changed_by", "changed_at"]
 
 
-def apply_stage_change(tracking: DataFrame, commands: DataFrame, as_of: str,
-                       history_start: int = 1) -> dict[str, DataFrame]:
-    """K1: commands (product_tracking_id, new_stage_id, reason, user_id, location_id?) ->
-    tracking with previous := current, current := new, optional new location, ``last_updated_at``
-    := as_of; plus one history row (from, to, reason, by, at) per changed unit."""
-    C.check_unique(commands, ["product_tracking_id"])
-    cmd = commands.select(c("product_tracking_id").alias("_cid"), c("new_stage_id").alias("_new"),
-                          c("reason").alias("_reason"), c("user_id").alias("_user"),
-                          (c("location_id") if "location_id" in commands.columns else F.lit(None).cast("long"))
-                          .alias("_loc"))
-    j = tracking.join(cmd, tracking.id == cmd._cid, "left")
-    hit = c("_cid").isNotNull()
-    cols = []
-    for x in tracking.columns:
-        if x == "previous_stage_id":
-            cols.append(F.when(hit, c("current_stage_id")).otherwise(c(x)).alias(x))
-        elif x == "current_stage_id":
-            cols.append(F.when(hit, c("_new")).otherwise(c(x)).alias(x))
-        elif x == "location_id":
-            cols.append(F.when(hit & c("_loc").isNotNull(), c("_loc")).otherwise(c(x)).alias(x))
-        elif x == "last_updated_at":
-            cols.append(F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(c(x)).alias(x))
-        else:
-            cols.append(c(x))
-    new_tracking = j.select(*cols)
-    hist = j.where(hit).select(c("id").alias("product_tracking_id"), c("current_stage_id").alias("from_stage_id"),
-                               c("_new").alias("to_stage_id"), c("_reason").alias("reason"),
-                               c("_user").alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
-    hist = C.assign_ids(hist, ["product_tracking_id"], history_start, "id").select(*HISTORY_COLUMNS)
-    return {"product_tracking": new_tracking, "product_status_history": hist}
+def check_commands(commands: DataFrame, key: str) -> bool:
+    """Whether the commands are ordered (``seq``); their (key, seq), else their key, must be unique."""
+    ordered = "seq" in commands.columns
+    C.check_unique(commands, [key, "seq"] if ordered else [key])
+    return ordered
+
+
+def ordered_steps(commands: DataFrame, key: str, value: str) -> DataFrame:
+    """The commands with ``step`` (1, 2, ... within ``key`` by ``seq``) and ``_before``, the previous step's ``value``.
+
+    Numbering is range-partitioned and the previous step is met by an equi-join on (key, step), so that a key
+    holding a large part of all commands is spread over many tasks.
+    """
+    steps = row_number_within(commands, [key], ["seq"], col="step")
+    before = steps.select(c(key).alias("_bk"), (c("step") + 1).alias("_bs"), c(value).alias("_before"))
+    return steps.join(before, (c(key) == c("_bk")) & (c("step") == c("_bs")), "left").drop("_bk", "_bs")
+
+
+def last_command(commands: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of each key's last command by ``seq``: an aggregate, so a hot key collapses map-side."""
+    return commands.groupBy(key).agg(F.max_by(F.struct(value), c("seq")).alias("_v")).select(key, c(f"_v.{value}").alias(value))
+
+
+def apply_stage_change(tracking: DataFrame, commands: DataFrame, as_of: str, history_start: int = 1) -> Outputs:
+    """K1: commands (product_tracking_id, new_stage_id, reason, user_id, location_id?, seq?) ->
+    tracking with previous := the stage before the last step, current := the last step's stage, the last given
+    location, ``last_updated_at`` := as_of; plus one history row (from, to, reason, by, at) per step."""
+    if "location_id" not in commands.columns:
+        commands = commands.withColumn("location_id", F.lit(None).cast("long"))
+    now = F.lit(as_of).cast("timestamp_ntz")
+    key = "product_tracking_id"
+    if check_commands(commands, key):
+        steps = once(lambda: ordered_steps(commands, key, "new_stage_id"))
+    else:
+        steps = once(lambda: commands.withColumn("step", F.lit(1)).withColumn("_before", F.lit(None).cast("long")))
+
+    def new_tracking() -> DataFrame:
+        last = steps().groupBy(c(key).alias("_cid")).agg(
+            F.max_by(F.struct(c("new_stage_id").alias("new"), c("_before").alias("before"), "step"), c("step")).alias("_last"),
+            F.max_by(c("location_id"), F.when(c("location_id").isNotNull(), c("step"))).alias("_loc"))
+        hit = c("_cid").isNotNull()
+        before = F.when(c("_last.step") > 1, c("_last.before")).otherwise(c("current_stage_id"))
+        new = {"previous_stage_id": F.when(hit, before).otherwise(c("previous_stage_id")),
+               "current_stage_id": F.when(hit, c("_last.new")).otherwise(c("current_stage_id")),
+               "location_id": F.coalesce(c("_loc"), c("location_id")),
+               "last_updated_at": F.when(hit, now).otherwise(c("last_updated_at"))}
+        return tracking.join(last, tracking.id == c("_cid"), "left").select(
+            *[new.get(x, c(x)).alias(x) for x in tracking.columns])
+
+    def history() -> DataFrame:
+        start = tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("_start"))
+        rows = (steps().join(start, c(key) == c("_tid"))
+                .select(key, F.when(c("step") > 1, c("_before")).otherwise(c("_start")).alias("from_stage_id"),
+                        c("new_stage_id").alias("to_stage_id"), "reason", c("user_id").alias("changed_by"),
+                        now.alias("changed_at"), "step"))
+        return C.assign_ids(rows, [key, "step"], history_start, "id").select(*HISTORY_COLUMNS)
+
+    return Outputs(product_tracking=new_tracking, product_status_history=history)
 
 
 class UnknownStatus(ValueError):
@@ -56,14 +93,15 @@ class UnknownStatus(ValueError):
 
 
 def apply_status_change(tracking: DataFrame, statuses: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
-    """K2: commands (product_tracking_id, status_name) -> tracking with the named status; an unknown
-    status name is an error (checked before anything is written)."""
-    C.check_unique(commands, ["product_tracking_id"])
+    """K2: commands (product_tracking_id, status_name, seq?) -> tracking with the named status, the last one by
+    ``seq``; an unknown status name is an error (checked before anything is written)."""
+    ordered = check_commands(commands, "product_tracking_id")
     ids = statuses.groupBy("status_name").agg(F.min("id").alias("_sid"))
     bad = commands.join(ids, "status_name", "left_anti").limit(1).collect()
     if bad:
         raise UnknownStatus(f"Status '{bad[0]['status_name']}' not found in product_statuses table.")
-    cmd = commands.join(F.broadcast(ids), "status_name").select(c("product_tracking_id").alias("_cid"), "_sid")
+    final = last_command(commands, "product_tracking_id", "status_name") if ordered else commands
+    cmd = final.join(F.broadcast(ids), "status_name").select(c("product_tracking_id").alias("_cid"), "_sid")
     j = tracking.join(cmd, tracking.id == cmd._cid, "left")
     hit = c("_cid").isNotNull()
     return j.select(*[
@@ -72,7 +110,7 @@ def apply_status_change(tracking: DataFrame, statuses: DataFrame, commands: Data
         for x in tracking.columns])
 
 
-def apply_expiry(db, as_of: str, user_id: int = 1) -> dict[str, DataFrame]:
+def apply_expiry(db, as_of: str, user_id: int = 1) -> Outputs:
     """Every unit printed more than a year before ``as_of`` and not yet Expired moves to Expired
     with a history row 'Auto-expired after 1 year'."""
     t = F.lit(as_of).cast("timestamp_ntz")
@@ -90,21 +128,25 @@ def apply_expiry(db, as_of: str, user_id: int = 1) -> dict[str, DataFrame]:
 
 
 def stage_commands(db) -> DataFrame:
-    """Command table for K1: every tenth unit moves to a stage chosen from its id."""
-    return db.product_tracking.where(c("id") % 10 == 0).select(
-        c("id").alias("product_tracking_id"), (F.lit(1) + (c("id") / 10).cast("long") % 14).alias("new_stage_id"),
-        F.lit("bulk move").alias("reason"), (F.lit(1) + c("id") % 10).alias("user_id"),
-        F.when(c("id") % 20 == 0, F.lit(1) + c("id") % 25).alias("location_id"))
+    """Command table for K1: every unit moves one to three times, to stages and locations chosen from its id."""
+    seq = F.explode(F.sequence(F.lit(1), (F.lit(1) + c("id") % 3).cast("int"))).alias("seq")
+    u = db.product_tracking.select("id", seq)
+    return u.select(
+        c("id").alias("product_tracking_id"), "seq", (F.lit(1) + (c("id") + 5 * c("seq")) % 14).alias("new_stage_id"),
+        F.concat(F.lit("bulk move "), c("seq").cast("string")).alias("reason"),
+        (F.lit(1) + (c("id") + c("seq")) % 10).alias("user_id"),
+        F.when((c("id") + c("seq")) % 2 == 0, F.lit(1) + (c("id") + c("seq")) % 25).alias("location_id"))
 
 
 STATUS_CHOICES = ["Pending", "A-Ware", "B-Ware", "In Quarantine", "Waste"]
 
 
 def status_commands(db) -> DataFrame:
-    """Command table for K2: every ninth unit gets a status chosen from its id."""
+    """Command table for K2: every unit gets one or two statuses chosen from its id; the last one stays."""
     names = F.array(*[F.lit(s) for s in STATUS_CHOICES])
-    return db.product_tracking.where(c("id") % 9 == 0).select(
-        c("id").alias("product_tracking_id"), F.element_at(names, (c("id") % 5 + 1).cast("int")).alias("status_name"))
+    u = db.product_tracking.select("id", F.explode(F.sequence(F.lit(1), (F.lit(1) + c("id") % 2).cast("int"))).alias("seq"))
+    return u.select(c("id").alias("product_tracking_id"), "seq",
+                    F.element_at(names, ((c("id") + c("seq")) % 5 + 1).cast("int")).alias("status_name"))
 
 
 # ---------------------------------------------------------------------------
@@ -132,21 +174,41 @@ def _py_str(col):
     return F.coalesce(col.cast("string"), F.lit("None"))
 
 
+def _current_text(target: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes with ``_now``, the text of the field on the target row before any change."""
+    fields = [x for x in target.columns if x != "id"]
+    texts = target.select(c("id").alias("_tid"), F.create_map(*[
+        e for f in fields for e in (F.lit(f), c(f).cast("string"))]).alias("_texts"))
+    return (changes.join(texts, c("record_id") == c("_tid"), "left")
+            .withColumn("_now", F.try_element_at(c("_texts"), c("field_name"))).drop("_tid", "_texts"))
+
+
+def _folded(target: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes with ``old_value``: what the previous change of the (record, field) by ``seq`` left, else the field's text."""
+    keyed = _current_text(target, changes).withColumn("_field", F.struct("record_id", "field_name"))
+    steps = ordered_steps(keyed, "_field", "new_value")
+    return steps.withColumn("old_value", F.when(c("step") > 1, c("_before")).otherwise(c("_now"))).drop(
+        "_field", "_now", "_before", "step")
+
+
 def apply_field_changes(target: DataFrame, table_name: str, changes: DataFrame, as_of: str,
-                        audit_start: int = 1, update: bool = True) -> dict[str, DataFrame]:
-    """K3: change rows (record_id, field_name, old_value, new_value, reason, changed_by[, seq]) for one table.
+                        audit_start: int | Callable[[], int] = 1, update: bool = True) -> Outputs:
+    """K3: change rows (record_id, field_name[, old_value], new_value, reason, changed_by[, seq]) for one table.
 
     A change is skipped when old equals new (numeric fields compared rounded
     to 5 decimals, others as text). The table must be whitelisted and field
     names must be plain identifiers (both checked before anything is
     written). Remaining changes append audit rows and, with ``update``, set
     the field on the target row (the last change per (record, field) by
-    ``seq`` wins).
+    ``seq`` wins). Without ``old_value`` each change starts from what the one
+    before it left, the first from the target row.
     """
     if table_name not in ALLOWED_AUDIT_TABLES:
         raise AuditError("Unauthorized table")
     if changes.where(~c("field_name").rlike(SAFE_FIELD)).limit(1).collect():
         raise AuditError("Unsafe field name")
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(0))
     numeric = {f.name for f in target.schema.fields
                if f.dataType.typeName() in ("decimal", "double", "float")}
     is_num = c("field_name").isin(*numeric) if numeric else F.lit(False)
@@ -154,42 +216,53 @@ def apply_field_changes(target: DataFrame, table_name: str, changes: DataFrame,
     num_equal = (o_num.isNotNull() | c("old_value").isNull()) & (n_num.isNotNull() | c("new_value").isNull()) & \
         F.round(o_num, 5).eqNullSafe(F.round(n_num, 5))
     same = F.when(is_num, num_equal).otherwise(_py_str(c("old_value")) == _py_str(c("new_value")))
-    seq = c("seq") if "seq" in changes.columns else F.lit(0)
-    eff = changes.withColumn("_seq", seq).where(~same)
-    audit = eff.select(F.lit(table_name).alias("table_name"), "record_id", "field_name",
-                       _py_str(c("old_value")).alias("old_value"), _py_str(c("new_value")).alias("new_value"),
-                       "reason", "changed_by", F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), "_seq")
-    audit = C.assign_ids(audit, ["record_id", "field_name", "_seq"], audit_start, "id").select(*AUDIT_COLUMNS)
-    if not update:
-        return {table_name: target, "audit_log": audit}
-    fields = [x for x in target.columns if x != "id"]
-    piv = (eff.where(c("field_name").isin(*fields))
-           .groupBy(c("record_id").alias("_rid"))
-           .pivot("field_name", fields)
-           .agg(F.max_by(F.struct(F.lit(True).alias("set"), c("new_value").alias("v")), c("_seq"))))
-    piv = piv.select("_rid", *[c(f"`{f}`").alias(f"_n_{f}") for f in fields])
-    j = target.join(piv, target.id == piv._rid, "left")
-    out = j.select(*[c(x) if x == "id" else
-                     F.when(c(f"_n_{x}.set"), c(f"_n_{x}.v").cast(target.schema[x].dataType)).otherwise(c(x)).alias(x)
-                     for x in target.columns])
-    return {table_name: out, "audit_log": audit}
+    effective = once(lambda: (changes if "old_value" in changes.columns else _folded(target, changes)).where(~same))
+
+    def audit() -> DataFrame:
+        rows = effective().select(
+            F.lit(table_name).alias("table_name"), "record_id", "field_name", _py_str(c("old_value")).alias("old_value"),
+            _py_str(c("new_value")).alias("new_value"), "reason", "changed_by",
+            F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), "seq")
+        start = audit_start() if callable(audit_start) else audit_start
+        return C.assign_ids(rows, ["record_id", "field_name", "seq"], start, "id").select(*AUDIT_COLUMNS)
+
+    def updated() -> DataFrame:
+        if not update:
+            return target
+        fields = [x for x in target.columns if x != "id"]
+        piv = (effective().where(c("field_name").isin(*fields))
+               .groupBy(c("record_id").alias("_rid"))
+               .pivot("field_name", fields)
+               .agg(F.max_by(F.struct(F.lit(True).alias("set"), c("new_value").alias("v")), c("seq"))))
+        piv = piv.select("_rid", *[c(f"`{f}`").alias(f"_n_{f}") for f in fields])
+        j = target.join(piv, target.id == piv._rid, "left")
+        return j.select(*[c(x) if x == "id" else
+                          F.when(c(f"_n_{x}.set"), c(f"_n_{x}.v").cast(target.schema[x].dataType)).otherwise(c(x)).alias(x)
+                          for x in target.columns])
+
+    return Outputs(**{table_name: updated, "audit_log": audit})
+
+
+def _next_audit(db) -> Callable[[], int]:
+    """The audit log's next id, looked up when an audit is numbered."""
+    return lambda: C.next_id(db.audit_log)
 
 
 def filament_change_commands(db) -> DataFrame:
-    """Command table for K3: every seventh spool gets one edit (some are no-ops) derived from its key."""
-    f = db.filaments.where(c("id") % 7 == 0)
-    field = F.element_at(F.array(F.lit("weight_grams"), F.lit("qc_result"), F.lit("location_id")),
-                         (c("id") % 3 + 1).cast("int"))
-    old = (F.when(field == "weight_grams", c("weight_grams").cast("string"))
-           .when(field == "qc_result", c("qc_result")).otherwise(c("location_id").cast("string")))
-    new = (F.when(field == "weight_grams",
-                  F.when(c("id") % 2 == 0, c("weight_grams").cast("string"))
-                  .otherwise((c("weight_grams") + F.lit(5.5)).cast("decimal(10,2)").cast("string")))
-           .when(field == "qc_result", F.when(c("qc_result") == "PASS", "FAIL").otherwise("PASS"))
-           .otherwise((F.lit(1) + (c("id") + 3) % 25).cast("string")))
-    return f.select(c("id").alias("record_id"), field.alias("field_name"), old.alias("old_value"),
-                    new.alias("new_value"), F.lit("inventory correction").alias("reason"),
-                    (F.lit(1) + c("id") % 10).alias("changed_by"))
+    """Command table for K3: every spool changes its QC result and place once and its weight three times, of
+    which one change sets what is there already."""
+    w = c("weight_grams")
+
+    def edit(seq: int, field: str, value) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(field).alias("field_name"), value.cast("string").alias("new_value"))
+    heavier = (w + F.lit(5.5)).cast("decimal(10,2)")
+    edits = F.array(edit(1, "weight_grams", heavier), edit(2, "weight_grams", heavier),
+                    edit(3, "weight_grams", (heavier - c("id") % 4).cast("decimal(10,2)")),
+                    edit(4, "qc_result", F.when(c("qc_result") == "PASS", "FAIL").otherwise("PASS")),
+                    edit(5, "location_id", F.lit(1) + (c("id") + 3) % 25))
+    return db.filaments.select(
+        c("id").alias("record_id"), F.explode(edits).alias("e"), F.lit("inventory correction").alias("reason"),
+        (F.lit(1) + c("id") % 10).alias("changed_by")).select("record_id", "e.*", "reason", "changed_by")
 
 
 # ---------------------------------------------------------------------------
@@ -213,8 +286,8 @@ def apply_requests(requests: DataFrame, commands: DataFrame, as_of: str, batch_s
 
 
 def request_commands(db) -> DataFrame:
-    """Command table for K4: every 50th order asks for 1-4 units of a sku chosen from its customer."""
-    return db.src("orders").where("o_orderkey % 50 = 0").selectExpr(
+    """Command table for K4: every order asks for 1-4 units of a sku chosen from its customer."""
+    return db.src("orders").selectExpr(
         "CAST(o_orderkey AS BIGINT) AS command_id", "CAST(1 + o_custkey % 10 AS BIGINT) AS requested_by",
         "CAST(1 + o_custkey % 7 AS BIGINT) AS sku_id", "CAST(1 + o_orderkey % 4 AS INT) AS quantity",
         "CAST(NULL AS STRING) AS notes", "o_orderkey % 19 = 0 AS is_tech_transfer")
@@ -229,7 +302,7 @@ def _stage_id(db, code: str) -> DataFrame:
 
 
 def apply_qm_decision(db, decisions: DataFrame, as_of: str, user_id: int = 1,
-                      comment: str = "") -> dict[str, DataFrame]:
+                      comment: str = "") -> Outputs:
     """Decisions (pid, result, decision in treatment|sales|decline, reason) ->
     approve for treatment (QMTreatmentApproval), for sales (Passed -> QMSalesApproval, else Internal Use),
     or decline (Disposed + status Waste); one history row per unit."""
@@ -249,11 +322,11 @@ def apply_qm_decision(db, decisions: DataFrame, as_of: str, user_id: int = 1,
                .otherwise(F.concat(F.lit("QM Approved for Internal Use"), suffix)))
          .otherwise(F.lit(f"Declined by QM: {comment}")).alias("reason"),
         F.lit(user_id).cast("long").alias("user_id"))
-    out = apply_stage_change(db.product_tracking, cmd, as_of)
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
     declined = decisions.where(c("decision") == "decline").select(
         c("pid").alias("product_tracking_id"), F.lit("Waste").alias("status_name"))
-    out["product_tracking"] = apply_status_change(out["product_tracking"], db.product_statuses, declined, as_of)
-    return out
+    return moved | Outputs(product_tracking=lambda: apply_status_change(
+        moved["product_tracking"], db.product_statuses, declined, as_of))
 
 
 def qm_decisions(db) -> DataFrame:
@@ -282,8 +355,8 @@ def apply_investigation(investigations: DataFrame, commands: DataFrame, as_of: s
 
 
 def investigation_commands(db) -> DataFrame:
-    """Command table for K13: active quarantines of every third unit are escalated."""
-    q = db.quarantined_products.where((c("quarantine_status") == "Active") & (c("product_tracking_id") % 3 == 0))
+    """Command table for K13: every active quarantine is escalated."""
+    q = db.quarantined_products.where(c("quarantine_status") == "Active")
     return q.select("product_tracking_id", F.lit("Under Investigation").alias("status"),
                     F.concat(F.lit("DEV-Q"), c("id").cast("string")).alias("deviation_number"),
                     F.lit("escalated from quarantine").alias("comment"), c("quarantined_by").alias("created_by"))
@@ -294,7 +367,7 @@ QUARANTINE_COLUMNS = ["id", "product_tracking_id", "from_stage_id", "source", "l
                       "resolved_by"]
 
 
-def apply_quarantine(db, commands: DataFrame, as_of: str, adhoc: bool = True) -> dict[str, DataFrame]:
+def apply_quarantine(db, commands: DataFrame, as_of: str, adhoc: bool = True) -> Outputs:
     """Command rows (product_tracking_id, source, quarantined_by, reason, reason_ids) -> Active
     quarantine rows (from the unit's current stage) and distinct reason links; ad-hoc mode also moves
     the unit to stage Quarantine ('Ad-Hoc Quarantine: <reason>') with status 'In Quarantine'."""
@@ -307,12 +380,11 @@ def apply_quarantine(db, commands: DataFrame, as_of: str, adhoc: bool = True) ->
                     F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
                     F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
                     F.lit(None).cast("long").alias("resolved_by"), "reason_ids"))
-    rows = C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.quarantined_products), "id")
-    links = rows.select(c("id").alias("quarantine_id"),
-                        F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
-    links = C.assign_ids(links, ["quarantine_id", "reason_id"], 1, "id").select("id", "quarantine_id", "reason_id")
-    out = {"quarantined_products": db.quarantined_products.unionByName(rows.select(*QUARANTINE_COLUMNS)),
-           "new_quarantines": rows.select(*QUARANTINE_COLUMNS), "quarantined_product_reasons": links}
+    numbered = once(lambda: C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.quarantined_products), "id"))
+    out = Outputs(
+        quarantined_products=lambda: db.quarantined_products.unionByName(numbered().select(*QUARANTINE_COLUMNS)),
+        new_quarantines=lambda: numbered().select(*QUARANTINE_COLUMNS),
+        quarantined_product_reasons=lambda: _reason_links(numbered(), "quarantine_id"))
     if adhoc:
         stage = _stage_id(db, "Quarantine")
         cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
@@ -320,16 +392,22 @@ def apply_quarantine(db, commands: DataFrame, as_of: str, adhoc: bool = True) ->
                        F.concat(F.lit("Ad-Hoc Quarantine: "), F.coalesce(c("reason"), F.lit(""))).alias("reason"),
                        c("quarantined_by").alias("user_id")))
         moved = apply_stage_change(db.product_tracking, cmd, as_of)
-        out["product_status_history"] = moved["product_status_history"]
         status = commands.select("product_tracking_id", F.lit("In Quarantine").alias("status_name"))
-        out["product_tracking"] = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
+        out = out | moved | Outputs(product_tracking=lambda: apply_status_change(
+            moved["product_tracking"], db.product_statuses, status, as_of))
     return out
 
 
+def _reason_links(rows: DataFrame, owner: str) -> DataFrame:
+    """(id, owner, reason_id): one link for every distinct reason of a row."""
+    links = rows.select(c("id").alias(owner), F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
+    return C.assign_ids(links, [owner, "reason_id"], 1, "id").select("id", owner, "reason_id")
+
+
 def quarantine_commands(db) -> DataFrame:
-    """Command table for K10: every 37th unit not already in an active quarantine, two reasons (one repeated)."""
+    """Command table for K10: every unit not already in an active quarantine, two reasons (one repeated)."""
     active = db.quarantined_products.where(c("quarantine_status") == "Active").select(c("product_tracking_id").alias("_a"))
-    u = db.product_tracking.where(c("id") % 37 == 0).join(active, c("id") == c("_a"), "left_anti")
+    u = db.product_tracking.join(active, c("id") == c("_a"), "left_anti")
     return u.select(c("id").alias("product_tracking_id"), F.lit("Ad-Hoc").alias("source"),
                     (F.lit(1) + c("id") % 10).alias("quarantined_by"),
                     F.concat(F.lit("suspect lot "), (c("id") % 97).cast("string")).alias("reason"),
@@ -337,7 +415,7 @@ def quarantine_commands(db) -> DataFrame:
                         "array<bigint>").alias("reason_ids"))
 
 
-def apply_quarantine_resolution(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_quarantine_resolution(db, commands: DataFrame, as_of: str) -> Outputs:
     """Command rows (product_tracking_id, resolution, comment, resolved_by) ->
     investigations 'Under Investigation' and Active quarantines of the unit are resolved
     (status from the resolution, note appended), the unit's status follows the resolution
@@ -395,9 +473,9 @@ def apply_quarantine_resolution(db, commands: DataFrame, as_of: str) -> dict[str
                      F.concat(F.lit("QM resolution: "), c("resolution")).alias("reason"),
                      c("resolved_by").alias("user_id")))
     moved = apply_stage_change(db.product_tracking, moves, as_of)
-    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
-    return {"product_investigations": new_inv, "quarantined_products": new_q, "product_tracking": tracking,
-            "product_status_history": moved["product_status_history"]}
+    return moved | Outputs(
+        product_investigations=lambda: new_inv, quarantined_products=lambda: new_q,
+        product_tracking=lambda: apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of))
 
 
 def resolution_commands(db) -> DataFrame:
@@ -423,7 +501,7 @@ def next_product_id(tracking: DataFrame) -> int:
     return C.next_id(tracking, "product_id", empty_start=1000000)
 
 
-def apply_harvest(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_harvest(db, commands: DataFrame, as_of: str) -> Outputs:
     """K5: command rows (request_id, filament_mount_id, printed_by, lid_id, seal_id) ->
     one harvest and one unit per request (stage 1, status Pending, sku and type from the request,
     tech-transfer flag copied, product code = lot + next 4-digit sequence of that lot), lid and seal
@@ -433,45 +511,55 @@ def apply_harvest(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
     req = db.product_requests.select(c("id").alias("_rid"), c("sku_id").alias("_sku"), "lot_number",
                                      c("is_tech_transfer").alias("_tt"))
     cmd = commands.join(req, c("request_id") == c("_rid"))
-    harvest = C.assign_ids(cmd, ["request_id"], C.next_id(db.product_harvest), "harvest_id")
-    new_h = harvest.select(c("harvest_id").alias("id"), "request_id", "lid_id", "seal_id",
-                           c("filament_mount_id").alias("filament_mounting_id"), "printed_by",
-                           now.alias("print_date"))
-    # product codes: lot + (max existing sequence of the lot + rank of the request within the lot)
-    seq0 = C.next_seq_for_lot(lot_codes(db.product_tracking, db.product_harvest, db.product_requests, harvest),
-                              harvest.select("lot_number"))
-    ranked = row_number_within_lot(harvest)
-    coded = (ranked.join(seq0, "lot_number")
-             .withColumn("product_code", X.product_code(c("lot_number"), c("next_seq") + c("_lot_rank") - 1)))
-    pending = db.product_statuses.where(c("status_name") == "Pending").agg(F.min("id").alias("_pending")).withColumn(
-        "_k", F.lit(1))
-    types = db.product_skus.select(c("id").alias("_sid"), c("product_type_id").alias("product_type_id"))
-    units = (coded.join(F.broadcast(types), c("_sku") == c("_sid"), "left")
-             .withColumn("_k", F.lit(1)).join(F.broadcast(pending), "_k"))
-    units = C.assign_ids(units, ["request_id"], C.next_id(db.product_tracking), "id")
-    units = units.withColumn("product_id", c("id") - F.lit(C.next_id(db.product_tracking)) +
-                             F.lit(next_product_id(db.product_tracking)))
-    new_t = units.select("id", "harvest_id", "product_id", "product_type_id", c("_sku").alias("sku_id"),
-                         c("_pending").alias("current_status_id"), F.lit(None).cast("long").alias("previous_stage_id"),
-                         F.lit(1).cast("long").alias("current_stage_id"), F.lit(None).cast("long").alias("location_id"),
-                         now.alias("last_updated_at"), "product_code", c("_tt").alias("was_tech_transfer"))
-    lids = db.lids.select(c("id").alias("_lid"), c("serial_number").alias("_lid_lot"))
-    seals = db.seals.select(c("id").alias("_seal"), c("serial_number").alias("_seal_lot"))
-    mats = (units.join(lids, c("lid_id") == c("_lid")).join(seals, c("seal_id") == c("_seal"))
-            .select(c("id").alias("product_tracking_id"), "harvest_id", "printed_by",
-                    F.explode(F.array(F.struct(F.lit("Lid").alias("material_type"), c("_lid_lot").alias("lot_number")),
-                                      F.struct(F.lit("Seal").alias("material_type"), c("_seal_lot").alias("lot_number"))))
-                    .alias("m")))
-    usage = mats.select("product_tracking_id", "harvest_id", "m.material_type", "m.lot_number",
-                        F.lit(1).cast("decimal(10,2)").alias("used_quantity"), now.alias("used_at"),
-                        c("printed_by").alias("used_by"), F.lit(None).cast("string").alias("reason"))
-    usage = C.assign_ids(usage, ["product_tracking_id", "material_type"], C.next_id(db.material_usage), "id").select(
-        *USAGE_COLUMNS)
-    done = commands.select(c("request_id").alias("_done"))
-    requests = (db.product_requests.join(done, c("id") == c("_done"), "left")
+    harvest = once(lambda: C.assign_ids(cmd, ["request_id"], C.next_id(db.product_harvest), "harvest_id"))
+
+    @once
+    def units() -> DataFrame:
+        # one unit a harvest, in the same order: its id goes with the harvest's
+        first_unit, first_harvest = C.next_id(db.product_tracking), C.next_id(db.product_harvest)
+        return (harvest().withColumn("id", c("harvest_id") - F.lit(first_harvest) + F.lit(first_unit))
+                .withColumn("product_id", c("harvest_id") - F.lit(first_harvest) + F.lit(next_product_id(db.product_tracking))))
+
+    def new_harvest() -> DataFrame:
+        return harvest().select(c("harvest_id").alias("id"), "request_id", "lid_id", "seal_id",
+                                c("filament_mount_id").alias("filament_mounting_id"), "printed_by", now.alias("print_date"))
+
+    def new_tracking() -> DataFrame:
+        # product codes: lot + (max existing sequence of the lot + rank of the request within the lot)
+        seq0 = C.next_seq_for_lot(lot_codes(db.product_tracking, db.product_harvest, db.product_requests, cmd),
+                                  cmd.select("lot_number"))
+        ranked = row_number_within(units(), ["lot_number"], ["request_id"], col="_lot_rank")
+        coded = (ranked.join(seq0, "lot_number")
+                 .withColumn("product_code", X.product_code(c("lot_number"), c("next_seq") + c("_lot_rank") - 1)))
+        pending = db.product_statuses.where(c("status_name") == "Pending").agg(
+            F.min("id").alias("_pending")).withColumn("_k", F.lit(1))
+        types = db.product_skus.select(c("id").alias("_sid"), "product_type_id")
+        return (coded.join(types, c("_sku") == c("_sid"), "left").withColumn("_k", F.lit(1)).join(F.broadcast(pending), "_k")
+                .select("id", "harvest_id", "product_id", "product_type_id", c("_sku").alias("sku_id"),
+                        c("_pending").alias("current_status_id"), F.lit(None).cast("long").alias("previous_stage_id"),
+                        F.lit(1).cast("long").alias("current_stage_id"), F.lit(None).cast("long").alias("location_id"),
+                        now.alias("last_updated_at"), "product_code", c("_tt").alias("was_tech_transfer")))
+
+    def usage() -> DataFrame:
+        lids = db.lids.select(c("id").alias("_lid"), c("serial_number").alias("_lid_lot"))
+        seals = db.seals.select(c("id").alias("_seal"), c("serial_number").alias("_seal_lot"))
+        mats = (units().join(lids, c("lid_id") == c("_lid")).join(seals, c("seal_id") == c("_seal"))
+                .select(c("id").alias("product_tracking_id"), "harvest_id", "printed_by", F.explode(F.array(
+                    F.struct(F.lit("Lid").alias("material_type"), c("_lid_lot").alias("lot_number")),
+                    F.struct(F.lit("Seal").alias("material_type"), c("_seal_lot").alias("lot_number")))).alias("m")))
+        rows = mats.select("product_tracking_id", "harvest_id", "m.material_type", "m.lot_number",
+                           F.lit(1).cast("decimal(10,2)").alias("used_quantity"), now.alias("used_at"),
+                           c("printed_by").alias("used_by"), F.lit(None).cast("string").alias("reason"))
+        return C.assign_ids(rows, ["product_tracking_id", "material_type"], C.next_id(db.material_usage), "id").select(
+            *USAGE_COLUMNS)
+
+    def requests() -> DataFrame:
+        done = commands.select(c("request_id").alias("_done"))
+        return (db.product_requests.join(done, c("id") == c("_done"), "left")
                 .withColumn("status", F.when(c("_done").isNotNull(), "Fulfilled").otherwise(c("status"))).drop("_done"))
-    return {"product_harvest": new_h, "product_tracking": new_t, "material_usage": usage,
-            "product_requests": requests}
+
+    return Outputs(product_harvest=new_harvest, product_tracking=new_tracking, material_usage=usage,
+                   product_requests=requests)
 
 
 def lot_codes(tracking: DataFrame, harvests: DataFrame, requests: DataFrame, lots: DataFrame) -> DataFrame:
@@ -483,16 +571,11 @@ def lot_codes(tracking: DataFrame, harvests: DataFrame, requests: DataFrame, lot
             .join(req, c("request_id") == c("_req")).select("lot_number", "product_code"))
 
 
-def row_number_within_lot(df: DataFrame) -> DataFrame:
-    from spooltrace.operators.ranking import row_number_within
-    return row_number_within(df, ["lot_number"], ["request_id"], col="_lot_rank")
-
-
 def harvest_commands(db) -> DataFrame:
-    """Command table for K5: every third pending request is printed on the best mount for its sku,
+    """Command table for K5: every pending request is printed on the best mount for its sku,
     with the first PASS lid and seal batches."""
     from spooltrace.plans.materials import request_mount_candidates
-    cand = request_mount_candidates(db).where(c("best_mount_id").isNotNull() & (c("request_id") % 3 == 0))
+    cand = request_mount_candidates(db).where(c("best_mount_id").isNotNull())
     lid = (db.lids.where((c("qc_result") == "PASS") & (c("serial_number") != "LEGACY_LID"))
            .agg(F.min("id").alias("lid_id")).withColumn("_k", F.lit(1)))
     seal = (db.seals.where((c("qc_result") == "PASS") & (c("serial_number") != "LEGACY_SEAL"))
@@ -508,7 +591,7 @@ QC_COLUMNS = ["id", "product_tracking_id", "inspected_by", "inspected_at", "weig
               "visual_pass", "inspection_result", "notes"]
 
 
-def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_qc(db, commands: DataFrame, as_of: str) -> Outputs:
     """K6: command rows (product_tracking_id, inspected_by, weight_grams, pressure_drop, visual_pass,
     inspection_result, notes, reason_ids) -> QC rows, distinct reason links, one filament usage row
     (the spool lot of the unit's mount, quantity = measured weight), stage HarvestQCComplete with
@@ -520,9 +603,7 @@ def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
                          c("weight_grams").cast("decimal(6,2)").alias("weight_grams"),
                          c("pressure_drop").cast("decimal(6,3)").alias("pressure_drop"), "visual_pass",
                          "inspection_result", "notes", "reason_ids")
-    qc = C.assign_ids(qc, ["product_tracking_id"], C.next_id(db.product_quality_control), "id")
-    links = qc.select(c("id").alias("qc_id"), F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
-    links = C.assign_ids(links, ["qc_id", "reason_id"], 1, "id").select("id", "qc_id", "reason_id")
+    numbered = once(lambda: C.assign_ids(qc, ["product_tracking_id"], C.next_id(db.product_quality_control), "id"))
     unit = (db.product_tracking.select(c("id").alias("_t"), c("harvest_id").alias("_h"))
             .join(db.product_harvest.select(c("id").alias("_hid"), c("filament_mounting_id").alias("_m")),
                   c("_h") == c("_hid"))
@@ -533,7 +614,6 @@ def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
     usage = used.select("product_tracking_id", c("_h").alias("harvest_id"), F.lit("Filament").alias("material_type"),
                         c("_lot").alias("lot_number"), c("weight_grams").cast("decimal(10,2)").alias("used_quantity"),
                         now.alias("used_at"), c("inspected_by").alias("used_by"), F.lit(None).cast("string").alias("reason"))
-    usage = C.assign_ids(usage, ["product_tracking_id"], C.next_id(db.material_usage), "id").select(*USAGE_COLUMNS)
     stage = _stage_id(db, "HarvestQCComplete")
     cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Harvest QC Complete").alias("reason"),
@@ -546,11 +626,8 @@ def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
                     c("inspected_by").alias("quarantined_by"), F.nullif(c("notes"), F.lit("")).alias("quarantine_reason"),
                     F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
                     F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
-    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
-        *QUARANTINE_COLUMNS)
     status = commands.select("product_tracking_id",
                              X.business_status(c("inspection_result"), "Pending").alias("status_name"))
-    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
     per_mount = used.groupBy(c("_m").alias("_mount")).agg(F.sum("weight_grams").alias("_w"))
     fm = db.filament_mounting
     mounts = (fm.join(per_mount, fm.id == per_mount._mount, "left")
@@ -558,10 +635,17 @@ def apply_qc(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
                                                      (c("remaining_weight") - c("_w")).cast("decimal(10,2)"))
                           .otherwise(c("remaining_weight")))
               .drop("_mount", "_w"))
-    return {"product_quality_control": qc.select(*QC_COLUMNS), "product_quality_control_reasons": links,
-            "material_usage": usage, "product_tracking": tracking,
-            "product_status_history": moved["product_status_history"], "quarantined_products": quar,
-            "filament_mounting": mounts}
+    return moved | Outputs(
+        product_quality_control=lambda: numbered().select(*QC_COLUMNS),
+        product_quality_control_reasons=lambda: _reason_links(numbered(), "qc_id"),
+        material_usage=lambda: C.assign_ids(usage, ["product_tracking_id"], C.next_id(db.material_usage), "id").select(
+            *USAGE_COLUMNS),
+        product_tracking=lambda: apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of),
+        quarantined_products=lambda: _numbered_quarantines(db, quar), filament_mounting=lambda: mounts)
+
+
+def _numbered_quarantines(db, rows: DataFrame) -> DataFrame:
+    return C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(*QUARANTINE_COLUMNS)
 
 
 def qc_commands(db) -> DataFrame:
@@ -590,26 +674,32 @@ def _location_id(db, name: str) -> DataFrame:
         "_k", F.lit(1))
 
 
-def apply_treatment_batch(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_treatment_batch(db, commands: DataFrame, as_of: str) -> Outputs:
     """K8: command rows (batch_key, sent_by, notes, product_tracking_id, surface_treat, sterilize) ->
     one 'Shipped' batch per batch key, its unit links, and every unit moved to InTreatment at Offsite."""
     C.check_unique(commands, ["product_tracking_id"])
     now = F.lit(as_of).cast("timestamp_ntz")
     heads = commands.groupBy("batch_key").agg(F.min("sent_by").alias("sent_by"), F.min("notes").alias("notes"))
-    heads = C.assign_ids(heads, ["batch_key"], C.next_id(db.treatment_batches), "batch_id")
-    batches = heads.select(c("batch_id").alias("id"), "sent_by", now.alias("sent_at"),
-                           F.lit(None).cast("timestamp_ntz").alias("received_at"), "notes", F.lit("Shipped").alias("status"))
-    links = commands.join(heads.select("batch_key", "batch_id"), "batch_key")
-    links = C.assign_ids(links, ["product_tracking_id"], C.next_id(db.treatment_batch_products), "id").select(
-        "id", "batch_id", "product_tracking_id", c("surface_treat").cast("boolean"), c("sterilize").cast("boolean"))
+    numbered = once(lambda: C.assign_ids(heads, ["batch_key"], C.next_id(db.treatment_batches), "batch_id"))
+
+    def batches() -> DataFrame:
+        return numbered().select(c("batch_id").alias("id"), "sent_by", now.alias("sent_at"),
+                                 F.lit(None).cast("timestamp_ntz").alias("received_at"), "notes",
+                                 F.lit("Shipped").alias("status"))
+
+    def links() -> DataFrame:
+        rows = commands.join(numbered().select("batch_key", "batch_id"), "batch_key")
+        return C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.treatment_batch_products), "id").select(
+            "id", "batch_id", "product_tracking_id", c("surface_treat").cast("boolean"), c("sterilize").cast("boolean"))
+
     stage = _stage_id(db, "InTreatment")
     off = _location_id(db, "Offsite")
     cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k").join(F.broadcast(off), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"),
                    F.lit("Sent for Treatment (batch creation)").alias("reason"), c("sent_by").alias("user_id"),
                    c("_loc").alias("location_id")))
-    moved = apply_stage_change(db.product_tracking, cmd, as_of)
-    return {"treatment_batches": batches, "treatment_batch_products": links, **moved}
+    return apply_stage_change(db.product_tracking, cmd, as_of) | Outputs(
+        treatment_batches=batches, treatment_batch_products=links)
 
 
 def treatment_batch_commands(db) -> DataFrame:
@@ -628,7 +718,7 @@ PTI_COLUMNS = ["id", "product_tracking_id", "inspected_by", "inspected_at", "vis
 
 
 def apply_post_treatment_qc(db, commands: DataFrame, inspected_by: int, as_of: str,
-                            batch_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+                            batch_ids: DataFrame | None = None) -> Outputs:
     """K9: command rows (product_tracking_id, surface_treat, sterilize, visual_pass, qc_result, notes,
     quarantine_reason, reason_ids) -> inspections, distinct reason links, 'Post-Treatment QC' quarantine
     rows for 'Quarantine' results, stage PostTreatmentQC with history, business status; batches in
@@ -638,9 +728,7 @@ def apply_post_treatment_qc(db, commands: DataFrame, inspected_by: int, as_of: s
     ins = commands.select("product_tracking_id", F.lit(inspected_by).cast("long").alias("inspected_by"),
                           now.alias("inspected_at"), "visual_pass", c("surface_treat").alias("surface_treated"),
                           c("sterilize").alias("sterilized"), "qc_result", "notes", "reason_ids")
-    ins = C.assign_ids(ins, ["product_tracking_id"], C.next_id(db.post_treatment_inspections), "id")
-    links = ins.select(c("id").alias("inspection_id"), F.explode(F.array_distinct(c("reason_ids"))).alias("reason_id"))
-    links = C.assign_ids(links, ["inspection_id", "reason_id"], 1, "id").select("id", "inspection_id", "reason_id")
+    numbered = once(lambda: C.assign_ids(ins, ["product_tracking_id"], C.next_id(db.post_treatment_inspections), "id"))
     t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
     quar = (commands.where(c("qc_result") == "Quarantine").join(t, c("product_tracking_id") == c("_tid"))
             .select("product_tracking_id", "from_stage_id", F.lit("Post-Treatment QC").alias("source"),
@@ -649,25 +737,26 @@ def apply_post_treatment_qc(db, commands: DataFrame, inspected_by: int, as_of: s
                     F.nullif(c("quarantine_reason"), F.lit("")).alias("quarantine_reason"),
                     F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
                     F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
-    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
-        *QUARANTINE_COLUMNS)
     stage = _stage_id(db, "PostTreatmentQC")
     cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"),
                    F.lit("Post-Treatment QC Complete").alias("reason"), F.lit(inspected_by).cast("long").alias("user_id")))
     moved = apply_stage_change(db.product_tracking, cmd, as_of)
     status = commands.select("product_tracking_id", X.business_status(c("qc_result"), "Pending").alias("status_name"))
-    tracking = apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of)
-    out = {"post_treatment_inspections": ins.select(*PTI_COLUMNS), "post_treatment_inspection_reasons": links,
-           "quarantined_products": quar, "product_tracking": tracking,
-           "product_status_history": moved["product_status_history"]}
-    if batch_ids is not None:
+    out = moved | Outputs(
+        post_treatment_inspections=lambda: numbered().select(*PTI_COLUMNS),
+        post_treatment_inspection_reasons=lambda: _reason_links(numbered(), "inspection_id"),
+        quarantined_products=lambda: _numbered_quarantines(db, quar),
+        product_tracking=lambda: apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of))
+    if batch_ids is None:
+        return out
+
+    def batches() -> DataFrame:
         done = batch_ids.select(c("batch_id").alias("_b")).distinct()
         b = db.treatment_batches.join(done, c("id") == c("_b"), "left")
-        out["treatment_batches"] = (b.withColumn("status", F.when(c("_b").isNotNull(), "Inspected").otherwise(c("status")))
-                                    .withColumn("received_at", F.when(c("_b").isNotNull(), now).otherwise(c("received_at")))
-                                    .drop("_b"))
-    return out
+        return (b.withColumn("status", F.when(c("_b").isNotNull(), "Inspected").otherwise(c("status")))
+                .withColumn("received_at", F.when(c("_b").isNotNull(), now).otherwise(c("received_at"))).drop("_b"))
+    return out | Outputs(treatment_batches=batches)
 
 
 def post_treatment_commands(db) -> DataFrame:
@@ -688,38 +777,50 @@ def post_treatment_commands(db) -> DataFrame:
                         F.array(F.lit(1) + c("pt.id") % 19).cast("array<bigint>").alias("reason_ids"))
 
 
-def apply_storage(db, assignments: DataFrame, user_id: int, as_of: str, update_stage: bool = True) -> dict[str, DataFrame]:
-    """Assignments (product_tracking_id, location_id, stage_code) -> active quarantine rows of units
-    sent to Quarantine take the location; with ``update_stage`` units move to the stage at the location
-    ('Moved to Quarantine' / 'Disposed' / 'Storage assignment')."""
-    C.check_unique(assignments, ["product_tracking_id"])
-    q = db.quarantined_products
-    qa = assignments.where(c("stage_code") == "Quarantine").select(c("product_tracking_id").alias("_p"),
-                                                                   c("location_id").alias("_l"))
-    jq = q.join(qa, (q.product_tracking_id == qa._p) & (q.quarantine_status == "Active"), "left")
-    new_q = jq.select(*[F.coalesce(c("_l"), q[x]).alias(x) if x == "location_id" else q[x] for x in q.columns])
-    out = {"quarantined_products": new_q}
-    if update_stage:
-        ids = db.lifecycle_stages.select(c("stage_code").alias("_code"), c("id").alias("new_stage_id"))
-        cmd = (assignments.join(F.broadcast(ids), c("stage_code") == c("_code"))
-               .select("product_tracking_id", "new_stage_id", "location_id",
-                       F.when(c("stage_code") == "Quarantine", "Moved to Quarantine")
-                        .when(c("stage_code") == "Disposed", "Disposed").otherwise("Storage assignment").alias("reason"),
-                       F.lit(user_id).cast("long").alias("user_id")))
-        out.update(apply_stage_change(db.product_tracking, cmd, as_of))
-    return out
+def apply_storage(db, assignments: DataFrame, user_id: int, as_of: str, update_stage: bool = True) -> Outputs:
+    """Assignments (product_tracking_id, location_id, stage_code, seq?) -> active quarantine rows of units
+    sent to Quarantine take the (last such) location; with ``update_stage`` units move to the stage at the location
+    ('Moved to Quarantine' / 'Disposed' / 'Storage assignment'), one step per assignment."""
+    ordered = check_commands(assignments, "product_tracking_id")
+
+    def quarantines() -> DataFrame:
+        sent = assignments.where(c("stage_code") == "Quarantine")
+        sent = last_command(sent, "product_tracking_id", "location_id") if ordered else sent
+        qa = sent.select(c("product_tracking_id").alias("_p"), c("location_id").alias("_l"))
+        q = db.quarantined_products
+        jq = q.join(qa, (q.product_tracking_id == qa._p) & (q.quarantine_status == "Active"), "left")
+        return jq.select(*[F.coalesce(c("_l"), q[x]).alias(x) if x == "location_id" else q[x] for x in q.columns])
+
+    out = Outputs(quarantined_products=quarantines)
+    if not update_stage:
+        return out
+    ids = db.lifecycle_stages.select(c("stage_code").alias("_code"), c("id").alias("new_stage_id"))
+    cmd = (assignments.join(F.broadcast(ids), c("stage_code") == c("_code"))
+           .select("product_tracking_id", "new_stage_id", "location_id",
+                   F.when(c("stage_code") == "Quarantine", "Moved to Quarantine")
+                    .when(c("stage_code") == "Disposed", "Disposed").otherwise("Storage assignment").alias("reason"),
+                   F.lit(user_id).cast("long").alias("user_id"), *(["seq"] if ordered else [])))
+    return out | apply_stage_change(db.product_tracking, cmd, as_of)
 
 
 def storage_assignments(db) -> DataFrame:
-    """Command table for K14: every unit needing storage after harvest QC goes to its first allowed shelf."""
+    """Command table for K14: every unit needing storage after harvest QC goes to its first allowed shelf and, if
+    others are allowed, then to its last one; every unit in an active quarantine goes to a shelf of its own."""
     from spooltrace.plans.operations import needs_storage_harvest, shelf_options
     opts = shelf_options(db, needs_storage_harvest(db), "Post-Harvest QC")
-    return opts.groupBy(c("id").alias("product_tracking_id")).agg(
-        F.min_by(F.struct("location_id", "next_stage_code"), F.struct("location_id", "next_stage_code")).alias("b")
-    ).select("product_tracking_id", c("b.location_id").alias("location_id"), c("b.next_stage_code").alias("stage_code"))
-
-
-def apply_shipment_status(db, commands: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+    shelf = F.struct("location_id", "next_stage_code")
+    ends = opts.groupBy(c("id").alias("product_tracking_id")).agg(F.min(shelf).alias("a"), F.max(shelf).alias("b"))
+    ends = ends.select("product_tracking_id", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("k", "to"))
+    ends = ends.select("product_tracking_id", "to.location_id", c("to.next_stage_code").alias("stage_code"),
+                       (c("k") + 1).alias("seq"))
+    held = (db.quarantined_products.where(c("quarantine_status") == "Active").select("product_tracking_id").distinct()
+            .join(ends.select("product_tracking_id").distinct(), "product_tracking_id", "left_anti"))
+    return ends.unionByName(held.select(
+        "product_tracking_id", (F.lit(1) + c("product_tracking_id") % 25).alias("location_id"),
+        F.lit("Quarantine").alias("stage_code"), F.lit(1).alias("seq")))
+
+
+def apply_shipment_status(db, commands: DataFrame, user_id: int, as_of: str) -> Outputs:
     """Command rows (shipment_id, action shipped|delivered, carrier, tracking_number) ->
     shipped: status, ship date, carrier, tracking number, and its units to stage Shipped at Offsite;
     delivered: status and delivery date."""
@@ -755,17 +856,17 @@ def apply_shipment_status(db, commands: DataFrame, user_id: int, as_of: str) ->
     cmd = (units.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k").join(F.broadcast(off), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Shipment sent").alias("reason"),
                    F.lit(user_id).cast("long").alias("user_id"), c("_loc").alias("location_id")))
-    return {"shipments": shipments, **apply_stage_change(db.product_tracking, cmd, as_of)}
+    return apply_stage_change(db.product_tracking, cmd, as_of) | Outputs(shipments=lambda: shipments)
 
 
 def shipment_status_commands(db) -> DataFrame:
-    """Command table for K18: pending shipments are sent (carrier by id), every other shipped one is delivered."""
+    """Command table for K18: pending shipments are sent (carrier by id), shipped ones are delivered."""
     s = db.shipments
     sent = s.where(c("status") == "Pending").select(
         c("id").alias("shipment_id"), F.lit("shipped").alias("action"),
         F.when(c("id") % 2 == 0, F.lit("UPS")).otherwise(F.lit("DHL")).alias("carrier"),
         F.concat(F.lit("TRK"), c("id").cast("string")).alias("tracking_number"))
-    done = s.where((c("status") == "Shipped") & (c("id") % 2 == 0)).select(
+    done = s.where(c("status") == "Shipped").select(
         c("id").alias("shipment_id"), F.lit("delivered").alias("action"), F.lit(None).cast("string").alias("carrier"),
         F.lit(None).cast("string").alias("tracking_number"))
     return sent.unionByName(done)
@@ -796,15 +897,14 @@ def _header_audit(orders: DataFrame, cmds: DataFrame, new_status: str, reason: s
         F.struct(F.lit("updated_at").alias("field_name"), _ts_text(c("updated_at")).alias("old_value"),
                  _ts_text(F.lit(as_of).cast("timestamp_ntz")).alias("new_value"), F.lit(2).alias("seq")))).alias("ch"))
     changes = changes.select("record_id", "ch.*", F.lit(reason).alias("reason"), c("_uid").alias("changed_by"))
-    return apply_field_changes(orders, "orders", changes, as_of, audit_start=audit_start, update=False)["audit_log"]
+    return apply_field_changes(orders, "orders", changes, as_of, audit_start, update=False)["audit_log"]
 
 
-def apply_order_cancel(db, cancels: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_order_cancel(db, cancels: DataFrame, as_of: str) -> Outputs:
     """K16 (cancel): cancel rows (order_id, user_id, notes) -> three audit rows per order (status,
     updated_by, updated_at) and the order set to Canceled with the new notes."""
     C.check_unique(cancels, ["order_id"])
     now = F.lit(as_of).cast("timestamp_ntz")
-    audit = _header_audit(db.orders, cancels, "Canceled", "Order request canceled", as_of, C.next_id(db.audit_log))
     cm = cancels.select(c("order_id").alias("_oid"), c("user_id").alias("_uid"), c("notes").alias("_notes"))
     o = db.orders.join(cm, c("id") == c("_oid"), "left")
     hit = c("_oid").isNotNull()
@@ -813,17 +913,18 @@ def apply_order_cancel(db, cancels: DataFrame, as_of: str) -> dict[str, DataFram
         F.when(hit, now).otherwise(c(x)).alias(x) if x == "updated_at" else
         F.when(hit, c("_uid")).otherwise(c(x)).alias(x) if x == "updated_by" else
         F.when(hit, c("_notes")).otherwise(c(x)).alias(x) if x == "notes" else c(x) for x in ORDER_COLUMNS])
-    return {"orders": orders, "audit_log": audit}
+    return Outputs(orders=lambda: orders, audit_log=lambda: _header_audit(
+        db.orders, cancels, "Canceled", "Order request canceled", as_of, C.next_id(db.audit_log)))
 
 
 def cancel_commands(db) -> DataFrame:
-    """Command table for K16 cancel: every tenth processing order (id ending in 2) is canceled."""
-    return db.orders.where((c("status") == "Processing") & (c("id") % 10 == 2)).select(
+    """Command table for K16 cancel: every processing order is canceled."""
+    return db.orders.where(c("status") == "Processing").select(
         c("id").alias("order_id"), (F.lit(1) + c("customer_id") % 10).alias("user_id"),
         F.lit("customer request").alias("notes"))
 
 
-def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> Outputs:
     """K16 (update): desired (order_id, product_sku_id, quantity) for the orders it names ->
     changed lines updated, new positive lines added, lines of those orders missing from ``desired``
     deleted; each with an audit row ('quantity' / 'quantity' from None / 'Deleted')."""
@@ -837,9 +938,10 @@ def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> d
     changed = j.where(c("i.id").isNotNull() & c("d.order_id").isNotNull() & (c("i.quantity") != c("d.quantity")))
     added = j.where(c("i.id").isNull() & (c("d.quantity") > 0))
     removed = j.where(c("i.id").isNotNull() & c("d.order_id").isNull() & (c("i.quantity") != 0))
-    new_items = C.assign_ids(added.select(c("d.order_id").alias("order_id"), c("d.product_sku_id").alias("product_sku_id"),
-                                          c("d.quantity").cast("long").alias("quantity")),
-                             ["order_id", "product_sku_id"], C.next_id(items), "id").select(*ITEM_COLUMNS)
+    new_items = once(lambda: C.assign_ids(
+        added.select(c("d.order_id").alias("order_id"), c("d.product_sku_id").alias("product_sku_id"),
+                     c("d.quantity").cast("long").alias("quantity")),
+        ["order_id", "product_sku_id"], C.next_id(items), "id").select(*ITEM_COLUMNS))
     # lines are keyed by (order, sku): unique per order, unlike a possibly repeated line id
     ch = changed.select(c("i.order_id").alias("_co"), c("i.product_sku_id").alias("_cs"), c("d.quantity").alias("_q"))
     rm = removed.select(c("i.order_id").alias("_ro"), c("i.product_sku_id").alias("_rs"))
@@ -847,26 +949,30 @@ def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> d
             .join(ch, (c("order_id") == c("_co")) & (c("product_sku_id") == c("_cs")), "left")
             .withColumn("quantity", F.coalesce(c("_q").cast("long"), c("quantity"))).drop("_co", "_cs", "_q"))
     uid = F.lit(user_id).cast("long")
-    audit = (changed.select(c("i.id").alias("record_id"), F.lit("quantity").alias("field_name"),
-                            c("i.quantity").cast("string").alias("old_value"), c("d.quantity").cast("string").alias("new_value"),
-                            F.lit("Sales order updated").alias("reason"))
-             .unionByName(new_items.select(c("id").alias("record_id"), F.lit("quantity").alias("field_name"),
-                                           F.lit("None").alias("old_value"), c("quantity").cast("string").alias("new_value"),
-                                           F.lit("Product item added to order").alias("reason")))
-             .unionByName(removed.select(c("i.id").alias("record_id"), F.lit("Deleted").alias("field_name"),
-                                         c("i.quantity").cast("string").alias("old_value"), F.lit("Yes").alias("new_value"),
-                                         F.lit("Removed from order").alias("reason"))))
-    audit = audit.select(F.lit("order_items").alias("table_name"), "record_id", "field_name", "old_value", "new_value",
-                         "reason", uid.alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
-    audit = C.assign_ids(audit, ["record_id", "field_name", "old_value", "new_value"], C.next_id(db.audit_log),
-                         "id").select(*AUDIT_COLUMNS)
-    return {"order_items": kept.select(*ITEM_COLUMNS).unionByName(new_items), "audit_log": audit}
+
+    def audit() -> DataFrame:
+        rows = (changed.select(c("i.id").alias("record_id"), F.lit("quantity").alias("field_name"),
+                               c("i.quantity").cast("string").alias("old_value"),
+                               c("d.quantity").cast("string").alias("new_value"), F.lit("Sales order updated").alias("reason"))
+                .unionByName(new_items().select(c("id").alias("record_id"), F.lit("quantity").alias("field_name"),
+                                                F.lit("None").alias("old_value"),
+                                                c("quantity").cast("string").alias("new_value"),
+                                                F.lit("Product item added to order").alias("reason")))
+                .unionByName(removed.select(c("i.id").alias("record_id"), F.lit("Deleted").alias("field_name"),
+                                            c("i.quantity").cast("string").alias("old_value"), F.lit("Yes").alias("new_value"),
+                                            F.lit("Removed from order").alias("reason"))))
+        rows = rows.select(F.lit("order_items").alias("table_name"), "record_id", "field_name", "old_value", "new_value",
+                           "reason", uid.alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
+        return C.assign_ids(rows, ["record_id", "field_name", "old_value", "new_value"], C.next_id(db.audit_log),
+                            "id").select(*AUDIT_COLUMNS)
+
+    return Outputs(order_items=lambda: kept.select(*ITEM_COLUMNS).unionByName(new_items()), audit_log=audit)
 
 
 def line_diff_commands(db) -> DataFrame:
-    """Command table for K16 update: orders with id ending in 1 change even-sku lines by +1, drop sku 3,
-    and ask for two units of sku 7."""
-    o = db.orders.where((c("status") == "Processing") & (c("id") % 10 == 1)).select(c("id").alias("_o"))
+    """Command table for K16 update: every processing order changes its even-sku lines by +1, drops sku 3,
+    and asks for two units of sku 7."""
+    o = db.orders.where(c("status") == "Processing").select(c("id").alias("_o"))
     lines = (db.order_items.join(o, c("order_id") == c("_o"))
              .where(~c("product_sku_id").isin(3, 7))
              .select("order_id", "product_sku_id",
@@ -876,78 +982,101 @@ def line_diff_commands(db) -> DataFrame:
     return lines.unionByName(extra)
 
 
-def apply_recreate_orders(db, source_orders: DataFrame, user_id: int, as_of: str) -> dict[str, DataFrame]:
+def apply_recreate_orders(db, source_orders: DataFrame, user_id: int, as_of: str) -> Outputs:
     """K16 (re-create): canceled orders (order_id) -> new Processing orders for the same customer with the
     old order as parent and a note prefix, carrying over the positive lines."""
     now = F.lit(as_of).cast("timestamp_ntz")
     old = db.orders.join(source_orders.select(c("order_id").alias("_src")), c("id") == c("_src"))
-    heads = C.assign_ids(old.select(c("id").alias("parent_order_id"), "customer_id", c("notes").alias("_old_notes")),
-                         ["parent_order_id"], C.next_id(db.orders), "id")
-    orders = heads.select("id", "parent_order_id", "customer_id", now.alias("order_date"),
-                          F.lit(user_id).cast("long").alias("order_creator_id"), F.lit("Processing").alias("status"),
-                          F.lit(None).cast("timestamp_ntz").alias("updated_at"),
-                          F.lit(user_id).cast("long").alias("updated_by"),
-                          F.concat(F.lit("Re-created from #"), c("parent_order_id").cast("string"),
-                                   F.when(c("_old_notes").isNotNull(), F.concat(F.lit(": "), c("_old_notes")))
-                                   .otherwise(F.lit(""))).alias("notes"))
-    lines = (db.order_items.where(c("quantity") > 0)
-             .join(heads.select(c("id").alias("_new"), c("parent_order_id").alias("_p")), c("order_id") == c("_p"))
-             .select(c("_new").alias("order_id"), "product_sku_id", "quantity"))
-    lines = C.assign_ids(lines, ["order_id", "product_sku_id"], C.next_id(db.order_items), "id").select(*ITEM_COLUMNS)
-    return {"orders": orders, "order_items": lines}
+    heads = once(lambda: C.assign_ids(
+        old.select(c("id").alias("parent_order_id"), "customer_id", c("notes").alias("_old_notes")),
+        ["parent_order_id"], C.next_id(db.orders), "id"))
+
+    def orders() -> DataFrame:
+        return heads().select(
+            "id", "parent_order_id", "customer_id", now.alias("order_date"),
+            F.lit(user_id).cast("long").alias("order_creator_id"), F.lit("Processing").alias("status"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.lit(user_id).cast("long").alias("updated_by"),
+            F.concat(F.lit("Re-created from #"), c("parent_order_id").cast("string"),
+                     F.when(c("_old_notes").isNotNull(), F.concat(F.lit(": "), c("_old_notes")))
+                     .otherwise(F.lit(""))).alias("notes"))
+
+    def lines() -> DataFrame:
+        rows = (db.order_items.where(c("quantity") > 0)
+                .join(heads().select(c("id").alias("_new"), c("parent_order_id").alias("_p")), c("order_id") == c("_p"))
+                .select(c("_new").alias("order_id"), "product_sku_id", "quantity"))
+        return C.assign_ids(rows, ["order_id", "product_sku_id"], C.next_id(db.order_items), "id").select(*ITEM_COLUMNS)
+
+    return Outputs(orders=orders, order_items=lines)
 
 
 def recreate_commands(db) -> DataFrame:
-    """Command table for K16 re-create: every fourth re-creatable canceled order."""
+    """Command table for K16 re-create: every re-creatable canceled order."""
     from spooltrace.plans.sales import canceled_orders
-    return canceled_orders(db).where(c("order_id") % 4 == 0).select("order_id")
+    return canceled_orders(db).select("order_id")
 
 
 SHIPMENT_COLUMNS = ["id", "customer_id", "order_id", "creator_id", "created_date", "ship_date", "delivery_date", "status",
                     "updated_at", "updated_by", "tracking_number", "carrier", "notes"]
 
 
-def apply_shipment(db, as_of: str, user_id: int = 1) -> dict[str, DataFrame]:
+def apply_shipment(db, as_of: str, user_id: int = 1) -> Outputs:
     """Every open order whose picking lines are all fully allocated by FIFO gets a Pending shipment with
     its allocated units and per-sku quantities (H13); the units move to PendingShipment and the order is
     Completed with three audit rows."""
     from spooltrace.plans import sales as H
-    alloc, lines = H.fifo_allocate(db, as_of)
-    open_orders = db.orders.where(c("status") == "Processing").select(c("id").alias("order_id"), "customer_id")
-    short = lines.where(c("is_short")).select(c("order_id").alias("_s")).distinct()
-    ship_orders = open_orders.join(short, c("order_id") == c("_s"), "left_anti")
-    heads = C.assign_ids(ship_orders, ["order_id"], C.next_id(db.shipments), "shipment_id")
     uid = F.lit(user_id).cast("long")
     now = F.lit(as_of).cast("timestamp_ntz")
-    shipments = heads.select(c("shipment_id").alias("id"), "customer_id", "order_id", uid.alias("creator_id"),
-                             now.alias("created_date"), F.lit(None).cast("timestamp_ntz").alias("ship_date"),
-                             F.lit(None).cast("timestamp_ntz").alias("delivery_date"), F.lit("Pending").alias("status"),
-                             F.lit(None).cast("timestamp_ntz").alias("updated_at"), uid.alias("updated_by"),
-                             F.lit(None).cast("string").alias("tracking_number"), F.lit(None).cast("string").alias("carrier"),
-                             F.lit("").alias("notes"))
-    units = alloc.join(heads.select("order_id", "shipment_id"), "order_id").select("shipment_id", c("product_id").alias(
-        "product_tracking_id"))
-    units = C.assign_ids(units, ["product_tracking_id"], C.next_id(db.shipment_unit_items), "id").select(
-        "id", "shipment_id", "product_tracking_id")
-    sku_items = (H.shipment_sku_items(db, as_of).join(heads.select("order_id", "shipment_id"), "order_id")
-                 .select("shipment_id", "product_sku_id", "quantity"))
-    sku_items = C.assign_ids(sku_items, ["shipment_id", "product_sku_id"], C.next_id(db.shipment_sku_items), "id").select(
-        "id", "shipment_id", "product_sku_id", "quantity")
-    stage = _stage_id(db, "PendingShipment")
-    cmd = (units.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
-           .select("product_tracking_id", c("_stage").alias("new_stage_id"), F.lit("Marked for Shipment").alias("reason"),
-                   uid.alias("user_id")))
-    moved = apply_stage_change(db.product_tracking, cmd, as_of)
-    done = heads.select("order_id", uid.alias("user_id"))
-    audit = _header_audit(db.orders, done, "Completed", "Shipment created", as_of, C.next_id(db.audit_log))
-    o = db.orders.join(done.select(c("order_id").alias("_oid")), c("id") == c("_oid"), "left")
-    hit = c("_oid").isNotNull()
-    orders = o.select(*[F.when(hit, "Completed").otherwise(c(x)).alias(x) if x == "status" else
-                        F.when(hit, now).otherwise(c(x)).alias(x) if x == "updated_at" else
-                        F.when(hit, uid).otherwise(c(x)).alias(x) if x == "updated_by" else c(x) for x in ORDER_COLUMNS])
-    return {"shipments": shipments, "shipment_unit_items": units, "shipment_sku_items": sku_items,
-            "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
-            "orders": orders, "audit_log": audit}
+    picked = once(lambda: H.fifo_allocate(db, as_of))
+
+    @once
+    def ship_orders() -> DataFrame:
+        short = picked()[1].where(c("is_short")).select(c("order_id").alias("_s")).distinct()
+        return (db.orders.where(c("status") == "Processing").select(c("id").alias("order_id"), "customer_id")
+                .join(short, c("order_id") == c("_s"), "left_anti"))
+
+    heads = once(lambda: C.assign_ids(ship_orders(), ["order_id"], C.next_id(db.shipments), "shipment_id"))
+    allocated = once(lambda: picked()[0].join(ship_orders().select("order_id"), "order_id", "left_semi").select(
+        "order_id", c("product_id").alias("product_tracking_id")))
+
+    def shipments() -> DataFrame:
+        none_ts, none_text = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+        return heads().select(
+            c("shipment_id").alias("id"), "customer_id", "order_id", uid.alias("creator_id"), now.alias("created_date"),
+            none_ts.alias("ship_date"), none_ts.alias("delivery_date"), F.lit("Pending").alias("status"),
+            none_ts.alias("updated_at"), uid.alias("updated_by"), none_text.alias("tracking_number"),
+            none_text.alias("carrier"), F.lit("").alias("notes"))
+
+    def units() -> DataFrame:
+        rows = allocated().join(heads().select("order_id", "shipment_id"), "order_id").drop("order_id")
+        return C.assign_ids(rows, ["product_tracking_id"], C.next_id(db.shipment_unit_items), "id").select(
+            "id", "shipment_id", "product_tracking_id")
+
+    def sku_items() -> DataFrame:
+        rows = (H.shipment_sku_items(db, as_of).join(heads().select("order_id", "shipment_id"), "order_id")
+                .select("shipment_id", "product_sku_id", "quantity"))
+        return C.assign_ids(rows, ["shipment_id", "product_sku_id"], C.next_id(db.shipment_sku_items), "id").select(
+            "id", "shipment_id", "product_sku_id", "quantity")
+
+    @once
+    def moved() -> Outputs:
+        cmd = (allocated().withColumn("_k", F.lit(1)).join(F.broadcast(_stage_id(db, "PendingShipment")), "_k")
+               .select("product_tracking_id", c("_stage").alias("new_stage_id"),
+                       F.lit("Marked for Shipment").alias("reason"), uid.alias("user_id")))
+        return apply_stage_change(db.product_tracking, cmd, as_of)
+
+    def orders() -> DataFrame:
+        o = db.orders.join(ship_orders().select(c("order_id").alias("_oid")), c("id") == c("_oid"), "left")
+        hit = c("_oid").isNotNull()
+        return o.select(*[F.when(hit, "Completed").otherwise(c(x)).alias(x) if x == "status" else
+                          F.when(hit, now).otherwise(c(x)).alias(x) if x == "updated_at" else
+                          F.when(hit, uid).otherwise(c(x)).alias(x) if x == "updated_by" else c(x) for x in ORDER_COLUMNS])
+
+    return Outputs(
+        shipments=shipments, shipment_unit_items=units, shipment_sku_items=sku_items, orders=orders,
+        product_tracking=lambda: moved()["product_tracking"],
+        product_status_history=lambda: moved()["product_status_history"],
+        audit_log=lambda: _header_audit(db.orders, ship_orders().select("order_id", uid.alias("user_id")), "Completed",
+                                        "Shipment created", as_of, C.next_id(db.audit_log)))
 
 
 # ---------------------------------------------------------------------------
@@ -970,9 +1099,9 @@ def apply_mount(db, commands: DataFrame, as_of: str) -> DataFrame:
 
 
 def mount_commands(db) -> DataFrame:
-    """Command table for K19 mount: every fifth mountable spool goes on a printer chosen from its id."""
+    """Command table for K19 mount: every mountable spool goes on a printer chosen from its id."""
     from spooltrace.plans.materials import mountable_filaments
-    m = mountable_filaments(db).where(c("id") % 5 == 0).groupBy("id").agg(F.max("weight_grams").alias("weight_grams"))
+    m = mountable_filaments(db).groupBy("id").agg(F.max("weight_grams").alias("weight_grams"))
     return m.select(c("id").alias("filament_tracking_id"), (F.lit(1) + c("id") % 7).alias("printer_id"),
                     (F.lit(1) + c("id") % 10).alias("mounted_by"), "weight_grams")
 
@@ -989,12 +1118,12 @@ def apply_unmount(mounting: DataFrame, commands: DataFrame, as_of: str) -> DataF
 
 
 def unmount_commands(db) -> DataFrame:
-    """Command table for K19 unmount: open mounts with id = 1 mod 4."""
-    return db.filament_mounting.where(c("unmounted_at").isNull() & (c("id") % 4 == 1)).select(
+    """Command table for K19 unmount: every open mount."""
+    return db.filament_mounting.where(c("unmounted_at").isNull()).select(
         c("id").alias("mount_id"), (F.lit(1) + c("id") % 10).alias("user_id"))
 
 
-def apply_weight_update(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_weight_update(db, commands: DataFrame, as_of: str) -> Outputs:
     """K19 (weight): rows (filament_pk, new_weight, reason, user_id) -> the 'In Use' mount's remaining weight
     when the spool has one, else the spool's weight; audited (numeric compare, unchanged skipped)."""
     C.check_unique(commands, ["filament_pk"])
@@ -1009,17 +1138,16 @@ def apply_weight_update(db, commands: DataFrame, as_of: str) -> dict[str, DataFr
                 .select(c("_fid").alias("record_id"), F.lit("weight_grams").alias("field_name"),
                         c("_w").cast("string").alias("old_value"), c("new_weight").cast("string").alias("new_value"),
                         "reason", c("user_id").alias("changed_by")))
-    start = C.next_id(db.audit_log)
-    m = apply_field_changes(db.filament_mounting, "filament_mounting", to_mount, as_of, audit_start=start)
-    n_m = m["audit_log"].count()
-    s = apply_field_changes(db.filaments, "filaments", to_spool, as_of, audit_start=start + n_m)
-    return {"filament_mounting": m["filament_mounting"], "filaments": s["filaments"],
-            "audit_log": m["audit_log"].unionByName(s["audit_log"])}
+    m = apply_field_changes(db.filament_mounting, "filament_mounting", to_mount, as_of, _next_audit(db))
+    s = apply_field_changes(db.filaments, "filaments", to_spool, as_of,
+                            lambda: C.next_id(db.audit_log) + m["audit_log"].count())  # after the mounts' rows
+    return m.only("filament_mounting") | s.only("filaments") | Outputs(
+        audit_log=lambda: m["audit_log"].unionByName(s["audit_log"]))
 
 
 def weight_commands(db) -> DataFrame:
-    """Command table for K19 weight: every ninth spool is re-weighed (value from its id)."""
-    return db.filaments.where(c("id") % 9 == 0).select(
+    """Command table for K19 weight: every spool is re-weighed (value from its id)."""
+    return db.filaments.select(
         c("id").alias("filament_pk"), ((c("id") * 7) % 1000 + F.lit(0.5)).cast("decimal(10,2)").alias("new_weight"),
         F.lit("reweigh").alias("reason"), F.lit(1).cast("long").alias("user_id"))
 
@@ -1027,7 +1155,7 @@ def weight_commands(db) -> DataFrame:
 REASON_COLUMNS = ["id", "reason_code", "reason_label", "category", "default_outcome", "severity", "is_active"]
 
 
-def apply_reasons(db, upserts: DataFrame, contexts: DataFrame) -> dict[str, DataFrame]:
+def apply_reasons(db, upserts: DataFrame, contexts: DataFrame) -> Outputs:
     """Upserts (reason_id or NULL, reason_code, reason_label, category, default_outcome, severity,
     is_active) update by id or insert; contexts (reason_code, context_id) replace the context set of every
     reason they name (duplicates dropped)."""
@@ -1039,15 +1167,18 @@ def apply_reasons(db, upserts: DataFrame, contexts: DataFrame) -> dict[str, Data
     hit = c("_id").isNotNull()
     updated = j.select(*[c(x) if x == "id" else F.when(hit, c(f"_n_{x}")).otherwise(c(x)).alias(x) for x in REASON_COLUMNS])
     new = upserts.where(c("reason_id").isNull()).drop("reason_id")
-    new = C.assign_ids(new, ["reason_code"], C.next_id(r), "id").select(*REASON_COLUMNS)
-    reasons = updated.unionByName(new)
-    ids = reasons.select(c("id").alias("reason_id"), c("reason_code").alias("_code"))
-    wanted = contexts.join(ids, c("reason_code") == c("_code")).select("reason_id", "context_id").distinct()
-    touched = wanted.select(c("reason_id").alias("_r")).distinct()
-    kept = db.issue_reason_contexts.join(touched, c("reason_id") == c("_r"), "left_anti")
-    added = C.assign_ids(wanted, ["reason_id", "context_id"], C.next_id(db.issue_reason_contexts), "id").select(
-        "id", "reason_id", "context_id")
-    return {"issue_reasons": reasons, "issue_reason_contexts": kept.unionByName(added)}
+    reasons = once(lambda: updated.unionByName(C.assign_ids(new, ["reason_code"], C.next_id(r), "id").select(*REASON_COLUMNS)))
+
+    def context_links() -> DataFrame:
+        ids = reasons().select(c("id").alias("reason_id"), c("reason_code").alias("_code"))
+        wanted = contexts.join(ids, c("reason_code") == c("_code")).select("reason_id", "context_id").distinct()
+        touched = wanted.select(c("reason_id").alias("_r")).distinct()
+        kept = db.issue_reason_contexts.join(touched, c("reason_id") == c("_r"), "left_anti")
+        added = C.assign_ids(wanted, ["reason_id", "context_id"], C.next_id(db.issue_reason_contexts), "id").select(
+            "id", "reason_id", "context_id")
+        return kept.unionByName(added)
+
+    return Outputs(issue_reasons=reasons, issue_reason_contexts=context_links)
 
 
 def reason_commands(db) -> tuple[DataFrame, DataFrame]:
@@ -1096,16 +1227,15 @@ def apply_users(db, users: DataFrame, logins: DataFrame) -> DataFrame:
 
 
 def login_commands(db, round_no: int) -> DataFrame:
-    """Sign-in table for K22: one sign-in per supplier in round 1; in round 2 every other one signs in again
-    with a changed name."""
-    s = db.src("supplier").where("s_suppkey % 2 = 0" if round_no == 2 else "TRUE")
+    """Sign-in table for K22: one sign-in per supplier; in round 2 each signs in again with a changed name."""
+    s = db.src("supplier")
     name = F.concat(F.lit("Anna Maria "), c("s_name")) if round_no == 2 else c("s_name")
     return s.select(F.concat(F.lit("oid-"), c("s_suppkey").cast("string")).alias("oid"),
                     F.concat(F.lit("user"), c("s_suppkey").cast("string"), F.lit("@plant.example")).alias("upn"),
                     F.when(c("s_suppkey") % 5 == 0, F.lit(None)).otherwise(name).alias("display_name"))
 
 
-def apply_new_lids(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_new_lids(db, commands: DataFrame, as_of: str) -> Outputs:
     """K23 (lids): rows (serial_number, quantity, location_id, received_by, qc_result) -> new lid batches with a
     trimmed serial; serials already present (or repeated in the input) are rejected into a report."""
     cm = commands.withColumn("serial_number", F.trim(c("serial_number")))
@@ -1114,10 +1244,10 @@ def apply_new_lids(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
     rejected = (cm.join(existing, "serial_number", "left_semi").select("serial_number", F.lit("exists").alias("why"))
                 .unionByName(dup_in.select("serial_number", F.lit("repeated").alias("why"))))
     ok = cm.join(existing, "serial_number", "left_anti").join(dup_in, "serial_number", "left_anti")
-    new = C.assign_ids(ok.select("serial_number", c("quantity").cast("long"), c("location_id").cast("long"),
-                                 F.lit(as_of).cast("timestamp_ntz").alias("received_at"), c("received_by").cast("long"),
-                                 "qc_result"), ["serial_number"], C.next_id(db.lids), "id")
-    return {"lids": new.select(*db.lids.columns), "rejected": rejected}
+    rows = ok.select("serial_number", c("quantity").cast("long"), c("location_id").cast("long"),
+                     F.lit(as_of).cast("timestamp_ntz").alias("received_at"), c("received_by").cast("long"), "qc_result")
+    return Outputs(lids=lambda: C.assign_ids(rows, ["serial_number"], C.next_id(db.lids), "id").select(*db.lids.columns),
+                   rejected=lambda: rejected)
 
 
 def lid_commands(db) -> DataFrame:
@@ -1128,24 +1258,24 @@ def lid_commands(db) -> DataFrame:
                     F.lit(1).alias("received_by"), F.lit("PASS").alias("qc_result"))
 
 
-def apply_new_customers(db, names: DataFrame) -> dict[str, DataFrame]:
+def apply_new_customers(db, names: DataFrame) -> Outputs:
     """K23 (customers): names -> new customers (trimmed, non-blank); existing or repeated names rejected."""
     n = names.select(F.trim(c("customer_name")).alias("customer_name")).where(c("customer_name") != "")
     dup_in = n.groupBy("customer_name").count().where(c("count") > 1).select("customer_name")
     existing = db.customers.select("customer_name")
     ok = n.join(existing, "customer_name", "left_anti").join(dup_in, "customer_name", "left_anti")
-    new = C.assign_ids(ok, ["customer_name"], C.next_id(db.customers), "id").select("id", "customer_name")
     rejected = (n.join(existing, "customer_name", "left_semi").select("customer_name", F.lit("exists").alias("why"))
                 .unionByName(dup_in.select("customer_name", F.lit("repeated").alias("why"))))
-    return {"customers": new, "rejected": rejected}
+    return Outputs(customers=lambda: C.assign_ids(ok, ["customer_name"], C.next_id(db.customers), "id").select(
+        "id", "customer_name"), rejected=lambda: rejected)
 
 
 def customer_commands(db) -> DataFrame:
-    """Command table for K23 customers: one new account per nation and market segment, plus re-sent names."""
+    """Command table for K23 customers: one new account per nation and market segment, plus every name sent again."""
     c1 = (db.src("customer").select("c_nationkey", "c_mktsegment").distinct()
           .select(F.concat(F.lit(" Account "), c("c_mktsegment"), F.lit(" "), c("c_nationkey").cast("string")).alias(
               "customer_name")))
-    c2 = db.src("customer").where("c_custkey % 97 = 0").select(c("c_name").alias("customer_name"))
+    c2 = db.src("customer").select(c("c_name").alias("customer_name"))
     return c1.unionByName(c2)
 
 
@@ -1155,57 +1285,54 @@ def customer_commands(db) -> DataFrame:
 
 def apply_qc_edit(db, edits: DataFrame, as_of: str, table: str = "product_quality_control",
                   result_field: str = "inspection_result", source: str = "Harvest QC", other_status: str = "A-Ware",
-                  move_reason: str = "QC edit: moved to Quarantine") -> dict[str, DataFrame]:
+                  move_reason: str = "QC edit: moved to Quarantine") -> Outputs:
     """K7: edit rows (qc_id, product_tracking_id, field_name, old_value, new_value, reason, user_id) ->
     audited QC field changes; a changed inspection result re-maps the unit's status (default A-Ware) and a
     new 'Quarantine' result adds a 'Harvest QC' quarantine row (from the current stage) and moves the unit
     to stage Quarantine. The post-treatment form edits ``post_treatment_inspections`` the same way."""
     changes = edits.select(c("qc_id").alias("record_id"), "field_name", "old_value", "new_value", "reason",
                            c("user_id").alias("changed_by"))
-    res = apply_field_changes(getattr(db, table), table, changes, as_of,
-                              audit_start=C.next_id(db.audit_log))
-    changed = res["audit_log"].where(c("field_name") == result_field).select(c("record_id").alias("_qc"),
-                                                                                  c("new_value").alias("_res"))
-    hits = (edits.where(c("field_name") == result_field)
-            .join(changed, (c("qc_id") == c("_qc")) & (c("new_value") == c("_res")))
-            .select("product_tracking_id", c("new_value").alias("result"), "reason", "user_id"))
+    res = apply_field_changes(getattr(db, table), table, changes, as_of, _next_audit(db))
+    # an edit that sets what is there already is no hit
+    hits = edits.where((c("field_name") == result_field) & (_py_str(c("old_value")) != _py_str(c("new_value")))).select(
+        "product_tracking_id", c("new_value").alias("result"), "reason", "user_id")
     C.check_unique(hits, ["product_tracking_id"])
-    status = hits.select("product_tracking_id", X.business_status(c("result"), other_status).alias("status_name"))
-    tracking = apply_status_change(db.product_tracking, db.product_statuses, status, as_of)
     q = hits.where(c("result") == "Quarantine")
-    t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
     now = F.lit(as_of).cast("timestamp_ntz")
-    quar = (q.join(t, c("product_tracking_id") == c("_tid"))
-            .select("product_tracking_id", "from_stage_id", F.lit(source).alias("source"),
-                    F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
-                    c("user_id").alias("quarantined_by"), F.nullif(c("reason"), F.lit("")).alias("quarantine_reason"),
-                    F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
-                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
-    quar = C.assign_ids(quar, ["product_tracking_id"], C.next_id(db.quarantined_products), "id").select(
-        *QUARANTINE_COLUMNS)
     stage = _stage_id(db, "Quarantine")
     cmd = (q.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"),
                    F.lit(move_reason).alias("reason"), "user_id"))
-    moved = apply_stage_change(tracking, cmd, as_of)
-    return {table: res[table], "audit_log": res["audit_log"],
-            "product_tracking": moved["product_tracking"], "product_status_history": moved["product_status_history"],
-            "quarantined_products": quar}
+    status = hits.select("product_tracking_id", X.business_status(c("result"), other_status).alias("status_name"))
+    moved = apply_stage_change(db.product_tracking, cmd, as_of)
+
+    def quarantines() -> DataFrame:
+        t = db.product_tracking.select(c("id").alias("_tid"), c("current_stage_id").alias("from_stage_id"))
+        return _numbered_quarantines(db, q.join(t, c("product_tracking_id") == c("_tid")).select(
+            "product_tracking_id", "from_stage_id", F.lit(source).alias("source"),
+            F.lit(None).cast("long").alias("location_id"), now.alias("quarantine_date"),
+            c("user_id").alias("quarantined_by"), F.nullif(c("reason"), F.lit("")).alias("quarantine_reason"),
+            F.lit("Active").alias("quarantine_status"), F.lit(None).cast("string").alias("result"),
+            F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("long").alias("resolved_by")))
+
+    return res | moved | Outputs(
+        quarantined_products=quarantines,
+        product_tracking=lambda: apply_status_change(moved["product_tracking"], db.product_statuses, status, as_of))
 
 
 RESULT_CYCLE = [("Passed", "B-Ware"), ("B-Ware", "Quarantine"), ("Quarantine", "Waste"), ("Waste", "Passed")]
 
 
 def qc_edit_commands(db) -> DataFrame:
-    """Command table for K7: QC rows with id = 0 mod 13 get the next result in a fixed cycle; id = 1 mod 13 get a note."""
+    """Command table for K7: every QC row gets the next result in a fixed cycle and a note."""
     nxt = None
     for a, b in RESULT_CYCLE:
         nxt = F.when(c("inspection_result") == a, b) if nxt is None else nxt.when(c("inspection_result") == a, b)
     qc = db.product_quality_control
-    res = qc.where(c("id") % 13 == 0).select(c("id").alias("qc_id"), "product_tracking_id",
+    res = qc.select(c("id").alias("qc_id"), "product_tracking_id",
                                              F.lit("inspection_result").alias("field_name"),
                                              c("inspection_result").alias("old_value"), nxt.alias("new_value"))
-    notes = qc.where(c("id") % 13 == 1).select(c("id").alias("qc_id"), "product_tracking_id",
+    notes = qc.select(c("id").alias("qc_id"), "product_tracking_id",
                                                F.lit("notes").alias("field_name"), c("notes").alias("old_value"),
                                                F.lit("rechecked").alias("new_value"))
     return res.unionByName(notes).select("*", F.lit("QC correction").alias("reason"),
@@ -1219,7 +1346,7 @@ class SpecError(ValueError):
     pass
 
 
-def apply_print_specs(db, specs: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_print_specs(db, specs: DataFrame, as_of: str) -> Outputs:
     """K20 (specs): rows (sku_id, height_mm, diameter_mm, average_weight_g, weight_buffer_g, reason, changed_by)
     -> specs upserted by sku; every field audited (old 'None' on create, unchanged fields skipped).
     Sizes must be > 0, the buffer >= 0 and a reason given (checked before anything is written)."""
@@ -1230,16 +1357,15 @@ def apply_print_specs(db, specs: DataFrame, as_of: str) -> dict[str, DataFrame]:
         raise SpecError(f"invalid print spec row: {bad[0].asDict()}")
     target = db.product_print_specs
     src = specs.select("sku_id", *[c(f).cast(target.schema[f].dataType).alias(f) for f in SPEC_FIELDS])
-    new_specs, _ = C.merge_upsert(target, src, ["sku_id"], set_cols=SPEC_FIELDS, id_col=None)
     old = target.select(c("sku_id").alias("_s"), *[c(f).alias(f"_o_{f}") for f in SPEC_FIELDS])
     j = specs.join(old, c("sku_id") == c("_s"), "left")
     changes = j.select(c("sku_id").alias("record_id"), "reason", "changed_by", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field_name"), c(f"_o_{f}").cast("string").alias("old_value"),
                  c(f).cast(target.schema[f].dataType).cast("string").alias("new_value"), F.lit(i).alias("seq"))
         for i, f in enumerate(SPEC_FIELDS)])).alias("ch")).select("record_id", "reason", "changed_by", "ch.*")
-    audit = apply_field_changes(target, "product_print_specs", changes, as_of, audit_start=C.next_id(db.audit_log),
-                                update=False)["audit_log"]
-    return {"product_print_specs": new_specs, "audit_log": audit}
+    audit = apply_field_changes(target, "product_print_specs", changes, as_of, _next_audit(db), update=False)
+    return audit | Outputs(product_print_specs=lambda: C.merge_upsert(
+        target, src, ["sku_id"], set_cols=SPEC_FIELDS, id_col=None)[0])
 
 
 def spec_commands(db) -> DataFrame:
@@ -1262,7 +1388,7 @@ def spec_commands(db) -> DataFrame:
 # Undo paths: K5 harvest undo, K8 remove from batch, K19 acclimatization and restore
 # ---------------------------------------------------------------------------
 
-def apply_harvest_undo(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_harvest_undo(db, commands: DataFrame, as_of: str) -> Outputs:
     """K5 (undo): rows (harvest_id, user_id, reason) -> the harvest and its unit removed, the request back to
     Pending (audited, unchanged statuses skipped)."""
     C.check_unique(commands, ["harvest_id"])
@@ -1273,19 +1399,17 @@ def apply_harvest_undo(db, commands: DataFrame, as_of: str) -> dict[str, DataFra
     changes = req.select(c("request_id").alias("record_id"), F.lit("status").alias("field_name"),
                          c("_st").alias("old_value"), F.lit("Pending").alias("new_value"), "reason",
                          c("user_id").alias("changed_by"))
-    res = apply_field_changes(db.product_requests, "product_requests", changes, as_of,
-                              audit_start=C.next_id(db.audit_log))
-    return {"product_harvest": h, "product_tracking": t, "product_requests": res["product_requests"],
-            "audit_log": res["audit_log"]}
+    return apply_field_changes(db.product_requests, "product_requests", changes, as_of, _next_audit(db)) | Outputs(
+        product_harvest=lambda: h, product_tracking=lambda: t)
 
 
 def harvest_undo_commands(db) -> DataFrame:
-    """Command table for K5 undo: every 97th harvest is undone."""
-    return db.product_harvest.where(c("id") % 97 == 0).select(
-        c("id").alias("harvest_id"), F.lit(1).cast("long").alias("user_id"), F.lit("printed in error").alias("reason"))
+    """Command table for K5 undo: the harvest of every unit that is still in the first stage is undone."""
+    return db.product_tracking.where(c("current_stage_id") == 1).select("harvest_id").distinct().select(
+        "harvest_id", F.lit(1).cast("long").alias("user_id"), F.lit("printed in error").alias("reason"))
 
 
-def apply_remove_from_batch(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_remove_from_batch(db, commands: DataFrame, as_of: str) -> Outputs:
     """K8 (remove): rows (batch_product_id, product_tracking_id, user_id, reason) -> the batch link deleted with
     an audit row (DELETED No -> Yes) and the unit back to QMTreatmentApproval."""
     C.check_unique(commands, ["batch_product_id"])
@@ -1295,20 +1419,19 @@ def apply_remove_from_batch(db, commands: DataFrame, as_of: str) -> dict[str, Da
                             c("batch_product_id").alias("record_id"), F.lit("DELETED").alias("field_name"),
                             F.lit("No").alias("old_value"), F.lit("Yes").alias("new_value"), "reason",
                             c("user_id").alias("changed_by"), F.lit(as_of).cast("timestamp_ntz").alias("changed_at"))
-    audit = C.assign_ids(audit, ["record_id"], C.next_id(db.audit_log), "id").select(*AUDIT_COLUMNS)
     stage = _stage_id(db, "QMTreatmentApproval")
     cmd = (commands.withColumn("_k", F.lit(1)).join(F.broadcast(stage), "_k")
            .select("product_tracking_id", c("_stage").alias("new_stage_id"),
                    F.lit("Removed from treatment batch").alias("reason"), "user_id"))
-    return {"treatment_batch_products": links, "audit_log": audit,
-            **apply_stage_change(db.product_tracking, cmd, as_of)}
+    return apply_stage_change(db.product_tracking, cmd, as_of) | Outputs(
+        treatment_batch_products=lambda: links,
+        audit_log=lambda: C.assign_ids(audit, ["record_id"], C.next_id(db.audit_log), "id").select(*AUDIT_COLUMNS))
 
 
 def remove_from_batch_commands(db) -> DataFrame:
-    """Command table for K8 remove: every 11th link of a batch still out for treatment."""
+    """Command table for K8 remove: every link of a batch still out for treatment."""
     tb = db.treatment_batches.where(c("status") == "Shipped").select(c("id").alias("_b"))
     return (db.treatment_batch_products.join(tb, c("batch_id") == c("_b"))
-            .where(c("id") % 11 == 0)
             .select(c("id").alias("batch_product_id"), "product_tracking_id", F.lit(1).cast("long").alias("user_id"),
                     F.lit("wrong batch").alias("reason")))
 
@@ -1326,13 +1449,13 @@ def apply_acclimatize(db, commands: DataFrame, as_of: str) -> DataFrame:
 
 
 def acclimatize_commands(db) -> DataFrame:
-    """Command table for K19 acclimatize: every third PASS spool in storage."""
+    """Command table for K19 acclimatize: every PASS spool in storage."""
     from spooltrace.plans.materials import filaments_in_storage
-    return filaments_in_storage(db).where(c("id") % 3 == 0).select(
+    return filaments_in_storage(db).select(
         c("id").alias("filament_tracking_id"), F.lit(1).cast("long").alias("user_id")).distinct()
 
 
-def apply_delete_acclimatization(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_delete_acclimatization(db, commands: DataFrame, as_of: str) -> Outputs:
     """K19 (delete): rows (acclimatization_id, user_id, reason) -> the record deleted with three audit rows
     (status, moved_at, moved_by -> DELETED)."""
     a = db.filament_acclimatization
@@ -1344,19 +1467,18 @@ def apply_delete_acclimatization(db, commands: DataFrame, as_of: str) -> dict[st
         F.struct(F.lit("moved_by").alias("field_name"), _py_str(c("moved_by")).alias("old_value"), F.lit(2).alias("seq"))))
         .alias("ch")).select("record_id", "ch.field_name", "ch.old_value", F.lit("DELETED").alias("new_value"), "reason",
                              "changed_by", "ch.seq")
-    audit = apply_field_changes(a, "filament_acclimatization", audit, as_of, audit_start=C.next_id(db.audit_log),
-                                update=False)["audit_log"]
+    res = apply_field_changes(a, "filament_acclimatization", audit, as_of, _next_audit(db), update=False)
     kept = a.join(commands.select(c("acclimatization_id").alias("_d")), c("id") == c("_d"), "left_anti")
-    return {"filament_acclimatization": kept, "audit_log": audit}
+    return res | Outputs(filament_acclimatization=lambda: kept)
 
 
 def delete_acclimatization_commands(db) -> DataFrame:
-    """Command table for K19 delete: every seventh acclimatization record."""
-    return db.filament_acclimatization.where(c("id") % 7 == 0).select(
+    """Command table for K19 delete: every acclimatization that is not complete."""
+    return db.filament_acclimatization.where(c("status") == "Acclimatizing").select(
         c("id").alias("acclimatization_id"), F.lit(1).cast("long").alias("user_id"), F.lit("entered twice").alias("reason"))
 
 
-def apply_restore_mount(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_restore_mount(db, commands: DataFrame, as_of: str) -> Outputs:
     """K19 (restore): rows (mount_id, user_id, reason) -> the mount is 'In Use' again with its unmount fields
     cleared; each field that changes is audited."""
     m = db.filament_mounting.join(commands, c("id") == c("mount_id"))
@@ -1367,20 +1489,19 @@ def apply_restore_mount(db, commands: DataFrame, as_of: str) -> dict[str, DataFr
                  F.lit(None).cast("string").alias("new_value"), F.lit(1).alias("seq")),
         F.struct(F.lit("status").alias("field_name"), c("status").alias("old_value"), F.lit("In Use").alias("new_value"),
                  F.lit(2).alias("seq")))).alias("x")).select("record_id", "reason", "changed_by", "x.*")
-    res = apply_field_changes(db.filament_mounting, "filament_mounting", ch, as_of, audit_start=C.next_id(db.audit_log))
-    return res
+    return apply_field_changes(db.filament_mounting, "filament_mounting", ch, as_of, _next_audit(db))
 
 
 def restore_mount_commands(db) -> DataFrame:
-    """Command table for K19 restore: unmounted mounts with id = 1 mod 5."""
-    return db.filament_mounting.where(c("unmounted_at").isNotNull() & (c("id") % 5 == 1)).select(
+    """Command table for K19 restore: every unmounted mount."""
+    return db.filament_mounting.where(c("unmounted_at").isNotNull()).select(
         c("id").alias("mount_id"), F.lit(1).cast("long").alias("user_id"), F.lit("unmounted by mistake").alias("reason"))
 
 
 SKU_COLUMNS = ["id", "product_type_id", "sku", "name", "is_serialized", "is_bundle", "pack_qty", "is_active"]
 
 
-def apply_sku_create(db, rows: DataFrame) -> dict[str, DataFrame]:
+def apply_sku_create(db, rows: DataFrame) -> Outputs:
     """K20 (create): rows (sku, name, product_type_id, is_serialized, is_bundle, pack_qty) -> new active skus with
     trimmed code and name, pack quantity 1 unless a bundle; blank code/name, non-positive pack quantity,
     existing or repeated codes are rejected into a report."""
@@ -1399,9 +1520,9 @@ def apply_sku_create(db, rows: DataFrame) -> dict[str, DataFrame]:
         "product_type_id", "sku", "name", "is_serialized", "is_bundle",
         F.when(c("is_bundle"), c("pack_qty")).otherwise(F.lit(1)).cast("long").alias("pack_qty"),
         F.lit(True).alias("is_active"))
-    new = C.assign_ids(ok, ["sku"], C.next_id(db.product_skus), "id").select(*SKU_COLUMNS)
-    return {"product_skus": db.product_skus.unionByName(new), "new_skus": new,
-            "rejected": checked.where(c("why").isNotNull()).select("sku", "why")}
+    new = once(lambda: C.assign_ids(ok, ["sku"], C.next_id(db.product_skus), "id").select(*SKU_COLUMNS))
+    return Outputs(product_skus=lambda: db.product_skus.unionByName(new()), new_skus=new,
+                   rejected=lambda: checked.where(c("why").isNotNull()).select("sku", "why"))
 
 
 def _blank_col(col):
@@ -1422,9 +1543,9 @@ def sku_create_commands(db) -> DataFrame:
     return brands.unionByName(extra)
 
 
-def apply_sku_update(db, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_sku_update(db, changes: DataFrame, as_of: str) -> Outputs:
     """K20 (update): audited field changes on skus (K3 rules)."""
-    return apply_field_changes(db.product_skus, "product_skus", changes, as_of, audit_start=C.next_id(db.audit_log))
+    return apply_field_changes(db.product_skus, "product_skus", changes, as_of, _next_audit(db))
 
 
 def sku_activity_changes(db) -> DataFrame:

@@ -7,26 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.operators import merge as C
-from spooltrace.plans.transitions import (HISTORY_COLUMNS, ITEM_COLUMNS, ORDER_COLUMNS, RESULT_CYCLE, apply_field_changes,
-                                          apply_qc_edit)
+from spooltrace.operators.outputs import Outputs, once
+from spooltrace.plans.transitions import (HISTORY_COLUMNS, ITEM_COLUMNS, ORDER_COLUMNS, RESULT_CYCLE, _next_audit,
+                                          apply_field_changes, apply_qc_edit)
 
 c = F.col
 
 
-def apply_order_create(db, headers: DataFrame, lines: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_order_create(db, headers: DataFrame, lines: DataFrame, as_of: str) -> Outputs:
     """K16 (create): header rows (order_key, customer_id, parent_order_id, created_by, notes) and line rows
     (order_key, product_sku_id, quantity) -> new Processing orders with their positive lines."""
     C.check_unique(headers, ["order_key"])
-    heads = C.assign_ids(headers, ["order_key"], C.next_id(db.orders), "id")
-    orders = heads.select("id", c("parent_order_id").cast("long"), "customer_id",
-                          F.lit(as_of).cast("timestamp_ntz").alias("order_date"),
-                          c("created_by").cast("long").alias("order_creator_id"), F.lit("Processing").alias("status"),
-                          F.lit(None).cast("timestamp_ntz").alias("updated_at"),
-                          c("created_by").cast("long").alias("updated_by"), c("notes").cast("string").alias("notes"))
-    items = (lines.where(c("quantity") > 0).join(heads.select("order_key", c("id").alias("order_id")), "order_key")
-             .select("order_id", "product_sku_id", "quantity"))
-    items = C.assign_ids(items, ["order_id", "product_sku_id"], C.next_id(db.order_items), "id")
-    return {"orders": orders.select(*ORDER_COLUMNS), "order_items": items.select(*ITEM_COLUMNS)}
+    heads = once(lambda: C.assign_ids(headers, ["order_key"], C.next_id(db.orders), "id"))
+
+    def orders() -> DataFrame:
+        return heads().select(
+            "id", c("parent_order_id").cast("long"), "customer_id", F.lit(as_of).cast("timestamp_ntz").alias("order_date"),
+            c("created_by").cast("long").alias("order_creator_id"), F.lit("Processing").alias("status"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"), c("created_by").cast("long").alias("updated_by"),
+            c("notes").cast("string").alias("notes")).select(*ORDER_COLUMNS)
+
+    def items() -> DataFrame:
+        rows = (lines.where(c("quantity") > 0).join(heads().select("order_key", c("id").alias("order_id")), "order_key")
+                .select("order_id", "product_sku_id", "quantity"))
+        return C.assign_ids(rows, ["order_id", "product_sku_id"], C.next_id(db.order_items), "id").select(*ITEM_COLUMNS)
+
+    return Outputs(orders=orders, order_items=items)
 
 
 def order_create_commands(db) -> tuple[DataFrame, DataFrame]:
@@ -52,27 +58,33 @@ def request_cancel_commands(db) -> DataFrame:
     return db.product_requests.where((c("status") == "Pending") & c("is_tech_transfer")).select(c("id").alias("request_id"))
 
 
-def apply_storage_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_storage_edit(db, edits: DataFrame, as_of: str) -> Outputs:
     """K14 (edit): rows (product_tracking_id, field_name, old_value, new_value, reason, user_id) -> audited field
     changes of the units; the field ``current_status`` names a stage, which the unit takes with a history row."""
     changes = edits.select(c("product_tracking_id").alias("record_id"), "field_name", "old_value", "new_value", "reason",
                            c("user_id").alias("changed_by"))
-    res = apply_field_changes(db.product_tracking, "product_tracking", changes, as_of, audit_start=C.next_id(db.audit_log))
+    res = apply_field_changes(db.product_tracking, "product_tracking", changes, as_of, _next_audit(db))
     stages = db.lifecycle_stages.groupBy(c("stage_name").alias("_name")).agg(F.min("id").alias("_new"))
     moves = (edits.where(c("field_name") == "current_status").join(stages, c("new_value") == c("_name"))
              .select(c("product_tracking_id").alias("_unit"), "_new", c("user_id").alias("_by")))
     C.check_unique(moves, ["_unit"])
     now = F.lit(as_of).cast("timestamp_ntz")
-    j = res["product_tracking"].join(moves, c("id") == c("_unit"), "left")
     hit = c("_unit").isNotNull()
-    tracking = j.select(*[
-        F.when(hit, c("_new")).otherwise(c(x)).alias(x) if x == "current_stage_id" else
-        F.when(hit, now).otherwise(c(x)).alias(x) if x == "last_updated_at" else c(x) for x in db.product_tracking.columns])
-    hist = j.where(hit).select(c("id").alias("product_tracking_id"), c("current_stage_id").alias("from_stage_id"),
-                               c("_new").alias("to_stage_id"), F.lit("Update from storage location edit.").alias("reason"),
-                               c("_by").cast("long").alias("changed_by"), now.alias("changed_at"))
-    hist = C.assign_ids(hist, ["product_tracking_id"], 1, "id").select(*HISTORY_COLUMNS)
-    return {"product_tracking": tracking, "product_status_history": hist, "audit_log": res["audit_log"]}
+
+    def tracking() -> DataFrame:
+        return res["product_tracking"].join(moves, c("id") == c("_unit"), "left").select(*[
+            F.when(hit, c("_new")).otherwise(c(x)).alias(x) if x == "current_stage_id" else
+            F.when(hit, now).otherwise(c(x)).alias(x) if x == "last_updated_at" else c(x)
+            for x in db.product_tracking.columns])
+
+    def history() -> DataFrame:
+        rows = db.product_tracking.join(moves, c("id") == c("_unit")).select(
+            c("id").alias("product_tracking_id"), c("current_stage_id").alias("from_stage_id"),
+            c("_new").alias("to_stage_id"), F.lit("Update from storage location edit.").alias("reason"),
+            c("_by").cast("long").alias("changed_by"), now.alias("changed_at"))
+        return C.assign_ids(rows, ["product_tracking_id"], 1, "id").select(*HISTORY_COLUMNS)
+
+    return res.only("audit_log") | Outputs(product_tracking=tracking, product_status_history=history)
 
 
 def storage_edit_commands(db) -> DataFrame:
@@ -87,24 +99,23 @@ def storage_edit_commands(db) -> DataFrame:
         F.lit("shelf check").alias("reason"), F.lit(2).alias("user_id"))
 
 
-def _new_rows(table: DataFrame, key: str, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def _new_rows(name: str, table: DataFrame, key: str, commands: DataFrame, as_of: str) -> Outputs:
     """Rows whose key is neither present nor repeated become new rows; the others are reported."""
     repeated = commands.groupBy(key).count().where(c("count") > 1).select(key)
     present = table.select(key).join(commands.select(key), key, "left_semi").distinct()
     fine = commands.join(present, key, "left_anti").join(repeated, key, "left_anti").withColumn(
         "received_at", F.lit(as_of).cast("timestamp_ntz"))
     fine = fine.select(*[c(x).cast(table.schema[x].dataType).alias(x) for x in table.columns if x != "id"])
-    new = C.assign_ids(fine, [key], C.next_id(table), "id").select(*table.columns)
     rejected = (commands.join(present, key, "left_semi").select(key, F.lit("exists").alias("why"))
                 .unionByName(repeated.select(key, F.lit("repeated").alias("why"))))
-    return {"new": new, "rejected": rejected}
+    return Outputs(**{name: lambda: C.assign_ids(fine, [key], C.next_id(table), "id").select(*table.columns)},
+                   rejected=lambda: rejected)
 
 
-def apply_new_spools(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_new_spools(db, commands: DataFrame, as_of: str) -> Outputs:
     """K23 (spools): rows (filament_id, serial_number, lot_number, location_id, weight_grams, received_by, qc_result)
     -> new spools; spool numbers already present or repeated are rejected into a report."""
-    out = _new_rows(db.filaments, "filament_id", commands, as_of)
-    return {"filaments": out["new"], "rejected": out["rejected"]}
+    return _new_rows("filaments", db.filaments, "filament_id", commands, as_of)
 
 
 def spool_commands(db) -> DataFrame:
@@ -117,10 +128,10 @@ def spool_commands(db) -> DataFrame:
                     F.lit(1).alias("received_by"), F.lit("PASS").alias("qc_result"))
 
 
-def apply_new_seals(db, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_new_seals(db, commands: DataFrame, as_of: str) -> Outputs:
     """K23 (seals): as for lids: trimmed serials; present or repeated ones are rejected into a report."""
-    out = _new_rows(db.seals, "serial_number", commands.withColumn("serial_number", F.trim(c("serial_number"))), as_of)
-    return {"seals": out["new"], "rejected": out["rejected"]}
+    trimmed = commands.withColumn("serial_number", F.trim(c("serial_number")))
+    return _new_rows("seals", db.seals, "serial_number", trimmed, as_of)
 
 
 def seal_commands(db) -> DataFrame:
@@ -131,9 +142,9 @@ def seal_commands(db) -> DataFrame:
                     F.lit(1).alias("received_by"), F.lit("PASS").alias("qc_result"))
 
 
-def apply_seal_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_seal_edit(db, edits: DataFrame, as_of: str) -> Outputs:
     """K23 (edits): audited changes of seal batches (K3); lids, mounts, harvests and batches go the same way."""
-    return apply_field_changes(db.seals, "seals", edits, as_of, audit_start=C.next_id(db.audit_log))
+    return apply_field_changes(db.seals, "seals", edits, as_of, _next_audit(db))
 
 
 def seal_edit_commands(db) -> DataFrame:
@@ -146,7 +157,7 @@ def seal_edit_commands(db) -> DataFrame:
                     F.lit("recount").alias("reason"), F.lit(1).alias("changed_by")))
 
 
-def apply_post_treatment_edit(db, edits: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_post_treatment_edit(db, edits: DataFrame, as_of: str) -> Outputs:
     """K7 (post-treatment form): audited inspection edits; the result re-maps the status, Quarantine moves the unit."""
     return apply_qc_edit(db, edits, as_of, table="post_treatment_inspections", result_field="qc_result",
                          source="Post-Treatment QC", other_status="Pending", move_reason="Moved to quarantine")

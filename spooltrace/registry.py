@@ -356,6 +356,27 @@ def queries() -> dict[str, Query]:
             Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["quarantined_products"],
         "apply_quarantine_resolution_tracking": lambda spark, sf: K.apply_quarantine_resolution(
             Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["product_tracking"],
+        "apply_harvest_records": lambda spark, sf: harvest(spark, sf)["product_harvest"],
+        "apply_qc_history": lambda spark, sf: qc(spark, sf)["product_status_history"],
+        "apply_treatment_batch_history": lambda spark, sf: tbatch(spark, sf)["product_status_history"],
+        "apply_post_treatment_qc_history": lambda spark, sf: ptqc(spark, sf)["product_status_history"],
+        "apply_post_treatment_qc_reasons": lambda spark, sf: ptqc(spark, sf)["post_treatment_inspection_reasons"],
+        "apply_storage_quarantine": lambda spark, sf: storage(spark, sf)["quarantined_products"],
+        "apply_shipment_status_history": lambda spark, sf: ship_status(spark, sf)["product_status_history"],
+        "apply_shipment_tracking": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["product_tracking"],
+        "apply_shipment_history": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["product_status_history"],
+        "apply_shipment_orders": lambda spark, sf: K.apply_shipment(Tables(spark, sf), AS_OF)["orders"],
+        "apply_qc_edit_history": lambda spark, sf: qc_edit(spark, sf)["product_status_history"],
+        "apply_quarantine_history": lambda spark, sf: K.apply_quarantine(
+            Tables(spark, sf), K.quarantine_commands(Tables(spark, sf)), AS_OF)["product_status_history"],
+        "apply_quarantine_resolution_history": lambda spark, sf: K.apply_quarantine_resolution(
+            Tables(spark, sf), K.resolution_commands(Tables(spark, sf)), AS_OF)["product_status_history"],
+        "apply_harvest_undo_records": lambda spark, sf: K.apply_harvest_undo(
+            Tables(spark, sf), K.harvest_undo_commands(Tables(spark, sf)), AS_OF)["product_harvest"],
+        "apply_remove_from_batch_history": lambda spark, sf: K.apply_remove_from_batch(
+            Tables(spark, sf), K.remove_from_batch_commands(Tables(spark, sf)), AS_OF)["product_status_history"],
+        "apply_delete_acclimatization_table": lambda spark, sf: K.apply_delete_acclimatization(
+            Tables(spark, sf), K.delete_acclimatization_commands(Tables(spark, sf)), AS_OF)["filament_acclimatization"],
         "apply_harvest": lambda spark, sf: harvest(spark, sf)["product_tracking"],
         "apply_harvest_usage": lambda spark, sf: harvest(spark, sf)["material_usage"],
         "apply_harvest_requests": lambda spark, sf: harvest(spark, sf)["product_requests"],
