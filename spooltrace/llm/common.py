@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from spooltrace.session import ensure_checkpoint_dir
 
 BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -65,6 +64,16 @@ def _cleanup() -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names that no working column of an operator has."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def at(df: DataFrame, name: str) -> str:
+    """The name that ``positional`` gives the column ``name`` of ``df``."""
+    return f"c{df.columns.index(name)}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it any number of times in ``body``.
 
@@ -113,16 +122,14 @@ def release_memory() -> None:
 def map_batches(df: DataFrame, func, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers, whose memory is released after each task.
 
-    Texts are long, so a session that does not set the size of Arrow batches gets ``BATCH_ROWS``.
+    Texts are long, so ``func`` gets parts of at most ``BATCH_ROWS`` rows, whatever size of Arrow batches the session sets.
     """
     def run(batches):
         return_large_blocks()
         try:
-            yield from func(batches)
+            yield from func(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, len(b), BATCH_ROWS))
         finally:
             release_memory()
 
     ship_package(df.sparkSession)
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spooltrace.llm.common import map_batches
+from spooltrace.llm.common import at, map_batches, positional
 
 UND = "und"
 _WORDISH = re.compile(r"[^\W\d_]")
@@ -221,8 +221,13 @@ def language_query(docs: DataFrame) -> DataFrame:
     return with_language(rows, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose language is identified with at least ``min_score``."""
-    model = learn(docs)
-    out = with_language(docs, model, lang_col="_lang_pred", score_col="_lang_score")
-    return out.where((F.col("_lang_pred") != UND) & (F.col("_lang_score") >= min_score)).select(docs.columns)
+def keep_identified(docs: DataFrame, min_score: float = 0.001, text_col: str = "text", lang_col: str = "lang",
+                    model: Model | None = None) -> DataFrame:
+    """Rows of ``docs`` whose language is identified with a score of at least ``min_score``, with that language in ``lang_col``.
+
+    A lower score means that two languages explain the text equally well. Columns of any name pass through.
+    """
+    model = model or learn(docs, text_col=text_col, lang_col=lang_col)
+    out = with_language(positional(docs), model, text_col=at(docs, text_col), lang_col="_lang", score_col="_score")
+    out = out.where((F.col("_lang") != UND) & (F.col("_score") >= min_score)).withColumn(at(docs, lang_col), F.col("_lang"))
+    return out.drop("_lang", "_score").toDF(*docs.columns)

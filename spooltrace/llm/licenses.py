@@ -7,8 +7,9 @@ template, each window of the text that has as many bigrams as the template,
 wherever it begins and whatever lines or paragraphs it crosses. With a and b
 bigrams (repeats count) and o in common, the Dice coefficient is 2 o / (a + b).
 It can reach t only if t / (2 - t) * b <= a <= (2 - t) / t * b, so the sizes
-alone drop most pairs: a unit that fits no template is dropped before its
-bigrams are built, and a bigram meets only templates of fitting size.
+alone drop most pairs: a bigram meets only templates whose size fits its unit.
+Each text is read and normalised once: the places of template bigrams and the
+beginnings of its lines become rows, from which units and windows are counted.
 
 Windows are not enumerated. The i-th occurrence of a bigram that the template
 has m times adds one to the overlap of the windows that begin after the
@@ -16,7 +17,7 @@ occurrence m before it and hold it, which is one interval of beginnings; a
 running sum over the ends of these intervals gives the fullest window.
 
 Native functions only. The templates are a fixed list, so their bigrams are
-broadcast; only bigrams that some template has are shuffled.
+broadcast; only bigrams that some template has become rows.
 
 Defined results: null, empty and short texts match nothing (license null, dice
 0); of equally good matches the first template name, then the first unit, is
@@ -32,10 +33,10 @@ import math
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import let
+from spooltrace.llm.common import let, materialize
 
 THRESHOLD = 0.8
 # characters other than A-Z, a-z, 0-9 and line feed, as ranges (Java matches a negated class ten times slower)
@@ -151,82 +152,109 @@ def size_spans(sizes: set[int], t: float) -> list[tuple[int, int]]:
     return out
 
 
-def _units(text: Column) -> Column:
-    """Lines, paragraphs of several lines and texts of several paragraphs, normalised: words stand between single separators."""
+def _words(text: Column) -> Column:
+    """The text's normalised words; the line feeds before a word stand at its front (those at the end alone, as a last item)."""
     kept = F.lower(F.regexp_replace(text, f"[{OTHER}]+", " "))
-    clean = F.regexp_replace(kept, " ?\n ?", "\n")
+    lines = F.replace(F.replace(kept, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.split(F.btrim(F.regexp_replace(lines, "(\n+)", " $1"), F.lit(" ")), " ")
 
-    def struct(kind: str, no: Column, words: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), no.cast("int").alias("no"), words.alias("text"))
 
-    def build(c: Column) -> Column:
-        lines = F.transform(F.split(c, "\n"), lambda x, i: struct("line", i, F.trim(x)))
-        ends = F.lit(" \n")
-        blocks = let(F.split(c, "\n\n"), lambda bs: F.concat(
-            F.filter(F.transform(bs, lambda x, i: F.when(x.contains("\n"), struct("paragraph", i, F.btrim(x, ends)))),
-                     lambda u: u.isNotNull()),
-            F.when(F.size(bs) > 1, F.array(struct("text", F.lit(0), F.btrim(F.regexp_replace(c, "\n+", "\n"), ends))))
-            .otherwise(F.array().cast("array<struct<kind:string,no:int,text:string>>"))))
-        return F.concat(lines, blocks)
+def _feeds(word: Column) -> Column:
+    """Line feeds at the front of a word."""
+    return F.when(F.startswith(word, F.lit("\n")), F.length(word) - F.length(F.ltrim(word, F.lit("\n")))).otherwise(F.lit(0))
 
-    return let(clean, build)
 
+def _bare(word: Column) -> Column:
+    return F.when(F.startswith(word, F.lit("\n")), F.ltrim(word, F.lit("\n"))).otherwise(word)
 
-def license_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
-                    templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(keys, kind, no, license, dice) of every unit that reaches the threshold, for each row of ``keyed``."""
-    spark: SparkSession = keyed.sparkSession
-    rows = template_bigrams(templates)
-    known = spark.createDataFrame(rows, "license string, bigram string, times int, size_b int")
-    spans = size_spans({r[3] for r in rows}, threshold)
 
-    def sized(u: Column) -> Column:
-        gaps = F.length(u["text"]) - F.length(F.replace(F.replace(u["text"], F.lit(" ")), F.lit("\n")))
-        return F.struct(u["kind"].alias("kind"), u["no"].alias("no"), gaps.alias("size_a"), u["text"].alias("text"))
+def template_places(keyed: DataFrame, keys: list[str], text_col: str, templates: dict[str, str]) -> DataFrame:
+    """Where the texts hold bigrams of the templates, and where their lines begin; the one read of the texts.
+
+    (keys, _row, n, blocks, pos, feeds, bigram, next_feeds): ``pos`` counts words, ``n`` is their number, ``feeds`` the line
+    feeds before the word, ``bigram`` the template bigram that starts there (or null), ``next_feeds`` those inside it.
+    The templates' bigrams are a fixed list, tested inside the array, so that no other bigram becomes a row.
+    """
+    pairs = sorted({p for _, p, _, _ in template_bigrams(templates)})
+    firsts = sorted({p.split(" ")[0] for p in pairs})
 
-    def fits(u: Column) -> Column:
-        out = F.lit(False)
+    def mark(ws: Column, x: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(ws, i + 1), F.lit(""))
+        pair = F.when(_bare(x).isin(firsts), F.concat(_bare(x), F.lit(" "), _bare(after)))
+        return F.struct(i.alias("pos"), _feeds(x).alias("feeds"), F.when(pair.isin(pairs), pair).alias("bigram"),
+                        _feeds(after).alias("next_feeds"))
+
+    def counted(ws: Column) -> Column:
+        trailing = F.when(_bare(F.element_at(ws, -1)) == "", 1).otherwise(0)
+        marks = F.filter(F.transform(ws, lambda x, i: F.when(
+            F.startswith(x, F.lit("\n")) | _bare(x).isin(firsts), mark(ws, x, i))),
+            lambda m: m.isNotNull() & ((m["feeds"] > 0) | m["bigram"].isNotNull()))
+        return F.struct((F.size(ws) - trailing).alias("n"), marks.alias("marks"))
+
+    rows = keyed.select(*keys, F.monotonically_increasing_id().alias("_row"),  # rows with equal keys are compared apart
+                        let(_words(F.coalesce(F.col(text_col), F.lit(""))), counted).alias("t"))
+    some = F.exists("t.marks", lambda m: m["bigram"].isNotNull())
+    blocks = F.exists("t.marks", lambda m: m["feeds"] > 1)
+    places = rows.where(some).select(*keys, "_row", "t.n", blocks.alias("blocks"), F.explode("t.marks").alias("m"))
+    return materialize(places.select(*keys, "_row", "n", "blocks", "m.*"), "places")
+
+
+def _full_units(places: DataFrame, keys: list[str], threshold: float = THRESHOLD,
+                templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(keys, kind, no, license, dice) of every line, paragraph and text that reaches the threshold."""
+    rows = template_bigrams(templates)
+    known = places.sparkSession.createDataFrame(rows, "license string, bigram string, times int, size_b int")
+    spans = size_spans({r[3] for r in rows}, threshold)
+    row = Window.partitionBy("_row")
+    so_far = row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = row.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    line_start, block_start = (F.when(F.col("feeds") > k, F.col("pos")) for k in (0, 1))
+    # of a run of line feeds, every two part blocks; one that is left over stands inside a block
+    placed = (places
+              .withColumn("line", F.sum("feeds").over(so_far)).withColumn("block", F.sum(F.expr("feeds div 2")).over(so_far))
+              .withColumn("line_from", F.coalesce(F.last(line_start, True).over(so_far), F.lit(0)))
+              .withColumn("block_from", F.coalesce(F.last(block_start, True).over(so_far), F.lit(0)))
+              .withColumn("line_to", F.coalesce(F.last(line_start, True).over(ahead), F.col("n")))
+              .withColumn("block_to", F.coalesce(F.last(block_start, True).over(ahead), F.col("n")))
+              .withColumn("several", F.max(F.col("feeds") % 2).over(Window.partitionBy("_row", "block")) > 0)
+              .where("bigram IS NOT NULL"))
+
+    def unit(held: Column, kind: str, no: Column, words: Column) -> Column:
+        size = words - 1
+        fits = F.lit(False)
         for lo, hi in spans:
-            out = out | u["size_a"].between(lo, hi)
-        return out
-
-    keys = [*keys, "_row"]  # rows with equal keys are compared apart
-    keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
-    # a unit's separators are counted inside the array, so that only fitting units become rows and are split
-    units = F.filter(F.transform(_units(F.coalesce(F.col(text_col), F.lit(""))), sized), fits)
-    rows_of = keyed.select(*keys, F.explode(units).alias("u")).select(*keys, "u.kind", "u.no", "u.size_a", "u.text")
-    pairs = let(F.split("text", "[ \n]"), lambda w: F.zip_with(
-        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    bigrams = rows_of.select(*keys, "kind", "no", "size_a", F.explode(pairs).alias("bigram"))
-    met = bigrams.join(F.broadcast(known), "bigram").where(_size_fits(F.col("size_a"), F.col("size_b"), threshold))
-    unit = [*keys, "kind", "no", "license", "size_a", "size_b"]
-    shared = met.groupBy(*unit, "bigram", "times").count().withColumn("o", F.least("count", "times"))
+            fits = fits | size.between(lo, hi)
+        return F.when(held & fits, F.struct(F.lit(kind).alias("kind"), no.cast("int").alias("no"), size.cast("int").alias("size_a")))
+
+    units = F.filter(F.array(
+        unit(F.col("next_feeds") == 0, "line", F.col("line"), F.col("line_to") - F.col("line_from")),
+        unit((F.col("next_feeds") < 2) & F.col("several"), "paragraph", F.col("block"), F.col("block_to") - F.col("block_from")),
+        unit(F.col("blocks"), "text", F.lit(0), F.col("n"))), lambda u: u.isNotNull())
+    keys = [*keys, "_row"]
+    inside = placed.select(*keys, "bigram", F.explode(units).alias("u")).select(*keys, "bigram", "u.*")
+    met = inside.join(F.broadcast(known), "bigram").where(_size_fits(F.col("size_a"), F.col("size_b"), threshold))
+    pair = [*keys, "kind", "no", "license", "size_a", "size_b"]
+    shared = met.groupBy(*pair, "bigram", "times").count().withColumn("o", F.least("count", "times"))
     dice = 2 * F.col("o") / (F.col("size_a") + F.col("size_b"))
-    return (shared.groupBy(*unit).agg(F.sum("o").alias("o")).withColumn("dice", dice)
+    return (shared.groupBy(*pair).agg(F.sum("o").alias("o")).withColumn("dice", dice)
             .where(F.col("dice") >= threshold).select(*keys, "kind", "no", "license", "dice").drop("_row"))
 
 
-def window_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
-                   templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(keys, kind, no, license, dice) of the fullest window of each template that reaches the threshold, for each row of
-    ``keyed``; ``no`` is the window's first word."""
-    spark: SparkSession = keyed.sparkSession
-    known = spark.createDataFrame(template_bigrams(templates), "license string, bigram string, times int, size_b int")
-    keys = [*keys, "_row"]  # rows with equal keys are compared apart
-    clean = F.btrim(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{OTHER}\\n]+", " ")))
-    pairs = let(F.split(clean, " "), lambda w: F.zip_with(
-        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = keyed.withColumn("_row", F.monotonically_increasing_id()).select(*keys, pairs.alias("pairs"))
-    bigrams = rows.select(*keys, F.size("pairs").alias("n"), F.posexplode("pairs").alias("pos", "bigram"))
-    met = bigrams.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi")
-    places = met.groupBy(*keys, "n", "bigram").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+def _fullest_windows(places: DataFrame, keys: list[str], threshold: float = THRESHOLD,
+                     templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(keys, kind, no, license, dice) of the fullest window of each template that reaches the threshold; ``no`` is the
+    window's first word."""
+    known = places.sparkSession.createDataFrame(template_bigrams(templates), "license string, bigram string, times int, size_b int")
+    keys = [*keys, "_row"]
+    bigrams = places.where("bigram IS NOT NULL").select(*keys, (F.col("n") - 1).alias("n"), "pos", "bigram")
+    found = bigrams.groupBy(*keys, "n", "bigram").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     pair = [*keys, "license", "size_b", "n"]
     # a text that shares too few bigrams with a template as a whole has no window that reaches the threshold
-    near = (places.join(F.broadcast(known), "bigram").where(F.col("n") >= F.col("size_b"))
+    near = (found.join(F.broadcast(known), "bigram").where(F.col("n") >= F.col("size_b"))
             .groupBy(*pair).agg(F.sum(F.least(F.size("at"), "times")).alias("o"),
-                                F.collect_list(F.struct("at", "times")).alias("found"))
+                                F.collect_list(F.struct("at", "times")).alias("held"))
             .where(F.col("o") >= threshold * F.col("size_b")))
-    ends = F.flatten(F.transform("found", lambda g: F.flatten(F.transform(g["at"], lambda p, i: F.array(
+    ends = F.flatten(F.transform("held", lambda g: F.flatten(F.transform(g["at"], lambda p, i: F.array(
         F.struct(F.greatest(p - F.col("size_b") + 1, F.coalesce(F.get(g["at"], i - g["times"]) + 1, F.lit(0))).alias("no"),
                  F.lit(1).alias("step")),
         F.struct((p + 1).alias("no"), F.lit(-1).alias("step")))))))
@@ -239,12 +267,25 @@ def window_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", th
             .select(*keys, F.lit("window").alias("kind"), "w.no", "license", "dice").drop("_row"))
 
 
+def license_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
+                    templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(keys, kind, no, license, dice) of every unit that reaches the threshold, for each row of ``keyed``."""
+    return _full_units(template_places(keyed, keys, text_col, templates), keys, threshold, templates)
+
+
+def window_matches(keyed: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
+                   templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """The same for the fullest window of each template."""
+    return _fullest_windows(template_places(keyed, keys, text_col, templates), keys, threshold, templates)
+
+
 def license_query(docs: DataFrame) -> DataFrame:
     """Best match of every document, and how many units matched."""
     i, t = F.col("doc_id"), F.col("text")
     keyed = docs.select("doc_id", "text", F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"))
     keys = ["k1", "k2"]
-    found = license_matches(keyed, keys).unionByName(window_matches(keyed, keys))
+    places = template_places(keyed, keys, "text", TEMPLATES)
+    found = _full_units(places, keys).unionByName(_fullest_windows(places, keys))
     rank = F.struct((-F.col("dice")).alias("d"), "license", "kind", "no")
     unit = F.col("kind") != "window"
     hits = found.groupBy(*keys).agg(F.min(F.when(unit, rank)).alias("unit"), F.min(F.when(~unit, rank)).alias("window"),

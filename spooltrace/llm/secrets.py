@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import materialize
+from spooltrace.llm.common import at, materialize, positional
 
 # fixed values: base patterns, with letters of the keywords in either case
 ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -169,10 +169,11 @@ def secrets_query(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span of its text replaced by ``mark``; all rows and columns stay."""
-    keyed = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "redact")
+    """``docs`` with every found span of its text replaced by ``mark``; all rows and columns, of any name, stay."""
+    text_at = at(docs, text_col)
+    keyed = materialize(positional(docs).withColumn("_rid", F.monotonically_increasing_id()), "redact")
     # scan the keyed copy: its own key is carried through instead of a new one
-    found = find_secrets(scan(keyed.withColumn("_doc", F.col("_rid")), "_doc", text_col).withColumn("rid", F.col("doc_id")))
+    found = find_secrets(scan(keyed.withColumn("_doc", F.col("_rid")), "_doc", text_at).withColumn("rid", F.col("doc_id")))
     # merge overlapping spans along the document
     w = Window.partitionBy("rid").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -180,7 +181,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
             .withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
             .groupBy("rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
     lists = runs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    text = F.col(text_col)
+    text = F.col(text_at)
 
     def pieces(s: Column) -> Column:
         kept = F.transform(s, lambda x, i: F.substring(
@@ -191,7 +192,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
 
     joined = keyed.join(lists, keyed["_rid"] == lists["rid"], "left")
     new = F.when(F.col("_spans").isNull(), text).otherwise(pieces(F.col("_spans")))
-    return joined.select(*[new.alias(c) if c == text_col else keyed[c] for c in docs.columns])
+    return joined.select(*[new.alias(c) if c == text_at else keyed[c] for c in keyed.drop("_rid").columns]).toDF(*docs.columns)
 
 
 _SQL_WEAK = WEAK.replace("'", "''")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spooltrace.llm.common import map_batches, materialize
+from spooltrace.llm.common import at, map_batches, materialize, positional
 from spooltrace.llm.components import connected_components
 
 SEED = 42
@@ -196,10 +196,12 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
                        text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without near-duplicates: each component keeps one row (of its smallest id).
 
-    Equal ids are told apart by a row key, so repeated rows leave one row too.
+    Equal ids are told apart by a row key, so repeated rows leave one row too. Columns of any name pass through.
     """
-    keyed = materialize(docs.withColumn("_row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"),
-                                                         F.monotonically_increasing_id().alias("r"))), "dedup")
-    groups = near_duplicates(keyed, shingle, max_bits, id_col="_row", text_col=text_col)
+    doc, text = at(docs, id_col), at(docs, text_col)
+    keyed = materialize(positional(docs).withColumn("_row", F.struct(
+        F.col(doc).isNull().alias("n"), F.col(doc).alias("i"), F.monotonically_increasing_id().alias("r"))), "dedup")
+    groups = near_duplicates(keyed, shingle, max_bits, id_col="_row", text_col=text)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_keep"))
-    return keyed.join(kept.hint("shuffle_hash"), F.col("_row.r") == F.col("_keep"), "left_semi").select(docs.columns)
+    left = keyed.join(kept.hint("shuffle_hash"), F.col("_row.r") == F.col("_keep"), "left_semi")
+    return left.drop("_row").toDF(*docs.columns)

@@ -58,10 +58,10 @@ def test_prediction_ignores_labels(spark):
     assert a == b
 
 
-def test_drop_unidentified_keeps_columns(spark):
+def test_keep_identified_keeps_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     junk = spark.createDataFrame([(10**6, "12345 !!")], "doc_id long, text string")
-    out = langid.drop_unidentified(docs.unionByName(junk, allowMissingColumns=True))
+    out = langid.keep_identified(docs.unionByName(junk, allowMissingColumns=True))
     assert out.columns == docs.columns and out.count() == docs.count()
 
 

@@ -19,7 +19,7 @@ def extra_rows(spark, docs):
     return docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
 
 
-def repeats_text(texts, length=400):
+def repeats_text(texts, length=cp.REPEAT_BYTES):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[i:i + length] for x in raw for i in range(len(x) - length + 1))
     out = []
@@ -65,7 +65,12 @@ def test_stages_in_order(spark):
 
     one = stages["language_id"](spark, docs, SF_SMALL)
     assert one.columns == docs.columns
-    assert sorted(rows_of(one), key=key) == sorted([r for r in rows_of(docs) if r[1] and langid.has_letter(r[1])], key=key)
+    model = langid.learn(docs)
+    judged = [(r, langid.predict([r.text], model)) for r in docs.collect()]
+    want = [((r.doc_id, r.text), lang[0]) for r, (lang, score) in judged if lang[0] != "und" and score[0] >= 0.001]
+    assert sorted([((r.doc_id, r.text), r.lang) for r in one.collect()], key=lambda x: (key(x[0]), x[1])) == \
+        sorted(want, key=lambda x: (key(x[0]), x[1]))
+    assert all(not (t and langid.has_letter(t)) for t in [r[1] for r in set(rows_of(docs)) - set(rows_of(one))][:3])
 
     one = one.cache()
     two = stages["simhash_dedup"](spark, one, SF_SMALL)
@@ -101,3 +106,28 @@ def test_run(spark):
 def test_empty_table(spark, stage):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     assert cp.STAGES[stage][1](spark, docs, SF_SMALL).count() == 0
+
+
+def test_ambiguous_texts_are_dropped(spark):
+    model = langid.Model((("en", b"the cat and the dog"), ("fr", b"le chat et le chien")))  # samples of equal length
+    docs = spark.createDataFrame([(100, "q", None), (101, "the dog", None), (102, "le chien", "en"), (103, "7", "en")],
+                                 "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(docs, model=model).collect()}
+    assert kept == {101: "en", 102: "fr"}
+
+
+NAMES = ["_row", "_k1", "_k2", "_kept", "_lang_pred", "_lang_score", "_lang", "_score", "_rid", "_spans", "_doc", "rid",
+         "fp", "component_id", "c0", "c3", "runs", "anchors", "core", "start"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_columns_of_any_name_pass_through(spark, stage):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    more = docs.selectExpr("*", *[f"concat('{n}:', doc_id) AS `{n}`" for n in NAMES])
+    name, run = cp.STAGES[stage]
+    out = run(spark, more, SF_SMALL)
+    assert out.columns == more.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in NAMES)
+    plain = run(spark, docs, SF_SMALL).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted(map(tuple, plain))
