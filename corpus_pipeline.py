@@ -4,8 +4,9 @@ Each stage works on all rows its predecessor kept and returns the columns of
 ``documents``; the last returns packed pieces. ``run`` writes every stage's rows
 as Parquet in the session's shared folder and reads them back for the next.
 
-Defined results: texts that are null or hold no letter leave in the first
-stage; of each near-duplicate group the row with the smallest id stays (among
+Defined results: texts that are null or hold no letter, or that two languages
+explain equally well, leave in the first stage, and ``lang`` is the language
+found in the others; of each near-duplicate group the row with the smallest id stays (among
 equal ids the first row key, null ids last); repeated passages and secrets are
 cut out of the texts, whose rows stay; ``n_chars`` follows the text; an empty
 table gives an empty result; columns beyond those of ``documents`` pass through.
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from spooltrace.llm import langid, packing, repeats, secrets, simhash
 from spooltrace.llm.common import materialize, table
 
+# a passage of over 50 words has 260 bytes and more: strings of this length cover all of it
+REPEAT_BYTES = 256
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -33,8 +37,8 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified (the model is learned from the rows that are not held out)."""
-    return langid.drop_unidentified(docs)
+    """Documents whose language is identified, with that language in ``lang`` (learned from the rows not held out)."""
+    return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur more than once."""
-    return _recount(repeats.remove_repeats(docs))
+    """Texts without the bytes of strings of ``REPEAT_BYTES`` bytes that occur more than once."""
+    return _recount(repeats.remove_repeats(docs, length=REPEAT_BYTES))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
