@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from spooltrace.session import ensure_checkpoint_dir
 
 BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
+_named: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` rows for what is executed inside; the session's own setting afterwards."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if before and int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet under the session's checkpoint folder and read it back.
 
@@ -37,7 +51,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     if not _written:
         atexit.register(_cleanup)
     _written.append((spark, path))
@@ -49,14 +64,19 @@ def keep_table(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
     spark = df.sparkSession
     name = f"llm_{tag}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    df.write.format("parquet").bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
+    with small_batches(spark):
+        df.write.format("parquet").bucketBy(shuffle_partitions(spark), *keys).option("path", path).saveAsTable(name)
     if not _written:
         atexit.register(_cleanup)
     _written.append((spark, path))
+    _named.append((spark, name))
     return spark.table(name)
 
 
 def _cleanup() -> None:
+    for spark, name in _named:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _written:
         if spark.sparkContext._jsc is None:  # the session has ended
             continue
@@ -122,7 +142,8 @@ def release_memory() -> None:
 def map_batches(df: DataFrame, func, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers, whose memory is released after each task.
 
-    Texts are long, so ``func`` gets parts of at most ``BATCH_ROWS`` rows, whatever size of Arrow batches the session sets.
+    Texts are long, so ``func`` gets parts of at most ``BATCH_ROWS`` rows, whatever size of Arrow batches the session sets
+    (tables that an operator writes itself are made with such batches from the start).
     """
     def run(batches):
         return_large_blocks()

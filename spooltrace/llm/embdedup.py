@@ -14,6 +14,10 @@ slices, with the bound renewed after each, and what is left is decided by the
 cosine in double precision. The sample steers the work only: every pair of
 vectors that can reach the threshold is decided exactly.
 
+The sample bounds the number of tiles, so a tile may hold far more than
+``tile_rows`` vectors of a very large table. Pairs of tiles are counted, and those
+with more than ``most_rows`` vectors on a side become pairs of chunks.
+
 Equal vectors are one class with a weight, so copies are compared once. A pair
 of tiles returns link counts and a spanning star per local component, never
 its pairs.
@@ -32,7 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spooltrace.llm.common import map_batches, materialize
@@ -193,7 +197,7 @@ def compare_tiles(t: pa.Table, basis: dict[int, np.ndarray], threshold: float) -
     q = basis.get(dim)
     q = np.eye(dim) if q is None else q
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = t.column("low")[0].as_py() == t.column("high")[0].as_py()  # a tile with itself comes once
+    same = t.column("same")[0].as_py()  # a tile, or a chunk of one, with itself comes once
     if same:
         two = one
     elif not len(one) or not len(two):
@@ -227,21 +231,60 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
 
 
 def fit_sample(classes: DataFrame, sample_rows: int, tile_rows: int, max_values: int = 1 << 22) -> dict[int, Axes]:
-    """Axes per vector length from at most ``sample_rows`` vectors (smallest hashes of the id).
+    """Axes per vector length from at most ``sample_rows`` vectors in all (of each length the smallest hashes of the id).
 
     Sample and tiles also hold at most ``max_values`` components, whatever the length of the vectors.
     """
-    seen = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    total, most = seen["n"], max(64, max_values // (seen["dim"] or 1))
-    sample_rows, tile_rows = min(sample_rows, most), min(tile_rows, most)
-    picked = classes.orderBy(F.xxhash64("id"), "id").select("vec").limit(sample_rows).collect()
+    size = F.size("vec").alias("d")
+    lengths = {r.d: r.n for r in classes.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    most = max(64, max_values // max(lengths, default=1))
+    each = max(1, min(sample_rows, most) // max(len(lengths), 1))
+    rank = F.row_number().over(Window.partitionBy("d").orderBy("h", "id"))
+    picked = (classes.select(size, F.xxhash64("id").alias("h"), "id", "vec").withColumn("k", rank).where(F.col("k") <= each)
+              .select("vec").collect())
     by: dict[int, list] = {}
     for r in picked:
         by.setdefault(len(r.vec), []).append(r.vec)
-    return {d: fit_axes(np.array(x), max(1, round(total * len(x) / len(picked) / tile_rows))) for d, x in by.items()}
+    return {d: fit_axes(np.array(x), max(1, round(lengths[d] / min(tile_rows, most)))) for d, x in by.items()}
+
+
+_TILES = ["dim", "low", "high"]
 
 
-def link_counts(classes: DataFrame, axes: dict[int, Axes], threshold: float) -> DataFrame:
+def chunked(dealt: DataFrame, most_rows: int) -> DataFrame:
+    """``dealt`` with the chunks (``one``, ``two``) that a row is compared in, and whether they are the same rows.
+
+    A pair of tiles with at most ``most_rows`` vectors a side is one pair of chunks. Of a larger one, each row goes to its
+    chunk by hash, and meets every chunk of the other side; within one tile, every chunk meets itself and every later one.
+    """
+    whole = F.col("low") == F.col("high")
+    sizes = materialize(dealt.groupBy(*_TILES).agg(F.count_if("side = 0").alias("n0"), F.count_if("side = 1").alias("n1"))
+                        .where((F.col("n0") > most_rows) | (F.col("n1") > most_rows)), "tiles")
+    plain = dealt.withColumn("one", F.lit(0)).withColumn("two", F.lit(0)).withColumn("same", whole)
+    if sizes.isEmpty():
+        return plain
+
+    def parts(n: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / most_rows), F.lit(1)).cast("int")
+
+    split = sizes.select(*_TILES, parts("n0").alias("p0"), parts("n1").alias("p1"))
+    met = dealt.join(split, _TILES, "left")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1"))).cast("int")
+
+    def to(one: Column, two: Column, side: Column, same: Column) -> Column:
+        return F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), side.cast("int").alias("side"), same.alias("same"))
+
+    zero, no = F.lit(0), F.lit(False)
+    within = F.transform(F.sequence(zero, F.col("p0") - 1), lambda j: to(
+        F.least(j, mine), F.greatest(j, mine), F.when(mine <= j, 0).otherwise(1), j == mine))
+    across = F.when(F.col("side") == 0, F.transform(F.sequence(zero, F.col("p1") - 1), lambda j: to(mine, j, zero, no))).otherwise(
+        F.transform(F.sequence(zero, F.col("p0") - 1), lambda j: to(j, mine, F.lit(1), no)))
+    goes = F.when(F.col("p0").isNull(), F.array(to(zero, zero, F.col("side"), whole))).when(whole, within).otherwise(across)
+    rest = [c for c in dealt.columns if c != "side"]
+    return met.select(*rest, F.explode(goes).alias("g")).select(*rest, "g.*")
+
+
+def link_counts(classes: DataFrame, axes: dict[int, Axes], threshold: float, most_rows: int = 16384) -> DataFrame:
     """(id, n, root) per class and pair of tiles, for classes with links there."""
     radius2 = 2 - 2 * threshold + _SLACK
 
@@ -252,10 +295,7 @@ def link_counts(classes: DataFrame, axes: dict[int, Axes], threshold: float) ->
             for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
                 flat = vec.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), d)
-                if d in axes:
-                    row, own, other = tile_visits(axes[d], unit_rows(flat) @ axes[d].basis, radius2)
-                else:  # a length that the sample lacks: one tile
-                    row, own, other = np.arange(len(rows)), np.zeros(len(rows), int), np.zeros(len(rows), int)
+                row, own, other = tile_visits(axes[d], unit_rows(flat) @ axes[d].basis, radius2)
                 raw = [x.tobytes() for x in flat.astype("<f8")]
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 for s in range(0, len(row), 20_000):
@@ -270,16 +310,16 @@ def link_counts(classes: DataFrame, axes: dict[int, Axes], threshold: float) ->
     basis = {d: a.basis for d, a in axes.items()}
     dealt = map_batches(
         classes.select("id", "weight", "vec"), deal, "dim int, low int, high int, side int, id long, weight long, vec binary")
-    return dealt.groupBy("dim", "low", "high").applyInArrow(
+    return chunked(dealt, most_rows).groupBy(*_TILES, "one", "two").applyInArrow(
         lambda t: compare_tiles(t, basis, threshold), "id long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 8192, tile_rows: int = 4096,
-                    id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                    id_col: str = "vec_id", vec_col: str = "embedding", most_rows: int = 16384) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows, classes = vector_classes(vectors, id_col, vec_col)
     axes = fit_sample(classes, sample_rows, tile_rows)
-    found = materialize(link_counts(classes, axes, threshold), "links")
+    found = materialize(link_counts(classes, axes, threshold, most_rows), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
     per_class = materialize(

@@ -34,12 +34,12 @@ def fixture():
     return [(i * 7 % 1009, v) for i, v in enumerate(rows)]
 
 
-@pytest.mark.parametrize("tile_rows", [16, 4096])
-def test_against_brute_force(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows,most_rows", [(16, 16384), (4096, 16384), (16, 5), (4096, 7)])
+def test_against_brute_force(spark, tile_rows, most_rows):
     rows = fixture()
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, vec string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept)
-           for r in embdedup.near_duplicates(frame, sample_rows=100, tile_rows=tile_rows).collect()}
+           for r in embdedup.near_duplicates(frame, sample_rows=100, tile_rows=tile_rows, most_rows=most_rows).collect()}
     assert got == brute(rows)
     assert embdedup.near_duplicates(frame.limit(0)).count() == 0
 
@@ -58,3 +58,11 @@ def test_bounds_find_every_link_at_the_threshold():
     for lead in (2, 16, 64):
         got = {(i, j) for p, r in embdedup.links_between(x, x, q, 0.95, True, lead, 8, 64) for i, j in zip(p.tolist(), r.tolist())}
         assert got == {(i, j) for i in range(200) for j in range(i + 1, 200) if x[i] @ x[j] >= 0.95}
+
+
+def test_every_length_is_sampled(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(1000 + i, [1.0, 0.1 * i]) for i in range(3)]
+    classes = embdedup.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")[1]
+    axes = embdedup.fit_sample(classes, 40, 16)
+    assert set(axes) == {8, 2}

@@ -131,3 +131,17 @@ def test_columns_of_any_name_pass_through(spark, stage):
     assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in NAMES)
     plain = run(spark, docs, SF_SMALL).select("doc_id", "text").collect()
     assert sorted((r.doc_id, r.text) for r in rows) == sorted(map(tuple, plain))
+
+
+@pytest.mark.parametrize("setting", [None, "7", "50000"])
+def test_session_setting_is_left_alone(spark, setting):
+    from spooltrace.llm import common
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key) if setting is None else spark.conf.set(key, setting)
+        before = spark.conf.get(key, None)
+        out = common.materialize(common.map_batches(spark.range(20).coalesce(1), lambda batches: batches, "id long"), "setting")
+        assert out.count() == 20 and spark.conf.get(key, None) == before
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
