@@ -258,7 +258,8 @@ def chunked(dealt: DataFrame, most_rows: int) -> DataFrame:
     chunk by hash, and meets every chunk of the other side; within one tile, every chunk meets itself and every later one.
     """
     whole = F.col("low") == F.col("high")
-    sizes = materialize(dealt.groupBy(*_TILES).agg(F.count_if("side = 0").alias("n0"), F.count_if("side = 1").alias("n1"))
+    sizes = materialize(dealt.groupBy(*_TILES).agg(F.count_if(F.col("side") == 0).alias("n0"),
+                                                       F.count_if(F.col("side") == 1).alias("n1"))
                         .where((F.col("n0") > most_rows) | (F.col("n1") > most_rows)), "tiles")
     plain = dealt.withColumn("one", F.lit(0)).withColumn("two", F.lit(0)).withColumn("same", whole)
     if sizes.isEmpty():
