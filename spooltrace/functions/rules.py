@@ -52,10 +52,10 @@ def stage_rule_rows() -> list[tuple[str, str]]:
 
 def shelf_options_table(spark: SparkSession, locations: DataFrame) -> DataFrame:
     """(business_status, mode, next_stage_code, location_id, location_name, description): bounded by
-    the literal rule list x the literal location list."""
+    the literal rule list x the locations, which may grow."""
     rules = spark.createDataFrame(shelf_option_rows(), "business_status STRING, mode STRING, keyword STRING, "
                                                        "next_stage_code STRING")
-    return (F.broadcast(rules).join(F.broadcast(locations), F.col("description").contains(F.col("keyword")))
+    return (F.broadcast(rules).join(locations, F.col("description").contains(F.col("keyword")))
             .select("business_status", "mode", "next_stage_code", F.col("id").alias("location_id"),
                     "location_name", "description").distinct())
 
@@ -63,7 +63,7 @@ def shelf_options_table(spark: SparkSession, locations: DataFrame) -> DataFrame:
 def stage_valid_locations(spark: SparkSession, locations: DataFrame) -> DataFrame:
     """(stage_code, location_id): location description holds a keyword allowed for the stage."""
     rules = spark.createDataFrame(stage_rule_rows(), "stage_code STRING, keyword STRING")
-    return (F.broadcast(rules).join(F.broadcast(locations), F.col("description").contains(F.col("keyword")))
+    return (F.broadcast(rules).join(locations, F.col("description").contains(F.col("keyword")))
             .select("stage_code", F.col("id").alias("location_id"), "location_name", "description").distinct())
 
 

@@ -1,9 +1,10 @@
-"""Recursive parts explosion (H9) as an iterative DataFrame join loop.
+"""Recursive parts explosion (H9) by path doubling.
 
 The bill of materials is a catalogue-sized table (skus x components), not a
-data-sized one; its closure is computed once by joining the frontier with
-the BOM until every path ends in a leaf. Data-sized inputs (order lines)
-then meet the closure in a single equi-join on the sku.
+data-sized one. Its relation, with every leaf mapped to itself, is joined with
+itself: after k rounds it holds the quantities over paths of 2^k steps, so a
+catalogue of depth d is expanded in about log2(d) rounds. Data-sized inputs
+(order lines) then meet the closure in a single equi-join on the sku.
 """
 
 from __future__ import annotations
@@ -24,32 +25,44 @@ def bom_closure(bom: DataFrame, skus: DataFrame) -> DataFrame:
     """(root_sku_id, component_sku_id, qty): leaf components per one unit of every sku in ``skus``.
 
     Quantities multiply along a path and sum over paths; a sku without BOM
-    rows maps to itself with quantity 1. Depth is not limited: a path that
-    visits more parents than there are must repeat one, and so must one that
-    comes back to its root; both raise ``BomCycleError``. Each level is written
-    once, so the plan does not grow with the depth, and callers join one table.
+    rows maps to itself with quantity 1. Rows that have reached a leaf stay as
+    they are, the others are joined with the paths of the same length that start
+    where they end. Depth is not limited: a path of more steps than there are
+    parents must repeat one, and so must one that comes back to its root; both
+    raise ``BomCycleError``. A quantity beyond 63 bits raises too. Each round is
+    written once, so the plan does not grow with the depth.
     """
-    edges = materialize(bom.select(c("parent_sku_id").alias("_p"), c("component_sku_id").alias("_c"),
-                                   c("component_qty").cast("long").alias("_q")))
-    parents = edges.select(c("_p").alias("_pp")).distinct()
+    edges = materialize(bom.groupBy(c("parent_sku_id").alias("root"), c("component_sku_id").alias("node")).agg(
+        F.sum(c("component_qty").cast("long")).alias("qty")))
+    parents = materialize(edges.select(c("root").alias("parent")).distinct())
     n_parents = parents.count()
-    frontier = materialize(skus.select(c("id").alias("root_sku_id"), c("id").alias("node"),
-                                       F.lit(1).cast("long").alias("qty")))
-    out = frontier.join(parents, frontier.node == parents._pp, "left_anti")
-    depth = 0
+    nodes = skus.select(c("id").alias("root")).unionByName(edges.select(c("node").alias("root"))).distinct()
+    leaves = nodes.join(parents, c("root") == c("parent"), "left_anti").select(
+        "root", c("root").alias("node"), F.lit(1).cast("long").alias("qty"))
+    marked = edges.join(parents, c("node") == c("parent"), "left").select(
+        "root", "node", "qty", c("parent").isNotNull().alias("open"))
+    paths = materialize(marked.unionByName(leaves.withColumn("open", F.lit(False))))
+    steps = 1
     while True:
-        frontier = materialize(
-            frontier.join(edges, frontier.node == edges._p)
-            .groupBy("root_sku_id", c("_c").alias("node")).agg(F.sum(c("qty") * c("_q")).alias("qty")))
-        depth += 1
-        seen = frontier.agg(F.count(F.lit(1)).alias("n"), F.max((c("root_sku_id") == c("node")).cast("int")).alias("back")).first()
-        if not seen["n"]:
-            break
-        if seen["back"] or depth > n_parents:
+        state = paths.agg(F.count_if("open").alias("open"), F.count_if(c("open") & (c("root") == c("node"))).alias("back"),
+                          F.count_if(c("qty").isNull()).alias("lost")).first()
+        if state["back"] or (state["open"] and steps > n_parents):
             raise BomCycleError("bill of materials holds a cycle")
-        out = out.unionByName(frontier.join(parents, frontier.node == parents._pp, "left_anti"))
-    return materialize(out.groupBy("root_sku_id", c("node").alias("component_sku_id"))
-                       .agg(F.sum("qty").cast("long").alias("qty")))
+        if not state["open"]:
+            break
+        # a leaf of many products is not joined again: only rows that still stand at a parent go on
+        on = paths.where("open").select(c("root").alias("_r"), c("node").alias("_n"), c("qty").alias("_q"))
+        further = on.join(paths, c("_n") == c("root")).select(
+            c("_r").alias("root"), "node", F.try_multiply(c("_q"), c("qty")).alias("qty"), "open")
+        grown = further.unionByName(paths.where("NOT open")).groupBy("root", "node", "open").agg(
+            F.try_sum("qty").alias("qty"), F.count_if(c("qty").isNull()).alias("_lost"))
+        paths = materialize(grown.select("root", "node", F.when(c("_lost") == 0, c("qty")).alias("qty"), "open"))
+        steps *= 2
+    if state["lost"]:
+        raise OverflowError("a component quantity exceeds 63 bits")
+    wanted = skus.select(c("id").alias("root_sku_id")).distinct()
+    return paths.join(wanted, c("root") == c("root_sku_id"), "left_semi").select(
+        c("root").alias("root_sku_id"), c("node").alias("component_sku_id"), "qty")
 
 
 def expand_lines(lines: DataFrame, closure: DataFrame, sku_col: str = "product_sku_id",

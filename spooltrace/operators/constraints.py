@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spooltrace.session import broadcast_if_small
+
 c = F.col
 
 
@@ -175,7 +177,7 @@ def command_report(qc: DataFrame, post_qc: DataFrame, quarantine: DataFrame, rea
     other = reasons.where(c("reason_code").startswith("OTHER_")).select(c("id").alias("_oid"))
     qx = (quarantine.select("product_tracking_id", "reason", "reason_ids",
                             F.explode_outer(F.array_distinct(c("reason_ids"))).alias("_rid"))
-          .join(F.broadcast(other), c("_rid") == c("_oid"), "left")
+          .join(broadcast_if_small(other), c("_rid") == c("_oid"), "left")
           .groupBy("product_tracking_id", "reason", "reason_ids")
           .agg(F.max(c("_oid").isNotNull()).alias("_other")))
     qq = _problems(qx, "adhoc_quarantine", c("product_tracking_id"), [

@@ -45,13 +45,15 @@ def check_unique(source: DataFrame, keys: Sequence[str]) -> None:
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
                  insert_cols: Sequence[str] | None = None, update_when: Column | None = None,
                  id_col: str | None = "id", id_order: Sequence[str] | None = None,
-                 validate: bool = True, fill_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                 validate: bool = True, fill_cols: Sequence[str] = (),
+                 start_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (new_target, actions) where actions has one row per touched key with ``_action``.
 
     Matched rows take ``set_cols`` from the source, and ``fill_cols`` only where the target has none.
     ``update_when`` may reference target columns as ``t_<name>`` and source
     columns as ``s_<name>``. Inserted rows get ids after the target's max id
-    in ``id_order`` (default: the keys) order.
+    in ``id_order`` (default: the keys) order, or from ``start_id`` where the
+    target given is only a part of its table.
 
     Plan: target LEFT JOIN source gives the updated target (AQE broadcasts a
     small source after measuring it, so a daily increment does not shuffle a
@@ -95,7 +97,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
 
     inserted = new_src.select(*[new_col(x) for x in tcols], F.lit("INSERT").alias("_action"))
     if id_col is not None and id_col in tcols:
-        start = next_id(target, id_col)
+        start = next_id(target, id_col) if start_id is None else start_id
         inserted = assign_ids(inserted.drop(id_col), list(id_order or keys), start, id_col).select(*tcols, "_action")
     merged = updated.unionByName(inserted)
     actions = merged.where(c("_action").isNotNull()).select(*keys, "_action")
@@ -103,7 +105,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], id_col: str | None = "id",
-                   id_order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                   id_order: Sequence[str] | None = None, start_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert-only merge: (new_target, inserted rows).
 
     The target's keys are first semi-joined to the (usually small) source keys,
@@ -114,7 +116,7 @@ def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], id
     present = target.select(*keys).join(source.select(*keys), keys, "left_semi")
     new = source.join(present, keys, "left_anti")
     if id_col is not None and id_col in target.columns:
-        start = next_id(target, id_col)
+        start = next_id(target, id_col) if start_id is None else start_id
         new = assign_ids(new.drop(id_col) if id_col in new.columns else new, list(id_order or keys), start, id_col)
     for x in target.columns:
         if x not in new.columns:

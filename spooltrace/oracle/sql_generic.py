@@ -11,16 +11,15 @@ RESTOCK = """
    LEFT JOIN x_lids l ON l.serial_number = u.lot_number)
 """
 
-
-def _hdr_values() -> str:
-    rows = [(i, h) for i, h in enumerate(Tables.RAW_HEADERS) if h not in (None, "")]
-    def lit(v):
-        return "'" + str(v).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return "(VALUES " + ", ".join(f"({i}, {lit(h)})" for i, h in rows) + ") v(position, raw_header)"
-
-
-_NORM = ("replace(replace(replace(replace(replace(lower(trim(replace(trim(raw_header), chr(10), ' '))), '  ', ' '), ' ', '_'), "
-         "'-', '_'), '[', ''), ']', '')")
+# parts whose label is not blank head the columns of their type's sheet, if they are two or more
+_HEADERS = """
+, labels AS (SELECT p_type AS sheet, p_partkey AS position, CASE p_partkey % 4 WHEN 0 THEN ' ' || p_name || chr(9)
+     WHEN 1 THEN replace(p_name, ' ', chr(10)) WHEN 2 THEN upper(replace(p_name, ' ', '   '))
+     ELSE replace(p_name, ' ', '-') || ' [' || p_brand || ']' END AS label FROM part WHERE p_size <> 1),
+heads AS (SELECT sheet, position, trim(label, chr(9) || chr(10) || ' ') AS raw_header,
+   replace(replace(replace(replace(replace(lower(trim(replace(label, chr(10), ' '), chr(9) || ' ')), '  ', ' '), ' ', '_'), '-', '_'), '[', ''), ']', '') AS normalized
+   FROM labels WHERE sheet IN (SELECT sheet FROM labels GROUP BY sheet HAVING count(*) > 1))
+"""
 
 SQL = {
     "assign_ids": """SELECT _event_id AS event_id, product_id,
@@ -57,12 +56,10 @@ UNION ALL SELECT 'product_requests', product_name, request_id FROM legreq""",
     "load_staging": "SELECT * FROM x_stg_filament_excel_data",
     "export_csv": "SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_type_id AS VARCHAR) AS product_type_id, product_type, "
                   "CAST(quantity AS VARCHAR) AS quantity FROM (" + _H["canceled_order_items"] + ") x",
-    "stage_headers": f"""
-, h AS (SELECT CAST(position AS INTEGER) AS position, trim(raw_header) AS raw_header, {_NORM} AS normalized FROM {_hdr_values()})
-SELECT position, raw_header, normalized,
-  normalized || CASE WHEN ROW_NUMBER() OVER (PARTITION BY normalized ORDER BY position) > 1
-    THEN '_' || CAST(ROW_NUMBER() OVER (PARTITION BY normalized ORDER BY position) - 1 AS VARCHAR) ELSE '' END AS final_name
-FROM h""",
+    "stage_headers": _HEADERS + "SELECT sheet, position, raw_header, normalized FROM heads",
+    "stage_dedupe_columns": _HEADERS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY sheet, normalized ORDER BY position) AS n FROM heads),
+named AS (SELECT sheet, position, normalized || CASE WHEN n = 1 THEN '' ELSE '_' || (n - 1) END AS final_name FROM numbered)
+SELECT sheet, position, final_name, count(*) OVER (PARTITION BY sheet, final_name) > 1 AS clash FROM named""",
     "user_lookup": ", " + _users_round("x_users", _login(1), "u1") + """
 , em AS (SELECT ' USER' || CAST(s_suppkey AS VARCHAR) || '@PLANT.EXAMPLE ' AS email FROM supplier)
 SELECT em.email, u.id, u.display_name FROM em JOIN u1 u ON lower(trim(em.email)) = u.user_principal_name""",

@@ -69,3 +69,8 @@ SQL = {
         **{k: of_unit("post_treatment_inspections", k) for k in ("visual_pass", "surface_treated", "sterilized", "qc_result")},
     }, UNITS),
 }
+
+_FIELDS = ["id", "batch_id", "product_tracking_id", "surface_treat", "sterilize"]
+SQL["record_by_id"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{x}' AS field, CAST({x} AS VARCHAR) AS value FROM x_treatment_batch_products WHERE id = 9"
+    for i, x in enumerate(_FIELDS))

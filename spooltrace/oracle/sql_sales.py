@@ -2,11 +2,16 @@
 
 from spooltrace.oracle.lookup import HARVEST, REQUEST, UNITS, by_id, plain, present, report, sku, stage, user
 from spooltrace.oracle.prelude import AS_OF_SQL
+from spooltrace.oracle.sql_operations import harvest_of, request_of, unit_of
 
-RELEASABLE = f"""FROM x_product_tracking pt JOIN x_product_harvest ph ON pt.harvest_id = ph.id
-JOIN x_product_requests pr ON ph.request_id = pr.id JOIN x_product_statuses ps ON pt.current_status_id = ps.id
-JOIN x_lifecycle_stages ls ON pt.current_stage_id = ls.id
-WHERE ps.status_name IN ('A-Ware', 'B-Ware') AND ph.print_date >= {AS_OF_SQL} - INTERVAL 1 YEAR"""
+# units that may be sold: of good status and printed within a year
+READY = report({
+    "product_id": "u.id", "tracking_id": "u.product_id", "sku_id": REQUEST["sku_id"], "print_date": HARVEST["print_date"],
+    "last_updated_at": "u.last_updated_at", "stage_code": stage("stage_code"),
+}, UNITS, [f"{by_id('product_statuses', 'status_name', 'u.current_status_id')} IN ('A-Ware', 'B-Ware')",
+           f"{HARVEST['print_date']} >= {AS_OF_SQL} - INTERVAL 1 YEAR", *present(REQUEST["id"], stage("id"))])
+PICKABLE = f"""(SELECT * EXCLUDE (stage_code) FROM ({READY}) r WHERE r.stage_code = 'QMSalesApproval'
+  AND r.sku_id IN (SELECT k.id FROM x_product_skus k WHERE k.is_serialized AND NOT k.is_bundle))"""
 
 OPEN_LINES = """FROM x_order_items oi JOIN x_orders o ON oi.order_id = o.id AND o.status = 'Processing'
 JOIN x_product_skus s ON oi.product_sku_id = s.id"""
@@ -35,9 +40,7 @@ OPEN_ORDERS = """SELECT o.id AS order_id, c.customer_name, o.order_date, o.notes
   o.updated_by, o.customer_id FROM x_orders o JOIN x_customers c ON o.customer_id = c.id WHERE o.status = 'Processing'"""
 
 FIFO = f"""
-, units AS (SELECT pt.id AS product_id, pt.product_id AS tracking_id, pr.sku_id, ph.print_date, pt.last_updated_at,
-     ROW_NUMBER() OVER (PARTITION BY pr.sku_id ORDER BY ph.print_date, pt.id) AS fifo_rank
-   {RELEASABLE.replace('WHERE', 'JOIN x_product_skus s ON pr.sku_id = s.id WHERE s.is_serialized AND NOT s.is_bundle AND ls.stage_code = ' + "'QMSalesApproval' AND")}),
+, units AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sku_id ORDER BY print_date, product_id) AS fifo_rank FROM {PICKABLE} p),
 navail AS (SELECT sku_id, count(*) AS n FROM units GROUP BY sku_id),
 lines AS (SELECT r.*, SUM(required_units) OVER (PARTITION BY sku_id ORDER BY order_date, order_id, order_item_id
      ROWS UNBOUNDED PRECEDING) AS run_end FROM ({UNIT_REQ}) r WHERE r.is_serialized OR r.is_bundle),
@@ -49,8 +52,8 @@ SQL = {
     "orderable_types": "SELECT * FROM x_product_types WHERE is_active",
     "customers": "SELECT id, customer_name FROM x_customers",
     "product_types": "SELECT id, name FROM x_product_types WHERE is_active",
-    "sales_ready_qty": f"""SELECT pr.sku_id AS sku_id, count(*) AS qty {RELEASABLE.replace('WHERE', 'JOIN x_product_skus s ON pr.sku_id = s.id WHERE')}
-  AND ls.stage_code IN ('QMSalesApproval', 'Internal Use/Client') GROUP BY pr.sku_id""",
+    "sales_ready_qty": f"""SELECT r.sku_id, count(*) AS qty FROM ({READY}) r
+WHERE r.stage_code IN ('QMSalesApproval', 'Internal Use/Client') AND r.sku_id IN (SELECT k.id FROM x_product_skus k) GROUP BY r.sku_id""",
     "sales_inventory": report({
         **plain("u", "id", "last_updated_at"), "sku_id": sku("id", "u.sku_id"), "sku": sku("sku", "u.sku_id"),
         "sku_name": sku("name", "u.sku_id"), "lot_number": REQUEST["lot_number"], "current_stage": stage(),
@@ -59,9 +62,6 @@ SQL = {
     }, UNITS, [f"{stage('stage_code')} = 'QMSalesApproval'", f"{HARVEST['print_date']} >= {AS_OF_SQL} - INTERVAL 1 YEAR",
                f"{by_id('product_statuses', 'status_name', 'u.current_status_id')} IN ('A-Ware', 'B-Ware')",
                *present(REQUEST["id"], sku("id", "u.sku_id"), user(HARVEST["printed_by"]))]),
-    "sales_summary": f"""SELECT psku.sku, psku.name AS sku_name, count(*) AS count
-{RELEASABLE.replace('WHERE', 'JOIN x_product_skus psku ON psku.id = pt.sku_id JOIN x_users u ON ph.printed_by = u.id WHERE')}
-  AND ls.stage_code = 'QMSalesApproval' GROUP BY psku.sku, psku.name""",
     "canceled_orders": CANCELED,
     "canceled_order_items": f"""SELECT oi.order_id, s.product_type_id, ty.name AS product_type, oi.quantity
 FROM x_order_items oi JOIN x_product_skus s ON oi.product_sku_id = s.id JOIN x_product_types ty ON s.product_type_id = ty.id
@@ -73,9 +73,7 @@ WHERE oi.order_id IN (SELECT order_id FROM ({CANCELED}) h)""",
 FROM x_order_items oi JOIN x_orders o ON oi.order_id = o.id AND o.status = 'Processing'
 JOIN closure cl ON cl.root_sku_id = oi.product_sku_id JOIN x_product_skus s ON s.id = cl.component_sku_id
 GROUP BY oi.order_id, cl.component_sku_id, s.sku, s.name, s.is_serialized""",
-    "fifo_pick": f"""SELECT pt.id AS product_id, pt.product_id AS tracking_id, pr.sku_id, ph.print_date, pt.last_updated_at
-{RELEASABLE.replace('WHERE', 'JOIN x_product_skus s ON pr.sku_id = s.id WHERE pr.sku_id = 1 AND s.is_serialized AND NOT s.is_bundle AND ls.stage_code = ' + "'QMSalesApproval' AND")}
-ORDER BY ph.print_date, pt.id LIMIT 5""",
+    "fifo_pick": f"SELECT * FROM {PICKABLE} p WHERE sku_id = 1 ORDER BY print_date, product_id LIMIT 5",
     "fifo_allocate": FIFO + """SELECT order_id, order_item_id, sku_id, sku, sku_name, pack_qty, order_qty, required_units, is_bundle,
   is_serialized, order_date, CAST(greatest(least(run_end, n) - run_start, 0) AS BIGINT) AS allocated_units,
   greatest(least(run_end, n) - run_start, 0) < required_units AS is_short FROM lines2""",
@@ -91,21 +89,23 @@ ser AS (SELECT p.order_id, p.sku_id AS product_sku_id,
 ns AS (SELECT order_id, sku_id AS product_sku_id, CAST(order_qty AS BIGINT) AS quantity FROM (""" + UNIT_REQ + """) r
    WHERE NOT r.is_serialized AND NOT r.is_bundle)
 SELECT * FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) WHERE quantity > 0""",
-    "active_shipments": """SELECT s.id AS shipment_id, s.status, s.order_id, s.customer_id, c.customer_name, s.created_date, s.ship_date,
-  s.delivery_date, s.carrier, s.tracking_number FROM x_shipments s JOIN x_customers c ON s.customer_id = c.id
-WHERE s.status IN ('Pending', 'Shipped')""",
-    "shipment_products": """SELECT si.shipment_id, pt.id AS product_id, pt.product_id AS tracking_id, s.sku, s.name AS sku_name, ph.print_date
-FROM x_shipment_unit_items si JOIN x_product_tracking pt ON si.product_tracking_id = pt.id
-JOIN x_product_harvest ph ON pt.harvest_id = ph.id JOIN x_product_requests pr ON ph.request_id = pr.id
-JOIN x_product_skus s ON pr.sku_id = s.id""",
+    "active_shipments": report({
+        "shipment_id": "d.id", **plain("d", "status", "order_id", "customer_id", "created_date", "ship_date", "delivery_date", "carrier",
+                                       "tracking_number"), "customer_name": by_id("customers", "customer_name", "d.customer_id"),
+    }, "x_shipments d", ["d.status IN ('Pending', 'Shipped')", *present(by_id("customers", "id", "d.customer_id"))]),
+    "shipment_products": report({
+        "shipment_id": "v.shipment_id", "product_id": "v.product_tracking_id", "tracking_id": unit_of("v.product_tracking_id", "product_id"),
+        "sku": sku("sku", request_of("v.product_tracking_id", "sku_id")), "sku_name": sku("name", request_of("v.product_tracking_id", "sku_id")),
+        "print_date": harvest_of("v.product_tracking_id", "print_date"),
+    }, "x_shipment_unit_items v", present(sku("id", request_of("v.product_tracking_id", "sku_id")))),
     "processing_orders": f"""SELECT h.*, COALESCE(n.js, '[]') AS order_items
 FROM ({OPEN_ORDERS}) h LEFT JOIN (
   SELECT li.order_id AS oid, CAST(to_json(list({{'id': li.id, 'product_sku_id': li.product_sku_id, 'sku': k.sku, 'sku_name': k.name,
     'quantity': li.quantity}} ORDER BY li.id, li.product_sku_id)) AS VARCHAR) AS js
   FROM x_order_items li JOIN x_product_skus k ON k.id = li.product_sku_id GROUP BY li.order_id) n ON n.oid = h.order_id""",
     "open_orders": OPEN_ORDERS,
-    "skus_with_specs_flag": """SELECT ps.id, ps.sku, ps.name, ps.is_active, CASE WHEN pps.sku_id IS NULL THEN 0 ELSE 1 END AS has_print_specs
-FROM x_product_skus ps LEFT JOIN x_product_print_specs pps ON pps.sku_id = ps.id""",
+    "skus_with_specs_flag": report({**plain("k", "id", "sku", "name", "is_active"),
+        "has_print_specs": "CAST(k.id IN (SELECT z.sku_id FROM x_product_print_specs z) AS INTEGER)"}, "x_product_skus k"),
     "package_estimate": f"""
 , counts AS (SELECT oi.order_id, s.product_type_id, sum(oi.quantity) AS ordered {OPEN_LINES} GROUP BY oi.order_id, s.product_type_id)
 SELECT c.order_id, p.package_id, CAST(max(floor(c.ordered / p.quantity)) AS BIGINT) AS packages
@@ -124,6 +124,7 @@ SQL["shipment_non_serialized"] = SQL["shipment_sku_items"].replace(
     """SELECT x.order_id, x.product_sku_id AS sku_id, ps.sku, ps.name AS sku_name, x.quantity
 FROM (SELECT * FROM ser UNION ALL SELECT * FROM ns) x JOIN x_product_skus ps ON ps.id = x.product_sku_id WHERE x.quantity > 0""")
 
-for _name, _cond in (("sku", "sku = 'GEB-CSmTCS'"), ("status", "product_status = 'B-Ware'"), ("operator", "printed_by = 'Op 0003'")):
+SQL["sales_summary"] = f"SELECT sku, sku_name, count(*) AS count FROM ({SQL['sales_inventory']}) d GROUP BY sku, sku_name"
+for _name, _cond in (("sku", "sku = 'GEB-CSmTCS'"), ("status", "product_status = 'B-Ware'"), ("operator", "printed_by = 'Op 0008'")):
     SQL[f"sales_summary_by_{_name}"] = (f"SELECT sku, sku_name, count(*) AS count FROM ({SQL['sales_inventory']}) d "
                                         f"WHERE {_cond} GROUP BY sku, sku_name")

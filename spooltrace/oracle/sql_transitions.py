@@ -1064,3 +1064,12 @@ SQL["apply_sku_update_audit"] = SKU_UPD_BASE + """
 SELECT CAST((SELECT max(id) FROM x_audit_log) + ROW_NUMBER() OVER (ORDER BY record_id) AS BIGINT) AS id, 'product_skus' AS table_name,
   record_id, 'is_active' AS field_name, old_value, new_value, 'activity review' AS reason, CAST(1 AS BIGINT) AS changed_by,
   TIMESTAMP '2000-06-30 00:00:00' AS changed_at FROM eff"""
+
+# the shelves of units that the ad-hoc quarantine above has just taken in
+from spooltrace.oracle.sql_operations import _shelves  # noqa: E402
+
+_AFTER = _G["needs_storage_adhoc"].replace("x_product_tracking", "units_after").replace("x_quarantined_products", "held_after")
+SQL["shelf_options_adhoc"] = K10_CMD + f"""
+, units_after AS ({K10_TRACK[len(K10_CMD):]}),
+held_after AS (SELECT * FROM x_quarantined_products UNION ALL ({K10_ROWS[len(K10_CMD):]}))
+""" + _shelves(_AFTER, "AdHoc Quarantine")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
-from spooltrace.session import materialize
+from spooltrace.session import broadcast_if_small, materialize
 from spooltrace.operators import merge as C
 from spooltrace.plans import views
 
@@ -29,13 +29,14 @@ DEFAULT_LOCATIONS = [("Unassigned", "Virtual", "Unassigned"), ("Waste", "Waste",
 
 def ensure_default_locations(db) -> DataFrame:
     """C9 (locations): add Unassigned / Waste / Offsite when missing (computed once per catalogue)."""
+    locations = db.storage_locations  # read also where the result is at hand: it depends on them
     cached = db.__dict__.get("_ensured_locations") if hasattr(db, "__dict__") else None
     if cached is not None:
         return cached
     rows = db.spark.createDataFrame([(None, n, t, d, True) for n, t, d in DEFAULT_LOCATIONS],
                                     "id BIGINT, location_name STRING, location_type STRING, description STRING, "
                                     "is_active BOOLEAN")
-    new, _ = C.insert_missing(db.storage_locations, rows, ["location_name"], id_col="id",
+    new, _ = C.insert_missing(locations, rows, ["location_name"], id_col="id",
                               id_order=["location_name"])
     if hasattr(db, "__dict__"):
         db.__dict__["_ensured_locations"] = new
@@ -312,6 +313,9 @@ def etl_pipeline(db, cutoff: str, as_of: str, only: set[str] | None = None, stag
     label, and ``until`` ends after that transform. Each version is written once,
     and later steps read it.
     """
+    unknown = ((only or set()) | ({until} if until else set())) - set(PIPELINE_STEPS) - set(staging or {})
+    if unknown:
+        raise ValueError(f"no such step or staging table: {sorted(unknown)}")
     v = Versions(db)
     for label, extract in (staging or {}).items() if stage else ():
         if only is None or label in only:
@@ -473,7 +477,7 @@ def etl_mounting(db, as_of: str) -> DataFrame:
     pairs = used.union(inv.select("fid", "pname")).distinct()
     base = (pairs.join(db.filaments.select(c("id").alias("filament_tracking_id"), c("filament_id").alias("_f")),
                        c("fid") == c("_f"))
-            .join(F.broadcast(db.printers.select(c("id").alias("printer_id"), c("name").alias("_pn"))),
+            .join(broadcast_if_small(db.printers.select(c("id").alias("printer_id"), c("name").alias("_pn"))),
                   c("pname") == c("_pn"))
             .join(inv.withColumnRenamed("fid", "_ifid").withColumnRenamed("pname", "_ipn"),
                   (c("fid") == c("_ifid")) & (c("pname") == c("_ipn")), "left"))

@@ -102,17 +102,31 @@ def export_csv(db) -> DataFrame:
     return A.read_staging(db.spark, path, EXPORT_COLUMNS, fmt="csv")
 
 
+def part_sheets(db) -> DataFrame:
+    """A cell table: one sheet per part type, a title above, the parts' labels (messy, repeated, some blank) as its
+    header and their prices below."""
+    p = db.src("part")
+    name = c("p_name")
+    label = F.when(c("p_size") == 1, F.lit(" ")).otherwise(F.element_at(F.array(
+        F.concat(F.lit(" "), name, F.lit("\t")), F.replace(name, F.lit(" "), F.lit("\n")),
+        F.upper(F.replace(name, F.lit(" "), F.lit("   "))),
+        F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit(" ["), c("p_brand"), F.lit("]"))),
+        (c("p_partkey") % 4 + 1).cast("int")))
+    at = [c("p_type").alias("sheet"), c("p_partkey").alias("position")]
+    titles = p.groupBy(c("p_type").alias("sheet")).agg(F.min("p_partkey").alias("position")).select(
+        "sheet", F.lit(1).alias("row_no"), "position", F.concat(F.lit("Parts of type "), "sheet").alias("value"))
+    return (titles.unionByName(p.select(*at, F.lit(3).alias("row_no"), label.alias("value")))
+            .unionByName(p.select(*at, F.lit(4).alias("row_no"), c("p_retailprice").cast("string").alias("value"))))
+
+
 def stage_headers(db) -> DataFrame:
-    """A1/A2: the production sheet's header row (one row, read once) with normalized and de-duplicated names."""
-    start, col0 = db.RAW_START_ROW, db.RAW_START_COL
-    raw = db.raw_production_sheet
-    cols = [f"c{k}" for k in range(col0, db.RAW_WIDTH + 1)]
-    head = raw.where(c("row_no") == start).select(*cols).first()
-    names = [(i, head[x]) for i, x in enumerate(cols) if head[x] not in (None, "")]
-    norm = [A.normalize_header(str(v).strip()) for _, v in names]
-    final = A.dedupe_headers(norm)
-    rows = [(i, str(v).strip(), n, f) for (i, v), n, f in zip(names, norm, final)]
-    return db.spark.createDataFrame(rows, "position INT, raw_header STRING, normalized STRING, final_name STRING")
+    """A1: the header row of every part sheet, found among its rows, with normalized names."""
+    return A.header_cells(part_sheets(db))
+
+
+def stage_dedupe_columns(db) -> DataFrame:
+    """A2: the same names with repeats numbered by position."""
+    return A.number_repeats(stage_headers(db))
 
 
 def user_lookup(db) -> DataFrame:

@@ -168,3 +168,22 @@ def product_record(db) -> DataFrame:
                       c("pt.location_id").alias("location_id"), c("pti.visual_pass").alias("visual_pass"),
                       c("pti.surface_treated").alias("surface_treated"), c("pti.sterilized").alias("sterilized"),
                       c("pti.qc_result").alias("qc_result"))
+
+
+# Tables whose records may be read one by one.
+RECORD_TABLES = ["filaments", "filament_mounting", "filament_acclimatization", "lids", "seals", "product_requests",
+                 "product_harvest", "product_quality_control", "product_tracking", "treatment_batches",
+                 "treatment_batch_products", "post_treatment_inspections"]
+
+
+def record_by_id(db, table: str, record_id: int) -> DataFrame:
+    """I10 (by id): the record as one row per field (position, field, value as text); no row if there is none.
+
+    Only ``RECORD_TABLES`` may be read; the id reaches the scan as a filter.
+    """
+    if table not in RECORD_TABLES:
+        raise ValueError(f"{table!r} is not open to look-ups by id")
+    rows = getattr(db, table).where(c("id") == record_id)
+    return rows.select(F.posexplode(F.array(*[
+        F.struct(F.lit(x).alias("field"), c(x).cast("string").alias("value")) for x in rows.columns])).alias("position", "f")
+    ).select("position", "f.field", "f.value")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
 from spooltrace.functions import rules as R
-from spooltrace.operators.ranking import row_number_within
+from spooltrace.operators.sampling import smallest_share
+from spooltrace.session import broadcast_if_small
 
 c = F.col
 
@@ -218,11 +219,13 @@ def batch_products(db, batch_id: int | None = None) -> DataFrame:
                       F.lit(None).cast("boolean").alias("visual_pass"))
 
 
-def stored_products(db) -> DataFrame:
-    """Units with a storage location."""
+def stored_products(db, unit: int | None = None) -> DataFrame:
+    """Units with a storage location; one unit alone if its id is given."""
     out = (_unit_base(db)
            .join(db.storage_locations.alias("sl"), c("pt.location_id") == c("sl.id"))
            .join(_stage(db), c("pt.current_stage_id") == c("lc.id"), "left"))
+    if unit is not None:
+        out = out.where(c("pt.id") == unit)
     return out.select(c("pt.id").alias("product_id"), c("ph.id").alias("harvest_id"), c("ps.sku").alias("sku"),
                       c("ps.name").alias("sku_name"), c("lc.stage_name").alias("current_status"),
                       c("sl.id").alias("location_id"), c("sl.location_name").alias("location_name"),
@@ -232,13 +235,13 @@ def stored_products(db) -> DataFrame:
 def shelf_options(db, units: DataFrame, mode: str) -> DataFrame:
     """For each unit needing storage, every shelf allowed for its business status in ``mode``.
 
-    Shelf matching runs on (rule x location), both literal; units join it on
+    Shelf matching runs on (rule x location); units join it on
     the business status (equi-join; at most the location count per unit).
     """
     opts = R.shelf_options_table(db.spark, db.storage_locations).where(c("mode") == mode).drop("mode")
     u = units.select("id", "product_id",
                      X.business_status(c("inspection_result"), "A-Ware").alias("business_status"))
-    return u.join(F.broadcast(opts), "business_status").distinct().select(
+    return u.join(broadcast_if_small(opts), "business_status").distinct().select(
         "id", "product_id", "business_status", "location_id", "location_name", "description", "next_stage_code")
 
 
@@ -258,7 +261,7 @@ def shelf_stage_mismatch(db) -> DataFrame:
     valid = R.stage_valid_locations(db.spark, db.storage_locations).select(
         c("stage_code").alias("_sc"), c("location_id").alias("_loc"))
     u = _located_units(db)
-    return u.join(F.broadcast(valid), (c("stage_code") == c("_sc")) & (c("location_id") == c("_loc")), "left_anti")
+    return u.join(broadcast_if_small(valid), (c("stage_code") == c("_sc")) & (c("location_id") == c("_loc")), "left_anti")
 
 
 def mismatch_fixes(db) -> DataFrame:
@@ -267,7 +270,7 @@ def mismatch_fixes(db) -> DataFrame:
         c("stage_code").alias("_sc"), c("location_id").alias("valid_location_id"),
         c("location_name").alias("valid_location_name"), c("description").alias("valid_description"))
     m = shelf_stage_mismatch(db)
-    return m.join(F.broadcast(valid), c("stage_code") == c("_sc")).drop("_sc")
+    return m.join(broadcast_if_small(valid), c("stage_code") == c("_sc")).drop("_sc")
 
 
 def sample_key(unit_id, seed: int) -> F.Column:
@@ -279,19 +282,18 @@ def inspection_sample(db, seed: int = 7, inspect_all: bool = False) -> DataFrame
     """Per treatment batch a random sample of min(n, max(2, round_half_even(0.05 n))) units;
     with ``inspect_all`` every unit of the batch.
 
-    Per-batch counts come from a partial aggregate; the in-batch rank uses
-    skew-safe row numbering, so one huge batch is not one task.
+    Per-batch counts come from a partial aggregate; only rows that can be in a
+    sample are shuffled (``smallest_share``).
     """
     tbp = db.treatment_batch_products.select("batch_id", "product_tracking_id")
-    n = tbp.groupBy(c("batch_id").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     if inspect_all:
+        n = tbp.groupBy(c("batch_id").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
         return tbp.join(n, c("batch_id") == c("_b")).select("batch_id", "product_tracking_id", c("n").alias("batch_size"),
                                                             c("n").alias("sample_size"))
     size = F.least(c("n"), F.greatest(F.lit(2), F.bround(c("n") * F.lit(0.05), 0).cast("long")))
-    ranked = row_number_within(tbp.withColumn("_k", sample_key(c("product_tracking_id"), seed)),
-                               ["batch_id"], ["_k", "product_tracking_id"], col="_rk")
-    return (ranked.join(n, c("batch_id") == c("_b")).where(c("_rk") <= size)
-            .select("batch_id", "product_tracking_id", c("n").alias("batch_size"), size.alias("sample_size")))
+    keyed = tbp.withColumn("_k", sample_key(c("product_tracking_id"), seed))
+    return smallest_share(keyed, "batch_id", "_k", "product_tracking_id", size, 0.05).select(
+        "batch_id", "product_tracking_id", c("n").alias("batch_size"), c("wanted").alias("sample_size"))
 
 
 def treatment_qc_evaluation(db, inputs: DataFrame) -> DataFrame:
@@ -421,31 +423,39 @@ def investigated(db) -> DataFrame:
                       c("u.display_name").alias("created_by"), c("inv.created_at").alias("created_at"))
 
 
-def quarantine_search(db, mode: str | None = None, value=None) -> DataFrame:
-    """Units that are not Waste (or have no status) and have no Active quarantine;
-    optional filter by 'Product ID', 'Lot Number', 'Treatment Batch' or 'Filament Mount ID'."""
-    active = db.quarantined_products.where(c("quarantine_status") == "Active").select(
-        c("product_tracking_id").alias("_q_pt"))
-    out = (_unit_base(db)
-           .join(_stage(db), c("pt.current_stage_id") == c("lc.id"))
-           .join(db.product_statuses.alias("st"), c("pt.current_status_id") == c("st.id"), "left")
-           .join(db.storage_locations.alias("sl"), c("pt.location_id") == c("sl.id"), "left")
-           .join(active, c("pt.id") == c("_q_pt"), "left_anti")
-           .where((c("st.status_name") != "Waste") | c("st.status_name").isNull()))
-    if mode == "Product ID":
-        out = out.where(c("pt.id") == int(value))
-    elif mode == "Lot Number":
-        out = out.where(c("pr.lot_number") == value)
-    elif mode == "Treatment Batch":
-        tbp = db.treatment_batch_products.where(c("batch_id") == int(value)).select(c("product_tracking_id").alias("_b"))
-        out = out.join(tbp, c("pt.id") == c("_b"))
-    elif mode == "Filament Mount ID":
-        out = out.where(c("ph.filament_mounting_id") == int(value))
-    return out.select(c("pt.id").alias("product_id"), c("pt.product_id").alias("tracking_id"),
-                      c("ps.sku").alias("sku"), c("ps.name").alias("sku_name"), c("pr.lot_number").alias("lot_number"),
-                      c("pr.id").alias("request_id"), c("ph.id").alias("harvest_id"),
-                      c("lc.stage_name").alias("current_stage_name"), c("st.status_name").alias("current_status"),
-                      c("sl.location_name").alias("location_name"), c("pt.last_updated_at").alias("last_updated_at"))
+def quarantine_search(db, unit: int | None = None, lot: str | None = None, batch: int | None = None,
+                      mount: int | None = None) -> DataFrame:
+    """The units that could be put in quarantine: not Waste and in no active quarantine.
+
+    Each argument that is given narrows them: the unit, the lot of its request, a treatment batch it is in,
+    the mount it was printed from.
+    """
+    wanted = {"u.id": unit, "r.lot_number": lot, "h.filament_mounting_id": mount}
+    held = db.quarantined_products.where(c("quarantine_status") == "Active").select("product_tracking_id")
+    if batch is not None:
+        in_batch = db.treatment_batch_products.where(c("batch_id") == batch).select("product_tracking_id")
+        units = db.product_tracking.join(in_batch, c("id") == c("product_tracking_id"), "left_semi")
+    else:
+        units = db.product_tracking
+    free = units.join(held, c("id") == c("product_tracking_id"), "left_anti").alias("u")
+    waste = db.product_statuses.where(c("status_name") == "Waste").select("id")
+    free = free.join(F.broadcast(waste).alias("w"), c("u.current_status_id") == c("w.id"), "left_anti")
+    chain = (free.join(db.product_harvest.alias("h"), c("h.id") == c("u.harvest_id"))
+             .join(db.product_requests.alias("r"), c("r.id") == c("h.request_id")))
+    for column, value in wanted.items():
+        if value is not None:
+            chain = chain.where(c(column) == value)
+    names = (chain.join(db.product_skus.alias("k"), c("k.id") == c("u.sku_id"))
+             .join(_stage(db, "now"), c("now.id") == c("u.current_stage_id"))
+             .join(db.product_statuses.alias("s"), c("s.id") == c("u.current_status_id"), "left")
+             .join(db.storage_locations.alias("at"), c("at.id") == c("u.location_id"), "left"))
+    return names.select(*[c(source).alias(name) for name, source in QUARANTINE_SEARCH_COLUMNS.items()])
+
+
+QUARANTINE_SEARCH_COLUMNS = {
+    "product_id": "u.id", "tracking_id": "u.product_id", "sku": "k.sku", "sku_name": "k.name", "lot_number": "r.lot_number",
+    "request_id": "r.id", "harvest_id": "h.id", "current_stage_name": "now.stage_name", "current_status": "s.status_name",
+    "location_name": "at.location_name", "last_updated_at": "u.last_updated_at"}
 
 
 def audit_entries(db) -> DataFrame:

@@ -236,9 +236,11 @@ def has_level(db):
 def reason_matches_outcome(db):
     """F32: per QC outcome present in the data, the reasons whose default outcome is neutral or equal."""
     outcomes = db.product_quality_control.select(c("inspection_result").alias("outcome")).distinct()
-    r = F.broadcast(db.issue_reasons.select("id", "default_outcome"))
-    return outcomes.join(r, X.reason_matches_outcome(c("default_outcome"), c("outcome"))).select(
-        "outcome", c("id").alias("reason_id"))
+    # the outcomes are an enumeration: one row holds them all
+    every = outcomes.agg(F.collect_set("outcome").alias("outcomes"))
+    matching = F.filter("outcomes", lambda x: X.reason_matches_outcome(c("default_outcome"), x))
+    return (db.issue_reasons.crossJoin(F.broadcast(every))
+            .select(c("id").alias("reason_id"), F.explode(matching).alias("outcome")).select("outcome", "reason_id"))
 
 
 def parse_ts_generic(db):

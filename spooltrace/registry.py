@@ -17,6 +17,7 @@ from spooltrace.plans import generic as CG
 from spooltrace.plans import legacy as I
 from spooltrace.plans import transitions as K
 from spooltrace.plans import transitions_edits as KE
+from spooltrace.plans import transitions_summary as KS
 from spooltrace.operators.constraints import command_report, constraint_report
 from spooltrace.sources import seeds as S
 from spooltrace.sources import staging as A
@@ -93,6 +94,14 @@ def queries() -> dict[str, Query]:
         "printers": _catalogue(M.printers_sorted),
         "users": _q(M.users_sorted),
     })
+
+    def adhoc_shelves(db):
+        after = E.Versions(db)  # the tables as the ad-hoc quarantines leave them
+        out = K.apply_quarantine(db, K.quarantine_commands(db), AS_OF)
+        for name in ("product_tracking", "quarantined_products"):
+            after.put(name, out[name])
+        return G.shelf_options(db, G.needs_storage_adhoc(after), "AdHoc Quarantine")
+
     q.update({
         "requestable_skus": _catalogue(G.requestable_skus),
         "pending_requests": _q(G.pending_requests),
@@ -123,10 +132,10 @@ def queries() -> dict[str, Query]:
         "quarantined": _q(G.quarantined),
         "investigated": _q(G.investigated),
         "quarantine_search": _q(G.quarantine_search),
-        "quarantine_search_unit": _q(G.quarantine_search, mode="Product ID", value="18"),
-        "quarantine_search_lot": _q(G.quarantine_search, mode="Lot Number", value="0012"),
-        "quarantine_search_batch": _q(G.quarantine_search, mode="Treatment Batch", value="3"),
-        "quarantine_search_mount": _q(G.quarantine_search, mode="Filament Mount ID", value="5"),
+        "quarantine_search_unit": _q(G.quarantine_search, unit=18),
+        "quarantine_search_lot": _q(G.quarantine_search, lot="0012"),
+        "quarantine_search_batch": _q(G.quarantine_search, batch=141),
+        "quarantine_search_mount": _q(G.quarantine_search, mount=21),
         "audit_entries": _q(G.audit_entries),
         "previous_stage": _q(G.previous_stage),
         "reasons": _catalogue(G.reasons),
@@ -140,8 +149,9 @@ def queries() -> dict[str, Query]:
         "label_templates_after_qc": _q(G.label_templates, stage_code="HarvestQCComplete"),
         "shelf_options_after_treatment": lambda spark, sf: G.shelf_options(
             Tables(spark, sf), G.needs_storage_treatment(Tables(spark, sf)), "Post-Treatment QC"),
-        "shelf_options_adhoc": lambda spark, sf: G.shelf_options(
-            Tables(spark, sf), G.needs_storage_adhoc(Tables(spark, sf)), "AdHoc Quarantine"),
+        "shelf_options_adhoc": lambda spark, sf: adhoc_shelves(Tables(spark, sf)),
+        "stored_product": _q(G.stored_products, unit=9),
+        "record_by_id": _q(I.record_by_id, table="treatment_batch_products", record_id=9),
         "label_id_series": lambda spark, sf: G.label_id_series(G.label_requests(Tables(spark, sf))),
         "effective_access": lambda spark, sf: G.effective_access(
             Tables(spark, sf), G.user_memberships(Tables(spark, sf))),
@@ -158,7 +168,7 @@ def queries() -> dict[str, Query]:
         "sales_summary": _q(H.sales_summary, as_of=AS_OF),
         "sales_summary_by_sku": _q(H.sales_summary, as_of=AS_OF, sku="GEB-CSmTCS"),
         "sales_summary_by_status": _q(H.sales_summary, as_of=AS_OF, status="B-Ware"),
-        "sales_summary_by_operator": _q(H.sales_summary, as_of=AS_OF, operator="Op 0003"),
+        "sales_summary_by_operator": _q(H.sales_summary, as_of=AS_OF, operator="Op 0008"),
         "canceled_orders": _q(H.canceled_orders),
         "canceled_order_items": _q(H.canceled_order_items),
         "unit_requirements": _q(H.unit_requirements),
@@ -195,6 +205,7 @@ def queries() -> dict[str, Query]:
         "load_staging": _q(CG.load_staging),
         "export_csv": _q(CG.export_csv),
         "stage_headers": _q(CG.stage_headers),
+        "stage_dedupe_columns": _q(CG.stage_dedupe_columns),
         "user_lookup": _q(CG.user_lookup),
         "xl_staging_schema": _q(CG.xl_staging_schema),
         "stage_drop_empty": _q(CG.stage_drop_empty),
@@ -252,7 +263,8 @@ def queries() -> dict[str, Query]:
         "etl_acclimatization": lambda spark, sf: E.etl_acclimatization(Tables(spark, sf), AS_OF)[0],
         "etl_mounting": lambda spark, sf: E.etl_mounting(Tables(spark, sf), AS_OF),
         "etl_harvest_clone": lambda spark, sf: harvest_clone(spark, sf)["mapped"],
-        "etl_harvest_clone_unmapped": lambda spark, sf: harvest_clone(spark, sf)["unmapped"],
+        "etl_harvest_clone_unmapped": lambda spark, sf: E.etl_harvest_clone(
+            Tables(spark, sf), Tables(spark, sf).product_harvest, CUTOFF)["unmapped"],
         "etl_treatment_batches": lambda spark, sf: E.etl_treatment_batches(
             Tables(spark, sf), tracking_after_e8(Tables(spark, sf)), CUTOFF)["treatment_batches"],
         "etl_treatment_received": lambda spark, sf: E.etl_treatment_batches(
@@ -525,22 +537,16 @@ def queries() -> dict[str, Query]:
         "apply_seal_edit": edit(seal_edit, "seals"),
         "apply_seal_edit_audit": edit(seal_edit, "audit_log"),
     })
-    # umbrella names of the inventory, each one main output
-    q["apply_orders"] = q["apply_order_create"]
-    q["apply_mounts"] = q["apply_mount"]
-    q["apply_sku_specs"] = q["apply_print_specs"]
-    q["apply_materials"] = q["apply_new_spools"]
-    q["stage_dedupe_columns"] = q["stage_headers"]
+    q.update({
+        "apply_orders": _q(KS.applied_orders, as_of=AS_OF), "apply_mounts": _q(KS.applied_mounts, as_of=AS_OF),
+        "apply_sku_specs": _q(KS.applied_skus, as_of=AS_OF), "apply_materials": _q(KS.applied_materials, as_of=AS_OF),
+    })
     return q
 
 
-ALIASES = {"apply_orders": "apply_order_create", "apply_mounts": "apply_mount", "apply_sku_specs": "apply_print_specs",
-           "apply_materials": "apply_new_spools", "stage_dedupe_columns": "stage_headers"}
-
-
 def oracle_sql() -> dict[str, str]:
     from spooltrace.oracle import (sql_catalogue, sql_constraints, sql_edits, sql_etl, sql_generic, sql_legacy, sql_materials, sql_operations, sql_sales,
-                                   sql_scalars, sql_transitions, sql_views)
+                                   sql_scalars, sql_summary, sql_transitions, sql_views)
     from spooltrace.oracle.prelude import with_prelude
 
     bodies: dict[str, str] = {}
@@ -554,8 +560,7 @@ def oracle_sql() -> dict[str, str]:
     bodies.update(sql_scalars.SQL)
     bodies.update(sql_generic.SQL)
     bodies.update(sql_edits.SQL)
+    bodies.update(sql_summary.SQL)
     bodies.update(sql_catalogue.SQL)
     bodies.update(sql_constraints.SQL)
-    for alias, target in ALIASES.items():
-        bodies[alias] = bodies[target]
     return {k: with_prelude(v) for k, v in bodies.items()}

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,6 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df, rows: int = BROADCAST_ROWS):
+    """``df`` with a broadcast hint if it holds at most ``rows`` rows (counted), else without: the planner decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _written: list = []
 
 

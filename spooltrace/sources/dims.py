@@ -239,6 +239,10 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def dim_size(name: str) -> int:
+    return len(_rows()[name][1])
+
+
 def dim_sql(name: str) -> str:
     """The same literal table as a DuckDB ``SELECT ... FROM (VALUES ...)``."""
     schema, rows = _rows()[name]

@@ -15,7 +15,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spooltrace.sources.dims import DIM_NAMES, dim
+from spooltrace.session import BROADCAST_ROWS
+from spooltrace.sources.dims import DIM_NAMES, dim, dim_size
 
 SOURCE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -50,8 +51,9 @@ class Tables:
     # -- literal dims --------------------------------------------------------
     def __getattr__(self, name: str) -> DataFrame:
         if name in DIM_NAMES:
-            # literal rows: size is bounded by the seed list, so always broadcast
-            df = F.broadcast(dim(self.spark, name))
+            df = dim(self.spark, name)
+            if dim_size(name) <= BROADCAST_ROWS:  # a seed list may grow: its size is known
+                df = F.broadcast(df)
             self.__dict__[name] = df
             return df
         raise AttributeError(name)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spooltrace.operators.ranking import row_number_within
+
 c = F.col
 
 
@@ -38,6 +40,40 @@ def dedupe_headers(names: list[str]) -> list[str]:
     return out
 
 
+def normalize_header_text(col: Column) -> Column:
+    """A1 as an expression."""
+    s = F.lower(F.btrim(F.replace(col, F.lit("\n"), F.lit(" ")), F.lit(" \t\r\n\x0b\x0c")))
+    s = F.replace(s, F.lit("  "), F.lit(" "))
+    return F.translate(F.translate(s, " -", "__"), "[]", "")
+
+
+def header_cells(cells: DataFrame) -> DataFrame:
+    """The header of every sheet of a cell table (sheet, row_no, position, value): its first row with two filled cells.
+
+    (sheet, position, raw_header, normalized); blank header cells name no column and are left out.
+    """
+    filled = cells.where(F.btrim(F.coalesce("value", F.lit(""))) != "")
+    rows = filled.groupBy("sheet", "row_no").count().where(c("count") >= 2)
+    head = rows.groupBy(c("sheet").alias("_s")).agg(F.min("row_no").alias("_row"))
+    found = filled.join(head, (c("sheet") == c("_s")) & (c("row_no") == c("_row")))
+    return found.select("sheet", "position", F.btrim("value", F.lit(" \t\r\n\x0b\x0c")).alias("raw_header"),
+                        normalize_header_text(c("value")).alias("normalized"))
+
+
+def number_repeats(headers: DataFrame) -> DataFrame:
+    """A2 on ``header_cells``: (sheet, position, final_name, clash): repeats become x, x_1, x_2 ... by position.
+
+    Numbering is range-partitioned, so a name that fills much of a sheet is not one task. ``clash`` marks names that are
+    still not unique in their sheet because the sheet itself holds such a numbered name.
+    """
+    ranked = row_number_within(headers.select("sheet", "position", "normalized"), ["sheet", "normalized"], ["position"], col="_n")
+    named = ranked.select("sheet", "position", F.when(c("_n") == 1, c("normalized")).otherwise(
+        F.concat("normalized", F.lit("_"), (c("_n") - 1).cast("string"))).alias("final_name"))
+    often = named.groupBy(c("sheet").alias("_s"), c("final_name").alias("_f")).count().where(c("count") > 1)
+    met = named.join(often, (c("sheet") == c("_s")) & (c("final_name") == c("_f")), "left")
+    return met.select("sheet", "position", "final_name", c("_s").isNotNull().alias("clash"))
+
+
 def stage_headers(df: DataFrame) -> DataFrame:
     """A1 + A2 on a DataFrame's column names."""
     return df.toDF(*dedupe_headers([normalize_header(x) for x in df.columns]))

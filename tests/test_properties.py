@@ -135,6 +135,58 @@ def test_bom_cycle_raises(spark):
         bom_closure(bom, skus)
 
 
+def test_bom_deep_chain_takes_few_rounds(spark, monkeypatch):
+    from spooltrace.operators import bom as B
+    written = []
+    real = B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df: written.append(1) or real(df))
+    chain = spark.range(1024).selectExpr("id AS parent_sku_id", "id + 1 AS component_sku_id", "1L AS component_qty")
+    skus = spark.createDataFrame([(0,), (1000,), (1024,), (5000,)], "id BIGINT")
+    got = {(r.root_sku_id, r.component_sku_id): r.qty for r in bom_closure(chain, skus).collect()}
+    assert got == {(0, 1024): 1, (1000, 1024): 1, (1024, 1024): 1, (5000, 5000): 1}
+    assert len(written) <= 3 + 11
+    loop = chain.unionByName(spark.createDataFrame([(1024, 512, 2)], chain.schema))
+    with pytest.raises(BomCycleError):
+        bom_closure(loop, skus)
+
+
+def test_bom_quantity_overflow_raises(spark):
+    doubling = spark.range(70).selectExpr("id AS parent_sku_id", "id + 1 AS component_sku_id", "2L AS component_qty")
+    with pytest.raises(OverflowError):
+        bom_closure(doubling, spark.createDataFrame([(0,)], "id BIGINT"))
+
+
+def test_sample_of_hot_batch_moves_few_rows(spark):
+    from spooltrace.operators import sampling
+    rows = (spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 4000 END AS batch_id", "id AS product_tracking_id")
+            .withColumn("_k", F.md5(F.concat(F.lit("s:"), F.col("product_tracking_id").cast("string")))))
+    size = F.least(F.col("n"), F.greatest(F.lit(2), F.bround(F.col("n") * 0.05, 0).cast("long")))
+    want = rows.selectExpr("*", "count(*) OVER (PARTITION BY batch_id) AS n",
+                           "row_number() OVER (PARTITION BY batch_id ORDER BY _k, product_tracking_id) AS rk").where(F.col("rk") <= size)
+    expect = sorted((r.batch_id, r.product_tracking_id) for r in want.collect())
+    key = ("batch_id", "_k", "product_tracking_id")
+    got = sampling.smallest_share(rows, *key, size, 0.05)
+    assert sorted((r.batch_id, r.product_tracking_id) for r in got.collect()) == expect
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    # a bound below every key: the exact way for groups without enough low keys
+    assert sorted((r.batch_id, r.product_tracking_id) for r in
+                  sampling.smallest_share(rows, *key, size, 0.0000001).collect()) == expect
+
+
+def test_headers_of_a_cell_table(spark):
+    from spooltrace.sources import staging as A
+    cells = [("s", 1, 1, "title"), ("s", 2, 1, " "), ("s", 3, 1, " Visual\nCheck "), ("s", 3, 2, "visual-check"), ("s", 3, 3, ""),
+             ("s", 3, 4, "Weight  [g]"), ("s", 3, 5, "visual check"), ("s", 4, 1, "x"), ("s", 4, 2, "y"), ("t", 1, 1, "a"), ("t", 1, 2, "a_1"),
+             ("t", 1, 3, "A"), ("u", 1, 1, "alone")]
+    heads = A.header_cells(spark.createDataFrame(cells, "sheet string, row_no int, position int, value string"))
+    assert [(r.sheet, r.position, r.normalized) for r in heads.orderBy("sheet", "position").collect()] == [
+        ("s", 1, A.normalize_header(" Visual\nCheck ")), ("s", 2, "visual_check"), ("s", 4, "weight_g"), ("s", 5, "visual_check"),
+        ("t", 1, "a"), ("t", 2, "a_1"), ("t", 3, "a")]
+    names = A.number_repeats(heads).orderBy("sheet", "position").collect()
+    assert [r.final_name for r in names] == ["visual_check", "visual_check_1", "weight_g", "visual_check_2", "a", "a_1", "a_1"]
+    assert [r.clash for r in names] == [False] * 5 + [True, True]
+
+
 def test_bom_multiplies_and_sums_paths(spark):
     bom = spark.createDataFrame([(1, 2, 2), (1, 3, 1), (3, 2, 5)],
                                 "parent_sku_id BIGINT, component_sku_id BIGINT, component_qty BIGINT")
