@@ -14,7 +14,9 @@ know and is bounded by the sequence size. From it the driver makes a plan:
    length over runs of sequences;
 4. small lengths go, longest first, into the smallest gap that fits.
 
-The plan has rows (length, ranks, first sequence, offset). Pieces are numbered
+Several numbers of groups are tried, and the plan with the fewest sequences is
+taken: with few, rounding costs room; with as many as there are lengths, nothing
+is rounded. The plan has rows (length, ranks, first sequence, offset). Pieces are numbered
 within their length by a skew-safe numbering and meet the plan by an interval
 join. The plan's size depends on the sequence size and ``groups``, not on the
 number of documents.
@@ -197,11 +199,23 @@ def make_plan(histogram: dict[int, int], size: int = SEQUENCE, groups: int = 102
     return plan, used
 
 
-def pack(cut: DataFrame, size: int = SEQUENCE, groups: int = 1024) -> DataFrame:
+GROUPS = (128, 256, 512, 1024)
+
+
+def best_plan(histogram: dict[int, int], size: int = SEQUENCE, groups: tuple[int, ...] = GROUPS) -> list[Placement]:
+    """The plan with the fewest sequences among some numbers of groups (the coarser grouping wins a tie).
+
+    More groups round less; fewer leave the configurations more pieces of one size to choose from.
+    """
+    plans = [make_plan(dict(histogram), size, g) for g in groups]
+    return min(plans, key=lambda p: p[1])[0]
+
+
+def pack(cut: DataFrame, size: int = SEQUENCE, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """``cut`` (see ``pieces``) with sequence_id and offset."""
     cut = materialize(cut, "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
-    plan, _ = make_plan(histogram, size, groups)
+    plan = best_plan(histogram, size, groups)
     spark = cut.sparkSession
     placed = spark.createDataFrame(plan, "plan_length long, first_rank long, places long, first_sequence long, offset long")
     ranked = row_number_within(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], col="_rank")

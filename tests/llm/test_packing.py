@@ -85,3 +85,13 @@ def test_query_packs_whole_documents(spark):
             at += length
         assert at <= 1024
     assert packing.packing_query(docs.limit(0)).count() == 0
+
+
+def test_grouping_may_win():
+    rng = np.random.default_rng(8)
+    histogram = {int(n): int(c) for n, c in zip(range(129, 1024), rng.integers(0, 40, 895)) if c}
+    used = {g: packing.make_plan(dict(histogram), groups=g)[1] for g in packing.GROUPS}
+    plan = packing.best_plan(histogram)
+    assert max(p[3] + p[2] for p in plan) <= min(used.values())
+    bound = -(-sum(n * c for n, c in histogram.items()) // 1024)
+    assert bound <= min(used.values()) <= 1.03 * bound
