@@ -147,7 +147,7 @@ def test_one_output_writes_only_what_it_needs(spark, db, monkeypatch):
     out["audit_log"]
     assert len(numbered) == 1 and "field_name" in numbered[0]  # neither shipments nor units nor history
     K.apply_qc(db, K.qc_commands(db), AS_OF)["filament_mounting"]
-    assert len(numbered) == 2  # the inspections, which the weights go with
+    assert len(numbered) == 1  # the weights need no inspection to be numbered
 
 
 def test_commands_apply_in_order(spark):
