@@ -105,6 +105,31 @@ def test_harvest_maps_are_one_to_one(spark, db):
     assert out.count() == out.select("product_id_bigint").distinct().count() == out.select("harvest_id").distinct().count()
 
 
+def test_unmapped_products_have_no_harvest_of_their_operator_and_date(spark, db):
+    from spooltrace import registry
+    harvest = E.etl_harvest(db, CUTOFF)[0]  # with the harvests that E5 adds from the sheet
+    left = registry.queries()["etl_harvest_clone_unmapped"](spark, SF_SMALL)
+    users = db.users.select(F.col("id").alias("printed_by"), F.col("display_name").alias("operator_trim"))
+    met = left.join(users, "operator_trim").join(harvest, "printed_by").where("print_date = print_date_dt")
+    assert met.count() == 0
+
+
+def test_clones_match_the_least_harvest_of_operator_and_date(spark, db):
+    users = spark.createDataFrame([(7, "Op A")], "id BIGINT, display_name STRING")
+    sheet = spark.createDataFrame([(str(p), "5", "GEB1", "Op A", "2024-02-01", "10K", "Pass") for p in range(1, 41)],
+                                  "product_id STRING, filament_id STRING, printer STRING, operator_harvest STRING, "
+                                  "date_harvest STRING, product STRING, status_quality_check STRING")
+    harvest = spark.range(100, 150).selectExpr(
+        "id", "id AS request_id", "id AS lid_id", "id AS seal_id", "id AS filament_mounting_id", "CAST(7 AS BIGINT) AS printed_by",
+        "TIMESTAMP_NTZ'2024-02-01 00:00:00' AS print_date")
+    out = E.etl_harvest_clone(Overlay(db, users=users, stg_excel_data=sheet), harvest, CUTOFF)
+    assert _rows(out["mapped"]) == sorted([(1, 100, "reuse")] + [(p, 148 + p, "clone") for p in range(2, 41)])
+    assert out["product_harvest"].where("id >= 150").select("request_id").distinct().collect() == [(100,)]
+    # products and harvests of one operator and date are not paired with one another
+    plan = out["mapped"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(id" in plan and "min(harvest_id" not in plan
+
+
 def test_tracking_after_etl_has_unique_keys(spark, db):
     unified = E.views.v_unified_legacy_prints(db, CUTOFF)
     _, _, cand = E.etl_harvest(db, CUTOFF, unified)
