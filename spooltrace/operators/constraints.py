@@ -1,6 +1,6 @@
 """Constraint report (X1): violations per CHECK / NOT NULL / UNIQUE / FK as (table, constraint, n).
 
-A table's NOT NULL and CHECK counts are one aggregate. Its foreign keys are one
+The columns that rules name are written once per table. A table's NOT NULL and CHECK counts are one aggregate. Its foreign keys are one
 scan: the values of all key columns are counted together (a hot value collapses
 before the shuffle) and the distinct ones that meet no parent id are summed up.
 Its unique keys are one scan in the same way.
@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spooltrace.session import broadcast_if_small
+from spooltrace.session import broadcast_if_small, materialize
+from spooltrace.sources.dims import DIM_NAMES
 
 c = F.col
 
@@ -107,19 +108,33 @@ def _value_counts(df: DataFrame, table: str, rules: Rules) -> DataFrame:
         for n in counts])).alias("r")).select("r.*")
 
 
-def _orphans(db, df: DataFrame, table: str, foreign: dict[str, str]) -> DataFrame:
+def _ruled(db) -> dict[str, DataFrame]:
+    """Per table the columns that its rules name, and its id: written once, since several rules and tables read them."""
+    out = {}
+    for table, rules in RULES.items():
+        df = getattr(db, table)
+        names = {"id", *rules.required.split(), *rules.foreign, *rules.checks, *", ".join(rules.unique).split(", ")}
+        df = df.select(*[x for x in df.columns if x in names])
+        out[table] = df if table in DIM_NAMES else materialize(df)
+    return out
+
+
+def _orphans(parents: dict[str, DataFrame], df: DataFrame, table: str, foreign: dict[str, str]) -> DataFrame:
+    places = {p: i for i, p in enumerate(sorted(set(foreign.values())))}  # numbers: names would be shuffled with each value
+    keys = list(foreign)
     values = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f"FK {x}").alias("name"), F.lit(p).alias("parent"), c(x).cast("long").alias("v"))
-        for x, p in foreign.items()])).alias("k")).select("k.*")
-    counted = values.groupBy("name", "parent", "v").agg(F.count(F.lit(1)).alias("n"))
+        F.struct(F.lit(i).alias("key"), F.lit(places[foreign[x]]).alias("parent"), c(x).cast("long").alias("v"))
+        for i, x in enumerate(keys)])).alias("k")).select("k.*")
+    counted = values.groupBy("key", "parent", "v").agg(F.count(F.lit(1)).alias("n"))
     ids = None
-    for p in sorted(set(foreign.values())):
-        one = getattr(db, p).select(F.lit(p).alias("parent"), c("id").cast("long").alias("v"), F.lit(True).alias("known"))
+    for p, i in places.items():
+        one = parents[p].select(F.lit(i).alias("parent"), c("id").cast("long").alias("v"), F.lit(True).alias("known"))
         ids = one if ids is None else ids.unionByName(one)
     lost = c("v").isNotNull() & c("known").isNull()
-    return (counted.join(ids, ["parent", "v"], "left").groupBy("name")
+    name = F.element_at(F.array(*[F.lit(f"FK {x}") for x in keys]), c("key") + 1)
+    return (counted.join(ids, ["parent", "v"], "left").groupBy("key")
             .agg(F.coalesce(F.sum(F.when(lost, c("n"))), F.lit(0)).cast("long").alias("n"))
-            .select(F.lit(table).alias("table_name"), c("name").alias("constraint_name"), "n"))
+            .select(F.lit(table).alias("table_name"), name.alias("constraint_name"), "n"))
 
 
 def _duplicates(df: DataFrame, table: str, unique: tuple[str, ...]) -> DataFrame:
@@ -133,12 +148,13 @@ def _duplicates(df: DataFrame, table: str, unique: tuple[str, ...]) -> DataFrame
 
 
 def constraint_report(db) -> DataFrame:
-    out = None
+    out, tables = None, _ruled(db)
+    parents = {p: tables[p] if p in tables else getattr(db, p) for r in RULES.values() for p in r.foreign.values()}
     for table, rules in RULES.items():
-        df = getattr(db, table)
+        df = tables[table]
         parts = [_value_counts(df, table, rules)]
         if rules.foreign:
-            parts.append(_orphans(db, df, table, rules.foreign))
+            parts.append(_orphans(parents, df, table, rules.foreign))
         if rules.unique:
             parts.append(_duplicates(df, table, rules.unique))
         for part in parts:
