@@ -22,6 +22,7 @@ from spooltrace.functions import exprs as X
 from spooltrace.operators import merge as C
 from spooltrace.operators.outputs import Outputs, once
 from spooltrace.operators.ranking import row_number_within
+from spooltrace.session import materialize
 
 c = F.col
 
@@ -928,10 +929,11 @@ def apply_order_line_diff(db, desired: DataFrame, user_id: int, as_of: str) -> O
     """K16 (update): desired (order_id, product_sku_id, quantity) for the orders it names ->
     changed lines updated, new positive lines added, lines of those orders missing from ``desired``
     deleted; each with an audit row ('quantity' / 'quantity' from None / 'Deleted')."""
+    # the lines and the commands are read by the check, the diff and each output: derived once
+    items, desired = materialize(db.order_items), materialize(desired)
     C.check_unique(desired, ["order_id", "product_sku_id"])
     d = desired.where(c("quantity") >= 0)
     orders_touched = desired.select(c("order_id").alias("_o")).distinct()
-    items = db.order_items
     mine = items.join(orders_touched, c("order_id") == c("_o"), "left_semi")
     j = mine.alias("i").join(d.alias("d"), (c("i.order_id") == c("d.order_id"))
                              & (c("i.product_sku_id") == c("d.product_sku_id")), "full_outer")
