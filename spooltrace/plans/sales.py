@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spooltrace.operators import bom as BOM
 from spooltrace.operators import fifo as FIFO
+from spooltrace.session import broadcast_if_small
 
 c = F.col
 
@@ -258,7 +259,8 @@ def package_estimate(db) -> DataFrame:
     """Per open order and package sharing a product type with it, packages = max over the
     package's product lines of floor(ordered quantity of that type / per-package quantity)."""
     counts = _order_type_counts(db)
-    prod = db.packages.where((c("item_kind") == "product") & (c("quantity") > 0))
+    # few types and packages: a join that shuffles would gather all orders on them
+    prod = broadcast_if_small(db.packages.where((c("item_kind") == "product") & (c("quantity") > 0)))
     return (counts.join(prod, counts.product_type_id == prod.item_id)
             .groupBy("order_id", "package_id")
             .agg(F.max(F.floor(c("ordered") / c("quantity"))).cast("long").alias("packages")))
@@ -267,6 +269,6 @@ def package_estimate(db) -> DataFrame:
 def package_totals(db) -> DataFrame:
     """Per open order, items implied by its package estimate: sum of per-package quantity x packages."""
     est = package_estimate(db).where(c("packages") > 0)
-    out = est.join(db.packages, "package_id")
+    out = est.join(broadcast_if_small(db.packages), "package_id")
     return (out.groupBy("order_id", "item_kind", "item_id")
             .agg(F.sum(c("quantity") * c("packages")).cast("long").alias("quantity")))
