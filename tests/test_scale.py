@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spooltrace.functions import exprs as X
+from spooltrace.operators import merge
 from spooltrace.operators.constraints import constraint_report
+from spooltrace.plans import etl as E
 from spooltrace.plans import materials as M
 from spooltrace.plans import sales as H
 from spooltrace.plans import transitions as K
@@ -60,3 +62,31 @@ def test_casts_tried_by_shape_equal_plain_casts(spark):
                       X._try_serial(F.col("t")).alias("c"), F.col("t").try_cast("double").alias("d")).collect()
     for r in got:
         assert r.a == r.b and str(r.c) == str(r.d), r
+
+
+def test_cells_of_the_sheets_are_parsed_once(db):
+    for df in (E._eligible_spools(db, CUTOFF), E.etl_mounting(db, AS_OF)):
+        assert "RLIKE" not in _plan(df) and "try_to_timestamp" not in _plan(df)
+
+
+def test_prints_are_written_by_their_numbering_alone(db, monkeypatch):
+    written = []
+    monkeypatch.setattr(E, "materialize", lambda df: written.append(df) or df)
+    v = E.Versions(db)
+    assert v.prints(CUTOFF) is v.prints(CUTOFF) and not written
+
+
+def test_spools_find_their_receiver_by_collation(spark, db):
+    names = ["\u00c9va", "Bo", "Cy", "Cy"]
+    users = spark.createDataFrame(
+        [(i, x, None, None, None, E.LEGACY_IMPORT_UPN if x == "Bo" else None) for i, x in enumerate(names, 1)],
+        "id BIGINT, display_name STRING, department_id BIGINT, is_active BOOLEAN, azure_ad_object_id STRING, "
+        "user_principal_name STRING")
+    rows = [(str(9_000_000 + i), f"L{i}-1", None, "1,5", "20.01.2024", op, None, None, None)
+            for i, op in enumerate([" eva ", "EVA", "cy", None, " ", "nobody"])]
+    db.__dict__["stg_filament_excel_data"] = spark.createDataFrame(
+        rows, "filament_id STRING, filament STRING, shelf STRING, weight_fl STRING, vsc_date STRING, vsc_operator STRING, "
+        "vs_check STRING, printer_fi STRING, usage STRING")
+    db.__dict__["users"] = users
+    got = E.etl_filaments(db, CUTOFF, AS_OF, users)[0].where("filament_id >= 9000000").select("filament_id", "received_by")
+    assert {r[0] - 9_000_000: r[1] for r in got.collect()} == {0: 1, 1: 1, 2: 3, 3: 2, 4: 2, 5: 2}
