@@ -90,3 +90,22 @@ def test_spools_find_their_receiver_by_collation(spark, db):
     db.__dict__["users"] = users
     got = E.etl_filaments(db, CUTOFF, AS_OF, users)[0].where("filament_id >= 9000000").select("filament_id", "received_by")
     assert {r[0] - 9_000_000: r[1] for r in got.collect()} == {0: 1, 1: 1, 2: 3, 3: 2, 4: 2, 5: 2}
+
+
+def test_quality_checks_are_parsed_once_a_row(db, monkeypatch):
+    sources = []
+    keep = merge.materialize
+    monkeypatch.setattr(merge, "materialize", lambda df: sources.append(df) or keep(df))
+    E.etl_quality_control(db, db.product_tracking, CUTOFF)
+    assert _plan(sources[0]).count(r"\d{1,2}-\d{1,2}-\d{4}") == 1
+
+
+def test_merge_of_few_matches_does_not_shuffle_the_target(spark):
+    target = spark.range(1, 5).selectExpr("id", "CASE WHEN id < 4 THEN id * 10 END AS k", "'old' AS v")
+    source = spark.createDataFrame([(10, "new"), (77, "new"), (None, "new"), (55, "new")], "k BIGINT, v STRING")
+    merged, actions = merge.merge_upsert(target, source, ["k"], ["v"], id_order=["k"])
+    join = next(x for x in _plan(merged).splitlines() if "LeftOuter" in x)
+    assert "strategy=broadcast" in join
+    got = sorted(map(tuple, merged.select("id", "k", "v").collect()))
+    assert got == [(1, 10, "new"), (2, 20, "old"), (3, 30, "old"), (4, None, "old"), (5, None, "new"), (6, 55, "new"), (7, 77, "new")]
+    assert sorted(map(str, (r._action for r in actions.collect()))) == ["INSERT"] * 3 + ["UPDATE"]
