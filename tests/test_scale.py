@@ -109,3 +109,8 @@ def test_merge_of_few_matches_does_not_shuffle_the_target(spark):
     got = sorted(map(tuple, merged.select("id", "k", "v").collect()))
     assert got == [(1, 10, "new"), (2, 20, "old"), (3, 30, "old"), (4, None, "old"), (5, None, "new"), (6, 55, "new"), (7, 77, "new")]
     assert sorted(map(str, (r._action for r in actions.collect()))) == ["INSERT"] * 3 + ["UPDATE"]
+
+
+def test_treatment_sheet_is_filtered_by_its_own_rows(db):
+    E.etl_treatment_batches(db, db.product_tracking, CUTOFF)  # written, so that no filter goes below its distinct
+    assert "event" not in _plan(db.__dict__["_written_once"]["stg_treatment_excel_data"][1])
